@@ -20,7 +20,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE):
+def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE, rows: int = 2000):
     """(first row, row past the last, bytes, offsets from the slice's start) of each slice."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
@@ -33,7 +33,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE):
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     lo = 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        hi = min(max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1), lo + rows)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
