@@ -25,6 +25,10 @@ def _kinds(inner: str) -> np.ndarray:
     return t
 
 
+_FORM = np.arange(256, dtype=np.uint8)
+_FORM[48:58], _FORM[65:91], _FORM[97:123] = 48, 65, 97
+
+
 class Tokens:
     """Tokens of a slice: runs of one kind of character. Positions are bytes of the slice."""
 
@@ -65,6 +69,13 @@ class Tokens:
         mix = np.searchsorted([2, 5, 9], self.swaps, "right")
         return ((length * 16 + has) * 4 + mix) * 2 + (self.high > 0)
 
+    def pattern(self) -> np.ndarray:
+        """A bucket for each form of token with digits, once digits and letters are made alike; 0 for the rest."""
+        out = np.zeros(len(self.s), np.int64)
+        at = np.flatnonzero(self.digits > 0)
+        out[at] = (tk.hashes(_FORM[self.buf], self.s[at], self.e[at]) >> np.uint64(52)).astype(np.int64)
+        return out
+
     def shifted(self, x: np.ndarray, by: int, none: int) -> np.ndarray:
         """x of the token ``by`` further on in the same text; ``none`` beyond its ends."""
         out = np.full(len(x), none, x.dtype)
