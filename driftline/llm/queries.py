@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, decontam, langid, mixing, ngram_join, pii, quality_rules, secrets
+from . import attention, decontam, langid, mixing, ngram_join, pii, quality_rules, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,4 +48,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_mixing, op4_secret_scan, op6_quality_rules, op7_ngram_join, op8_personal_data, op9_attention_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc_histories, op2_decontamination, op3_mixing, op4_secret_scan, op6_quality_rules, op7_ngram_join, op8_personal_data, op9_attention_quality, op10_language_id)}
