@@ -3,13 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from driftline.llm import decontam, langid, mixing, ngram_join, secrets
+from driftline.llm.store import stored
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language can be told: null texts and texts without a letter go."""
+    return langid.known(docs, langid.train(docs.where(langid.fold("doc_id", 4) != 2)))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced."""
+    return secrets.redact(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the mix takes words, with size, source_size, target and taken.
+
+    A document and its row of the mix meet by doc_id and size.
+    """
+    plan = stored(mixing.mix(docs)).where("taken > 0").dropDuplicates(["doc_id", "size"])
+    sized = docs.withColumn("__size", mixing.word_count(F.col("text")))
+    same = sized["doc_id"].eqNullSafe(plan["doc_id"]) & (sized["__size"] == plan["size"])
+    return sized.join(plan, same).select(*[sized[c] for c in docs.columns], "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secrets", secret_scan),
+    ("mixture", mixture),
+]
+#: Learnt models and connected components: no SQL states these stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each stage's result is written and read again, as the next one's documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = stored(docs)
     return docs

@@ -149,33 +149,49 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     return {"top": top, "within": [machines(X[family == f], lang[family == f]) for f in top["classes"]]}
 
 
-def predict(docs: DataFrame, model: dict | None, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: doc_id) with lang_pred and score of every row's whole text.
+def label(buf: np.ndarray, offs: np.ndarray, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a slice; ``und`` and 0 without a letter or a model."""
+    n = len(offs) - 1
+    lang, score = np.full(n, "und", object), np.zeros(n)
+    at = np.flatnonzero(has_letter(buf, offs)) if model else []
+    if len(at):
+        X = histograms(buf, offs)[at]
+        fam, p = vote(model["top"], X)
+        for f, inner in enumerate(model["within"]):
+            m = np.flatnonzero(fam == f)
+            if len(m):
+                c, q = vote(inner, X[m])
+                lang[at[m]] = np.array(inner["classes"], object)[c]
+                score[at[m]] = p[m] * q
+    return lang, score
+
+
+def predict(docs: DataFrame, model: dict | None) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row's whole text.
 
     ``und`` with score 0: null text, a text without a letter, or no model. Empty table: no rows.
     """
-    keep = keep or ["doc_id"]
-    src = docs.select(*keep, F.col("text").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]) + ", lang_pred string, score double"
 
     def run(batches):
         for b in batches:
-            text = b.column("__text")
-            for lo, hi, buf, offs in tk.slices(text):
-                lang, score = np.full(hi - lo, "und", object), np.zeros(hi - lo)
-                at = np.flatnonzero(has_letter(buf, offs)) if model else []
-                if len(at):
-                    X = histograms(buf, offs)[at]
-                    fam, p = vote(model["top"], X)
-                    for f, inner in enumerate(model["within"]):
-                        m = np.flatnonzero(fam == f)
-                        if len(m):
-                            c, q = vote(inner, X[m])
-                            lang[at[m]] = np.array(inner["classes"], object)[c]
-                            score[at[m]] = p[m] * q
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
-
-    return src.mapInArrow(run, schema)
+            for lo, hi, buf, offs in tk.slices(b.column("text")):
+                lang, score = label(buf, offs, model)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def known(docs: DataFrame, model: dict | None) -> DataFrame:
+    """``docs`` without rows of language ``und``; all columns as they are. Without a model all rows with a letter stay."""
+
+    def run(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for lo, hi, buf, offs in tk.slices(b.column("text")):
+                keep[lo:hi] = label(buf, offs, model)[0] != "und" if model else has_letter(buf, offs)
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold(col: str, k: int) -> F.Column:

@@ -360,3 +360,21 @@ def ids_of(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(doc_id, cls) of the classes in some pair."""
     ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     return stored(reps.join(ids, "cls").select("doc_id", "cls"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component, that with its least doc_id; all columns as they are.
+
+    Rows with a null doc_id stay. Of rows alike in doc_id and text one stays; an id whose texts
+    lie in several components stays as far as it is the least of one.
+    """
+    found = stored(join(docs))
+    kept = found.where("doc_id = component_id").select("doc_id")
+    gone = stored(found.where("doc_id IS NOT NULL").select("doc_id").distinct().join(kept.distinct(), "doc_id", "left_anti"))
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not again.limit(1).count():
+        return left
+    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)

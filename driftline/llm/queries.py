@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, decontam, langid, mixing, ngram_join, pii, quality_rules, secrets, warc
+from . import attention, decontam, html_text, langid, mixing, ngram_join, pii, quality_rules, secrets, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,4 +52,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_histories, op2_decontamination, op3_mixing, op4_secret_scan, op6_quality_rules, op7_ngram_join, op8_personal_data, op9_attention_quality, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_warc_histories, op2_decontamination, op3_mixing, op4_secret_scan, op5_html_text, op6_quality_rules, op7_ngram_join, op8_personal_data, op9_attention_quality, op10_language_id)}
