@@ -1,4 +1,5 @@
 """Every query by name, and its SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import base, market, study  # noqa: F401
+
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
