@@ -11,12 +11,13 @@ CLOSE_UTC = {"ASIA": 8.0, "AFRICA": 16.5, "EUROPE": 16.5, "MIDDLE EAST": 13.0, "
 
 def number(c: str) -> F.Column:
     """A quoted cell with thousands commas as a double; null if it isn't one."""
-    return F.expr(f"try_cast(regexp_replace(trim(`{c}`), '[\",]', '') AS double)")
+    return F.regexp_replace(F.trim(F.col(f"`{c}`")), '[",]', "").try_cast("double")
 
 
 def day(c: str) -> F.Column:
     """ISO or month-first dates; null if neither."""
-    return F.expr(f"to_date(coalesce(try_to_timestamp(trim(`{c}`, '\"'), 'yyyy-MM-dd'), try_to_timestamp(trim(`{c}`, '\"'), 'MM/dd/yyyy'), try_to_timestamp(trim(`{c}`, '\"'), 'M/d/yyyy')))")
+    text = F.trim(F.regexp_replace(F.col(f"`{c}`"), '"', ""))
+    return F.to_date(F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in ("yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy")]))
 
 
 def read_bars(spark: SparkSession, path: str | list[str]) -> DataFrame:
