@@ -1,3 +1,42 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import quality_rules as q
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {k}, 5) AS bigint) >> {s}) & 31), 1)" for k in range(1, 41, 5) for s in (15, 10, 5, 0))
+
+OP1 = f"""WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS bigint) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p"""
+
+_BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+_RULES = ", ".join(f"('{r}', {j}, {c})" for r, cs in q.RULES.items() for j, c in enumerate(cs))
+_STRATUM = "CASE " + " ".join(f"WHEN n_words < {b} THEN {k}" for k, b in enumerate(q.BANDS)) + f" ELSE {len(q.BANDS)} END"
+_LEVEL = q.DELTA / (len(q.RULES) * (len(q.BANDS) + 1))
+
+OP6 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text='text')} AS w, {_BARE} AS bare, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM win CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY 1),
+m AS (SELECT doc_id, d.rid, CAST(len(w) AS bigint) AS n_words, CAST(length(bare) AS bigint) AS word_chars, CAST(length(bare) - length(regexp_replace(bare, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS bigint) AS n_repeat_words, len(lines) AS n_lines,
+  length(bare) - length(regexp_replace(bare, '[A-Z]', '', 'g')) AS n_upper, length(bare) - length(replace(bare, '!', '')) AS n_bang FROM d LEFT JOIN cov USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_STRATUM} AS stratum, map {{'symbol_share': n_symbols / greatest(word_chars, 1), 'upper_share': n_upper / greatest(word_chars, 1), 'bang_share': n_bang / greatest(word_chars, 1), 'repeat_share': n_repeat_words / greatest(n_words, 1), 'dup_line_share': n_dup_lines / greatest(n_lines, 1)}} AS v FROM m),
+clean AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(coalesce(quality, 0)) = 1),
+t AS (SELECT * FROM (VALUES {_RULES}) t(rule, j, cutoff)),
+k AS (SELECT stratum, rule, j, cutoff, count(*) AS n, sum(CAST(v[rule] > cutoff AS bigint)) AS k FROM b JOIN clean USING (doc_id) CROSS JOIN t WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
+h AS (SELECT *, k < n * {q.RISK} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.RISK}) + (n - i) * ln(1 - {q.RISK}))) FROM range(0, CAST(k AS bigint) + 1) r(i)) <= {_LEVEL!r} AS holds FROM k),
+s AS (SELECT stratum, rule, coalesce(min(CASE WHEN NOT holds THEN j END), count(*)) AS stop FROM h GROUP BY 1, 2),
+c AS (SELECT s.stratum, s.rule, t.cutoff FROM s JOIN t ON t.rule = s.rule AND t.j = s.stop - 1),
+o AS (SELECT rid, bool_or(v[rule] > cutoff) AS over FROM b JOIN c USING (stratum) GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept FROM b LEFT JOIN o USING (rid)"""
+
+OP7 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i : least(i + 4, len(w))], ' ') AS sh FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.rid <> b.rid GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
+SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS bigint) AS n_shingles, min(o.doc_id) AS component_id FROM d LEFT JOIN n USING (rid) JOIN r ON r.x = d.rid JOIN d o ON o.rid = r.y GROUP BY d.rid, d.doc_id"""
+
+SQL: dict[str, str] = {"op1_warc_histories": OP1, "op6_quality_rules": OP6, "op7_ngram_join": OP7}
