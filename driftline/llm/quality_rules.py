@@ -85,7 +85,7 @@ def ln_factorial(x: F.Column) -> F.Column:
     """ln x! by Stirling's series at x + 9, taken down by the product between."""
     z = x + 9.0
     inv = 1 / z
-    series = (z + 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + inv / 12 - inv * inv * inv / 360 + F.pow(inv, 5) / 1260
+    series = (z + 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + inv / 12 - inv * inv * inv / 360 + F.pow(inv, 5) / 1260 - F.pow(inv, 7) / 1680
     down = F.lit(0.0)
     for k in range(1, 10):
         down = down + F.log(x + float(k))
@@ -96,7 +96,7 @@ def binomial_tail(k: F.Column, n: F.Column, p: float) -> F.Column:
     """P(Bin(n, p) <= k): terms from k downwards, each from the one above, until they no longer count.
 
     Below the mean the terms fall by a ratio under 1 each, so sqrt(n) terms of a deviation's width
-    are exact to double precision. At or above the mean the value is at least about a half.
+    are exact to about 1e-12. At or above the mean the value is at least about a half.
     """
     k, n = k.cast("double"), n.cast("double")
     log_top = ln_factorial(n) - ln_factorial(k) - ln_factorial(n - k) + k * math.log(p) + (n - k) * math.log1p(-p)
