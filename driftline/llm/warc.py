@@ -222,7 +222,8 @@ class LoserTree:
 
 def bounds(files: DataFrame, ranges: int) -> list[str]:
     """Keys at which ranges begin, from a bounded sample."""
-    keys = files.select(F.explode("keys").alias("key"))
+    share = min(1.0, 4 * SAMPLE_KEYS / max(files.agg(F.sum(F.size("keys"))).head()[0] or 0, 1))
+    keys = files.select(F.explode("keys").alias("key")).where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
     sample = sorted(r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(SAMPLE_KEYS).collect())
     return sorted({sample[i * len(sample) // ranges] for i in range(1, ranges)}) if sample else []
 
