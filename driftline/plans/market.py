@@ -11,7 +11,10 @@ from driftline.sources import bars as sources
 
 from .base import BARS_SQL, SIGNALS_SQL, bars, query, r6, signals
 
-W = frames.ordered("series_id")
+
+def series():
+    """Rows of a series in order."""
+    return frames.ordered("series_id")
 
 
 @query(f"WITH {BARS_SQL} SELECT series_id, CAST(date AS varchar) AS date, CAST(t AS bigint) AS t, open, high, low, close FROM bars")
@@ -117,7 +120,7 @@ WINDOW f5 AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CUR
 def har_block(spark, sf_dir):
     """Level and means of 5 and 22 rows."""
     s = signals(spark, sf_dir)
-    return s.select("series_id", F.col("t").cast("long").alias("t"), *r6(**features.har(F.col("a"), W)))
+    return s.select("series_id", F.col("t").cast("long").alias("t"), *r6(**features.har(F.col("a"), series())))
 
 
 @query(f"""WITH {SIGNALS_SQL} SELECT series_id, CAST(t AS bigint) AS t, round(lag(a, 1) OVER w, 6) AS lag1, round(lag(a, 2) OVER w, 6) AS lag2, round(lag(a, 3) OVER w, 6) AS lag3, round(lag(a, 4) OVER w, 6) AS lag4,
@@ -127,7 +130,7 @@ f66 AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 65 PRECEDING AND CURRENT
 def own_extended(spark, sf_dir):
     """Lags, long means, leverage."""
     s = signals(spark, sf_dir)
-    return s.select("series_id", F.col("t").cast("long").alias("t"), *r6(**features.extended(F.col("a"), F.col("r"), W)))
+    return s.select("series_id", F.col("t").cast("long").alias("t"), *r6(**features.extended(F.col("a"), F.col("r"), series())))
 
 
 @query(f"""WITH {SIGNALS_SQL}, d AS (SELECT series_id, t, month(lead(date, 5) OVER (PARTITION BY series_id ORDER BY t)) AS m FROM sig)
@@ -135,7 +138,7 @@ SELECT series_id, CAST(t AS bigint) AS t, {', '.join(f'CAST(CASE WHEN m IS NOT N
 def calendar_dummies(spark, sf_dir):
     """Months of the rows forecast."""
     s = signals(spark, sf_dir)
-    return s.select("series_id", F.col("t").cast("long").alias("t"), *[c.alias(n) for n, c in features.calendar_dummies(F.col("date"), W, 5).items()])
+    return s.select("series_id", F.col("t").cast("long").alias("t"), *[c.alias(n) for n, c in features.calendar_dummies(F.col("date"), series(), 5).items()])
 
 
 @query(f"""WITH {SIGNALS_SQL} SELECT series_id, CAST(t AS bigint) AS t, round(lead(a, 5) OVER w, 6) AS y, CASE WHEN lead(a, 5) OVER w IS NOT NULL THEN CAST(lead(a, 5) OVER w > 0 AS int) END AS y_up,
@@ -144,7 +147,7 @@ FROM sig WINDOW w AS (PARTITION BY series_id ORDER BY t), f AS (PARTITION BY ser
 def targets(spark, sf_dir):
     """Continuous, binary, re-based and mean targets."""
     s = signals(spark, sf_dir)
-    t = features.targets(F.col("a"), F.col("lm"), W, 5, 5)
+    t = features.targets(F.col("a"), F.col("lm"), series(), 5, 5)
     return s.select("series_id", F.col("t").cast("long").alias("t"), t["y_up"].alias("y_up"), *r6(y=t["y"], y_origin=t["y_origin"], y_mean=t["y_mean"]))
 
 
@@ -152,7 +155,7 @@ def targets(spark, sf_dir):
 FROM sig s CROSS JOIN d LEFT JOIN sig u ON u.series_id = s.series_id AND u.t = s.t - delta""")
 def delayed_view(spark, sf_dir):
     """Every delay's stale value beside the current one; all delays from one window."""
-    s = signals(spark, sf_dir).withColumn("d", features.delayed(F.col("a"), (0, 1, 2, 3, 5, 8), W))
+    s = signals(spark, sf_dir).withColumn("d", features.delayed(F.col("a"), (0, 1, 2, 3, 5, 8), series()))
     return s.select("series_id", F.col("t").cast("long").alias("t"), F.round("a", 6).alias("fresh"), F.explode("d").alias("d")).select("series_id", "t", "fresh", "d.delta", F.round("d.stale", 6).alias("stale"))
 
 
@@ -161,7 +164,7 @@ FROM sig WINDOW p AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 250 PRECEDI
 def winsor(spark, sf_dir):
     """Clipped to quantiles of the past only."""
     s = signals(spark, sf_dir)
-    return s.select("series_id", F.col("t").cast("long").alias("t"), F.round(features.winsorised(F.col("r"), W, 0.05, 250, 100), 6).alias("r"))
+    return s.select("series_id", F.col("t").cast("long").alias("t"), F.round(features.winsorised(F.col("r"), series(), 0.05, 250, 100), 6).alias("r"))
 
 
 @query(f"""WITH RECURSIVE {SIGNALS_SQL}, v AS (SELECT series_id, t, r FROM sig), e AS (
@@ -178,7 +181,7 @@ def ewma(spark, sf_dir):
 def appraisal(spark, sf_dir):
     """Revised every 21 rows, held between."""
     s = signals(spark, sf_dir)
-    return s.select("series_id", F.col("t").cast("long").alias("t"), F.round(features.appraisal(F.col("close"), F.col("t"), W, 21), 6).alias("held"))
+    return s.select("series_id", F.col("t").cast("long").alias("t"), F.round(features.appraisal(F.col("close"), F.col("t"), series(), 21), 6).alias("held"))
 
 
 @query(f"""WITH {SIGNALS_SQL}, m AS (SELECT series_id, month(date) AS month, avg(r) AS mean FROM sig WHERE date < DATE '2000-01-01' GROUP BY 1, 2 HAVING count(r) >= 3),
@@ -196,7 +199,7 @@ SELECT series_id, CAST(t AS bigint) AS t, round((pk - stale) / nullif(med2, 0),
 def risk_premium(spark, sf_dir):
     """Premium of one variance over the other's stale value, and a slope of lagged tenors."""
     s = signals(spark, sf_dir)
-    return s.select("series_id", F.col("t").cast("long").alias("t"), *r6(premium=features.risk_premium(F.col("pk"), F.col("yz"), W, 2, 60, 30), slope=features.slope(F.col("yz"), F.col("pk"), W)))
+    return s.select("series_id", F.col("t").cast("long").alias("t"), *r6(premium=features.risk_premium(F.col("pk"), F.col("yz"), series(), 2, 60, 30), slope=features.slope(F.col("yz"), F.col("pk"), series())))
 
 
 @query(f"""WITH {SIGNALS_SQL}, x AS (SELECT series_id, t, a, coalesce(a, 0) AS z FROM sig) SELECT series_id, CAST(t AS bigint) AS t, round(a * a, 6) AS sq, round(z * 2 + z * z, 6) AS factor, round(sqrt(2.0 / 2) * cos(0.7 * z - 0.2 * z * z + 0.1), 6) AS rff0, round(sqrt(2.0 / 2) * cos(-0.4 * z + 1.3 * z * z + 2.0), 6) AS rff1, round(ln(1 + 3), 6) AS stale0, round(3 * a, 6) AS stale1 FROM x""")
