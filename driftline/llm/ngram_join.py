@@ -1,20 +1,22 @@
 """N-gram Jaccard self-join by prefix trees: near-duplicate components of documents.
 
 A document is the set of its distinct word shingles. Documents link at Jaccard similarity
-``num / den`` or more. All counts below are exact but for collisions of 60-bit hashes.
+0.75 or more. All counts below are exact but for collisions of 60-bit hashes.
 
-1. ``sketch`` reads every text once: each document's set size and class (equal sets are one class,
-   so copies cost one row each), and a fixed-size table of shingle counts.
+1. ``sketch`` reads every text: each document's set size and class (equal sets are one class, so
+   copies cost one row each). ``frequent`` counts in how many classes each shingle is, and
+   keeps those in more than ``ALL_PAIRS``, at most ``HOT`` of them.
 2. The global order of shingles is rare before frequent (bands of those counts), then by hash.
-   It is the high bits of a shingle's key, so keys sort in that order.
+   It is the high bits of a shingle's key, so keys sort in that order. A passage that many
+   documents share comes last, so it makes no candidates unless a document is little else.
 3. ``postings`` sends the first n - ceil(0.75 n) + 1 keys of each class, packed, to buckets by key.
    Two sets that link share one of them. ``candidates`` pairs the members of a key's group under
    bounds by size and position; groups beyond ``ALL_PAIRS`` only pair with two pivots.
 4. ``verify`` puts a pivot's partners into a prefix tree of ordered sets and walks it once: partial
    overlaps are shared along common prefixes, and a subtree is left when the overlap so far and
    the remaining lengths can't reach the bound.
-5. Large groups not yet joined into one component give all pairs across components to a second
-   verification, so no link is lost; inside a component there is nothing to gain.
+5. In large groups not yet in one component, members first try a few partners of other components
+   and then all of them, so no link is lost; inside a component there is nothing to gain.
 """
 
 from __future__ import annotations
@@ -29,14 +31,20 @@ from .components import components
 from .store import stored
 
 WORDS = 5
-COUNTERS = 1 << 22
-CHUNK = 1 << 14
 ALL_PAIRS = 8
 BUCKET_ROWS = 1 << 20
+# Frequent shingles that order the rest, at most: 9 bytes each for every task. More, and only the most frequent count.
+HOT = 2_000_000
+# Partners that a member of a large group tries at first.
+FEW = 8
 # A key's group beyond this many rows is dealt to several buckets; their pivots meet in the second verification.
 SPLIT = 250_000
-# Documents to verify that may be broadcast as ids; beyond, they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+# Rows of (a, group, b, doc_id) that may be broadcast to the texts; more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+# Partners of a pivot in one task, about.
+GROUP = 64
+# Bytes of a key that two sets are compared by: 44 bits of hash, ample within a pair.
+KEY_BYTES = 6
 POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<u4"), ("p", "<u4")])
 U = np.uint64
 
@@ -76,54 +84,101 @@ def classes(vals: np.ndarray, cut: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """Rows of kind 0: (id, cls, n) per document; of kind 1: a chunk (id) of a task's shingle counts, up to 255 each."""
+    """(doc_id, cls, n) of every row."""
 
     def run(batches):
-        seen = np.zeros(COUNTERS, np.uint8)
         for b in batches:
             for lo, hi, buf, offs in tk.slices(b.column("text")):
                 vals, cut = sets(buf, offs)
-                if len(vals):
-                    at, k = np.unique(vals & U(COUNTERS - 1), return_counts=True)
-                    at = at.astype(np.int64)
-                    seen[at] = np.minimum(seen[at].astype(np.int64) + k, 255)
-                m = hi - lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), b.column("doc_id").slice(lo, m).cast(pa.int64()), pa.array(classes(vals, cut)), pa.array(np.diff(cut).astype(np.int64)), pa.nulls(m, pa.binary())], ["kind", "id", "cls", "n", "blob"])
-        ids = [i for i in range(COUNTERS // CHUNK) if seen[i * CHUNK : (i + 1) * CHUNK].any()]
-        if ids:
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(ids, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array([seen[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in ids], pa.binary())], ["kind", "id", "cls", "n", "blob"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(classes(vals, cut)), pa.array(np.diff(cut).astype(np.int64))], ["doc_id", "cls", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, id long, cls long, n long, blob binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, cls long, n long")
 
 
-def bands(chunks: DataFrame) -> tuple[np.ndarray, float]:
-    """A frequency band (0 to 15) for each counter: 0 up to twice the mean and 8, then one more for each doubling. Fixed size, whatever the input."""
+def _fresh(cls: np.ndarray, n: np.ndarray, done: set) -> np.ndarray:
+    """Non-empty sets whose class this task has not met."""
+    ok = n > 0
+    for i, c in enumerate(cls.tolist()):
+        ok[i] &= c not in done
+        done.add(c)
+    return ok
 
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, blob in zip(b.column("id").to_pylist(), b.column("blob").to_pylist()):
-                total[i] = total.get(i, 0) + np.frombuffer(blob, np.uint8).astype(np.int64)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["id", "sums"])
-
-    summed = chunks.select("id", "blob").repartition("id").mapInArrow(add, "id long, sums binary")
-    parts = {r["id"]: np.frombuffer(r["sums"], np.int64).astype(np.float32) for r in summed.toLocalIterator()}
-    mean = sum(float(v.sum()) for v in parts.values()) / COUNTERS
-    out = np.zeros(COUNTERS, np.uint8)
-    for i, v in parts.items():
-        out[i * CHUNK : (i + 1) * CHUNK] = np.clip(np.ceil(np.log2((v + 1e-9) / base_count(mean))), 0, 15)
-    return out, mean
 
+def _dealt(v: np.ndarray, to: np.ndarray, size: int) -> pa.RecordBatch:
+    """(bucket, blob): the items of v, ``size`` bytes each, packed by bucket."""
+    order = np.argsort(to, kind="stable")
+    ids, at = np.unique(to[order], return_index=True)
+    raw = v[order].view(np.uint8).reshape(len(v), -1)[:, :size]
+    return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([raw[x:y].tobytes() for x, y in zip(at, [*at[1:], len(v)])], pa.binary())], ["bucket", "blob"])
 
-def base_count(mean: float) -> float:
-    return 2 * mean + 8
 
+def frequent(docs: DataFrame, buckets: int) -> DataFrame:
+    """(v, df): 40-bit prefixes of the shingle hashes that are in more than ``ALL_PAIRS`` classes (a class counts once a task)."""
 
-def keys(vals: np.ndarray, cut: np.ndarray, band: np.ndarray) -> np.ndarray:
+    def deal(batches):
+        done, held, size = set(), [], 0
+        for b in batches:
+            for _, _, buf, offs in tk.slices(b.column("text")):
+                vals, cut = sets(buf, offs)
+                n = np.diff(cut)
+                ok = np.repeat(_fresh(classes(vals, cut), n, done), n)
+                held.append(vals[ok] >> U(24))
+                size += len(held[-1])
+                if size > 1_000_000:
+                    v = np.concatenate(held)
+                    yield _dealt(v, (v % U(buckets)).astype(np.int64), 5)
+                    held, size = [], 0
+        if size:
+            v = np.concatenate(held)
+            yield _dealt(v, (v % U(buckets)).astype(np.int64), 5)
+
+    def count(table: pa.Table) -> pa.Table:
+        raw = b"".join(table.column("blob").to_pylist())
+        wide = np.zeros((len(raw) // 5, 8), np.uint8)
+        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+        v = np.sort(wide.view("<u8").ravel())
+        head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+        df = np.diff(np.append(head, len(v)))
+        some = df > ALL_PAIRS
+        return pa.table({"v": v[head[some]].astype(np.int64), "df": df[some].astype(np.int64)})
+
+    return docs.select("text").mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(count, "v long, df long")
+
+
+class Order:
+    """Bands of the frequent shingles: 0 for all others, then one more for each fourfold count."""
+
+    def __init__(self, found: DataFrame):
+        least = ALL_PAIRS + 1
+        if found.count() > HOT:
+            kept, least = 0, 1 << 62
+            for r in found.groupBy(F.floor(F.log2("df")).alias("e")).count().orderBy(F.desc("e")).collect():
+                kept += r["count"]
+                if kept > HOT:
+                    break
+                least = 1 << int(r["e"])
+        rows = found.where(F.col("df") >= least).toPandas()
+        order = np.argsort(rows["v"].to_numpy())
+        self.v = rows["v"].to_numpy()[order].astype(U)
+        df = rows["df"].to_numpy()[order].astype(float)
+        self.band = np.clip(1 + np.floor(np.log(np.maximum(df, ALL_PAIRS) / ALL_PAIRS) / np.log(4)), 1, 15).astype(np.uint8)
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(self.v & U((1 << 22) - 1)).astype(np.int64)] = True
+
+    def of(self, vals: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(vals), np.uint8)
+        if len(self.v):
+            v = vals >> U(24)
+            at = np.flatnonzero(self.maybe[(v & U((1 << 22) - 1)).astype(np.int64)])
+            where = np.minimum(np.searchsorted(self.v, v[at]), len(self.v) - 1)
+            same = self.v[where] == v[at]
+            out[at[same]] = self.band[where[same]]
+        return out
+
+
+def keys(vals: np.ndarray, cut: np.ndarray, order: Order) -> np.ndarray:
     """Keys in the global order within each set."""
-    b = band[(vals & U(COUNTERS - 1)).astype(np.int64)]
+    b = order.of(vals)
     out = (b.astype(U) << U(60)) | (vals >> U(4))
     if b.any():
         high = np.concatenate([[0], np.cumsum(b > 0)])
@@ -132,36 +187,27 @@ def keys(vals: np.ndarray, cut: np.ndarray, band: np.ndarray) -> np.ndarray:
     return out
 
 
-def parts_of(t: np.ndarray, mean: float) -> np.ndarray:
+def parts_of(t: np.ndarray) -> np.ndarray:
     """Into how many buckets a key's group is dealt, by its band."""
-    return np.maximum(1, (2.0 ** (t >> U(60)).astype(np.float64) * base_count(mean) / SPLIT).astype(np.int64))
+    return np.maximum(1, (4.0 ** (t >> U(60)).astype(np.float64) * ALL_PAIRS / SPLIT).astype(np.int64))
 
 
-def postings(docs: DataFrame, band, mean: float, buckets: int) -> DataFrame:
+def postings(docs: DataFrame, order, buckets: int) -> DataFrame:
     """(bucket, blob): packed prefix postings. Copies within a task post once."""
 
     def run(batches):
-        table, done, held, size = band.value, set(), [], 0
+        done, held, size = set(), [], 0
 
         def flush():
             a = np.concatenate(held)
-            salt = a["c"].view(U) % parts_of(a["t"], mean).astype(U)
-            to = (tk.fmix(a["t"] + salt * tk.K1) % U(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            a, to = a[order], to[order]
-            ids, at = np.unique(to, return_index=True)
-            blobs = [a[x:y].tobytes() for x, y in zip(at, [*at[1:], len(a)])]
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            salt = a["c"].view(U) % parts_of(a["t"]).astype(U)
+            return _dealt(a, (tk.fmix(a["t"] + salt * tk.K1) % U(buckets)).astype(np.int64), POSTING.itemsize)
 
         for b in batches:
             for _, _, buf, offs in tk.slices(b.column("text")):
                 vals, cut = sets(buf, offs)
-                cls, key, n = classes(vals, cut), keys(vals, cut, table), np.diff(cut)
-                take = np.where(n > 0, n - -(-3 * n // 4) + 1, 0)
-                for i, c in enumerate(cls.tolist()):
-                    if c in done:
-                        take[i] = 0
-                    done.add(c)
+                cls, key, n = classes(vals, cut), keys(vals, cut, order.value), np.diff(cut)
+                take = np.where(_fresh(cls, n, done), n - -(-3 * n // 4) + 1, 0)
                 m = int(take.sum())
                 a = np.empty(m, POSTING)
                 pos = np.arange(m) - np.repeat(np.cumsum(take) - take, take)
@@ -202,8 +248,8 @@ def _pairs(a: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 FOUND = "kind int, t long, a long, b long, n int, p int"
 
 
-def candidates(posted: DataFrame, mean: float) -> DataFrame:
-    """Rows of kind 0: a candidate pair (a, b) of classes; of kind 1: a posting (t, a, n, p) of a group that is left for the second verification."""
+def candidates(posted: DataFrame) -> DataFrame:
+    """Rows of kind 0: a candidate pair (a, b) of classes; of kind 2: one with a large group's pivot; of kind 1: a posting (t, a, n, p) of such a group."""
 
     def run(table: pa.Table) -> pa.Table:
         a = _unpack(table)
@@ -216,47 +262,85 @@ def candidates(posted: DataFrame, mean: float) -> DataFrame:
             i = at[(k <= ALL_PAIRS) & (at + d < start + k)]
             i = i[may_link(a[i], a[i + d])]
             got.append(_pairs(a, i, i + d))
+        small, got = np.unique(np.concatenate(got)), []
         large = k > ALL_PAIRS
         for pivot in (start, start + k // 2):
             i = at[large & (at != pivot)]
             x, y = np.minimum(i, pivot[i]), np.maximum(i, pivot[i])
             ok = may_link(a[x], a[y], False)
             got.append(_pairs(a, x[ok], y[ok]))
-        pairs = np.unique(np.concatenate(got))
-        left = a[large | (parts_of(a["t"], mean) > 1)]
+        star = np.unique(np.concatenate(got))
+        pairs = np.concatenate([small, star])
+        left = a[large | (parts_of(a["t"]) > 1)]
         m, r = len(pairs), len(left)
         zero = np.zeros(m, np.int32)
         return pa.table({
-            "kind": np.concatenate([zero, np.ones(r, np.int32)]), "t": np.concatenate([np.zeros(m, np.int64), left["t"].view(np.int64) if r else np.zeros(0, np.int64)]), "a": np.concatenate([pairs["a"], left["c"]]),
+            "kind": np.concatenate([zero[: len(small)], zero[len(small) :] + 2, np.ones(r, np.int32)]), "t": np.concatenate([np.zeros(m, np.int64), left["t"].view(np.int64) if r else np.zeros(0, np.int64)]), "a": np.concatenate([pairs["a"], left["c"]]),
             "b": np.concatenate([pairs["b"], np.zeros(r, np.int64)]), "n": np.concatenate([zero, left["n"].astype(np.int32)]), "p": np.concatenate([zero, left["p"].astype(np.int32)]),
         })
 
     return posted.groupBy("bucket").applyInArrow(run, FOUND)
 
 
-def crossing(left: DataFrame, buckets: int) -> DataFrame:
-    """(a, b): all pairs that may link across components, within each key of (t, a, n, p, comp) with more than one component."""
-    many = left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t")
+def crossing(left: DataFrame, buckets: int, few: int | None = None) -> DataFrame:
+    """(a, b): pairs that may link across components, within each key of (t, a, n, p, comp) with more than one component.
+
+    All of them, or for each member outside its key's largest component only ``few``, those nearest in size.
+    """
+    many = stored(left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t"))
     rows = left.join(many, "t").withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(buckets)))
 
     def run(table: pa.Table) -> pa.Table:
         a = np.empty(table.num_rows, np.dtype(POSTING.descr + [("comp", "<i8")]))
-        for name, col in (("t", "t"), ("c", "a"), ("n", "n"), ("p", "p"), ("comp", "comp")):
-            a[name] = table.column(col).to_numpy().astype(a.dtype[name]) if name != "t" else table.column(col).to_numpy().view(U)
+        a["t"] = table.column("t").to_numpy().view(U)
+        for name, col in (("c", "a"), ("n", "n"), ("p", "p"), ("comp", "comp")):
+            a[name] = table.column(col).to_numpy().astype(a.dtype[name])
         a = a[np.lexsort((a["c"], a["n"], a["t"]))]
-        last = np.searchsorted(a["t"], a["t"], "right")
-        out = set()
-        for i in range(len(a)):
-            j = np.arange(i + 1, np.searchsorted(a["n"][i + 1 : last[i]], a["n"][i] * 4 // 3, "right") + i + 1)
-            j = j[a["comp"][j] != a["comp"][i]]
-            if len(j):
-                j = j[may_link(np.repeat(a[i : i + 1], len(j)), a[j])]
-                out.update(map(tuple, _pairs(a, np.full(len(j), i), j).tolist()))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+        head = np.flatnonzero(np.concatenate([[True], a["t"][1:] != a["t"][:-1]])) if len(a) else []
+        out, parts, size = np.zeros(0, [("a", "<i8"), ("b", "<i8")]), [], 0
+        for lo, hi in zip(head, [*head[1:], len(a)]):
+            for p in _near(a[lo:hi], few) if few else _across(a[lo:hi]):
+                parts.append(p)
+                size += len(p)
+                if size > 500_000:
+                    out, parts, size = np.unique(np.concatenate([out, *parts])), [], 0
+        out = np.unique(np.concatenate([out, *parts]))
+        return pa.table({"a": np.ascontiguousarray(out["a"]), "b": np.ascontiguousarray(out["b"])})
 
     return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
+def _near(g: np.ndarray, few: int, reach: int = 32):
+    """For each member outside the largest component, up to ``few`` partners of other components within ``reach`` places by size."""
+    ids, which, count = np.unique(g["comp"], return_inverse=True, return_counts=True)
+    main, at, got = int(count.argmax()), np.arange(len(g)), []
+    for d in range(1, min(reach, len(g) - 1) + 1):
+        i = at[:-d]
+        i = i[which[i] != which[i + d]]
+        i = i[may_link(g[i], g[i + d])]
+        got += [np.stack([i, i + d, np.full(len(i), d)]), np.stack([i + d, i, np.full(len(i), d)])]
+    me, you, far = np.concatenate(got, 1) if got else np.zeros((3, 0), int)
+    ok = which[me] != main
+    me, you, far = me[ok], you[ok], far[ok]
+    order = np.lexsort((far, me))
+    me, you = me[order], you[order]
+    rank = np.arange(len(me)) - np.searchsorted(me, me)
+    yield _pairs(g, me[rank < few], you[rank < few])
+
+
+def _across(g: np.ndarray, cells: int = 1 << 20):
+    """All pairs of different components that may link, a block of rows at a time; inside the largest component there are none to look at."""
+    ids, which, count = np.unique(g["comp"], return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(which != count.argmax())
+    step = max(1, cells // len(g))
+    for lo in range(0, len(outside), step):
+        i = np.repeat(outside[lo : lo + step], len(g))
+        j = np.tile(np.arange(len(g)), len(i) // len(g))
+        ok = (which[i] != which[j]) & ((which[j] == count.argmax()) | (j > i))
+        i, j = i[ok], j[ok]
+        yield _pairs(g, i, j)[may_link(g[np.minimum(i, j)], g[np.maximum(i, j)])]
+
+
 def links_of(A: np.ndarray, Bs: list[np.ndarray], step: int = 256) -> list[int]:
     """Positions of the sets that link with A. ``Bs`` is in lexicographic order: a depth-first walk of their prefix tree.
 
@@ -285,41 +369,46 @@ def links_of(A: np.ndarray, Bs: list[np.ndarray], step: int = 256) -> list[int]:
     return out
 
 
-def ordered_sets(docs: DataFrame, reps: DataFrame, band) -> DataFrame:
-    """(cls, keys): the ordered set, as big-endian bytes, of each class in ``reps`` (doc_id, cls)."""
-    few = reps.count() <= BROADCAST_IDS
-    rows = docs.select("doc_id", "text").join(F.broadcast(reps) if few else reps, "doc_id").select("cls", "text")
+def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order) -> DataFrame:
+    """(u, v) of the pairs (a, b) that link. ``reps``: (cls, doc_id) of each class.
 
-    def run(batches):
-        for b in batches:
-            for lo, hi, buf, offs in tk.slices(b.column("text")):
+    A pivot a's partners are dealt to groups of about ``GROUP``, each with the pivot's set. The
+    texts in question are read again and their ordered sets sent straight to their groups.
+    """
+    per = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
+    partner = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b", F.col("b").alias("cls"))
+    pivot = per.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("b"), F.col("a").alias("cls"))
+    to = stored(partner.unionByName(pivot).join(reps, "cls"))
+    few = to.count() <= BROADCAST_ROWS
+    rows = docs.select("doc_id", "text").join(F.broadcast(to) if few else to, "doc_id").select("a", "g", "b", "cls", "text")
+
+    def ordered(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in tk.slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
                 vals, cut = sets(buf, offs)
-                key = keys(vals, cut, band.value).byteswap()
+                key = keys(vals, cut, order.value).byteswap().view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
                 # A repeated doc_id has other texts, too: the class tells.
-                ok = classes(vals, cut) == b.column("cls").slice(lo, hi - lo).to_numpy()
-                ids = b.column("cls").slice(lo, hi - lo).filter(pa.array(ok))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([key[x:y].tobytes() for x, y, o in zip(cut[:-1], cut[1:], ok) if o], pa.binary())], ["cls", "keys"])
-
-    return rows.mapInArrow(run, "cls long, keys binary").dropDuplicates(["cls"])
-
-
-def verify(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """(u, v) of the pairs (a, b) that link. A pivot's partners are dealt to groups of about 500, each with the pivot's set."""
-    per = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("groups")))
-    partner = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b")
-    partner = partner.join(known.withColumnRenamed("cls", "b"), "b").select("a", "g", "b", "keys")
-    pivot = per.join(known.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("b"), "keys")
+                ok = pa.array(classes(vals, cut) == part.column("cls").to_numpy())
+                blobs = pa.array([key[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(ok) for c in ("a", "g", "b")), blobs.filter(ok)], ["a", "g", "b", "keys"])
 
     def run(table: pa.Table) -> pa.Table:
-        b, keys_ = table.column("b").to_pylist(), table.column("keys").to_pylist()
-        own = b.index(None)
-        rest = sorted((k, x) for k, x in zip(keys_, b) if x is not None)
-        read = lambda k: np.frombuffer(k, ">u8").astype(U)
-        linked = links_of(read(keys_[own]), [read(k) for k, _ in rest])
+        b, blobs = table.column("b").to_pylist(), table.column("keys").to_pylist()
+        rest = sorted((k, x) for k, x in zip(blobs, b) if x is not None)
+        linked = links_of(_read(blobs[b.index(None)]), [_read(k) for k, _ in rest])
         v = [rest[i][1] for i in linked]
         return pa.table({"u": pa.array([table.column("a")[0].as_py()] * len(v), pa.int64()), "v": pa.array(v, pa.int64())})
 
-    return partner.unionByName(pivot).groupBy("a", "g").applyInArrow(run, "u long, v long")
+    sent = rows.mapInArrow(ordered, "a long, g int, b long, keys binary")
+    return stored(sent.groupBy("a", "g").applyInArrow(run, "u long, v long"))
+
+
+def _read(blob: bytes) -> np.ndarray:
+    """Keys from their leading bytes; they keep the order."""
+    wide = np.zeros((len(blob) // KEY_BYTES, 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(blob, np.uint8).reshape(-1, KEY_BYTES)
+    return wide.view(">u8").ravel().astype(U)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -331,24 +420,31 @@ def join(docs: DataFrame) -> DataFrame:
     Empty table: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    sk = stored(sketch(docs))
-    rows = sk.where("kind = 0").select(F.col("id").alias("doc_id"), "cls", "n")
-    table, mean = bands(sk.where("kind = 1"))
-    band = spark.sparkContext.broadcast(table)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stored(sketch(docs))
     total = rows.agg(F.sum("n")).head()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 4 // BUCKET_ROWS), 1)
-    found = stored(candidates(postings(docs, band, mean, buckets), mean))
+    buckets = max(parts, -(-total // 4 // BUCKET_ROWS), 1)
+    order = spark.sparkContext.broadcast(Order(stored(frequent(docs, max(parts, -(-total // (4 * BUCKET_ROWS)), 1)))))
+    found = stored(candidates(postings(docs, order, buckets)))
     reps = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
-    pairs = stored(found.where("kind = 0").select("a", "b").distinct())
-    link = lambda p: stored(verify(p, stored(ordered_sets(docs, ids_of(p, reps), band))))
-    links = link(pairs)
+    pairs = stored(found.where("kind <> 1").groupBy("a", "b").agg(F.max("kind").alias("kind")))
+    # First a partner for each class and all pivots; then what is not yet in one component; then the large groups.
+    first = pairs.where("kind = 0").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.where("kind = 2").select("a", "b"))
+    done = stored(first.distinct())
+    links = verify(docs, done, reps, order)
     comps = stored(components(links))
-    left = found.where("kind = 1").select("t", "a", "n", "p")
-    left = stored(left.join(comps, F.col("a") == F.col("node"), "left").select("t", "a", "n", "p", F.coalesce("component", "a").alias("comp")))
-    more = stored(crossing(left, buckets).distinct().join(pairs, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.unionByName(link(more))
-        comps = stored(components(links))
+    hot = stored(found.where("kind = 1").select("t", "a", "n", "p"))
+    for step in ("small", "few", "all"):
+        if step == "small":
+            more = pairs.select("a", "b")
+        else:
+            left = hot.join(comps, F.col("a") == F.col("node"), "left").select("t", "a", "n", "p", F.coalesce("component", "a").alias("comp"))
+            more = crossing(stored(left), buckets, FEW if step == "few" else None).distinct()
+        more = stored(_apart(more.join(done, ["a", "b"], "left_anti"), comps))
+        if more.limit(1).count():
+            links = links.unionByName(verify(docs, more, reps, order))
+            comps = stored(components(links))
+            done = done.unionByName(more)
     part = stored(reps.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")))
     least = stored(part.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     named = stored(part.join(least, "comp").select("cls", "component_id"))
@@ -356,10 +452,11 @@ def join(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def ids_of(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(doc_id, cls) of the classes in some pair."""
-    ids = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    return stored(reps.join(ids, "cls").select("doc_id", "cls"))
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes are not in one component."""
+    c = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp"))
+    both = pairs.join(c("a"), "a", "left").join(c("b"), "b", "left")
+    return both.where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -371,7 +468,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = stored(join(docs))
     kept = found.where("doc_id = component_id").select("doc_id")
     gone = stored(found.where("doc_id IS NOT NULL").select("doc_id").distinct().join(kept.distinct(), "doc_id", "left_anti"))
-    few = gone.count() <= BROADCAST_IDS
+    few = gone.count() <= BROADCAST_ROWS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     again = stored(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if not again.limit(1).count():
