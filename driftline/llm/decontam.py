@@ -6,7 +6,10 @@ within a sentence) give way to typed placeholders; other words stand in lower ca
 and an item, each original value of a slot must map to one value in the document: windows that
 disagree with the most frequent mapping don't count. A document is contaminated by an item if
 consistent windows cover at least ``COVERAGE`` of the item's, so a re-parameterised question is
-caught as well as a copy.
+caught as well as a copy. Items with fewer than ``FEW`` windows that count are also matched whole:
+by the values of all their tokens, and by their whole template with one value for each original
+value, if it has ``LITERALS`` literal words, or ``WINDOW`` tokens and one literal word (a lesser
+template fits too much; its item is found by its values).
 
 The build side of the hash join is a block of benchmark items of bounded size, sent to every task;
 a larger benchmark takes more blocks, one scan each. A document meets a whole item in one task, so
@@ -26,9 +29,12 @@ from . import textkit as tk
 WINDOW, COVERAGE = 5, 0.5
 # Literal words that a window needs to count.
 LITERALS = 3
+# Items with fewer windows that count are matched whole, too.
+FEW = 3
 # Windows of a block at most (an item with more is a block of its own).
 BLOCK_WINDOWS = 1_000_000
 U = np.uint64
+INVERSE = U(pow(int(tk.K1), -1, 1 << 64))
 
 # Units of measure.
 UNITS = (
@@ -86,6 +92,63 @@ def windows(h: np.ndarray, kind: np.ndarray, doc: np.ndarray, k: int = WINDOW) -
     return w[at], at
 
 
+def powers(x: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n + 1, x, U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of token hashes: weighted sums up to each, and what brings a run's sum to weights that begin with 1."""
+    return np.concatenate([np.zeros(1, U), np.add.accumulate(x * powers(tk.K1, len(x))[:-1])]), powers(INVERSE, len(x))
+
+
+def spans(p: tuple[np.ndarray, np.ndarray], at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each run of n tokens from ``at`` on; its cost does not grow with n."""
+    return tk.fmix((p[0][at + n] - p[0][at]) * p[1][at] + n.astype(U) * tk.K2)
+
+
+class Whole:
+    """Items as whole token sequences, by values or by templates: the hash of their first tokens leads to lengths, that of all tokens to items.
+
+    Whether a template's first token is a name or a unit depends on what stands before it, so templates are told from the second token on.
+    """
+
+    def __init__(self, x: np.ndarray, begin: np.ndarray, length: np.ndarray, item: np.ndarray, skip: int):
+        self.skip, n, p = skip, length - skip, sums(x)
+        head = np.minimum(n, WINDOW)
+        self.heads = np.unique(head)
+        first = np.unique(np.stack([spans(p, begin + skip, head), n.astype(U)]), axis=1)
+        self.first, self.n = first[0], first[1].astype(np.int64)
+        full = spans(p, begin + skip, n)
+        order = np.argsort(full, kind="stable")
+        self.full, self.begin, self.item = full[order], begin[order], item[order]
+
+    def hits(self, x: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens at which an item's sequence begins, and the item's place in ``begin`` and ``item``."""
+        p, where, which = sums(x), [], []
+        for h in self.heads.tolist():
+            at = np.arange(self.skip, len(x) - h + 1)
+            key = spans(p, at, np.full(len(at), h))
+            lo, hi = np.searchsorted(self.first, key, "left"), np.searchsorted(self.first, key, "right")
+            at, n = np.repeat(at, hi - lo), self.n[_ranges(lo, hi)]
+            ok = at + n <= len(x)
+            at, n = at[ok], n[ok]
+            ok = doc[at - self.skip] == doc[at + n - 1]
+            at, n = at[ok], n[ok]
+            key = spans(p, at, n)
+            lo, hi = np.searchsorted(self.full, key, "left"), np.searchsorted(self.full, key, "right")
+            where.append(np.repeat(at, hi - lo) - self.skip)
+            which.append(_ranges(lo, hi))
+        return np.concatenate(where), np.concatenate(which)
+
+
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """lo to hi - 1 of each pair, one after another."""
+    n = hi - lo
+    return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 class Block:
     """Some benchmark items as the build side: window hashes in order, with their item and place."""
 
@@ -93,25 +156,50 @@ class Block:
         raw = [(t or "").encode() for _, t in items]
         buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]).astype(np.int64)
         h, self.kind, self.value, doc = templates(buf, offs, units)
-        self.ids = [i for i, _ in items]
+        self.ids, self.h = [i for i, _ in items], h
         w, at = windows(h, self.kind, doc)
         order = np.argsort(w, kind="stable")
         self.hash, self.at, self.item = w[order], at[order], doc[at][order]
         self.total = np.bincount(self.item, minlength=len(items)) if len(w) else np.zeros(len(items), np.int64)
+        self.length = np.bincount(doc, minlength=len(items))
+        begin, literal = np.cumsum(self.length) - self.length, np.bincount(doc[self.kind == LITERAL], minlength=len(items))
+        few = (self.total < FEW) & (self.length > 0)
+        fit = few & ((literal >= LITERALS) | ((literal > 0) & (self.length >= WINDOW)))
+        self.exact, self.alike = (Whole(x, begin[i], self.length[i], i, skip) if len(i) else None for x, i, skip in ((self.value, np.flatnonzero(few), 0), (h, np.flatnonzero(fit), 1)))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hash >> U(44)).astype(np.int64)] = True
 
+    def whole(self, h: np.ndarray, kind: np.ndarray, value: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], bool]:
+        """Whether any slot has another value, of each text and item that it holds whole."""
+        out = {}
+        if self.exact is not None:
+            at, which = self.exact.hits(value, doc)
+            out = dict.fromkeys(zip(doc[at].tolist(), self.exact.item[which].tolist()), False)
+        if self.alike is not None:
+            for m, k in zip(*(x.tolist() for x in self.alike.hits(h, doc))):
+                item, q = int(self.alike.item[k]), int(self.alike.begin[k])
+                pair = (int(doc[m]), item)
+                if pair in out or (h[m] != self.h[q] and value[m] != self.value[q]):
+                    continue
+                slot = np.flatnonzero(self.kind[q : q + self.length[item]] != LITERAL)
+                xy = set(zip(self.value[q + slot].tolist(), value[m + slot].tolist()))
+                if len({x for x, _ in xy}) == len(xy):
+                    out[pair] = any(x != y for x, y in xy)
+        return out
+
     def leaks(self, buf: np.ndarray, offs: np.ndarray, units: np.ndarray) -> list[tuple[int, int, int, bool]]:
-        """(text number, item number, consistent windows, whether any slot has another value) of each contaminated text and item."""
+        """(text number, item number, consistent windows, whether any slot has another value) of each contaminated text and item.
+
+        Items held whole have all their windows, and one at least.
+        """
         h, kind, value, doc = templates(buf, offs, units)
         w, at = windows(h, kind, doc)
         hit = np.flatnonzero(self.maybe[(w >> U(44)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hash, w[hit], "left"), np.searchsorted(self.hash, w[hit], "right")
-        n = hi - lo
-        mine = np.repeat(at[hit], n)
-        theirs = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        mine, theirs = np.repeat(at[hit], hi - lo), _ranges(lo, hi)
         pair = doc[mine] * len(self.ids) + self.item[theirs]
-        out = []
+        whole = self.whole(h, kind, value, doc)
+        out = [(d, item, max(int(self.total[item]), 1), other) for (d, item), other in whole.items()]
         order = np.lexsort((self.at[theirs], pair))
         pair, mine, theirs = pair[order], mine[order], theirs[order]
         cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else []
@@ -119,6 +207,8 @@ class Block:
             item = int(self.item[theirs[a]])
             if len(np.unique(self.at[theirs[a:b]])) < COVERAGE * self.total[item]:
                 continue  # whatever the slots
+            if (int(doc[mine[a]]), item) in whole:
+                continue
             slots = []  # of each window: (original value, value here)
             for m, q in zip(mine[a:b].tolist(), self.at[theirs[a:b]].tolist()):
                 slots.append([(int(self.value[q + k]), int(value[m + k])) for k in range(WINDOW) if kind[m + k] != LITERAL])
@@ -148,8 +238,8 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WINDOWS):
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, reparameterised) of each contaminated document and item.
 
-    Null or empty texts on either side match nothing, nor do items of fewer than five template
-    tokens. Repeated rows on either side: a row each. Other columns are ignored. No match, or an empty table: no rows.
+    Null or empty texts on either side match nothing, nor do items without a token. An item without
+    a window that counts has one in ``item_windows``, the whole of it. Repeated rows on either side: a row each. Other columns are ignored. No match, or an empty table: no rows.
     """
     spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long, coverage double, reparameterised boolean"
@@ -170,7 +260,7 @@ def _finder(build, schema: str):
             for lo, _, buf, offs in tk.slices(b.column("text")):
                 rows = k.leaks(buf, offs, units)
                 if rows:
-                    total = [int(k.total[i]) for _, i, _, _ in rows]
+                    total = [max(int(k.total[i]), 1) for _, i, _, _ in rows]
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + d for d, *_ in rows])), pa.array([k.ids[i] for _, i, _, _ in rows], pa.int64()), pa.array([n for _, _, n, _ in rows], pa.int64()), pa.array(total, pa.int64()), pa.array([n / t for (_, _, n, _), t in zip(rows, total)]), pa.array([r for *_, r in rows])], names)
 
     return run

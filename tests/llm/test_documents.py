@@ -341,6 +341,21 @@ def test_decontamination_against_windows(spark, docs, rows, empty):
     assert decontam.find(empty, b).count() == 0 and decontam.find(d, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_of_items_without_windows(spark):
+    """Items with no or few windows that count are found whole: by value, and as templates with consistent slots."""
+    bench = [(1, "What is 12 + 45 * 3 - 7 / 2 + 19?"), (2, "Solve 3x + 4y = 12 and 5x - 2y = 7."), (3, "Capital of France?"), (4, "12 13 12"), (5, "Yes"), (6, "?!"), (7, None), (8, "Add 5 and 5 to 6")]
+    rows = [(k, f"Some words before. {t} Some words after.") for k, t in bench if t]
+    rows += [
+        (11, "well, What is 13 + 45 * 3 - 7 / 2 + 19"), (12, "solve 9x + 8y = 1 and 7x - 6y = 5"), (13, "the capital of Spain"), (14, "12 13 14"), (15, "what is 12 + 45 * 3 - 7"), (16, "now Add 7 and 7 to 9"), (17, "add 7 and 8 to 9"),
+        (18, "what is 12 + 45 * 3 - 7 / 2"), (19, "19"), (20, "the capital of France"), (21, None), (22, ""),
+    ]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = decontam.find(d, b).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["reparameterised"]) for r in got) == [(1, 1, False), (2, 2, False), (3, 3, False), (4, 4, False), (5, 5, False), (8, 8, False), (11, 1, True), (12, 2, True), (16, 8, True), (20, 3, False)]
+    assert {(r["n_windows"], r["item_windows"], r["coverage"]) for r in got} == {(1, 1, 1.0)}
+    assert sorted(r["doc_id"] for r in decontam.clean(d, b).collect()) == [6, 13, 14, 15, 17, 18, 19, 21, 22]
+
+
 def test_pipeline_on_a_small_table(spark, rows, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(5, rows[3][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
