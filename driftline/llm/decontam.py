@@ -2,11 +2,12 @@
 
 Texts become templates: numbers, quantities, units after numbers, and names (capitalised words
 within a sentence) give way to typed placeholders; other words stand in lower case. Windows of
-``WINDOW`` template tokens of the corpus are hash-joined with those of the benchmark. For a document
-and an item, each original value of a slot must map to one value in the document: windows that
-disagree with the most frequent mapping don't count. A document is contaminated by an item if
-consistent windows cover at least ``COVERAGE`` of the item's, so a re-parameterised question is
-caught as well as a copy. Items with fewer than ``FEW`` windows that count are also matched whole:
+``WINDOW`` template tokens of the corpus are hash-joined with those of the benchmark. Within an
+occurrence of an item, each original value of a slot must map to one value: windows that disagree
+with the mapping don't count. A document is contaminated by an item if under one mapping, that of
+any occurrence or the most frequent one of the document, consistent windows cover at least
+``COVERAGE`` of the item's, so a re-parameterised question is caught as well as a copy, also where
+a document asks it several times. Items with fewer than ``FEW`` windows that count are also matched whole:
 by the values of all their tokens, and by their whole template with one value for each original
 value, if it has ``LITERALS`` literal words, or ``WINDOW`` tokens and one literal word (a lesser
 template fits too much; its item is found by its values).
@@ -18,6 +19,7 @@ nothing is shuffled, and hot windows or documents meet nobody else.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -149,6 +151,17 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def _votes(slots) -> dict[int, Counter]:
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for x, y in (xy for s in slots for xy in s):
+        votes[x][y] += 1
+    return votes
+
+
+def _best(votes: dict[int, Counter]) -> dict[int, int]:
+    return {x: min(c, key=lambda y: (-c[y], y != x, y)) for x, c in votes.items()}  # noqa: B023
+
+
 class Block:
     """Some benchmark items as the build side: window hashes in order, with their item and place."""
 
@@ -187,6 +200,45 @@ class Block:
                     out[pair] = any(x != y for x, y in xy)
         return out
 
+    def consistent(self, mine: np.ndarray, theirs: np.ndarray, item: int, kind: np.ndarray, value: np.ndarray) -> tuple[int, bool] | None:
+        """(consistent windows, whether any slot has another value) under the first mapping of slots that reaches the coverage.
+
+        Tried are the most frequent values in the text, and then those of each occurrence: the windows
+        at one distance of text and item, longest first. What an occurrence leaves out has the values of
+        the nearest distance that has it (the text has more or fewer words there). Windows up to an
+        item's length away count with it, those without slots wherever they are.
+        """
+        need = COVERAGE * self.total[item]
+        at, far, slots = theirs.tolist(), (mine - theirs).tolist(), []  # of each window: (original value, value here)
+        for m, q in zip(mine.tolist(), at):
+            slots.append([(int(self.value[q + k]), int(value[m + k])) for k in range(WINDOW) if kind[m + k] != LITERAL])
+        votes = _votes(slots)
+        best = _best(votes)
+        good = {q for q, s in zip(at, slots) if all(best[x] == y for x, y in s)}
+        if len(good) >= need:
+            return len(good), any(x != y for x, y in best.items())
+        if all(len(c) == 1 for c in votes.values()):
+            return None
+        fixed = {q for q, s in zip(at, slots) if not s}
+        lines = defaultdict(list)
+        for q, d, s in zip(at, far, slots):
+            if s:
+                lines[d].append((q, s))
+        order = sorted(lines)
+        own = {d: _best(_votes(s for _, s in lines[d])) for d in order}
+        for d in sorted(order, key=lambda d: (-len(lines[d]), d)):
+            lo, hi = bisect_left(order, d - int(self.length[item])), bisect_right(order, d + int(self.length[item]))
+            near = sorted(order[lo:hi], key=lambda x: (abs(x - d), x))
+            if len(fixed | {q for x in near for q, _ in lines[x]}) < need:
+                continue
+            best = {}
+            for x in near:
+                best = own[x] | best
+            good = fixed | {q for x in near for q, s in lines[x] if all(best[a] == b for a, b in s)}
+            if len(good) >= need:
+                return len(good), any(x != y for x, y in best.items())
+        return None
+
     def leaks(self, buf: np.ndarray, offs: np.ndarray, units: np.ndarray) -> list[tuple[int, int, int, bool]]:
         """(text number, item number, consistent windows, whether any slot has another value) of each contaminated text and item.
 
@@ -209,16 +261,9 @@ class Block:
                 continue  # whatever the slots
             if (int(doc[mine[a]]), item) in whole:
                 continue
-            slots = []  # of each window: (original value, value here)
-            for m, q in zip(mine[a:b].tolist(), self.at[theirs[a:b]].tolist()):
-                slots.append([(int(self.value[q + k]), int(value[m + k])) for k in range(WINDOW) if kind[m + k] != LITERAL])
-            votes: dict[int, Counter] = defaultdict(Counter)
-            for x, y in (xy for s in slots for xy in s):
-                votes[x][y] += 1
-            best = {x: min(c, key=lambda y: (-c[y], y != x, y)) for x, c in votes.items()}  # noqa: B023
-            good = {q for q, s in zip(self.at[theirs[a:b]].tolist(), slots) if all(best[x] == y for x, y in s)}
-            if len(good) >= COVERAGE * self.total[item]:
-                out.append((int(doc[mine[a]]), item, len(good), any(x != y for x, y in best.items())))
+            found = self.consistent(mine[a:b], self.at[theirs[a:b]], item, kind, value)
+            if found:
+                out.append((int(doc[mine[a]]), item, *found))
         return out
 
 

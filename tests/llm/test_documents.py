@@ -356,6 +356,27 @@ def test_decontamination_of_items_without_windows(spark):
     assert sorted(r["doc_id"] for r in decontam.clean(d, b).collect()) == [6, 13, 14, 15, 17, 18, 19, 21, 22]
 
 
+def test_decontamination_of_repeated_occurrences(spark):
+    """A document that asks one item many times, each time with other values, holds it; windows that disagree within each occurrence don't count."""
+    item = "pay 12 coins 35 red ropes 77 knots 19 old nails 54 hooks 23 new poles 31 rings 46 big chains 88 pegs 62 tall posts"
+    rng = random.Random(11)
+
+    def again(extra=""):
+        words = [str(rng.randrange(100, 10**6)) if w.isdigit() else w for w in item.split()]
+        return " ".join(words[:12] + extra.split() + words[12:])
+
+    twice = re.sub("[0-9]+", "12", item)
+    rows = [(k, " . ".join(again() for _ in range(k))) for k in range(1, 41)]
+    rows += [(50, " and so on ".join([again(), item, again()])), (51, " . ".join(again(extra="well well well") for _ in range(6)))]
+    alike = [(60 + k, " . ".join(" ".join(str(rng.randrange(100, 10**6)) if w == "12" else w for w in twice.split()) for _ in range(k))) for k in range(1, 5)]
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.find(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in rows] and {r["reparameterised"] for r in got if r["doc_id"] != 50} == {True}
+    # Each value stands for one and the same original value, but differs from place to place.
+    b = spark.createDataFrame([(2, twice)], "item_id long, text string")
+    assert decontam.find(spark.createDataFrame(alike, "doc_id long, text string"), b).count() == 0
+
+
 def test_pipeline_on_a_small_table(spark, rows, tmp_path):
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(5, rows[3][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
