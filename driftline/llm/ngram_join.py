@@ -369,8 +369,23 @@ def links_of(A: np.ndarray, Bs: list[np.ndarray], step: int = 256) -> list[int]:
     return out
 
 
-def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order) -> DataFrame:
-    """(u, v) of the pairs (a, b) that link. ``reps``: (cls, doc_id) of each class.
+def nameless(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
+    """(cls, text): a text of each class all of whose rows have a null doc_id; None if there is no such class."""
+    alone = reps.where("doc_id IS NULL").select("cls")
+    if not alone.limit(1).count():
+        return None
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, buf, offs in tk.slices(b.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(classes(*sets(buf, offs))), b.column("text").slice(lo, hi - lo)], ["cls", "text"])
+
+    found = docs.where("doc_id IS NULL").select("text").mapInArrow(run, "cls long, text string")
+    return stored(found.join(alone, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")))
+
+
+def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
+    """(u, v) of the pairs (a, b) that link. ``reps``: (cls, doc_id) of each class; ``unnamed``: what ``nameless`` finds.
 
     A pivot a's partners are dealt to groups of about ``GROUP``, each with the pivot's set. The
     texts in question are read again and their ordered sets sent straight to their groups.
@@ -381,6 +396,8 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order) -> DataFra
     to = stored(partner.unionByName(pivot).join(reps, "cls"))
     few = to.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", "text").join(F.broadcast(to) if few else to, "doc_id").select("a", "g", "b", "cls", "text")
+    if unnamed is not None:  # no doc_id leads to these
+        rows = rows.unionByName(to.where("doc_id IS NULL").join(unnamed, "cls").select("a", "g", "b", "cls", "text"))
 
     def ordered(batches):
         for batch in batches:
@@ -427,11 +444,12 @@ def join(docs: DataFrame) -> DataFrame:
     order = spark.sparkContext.broadcast(Order(stored(frequent(docs, max(parts, -(-total // (4 * BUCKET_ROWS)), 1)))))
     found = stored(candidates(postings(docs, order, buckets)))
     reps = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    unnamed = nameless(docs, reps)
     pairs = stored(found.where("kind <> 1").groupBy("a", "b").agg(F.max("kind").alias("kind")))
     # First a partner for each class and all pivots; then what is not yet in one component; then the large groups.
     first = pairs.where("kind = 0").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.where("kind = 2").select("a", "b"))
     done = stored(first.distinct())
-    links = verify(docs, done, reps, order)
+    links = verify(docs, done, reps, order, unnamed)
     comps = stored(components(links))
     hot = stored(found.where("kind = 1").select("t", "a", "n", "p"))
     for step in ("small", "few", "all"):
@@ -442,7 +460,7 @@ def join(docs: DataFrame) -> DataFrame:
             more = crossing(stored(left), buckets, FEW if step == "few" else None).distinct()
         more = stored(_apart(more.join(done, ["a", "b"], "left_anti"), comps))
         if more.limit(1).count():
-            links = links.unionByName(verify(docs, more, reps, order))
+            links = links.unionByName(verify(docs, more, reps, order, unnamed))
             comps = stored(components(links))
             done = done.unionByName(more)
     part = stored(reps.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")))

@@ -109,6 +109,38 @@ def test_join_of_a_large_group(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(x, root(x)) for x in range(80)]
 
 
+def test_join_of_near_copies_without_id(spark):
+    """Near copies with a null doc_id, as pivots, as partners and among themselves: each row by its text's component."""
+    rng, rows = random.Random(9), []
+    for group, ids in enumerate([[None, None], [None, 10], [20, None], [None, None, 30], [None] * 40, [*range(40, 60), *[None] * 20], [None, 70, None, 71]]):
+        base = prose(rng, 60).split(" ")
+        for i in ids:
+            w = list(base)
+            w[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+            rows.append((i, " ".join([f"group{group}", *w])))
+        rows.append((ids[0], rows[-len(ids)][1]))  # an exact copy
+    rows.append((None, prose(rng, 40)))
+    S, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in range(len(S)):
+        for y in range(x):
+            if 100 * len(S[x] & S[y]) >= 75 * len(S[x] | S[y]):
+                parent[root(x)] = root(y)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        least[root(x)] = min((k for k in (i, least.get(root(x))) if k is not None), default=None)
+    want = Counter((i, len(S[x]), least[root(x)]) for x, (i, _) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, ngram_join.join(docs).collect())) == want
+    kept = Counter(r["doc_id"] for r in ngram_join.one_of_each(docs).collect())
+    assert kept[None] == sum(i is None for i, _ in rows) and {i for i in kept if i is not None} == {c for c in least.values() if c is not None}
+
+
 def test_prefix_tree_walk():
     rng = np.random.default_rng(1)
     A = np.unique(rng.integers(0, 400, 100)).astype(np.uint64)
