@@ -262,3 +262,26 @@ def test_streams(spark, tmp_path):
     assert len(live_rows) == 8
     out = live.run_once(live.exponential(live.read_events(spark, path), 0.5), "means_now", str(tmp_path / "c2")).collect()
     assert len(out) == 16
+
+
+def test_sign_test_takes_all_differences(spark):
+    """The registered query against brute force over every loss difference, and p against exact fractions."""
+    from fractions import Fraction
+    from math import comb
+    from pathlib import Path
+
+    from driftline.plans import study
+
+    sf = "/root/testdata/sf0.001"
+    if not Path(sf).exists():
+        pytest.skip("the driver's tables are not here")
+    want = {}
+    for r in study.loss_differences(spark, sf).collect():
+        if r["d"]:
+            n, plus = want.get((r["target"], r["delta"]), (0, 0))
+            want[r["target"], r["delta"]] = (n + 1, plus + (r["d"] > 0))
+    got = study.sign_test(spark, sf).collect()
+    assert {(r["target"], r["delta"]): (r["n"], r["plus"]) for r in got} == want and max(n for n, _ in want.values()) > 100
+    for r in got:
+        tail = sum(comb(r["n"], i) for i in range(min(r["plus"], r["n"] - r["plus"]) + 1))
+        assert abs(r["p"] - min(1.0, float(Fraction(2 * tail, 2 ** r["n"])))) < 2e-6
