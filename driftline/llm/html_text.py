@@ -3,7 +3,9 @@
 The builder keeps the stack of open elements. It supplies end tags that HTML lets authors omit
 (p, li, dt, dd, option, tr, td, th, table sections), closes what a misplaced end tag leaves open,
 and treats script and style as raw text. Elements that are never displayed, or are hidden by
-attribute or inline style, give no text. The renderer keeps block spacing, line breaks, preformatted
+attribute or inline style, give no text. In svg only text and foreignObject are displayed, each text
+on a line; tokens of a formula stand a space apart; a select has its options, a line each. In svg and
+math '/>' closes an element, and HTML's own elements end them. The renderer keeps block spacing, line breaks, preformatted
 text, nested list marks and numbers, and sets table cells in aligned columns. Neither recurses, so
 depth is no limit.
 """
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())
 RCDATA = frozenset("title textarea".split())
-NEVER = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas svg math select option optgroup textarea".split())
+NEVER = frozenset("head script style template noscript title meta link base datalist iframe noembed noframes object audio video canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd xmp".split())
-BLOCK = CLOSES_P | frozenset("html body legend optgroup".split()) - {"hr"}
+BLOCK = CLOSES_P | frozenset("html body legend option optgroup textarea".split()) - {"hr"}
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure menu dir".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
@@ -36,11 +38,21 @@ IMPLIED_END = {
     "thead": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+FOREIGN = frozenset("svg math".split())
+# What is HTML again within them.
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SVG_TEXT = frozenset("text foreignobject".split())
+SVG_NEVER = frozenset("defs symbol clippath mask pattern marker metadata desc lineargradient radialgradient".split())
+MATH_NEVER = frozenset("annotation annotation-xml mphantom".split())
+MATH_TOKENS = frozenset("mi mo mn ms mtext".split())
 SCOPE = frozenset("table td th caption button object template".split())
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+UNQUOTED_END = re.compile(r"=\s*[^\s\"']\S*\Z")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
 INDENT = "  "
@@ -57,6 +69,11 @@ def hidden(tag: str, at: dict[str, str]) -> bool:
     return tag in NEVER or "hidden" in at or bool(HIDING.search(at.get("style", ""))) or (tag == "dialog" and "open" not in at)
 
 
+def self_closing(text: str) -> bool:
+    """Whether a tag's attributes end with '/' that belongs to no unquoted value."""
+    return text.endswith("/") and not UNQUOTED_END.search(QUOTED.sub('""', text))
+
+
 def width(line: str) -> int:
     """Columns of a line: wide characters take two, combining marks none."""
     if line.isascii():
@@ -156,29 +173,60 @@ class Table:
 
 class Page:
     def __init__(self):
-        self.stack: list[tuple[str, bool, bool]] = []  # tag, hidden, pre
+        self.stack: list[tuple[str, int, bool]] = []  # tag, hidden (2: in svg, outside its texts), pre
+        self.within: list[str | None] = []  # of each open element: svg or math, if its children belong to it
         self.flow = Flow()
         self.lists: list[list] = []  # of each open list: its flow, and the next number or None
         self.tables: list[Table] = []
 
-    def open(self, tag: str, at: dict[str, str]) -> None:
+    def foreign(self) -> str | None:
+        """svg or math, if a child of the open element belongs to it."""
+        return self.within[-1] if self.within else None
+
+    def push(self, tag: str, hide: int, pre: bool) -> None:
+        self.within.append(tag if tag in FOREIGN else None if tag in INTEGRATION else self.foreign())
+        self.stack.append((tag, hide, pre))
+
+    def open(self, tag: str, at: dict[str, str], closed: bool = False) -> None:
+        """``closed``: the tag ends with '/>', which counts in svg and math."""
+        while tag in BREAKOUT and self.foreign():
+            self.end_any(FOREIGN, set())
+        within = self.foreign()
         if tag in ("html", "body") and any(t == tag for t, _, _ in self.stack):
             return
         if tag in IMPLIED_END:
             ends, limits = IMPLIED_END[tag]
             self.end_any(ends, limits)
+        if tag == "optgroup":
+            self.end_any({"option"}, {"select", "optgroup"})
         if tag in CELLS and self.tables and not self.has("tr", {"table"}):
             self.open("tr", {})
         if tag in CLOSES_P:
             self.end_any({"p"}, SCOPE)
         if tag in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
             self.pop()
-        hide = bool(self.stack and self.stack[-1][1]) or hidden(tag, at)
-        pre = bool(self.stack and self.stack[-1][2]) or tag in ("pre", "listing", "plaintext", "xmp")
+        above = self.stack[-1][1] if self.stack else 0
+        drawn = above == 2 or tag == "svg"
+        if above == 1 or hidden(tag, at) or (within == "math" and tag in MATH_NEVER) or (drawn and (tag in SVG_NEVER or at.get("display") == "none" or at.get("visibility") in ("hidden", "collapse"))):
+            hide = 1
+        else:
+            hide = 2 if drawn and tag not in SVG_TEXT else 0
+        pre = bool(self.stack and self.stack[-1][2]) or tag in ("pre", "listing", "plaintext", "xmp", "textarea")
         if not hide:
+            if above == 2:
+                self.flow.block(0)
+            elif within == "math" and tag in MATH_TOKENS:
+                self.flow.text(" ", False)
             self.start(tag, at)
+            if tag in ("option", "optgroup") and at.get("label", "").strip():
+                self.flow.text(at["label"], False)
+                if tag == "option":  # shown instead of its text
+                    self.push(tag, 1, pre)
+                    return
         if tag not in VOID:
-            self.stack.append((tag, hide, pre))
+            self.push(tag, hide, pre)
+            if closed and (within or tag in FOREIGN):
+                self.pop()
 
     def start(self, tag: str, at: dict[str, str]) -> None:
         f = self.flow
@@ -221,9 +269,12 @@ class Page:
 
     def pop(self) -> None:
         tag, hide, _ = self.stack.pop()
+        self.within.pop()
         if hide:
             return
         f = self.flow
+        if self.stack and self.stack[-1][1] == 2:
+            f.block(0)
         if tag == "table" and self.tables:
             t = self.tables.pop()
             f = self.flow = t.outer
@@ -306,10 +357,13 @@ def render(source: str | None) -> str:
         if m[1]:
             page.close(tag)
             continue
-        page.open(tag, attributes(m[3]) if m[3] else {})
-        if tag in RAW or tag in RCDATA:
+        within = page.foreign()
+        page.open(tag, attributes(m[3]) if m[3] else {}, self_closing(m[3]))
+        if (tag in RAW or tag in RCDATA) and not within:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else len(source)
+            if tag == "textarea" and source.startswith("\n", at):
+                at += 1
             if stop > at:
                 page.text(html.unescape(source[at:stop]) if tag in RCDATA else source[at:stop])
             at = stop

@@ -140,3 +140,24 @@ def test_all_visible_text_is_there(spark):
         p.close()
         assert sorted(re.findall(r"w(?:ord)?\d+", got[i]["text"])) == sorted(re.findall(r"w(?:ord)?\d+", " ".join(p.out)))
     assert html_text.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_formulas_drawings_and_forms_are_text():
+    r = html_text.render
+    assert r("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math>, then") == "so x = 1 2, then"
+    assert r("a<svg><title>t</title>raw<defs><text>d</text></defs><g><text>Label <tspan>one</tspan></text><text display='none'>no</text><text>two</text></g></svg>b") == "a\nLabel one\ntwo\nb"
+    assert r("<svg><foreignObject><p>in</p><p>deep</p></foreignObject></svg>") == "in\n\ndeep"
+    assert r("<form>Size <select><option>S<option selected>M<optgroup label='Big'><option>L<option label='Huge'>XL</select> now</form>") == "Size\nS\nM\nBig\nL\nHuge\nnow"
+    assert r("<div>say <textarea>\nfirst  &amp;\n <b>raw</textarea> end</div>") == "say\nfirst  &\n <b>raw\nend"
+    assert r("<datalist><option>no</datalist><select hidden><option>no</select><svg style='display:none'><text>no</text></svg><math hidden><mi>no</mi></math>yes") == "yes"
+
+
+def test_self_closing_in_svg_and_math():
+    r = html_text.render
+    assert r("<body>a <svg viewBox='0 0 1 1'/>b <math/>c</body>") == "a b c"
+    assert r("<p>a<svg><path d='M0=1 0'/><style/><script/><title/><g/></svg>b</p><p>c") == "ab\n\nc"
+    assert r("<div>a<svg><g/><text>t</text></svg></div>b") == "a\nt\nb"
+    assert r("<p>a<svg width=10/>gone</svg>b") == "ab"
+    assert r("<div/>a<p/>b") == "a\n\nb"
+    assert r("<svg><path><p>out</p>more") == "out\n\nmore"
+    assert r("<title/>not text</title>x") == "x"
