@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by prefix trees: near-duplicate components of documents.
 
 A document is the set of its distinct word shingles. Documents link at Jaccard similarity
-0.75 or more. All counts below are exact but for collisions of 60-bit hashes.
+0.75 or more. Sets are counted and classed by 60-bit hashes of shingles, and overlaps within a
+tree by 44 bits of them; all is exact but for collisions of these.
 
 1. ``sketch`` reads every text: each document's set size and class (equal sets are one class, so
    copies cost one row each). ``frequent`` counts in how many classes each shingle is, and
@@ -12,11 +13,13 @@ A document is the set of its distinct word shingles. Documents link at Jaccard s
 3. ``postings`` sends the first n - ceil(0.75 n) + 1 keys of each class, packed, to buckets by key.
    Two sets that link share one of them. ``candidates`` pairs the members of a key's group under
    bounds by size and position; groups beyond ``ALL_PAIRS`` only pair with two pivots.
-4. ``verify`` puts a pivot's partners into a prefix tree of ordered sets and walks it once: partial
-   overlaps are shared along common prefixes, and a subtree is left when the overlap so far and
-   the remaining lengths can't reach the bound.
-5. In large groups not yet in one component, members first try a few partners of other components
-   and then all of them, so no link is lost; inside a component there is nothing to gain.
+4. ``Tree`` stores ordered sets in a trie. ``verify`` walks the trie of a pivot's partners with the pivot.
+   Overlaps so far are shared along paths, and a subtree is left as a whole, its members unseen, when
+   the overlap so far and the remaining lengths can't reach the bound for any size in it.
+5. What is then left are large groups that span several components. ``crossing`` stores each of their
+   members once, in the trie of one shard, and sends each member outside its group's main component
+   once to each shard in question; the walk finds its partners. No pairs are made: a task returns only
+   links that join components, so fewer rows than it has members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -35,14 +38,16 @@ ALL_PAIRS = 8
 BUCKET_ROWS = 1 << 20
 # Frequent shingles that order the rest, at most: 9 bytes each for every task. More, and only the most frequent count.
 HOT = 2_000_000
-# Partners that a member of a large group tries at first.
-FEW = 8
-# A key's group beyond this many rows is dealt to several buckets; their pivots meet in the second verification.
+# A key's group beyond this many rows is dealt to several buckets; their components meet in ``crossing``.
 SPLIT = 250_000
 # Rows of (a, group, b, doc_id) that may be broadcast to the texts; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 # Partners of a pivot in one task, about.
 GROUP = 64
+# Keys of the sets in one tree, and of the sets that walk it in one task, about.
+SHARD_KEYS = 1 << 18
+# Keys between two looks at the bound on a path, and keys that one step of a walk compares.
+RUN, STEP = 128, 1 << 20
 # Bytes of a key that two sets are compared by: 44 bits of hash, ample within a pair.
 KEY_BYTES = 6
 POSTING = np.dtype([("t", "<u8"), ("c", "<i8"), ("n", "<u4"), ("p", "<u4")])
@@ -112,8 +117,28 @@ def _dealt(v: np.ndarray, to: np.ndarray, size: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([raw[x:y].tobytes() for x, y in zip(at, [*at[1:], len(v)])], pa.binary())], ["bucket", "blob"])
 
 
+def _counted(v: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, ones, many): 5-byte values that are in ``v`` once, and values with 4-byte counts that repeat in it."""
+    v, df = np.unique(v, return_counts=True)
+    wide = np.zeros((len(v), 9), np.uint8)
+    wide[:, :5] = v.view(np.uint8).reshape(-1, 8)[:, :5]
+    wide[:, 5:] = df.astype("<u4").view(np.uint8).reshape(-1, 4)
+    to = (v % U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    ids, at = np.unique(to[order], return_index=True)
+    ones, many = [], []
+    for x, y in zip(at, [*at[1:], len(v)]):
+        i = order[x:y]
+        ones.append(wide[i[df[i] == 1], :5].tobytes())
+        many.append(wide[i[df[i] > 1]].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ones, pa.binary()), pa.array(many, pa.binary())], ["bucket", "ones", "many"])
+
+
 def frequent(docs: DataFrame, buckets: int) -> DataFrame:
-    """(v, df): 40-bit prefixes of the shingle hashes that are in more than ``ALL_PAIRS`` classes (a class counts once a task)."""
+    """(v, df): 40-bit prefixes of the shingle hashes that are in more than ``ALL_PAIRS`` classes (a class counts once a task).
+
+    Tasks count before they send, so a shingle of all texts is a row of each task's lots, not of each text.
+    """
 
     def deal(batches):
         done, held, size = set(), [], 0
@@ -125,24 +150,25 @@ def frequent(docs: DataFrame, buckets: int) -> DataFrame:
                 held.append(vals[ok] >> U(24))
                 size += len(held[-1])
                 if size > 1_000_000:
-                    v = np.concatenate(held)
-                    yield _dealt(v, (v % U(buckets)).astype(np.int64), 5)
+                    yield _counted(np.concatenate(held), buckets)
                     held, size = [], 0
         if size:
-            v = np.concatenate(held)
-            yield _dealt(v, (v % U(buckets)).astype(np.int64), 5)
+            yield _counted(np.concatenate(held), buckets)
 
     def count(table: pa.Table) -> pa.Table:
-        raw = b"".join(table.column("blob").to_pylist())
-        wide = np.zeros((len(raw) // 5, 8), np.uint8)
-        wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-        v = np.sort(wide.view("<u8").ravel())
-        head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        df = np.diff(np.append(head, len(v)))
+        ones = np.frombuffer(b"".join(table.column("ones").to_pylist()), np.uint8).reshape(-1, 5)
+        many = np.frombuffer(b"".join(table.column("many").to_pylist()), np.uint8).reshape(-1, 9)
+        wide = np.zeros((len(ones) + len(many), 8), np.uint8)
+        wide[:, :5] = np.concatenate([ones, many[:, :5]])
+        v, times = wide.view("<u8").ravel(), np.concatenate([np.ones(len(ones), np.int64), np.ascontiguousarray(many[:, 5:]).view("<u4").ravel().astype(np.int64)])
+        order = np.argsort(v, kind="stable")
+        v, times = v[order], times[order]
+        head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+        df = np.add.reduceat(times, head) if len(v) else times
         some = df > ALL_PAIRS
-        return pa.table({"v": v[head[some]].astype(np.int64), "df": df[some].astype(np.int64)})
+        return pa.table({"v": v[head[some]].astype(np.int64), "df": df[some]})
 
-    return docs.select("text").mapInArrow(deal, "bucket long, blob binary").groupBy("bucket").applyInArrow(count, "v long, df long")
+    return docs.select("text").mapInArrow(deal, "bucket long, ones binary, many binary").groupBy("bucket").applyInArrow(count, "v long, df long")
 
 
 class Order:
@@ -282,91 +308,145 @@ def candidates(posted: DataFrame) -> DataFrame:
     return posted.groupBy("bucket").applyInArrow(run, FOUND)
 
 
-def crossing(left: DataFrame, buckets: int, few: int | None = None) -> DataFrame:
-    """(a, b): pairs that may link across components, within each key of (t, a, n, p, comp) with more than one component.
+class Tree:
+    """A trie of ordered sets with runs of keys as nodes; a node knows the least and greatest size below it, and the component if all below is of one.
 
-    All of them, or for each member outside its key's largest component only ``few``, those nearest in size.
+    A leaf is one set; ``mark`` is a set's component (or any label that is not to be joined with itself).
     """
-    many = stored(left.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("t"))
-    rows = left.join(many, "t").withColumn("bucket", F.pmod(F.xxhash64("t"), F.lit(buckets)))
 
-    def run(table: pa.Table) -> pa.Table:
-        a = np.empty(table.num_rows, np.dtype(POSTING.descr + [("comp", "<i8")]))
-        a["t"] = table.column("t").to_numpy().view(U)
-        for name, col in (("c", "a"), ("n", "n"), ("p", "p"), ("comp", "comp")):
-            a[name] = table.column(col).to_numpy().astype(a.dtype[name])
-        a = a[np.lexsort((a["c"], a["n"], a["t"]))]
-        head = np.flatnonzero(np.concatenate([[True], a["t"][1:] != a["t"][:-1]])) if len(a) else []
-        out, parts, size = np.zeros(0, [("a", "<i8"), ("b", "<i8")]), [], 0
-        for lo, hi in zip(head, [*head[1:], len(a)]):
-            for p in _near(a[lo:hi], few) if few else _across(a[lo:hi]):
-                parts.append(p)
-                size += len(p)
-                if size > 500_000:
-                    out, parts, size = np.unique(np.concatenate([out, *parts])), [], 0
-        out = np.unique(np.concatenate([out, *parts]))
-        return pa.table({"a": np.ascontiguousarray(out["a"]), "b": np.ascontiguousarray(out["b"])})
-
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long")
-
-
-def _near(g: np.ndarray, few: int, reach: int = 32):
-    """For each member outside the largest component, up to ``few`` partners of other components within ``reach`` places by size."""
-    ids, which, count = np.unique(g["comp"], return_inverse=True, return_counts=True)
-    main, at, got = int(count.argmax()), np.arange(len(g)), []
-    for d in range(1, min(reach, len(g) - 1) + 1):
-        i = at[:-d]
-        i = i[which[i] != which[i + d]]
-        i = i[may_link(g[i], g[i + d])]
-        got += [np.stack([i, i + d, np.full(len(i), d)]), np.stack([i + d, i, np.full(len(i), d)])]
-    me, you, far = np.concatenate(got, 1) if got else np.zeros((3, 0), int)
-    ok = which[me] != main
-    me, you, far = me[ok], you[ok], far[ok]
-    order = np.lexsort((far, me))
-    me, you = me[order], you[order]
-    rank = np.arange(len(me)) - np.searchsorted(me, me)
-    yield _pairs(g, me[rank < few], you[rank < few])
-
-
-def _across(g: np.ndarray, cells: int = 1 << 20):
-    """All pairs of different components that may link, a block of rows at a time; inside the largest component there are none to look at."""
-    ids, which, count = np.unique(g["comp"], return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(which != count.argmax())
-    step = max(1, cells // len(g))
-    for lo in range(0, len(outside), step):
-        i = np.repeat(outside[lo : lo + step], len(g))
-        j = np.tile(np.arange(len(g)), len(i) // len(g))
-        ok = (which[i] != which[j]) & ((which[j] == count.argmax()) | (j > i))
-        i, j = i[ok], j[ok]
-        yield _pairs(g, i, j)[may_link(g[np.minimum(i, j)], g[np.maximum(i, j)])]
-
-
-def links_of(A: np.ndarray, Bs: list[np.ndarray], step: int = 256) -> list[int]:
-    """Positions of the sets that link with A. ``Bs`` is in lexicographic order: a depth-first walk of their prefix tree.
-
-    ``cum[k]`` is the overlap of A and the first k keys on the current path; a set goes on from
-    where it leaves the path, and stops where the bound fails.
+    def __init__(self, found: list[np.ndarray], mark: np.ndarray):
+        order = sorted(range(len(found)), key=lambda i: found[i].byteswap().tobytes())
+        self.of, found = np.array(order, np.int64), [found[i] for i in order]
+        self.size, self.mark = np.array([len(x) for x in found], np.int64), np.asarray(mark)[self.of]
+        first = np.concatenate([[0], np.cumsum(self.size)])
+        flat = np.concatenate(found) if found else np.zeros(0, U)
+        self.vocab, self.ids = np.unique(flat, return_inverse=True)
+        common = np.zeros(len(found) + 1, np.int64)
+        for i in range(1, len(found)):
+            m = min(self.size[i - 1], self.size[i])
+            differ = found[i - 1][:m] != found[i][:m]
+            common[i] = int(differ.argmax()) if differ.any() else m
+        # A node: sets lo .. hi agree on their first ``depth`` keys, of which its own run starts at ``top``.
+        rows, ahead = [], [(0, len(found), 0)] if found else []
+        kids = []
+        at = 0
+        while at < len(ahead):
+            lo, hi, top = ahead[at]
+            at += 1
+            full = int(common[lo + 1 : hi].min()) if hi - lo > 1 else int(self.size[lo])
+            depth = min(full, top + RUN)
+            rows.append((lo, hi, top, depth))
+            if depth < full:
+                parts = [(lo, hi, depth)]
+            elif hi - lo > 1:
+                edge = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == full)).tolist(), hi]
+                parts = [(x, y, depth) for x, y in zip(edge, edge[1:])]
+            else:
+                parts = []
+            kids.append((len(ahead), len(parts)))
+            ahead += parts
+        lo, hi, top, self.depth = np.array(rows, np.int64).reshape(-1, 4).T
+        self.kid, self.kids = np.array(kids, np.int64).reshape(-1, 2).T
+        self.start, self.run = first[lo] + top, self.depth - top
+        self.leaf = np.where(self.kids == 0, lo, -1)
+        cut = np.stack([lo, hi], 1).ravel()
+        pick = lambda f, v: f.reduceat(np.append(v, v[-1:]), cut)[::2] if len(v) else v
+        self.least, self.most = pick(np.minimum, self.size), pick(np.maximum, self.size)
+        low, high = pick(np.minimum, self.mark), pick(np.maximum, self.mark)
+        self.whole, self.one = low == high, low
+
+    def walk(self, probes: list[np.ndarray], mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probe, set): all links of probes with sets of other marks."""
+        got, lot, width = [], max(1, (1 << 25) // max(1, len(self.vocab))), len(self.vocab)
+        for at in range(0, len(probes) if width else 0, lot):
+            got += self._walk(probes[at : at + lot], np.asarray(mark[at : at + lot]), at)
+        pr, st = np.concatenate(got, 1) if got else np.zeros((2, 0), np.int64)
+        return pr, self.of[st]
+
+    def _walk(self, probes, mark, base):
+        width = len(self.vocab)
+        nx = np.array([len(x) for x in probes], np.int64)
+        of, flat = np.repeat(np.arange(len(probes)), nx), np.concatenate(probes)
+        where = np.searchsorted(self.vocab, flat)
+        here = self.vocab[np.minimum(where, width - 1)] == flat
+        has = np.zeros((len(probes), width), bool)
+        has[of[here], where[here]] = True
+        # Places of a probe's keys among those of the tree: odd for a key of the tree, even for one between two.
+        place, begin = of * (2 * width + 2) + 2 * where + here, np.cumsum(nx) - nx
+        todo = [(np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64))]
+        while todo:
+            pr, nd, ov = todo.pop()
+            n = self.run[nd]
+            if n.sum() > STEP and len(nd) > 1:
+                half = len(nd) // 2
+                todo += [(pr[half:], nd[half:], ov[half:]), (pr[:half], nd[:half], ov[:half])]
+                continue
+            stop = np.cumsum(n)
+            key = self.ids[np.repeat(self.start[nd] - stop + n, n) + np.arange(stop[-1])]
+            same = np.concatenate([[0], np.cumsum(has[np.repeat(pr, n), key])])
+            ov = ov + same[stop] - same[stop - n]
+            deep = self.depth[nd]
+            last = self.ids[np.maximum(self.start[nd] + n - 1, 0)]
+            seen = np.where(deep > 0, np.searchsorted(place, pr * (2 * width + 2) + 2 * last + 1, "right") - begin[pr], 0)
+            seen = np.where((n == 0) & (deep > 0), 0, seen)  # an empty run has no last key of its own
+            # Sizes y below the node with 7 (ov + min(nx - seen, y - deep)) >= 3 (nx + y).
+            low = np.maximum(self.least[nd], -(-(3 * nx[pr] - 7 * (ov - deep)) // 4))
+            high = np.minimum(self.most[nd], (7 * (ov + nx[pr] - seen) - 3 * nx[pr]) // 3)
+            ok = (low <= high) & ~(self.whole[nd] & (self.one[nd] == mark[pr]))
+            pr, nd, ov = pr[ok], nd[ok], ov[ok]
+            end = self.kids[nd] == 0
+            if end.any():
+                yield np.stack([pr[end] + base, self.leaf[nd[end]]])
+            pr, nd, ov = pr[~end], nd[~end], ov[~end]
+            if len(nd):
+                k = self.kids[nd]
+                step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+                todo.append((np.repeat(pr, k), np.repeat(self.kid[nd], k) + step, np.repeat(ov, k)))
+
+
+def joining(u: np.ndarray, v: np.ndarray, cu: np.ndarray, cv: np.ndarray) -> list[int]:
+    """Positions of links (u, v) that join two components (cu, cv) not joined by those before."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    keep = []
+    for i, (x, y) in enumerate(zip(cu.tolist(), cv.tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            keep.append(i)
+    return keep
+
+
+def crossing(left: DataFrame) -> DataFrame | None:
+    """(t, part, q, role, comp, cls): who is to meet in which tree, so that all members of a key's group of (t, a, n, comp) that lie in several components meet; None if there is none.
+
+    Role 0 is stored in the tree, role 1 walks it. A member is stored under the largest of its
+    groups, in shards of about ``SHARD_KEYS`` keys. It walks all shards that hold a member of a group in
+    which it is outside the component with most members. Of two members in different components
+    one is outside, so they meet. Walkers of a shard are dealt to tasks by their keys, too.
     """
-    out, path, cum = [], np.zeros(0, U), np.zeros(1, np.int64)
-    for at, B in enumerate(Bs):
-        need = -(-3 * (len(A) + len(B)) // 7)
-        m = min(len(path), len(B))
-        differ = np.flatnonzero(path[:m] != B[:m])
-        k = int(differ[0]) if len(differ) else m
-        cum = cum[: k + 1]
-        while True:
-            ahead = len(A) - (int(np.searchsorted(A, B[k - 1], "right")) if k else 0)
-            if int(cum[k]) + min(len(B) - k, ahead) < need:
-                break
-            if k == len(B):
-                out.append(at)
-                break
-            part = B[k : k + step]
-            where = np.minimum(np.searchsorted(A, part), len(A) - 1)
-            cum = np.concatenate([cum, cum[k] + np.cumsum(A[where] == part)])
-            k += len(part)
-        path = B[:k]
-    return out
+    per = left.groupBy("t", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("keys"))
+    groups = stored(per.groupBy("t").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.sum("m").alias("size"), F.sum("keys").alias("keys"), F.count("*").alias("r")).where("r > 1").drop("r"))
+    if not groups.limit(1).count():
+        return None
+    rows = stored(left.join(groups, "t").select("t", "a", "n", "comp", "main", "size", "keys"))
+    home = F.max(F.struct("size", "t", "keys")).alias("h")
+    stays = rows.groupBy("a").agg(home, F.min("comp").alias("comp"), F.min("n").alias("n"))
+    stays = stored(stays.select("a", "comp", "n", F.col("h.t").alias("home"), F.pmod(F.xxhash64("a"), F.ceil(F.col("h.keys") / SHARD_KEYS)).cast("int").alias("part")))
+    # The shards of each group, an array of a few; then those of each walker, and each once.
+    shards = stored(rows.select("t", "a").join(stays.select("a", "home", "part"), "a").groupBy("t").agg(F.array_sort(F.collect_set(F.struct("home", "part"))).alias("shards")))
+    goes = rows.where("comp <> main").select("t", "a", "n", "comp").join(shards, "t").groupBy("a", "n", "comp").agg(F.array_distinct(F.flatten(F.collect_set("shards"))).alias("shards"))
+    goes = stored(goes.select("a", "n", "comp", F.explode("shards").alias("s")).select("a", "n", "comp", "s.home", "s.part"))
+    lots = goes.groupBy("home", "part").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARD_KEYS)).cast("int").alias("lots"))
+    lots = stored(lots)
+    tree = stays.join(lots, ["home", "part"]).select("home", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("q"), F.lit(0).alias("role"), "comp", "a")
+    walk = goes.join(lots, ["home", "part"]).select("home", "part", F.pmod(F.xxhash64("a"), F.col("lots")).cast("int").alias("q"), F.lit(1).alias("role"), "comp", "a")
+    return tree.unionByName(walk).select(F.col("home").alias("t"), "part", "q", "role", "comp", F.col("a").alias("cls"))
 
 
 def nameless(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
@@ -384,20 +464,24 @@ def nameless(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     return stored(found.join(alone, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
-    """(u, v) of the pairs (a, b) that link. ``reps``: (cls, doc_id) of each class; ``unnamed``: what ``nameless`` finds.
+def fetched(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
+    """Rows of ``to`` (cls and other columns), each with its class's ordered set as ``keys``.
 
-    A pivot a's partners are dealt to groups of about ``GROUP``, each with the pivot's set. The
-    texts in question are read again and their ordered sets sent straight to their groups.
+    ``reps``: (cls, doc_id) of each class; ``unnamed``: what ``nameless`` finds. Texts are read
+    again and their sets made once. Few rows are broadcast to the texts, so no text is shuffled;
+    of more, the texts in question are found by id first, and only sets are sent on.
     """
-    per = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
-    partner = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), "b", F.col("b").alias("cls"))
-    pivot = per.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(None).cast("long").alias("b"), F.col("a").alias("cls"))
-    to = stored(partner.unionByName(pivot).join(reps, "cls"))
+    cols = to.columns
+    to = stored(to.join(reps, "cls"))
     few = to.count() <= BROADCAST_ROWS
-    rows = docs.select("doc_id", "text").join(F.broadcast(to) if few else to, "doc_id").select("a", "g", "b", "cls", "text")
+    if few:
+        rows = docs.select("doc_id", "text").join(F.broadcast(to), "doc_id").select(*cols, "text")
+    else:
+        rows = docs.select("doc_id", "text").join(to.select("doc_id", "cls").distinct(), "doc_id").select("cls", "text")
     if unnamed is not None:  # no doc_id leads to these
-        rows = rows.unionByName(to.where("doc_id IS NULL").join(unnamed, "cls").select("a", "g", "b", "cls", "text"))
+        more = to.where("doc_id IS NULL").select(*cols) if few else to.where("doc_id IS NULL").select("cls").distinct()
+        rows = rows.unionByName(more.join(unnamed, "cls").select(*rows.columns))
+    rest = [c for c in rows.columns if c != "text"]
 
     def ordered(batches):
         for batch in batches:
@@ -408,17 +492,47 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: D
                 # A repeated doc_id has other texts, too: the class tells.
                 ok = pa.array(classes(vals, cut) == part.column("cls").to_numpy())
                 blobs = pa.array([key[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(ok) for c in ("a", "g", "b")), blobs.filter(ok)], ["a", "g", "b", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(ok) for c in rest), blobs.filter(ok)], [*rest, "keys"])
+
+    made = rows.mapInArrow(ordered, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest) + ", keys binary")
+    if few:
+        return made
+    return to.select(*cols).join(made.dropDuplicates(["cls"]), "cls").select(*cols, "keys")
+
+
+def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
+    """(u, v) of the pairs (a, b) that link: a pivot a walks the tree of its partners, dealt to groups of about ``GROUP``."""
+    per = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
+    partner = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(0).alias("role"), F.col("b").alias("cls"))
+    pivot = per.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(1).alias("role"), F.col("a").alias("cls"))
+    sent = fetched(docs, partner.unionByName(pivot), reps, order, unnamed)
+    return stored(sent.groupBy("a", "g").applyInArrow(_links, "u long, v long"))
+
+
+def meet(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
+    """(u, v): links found in the trees of ``crossing``, as many as join components."""
+    sent = fetched(docs, to, reps, order, unnamed)
+    return stored(sent.groupBy("t", "part", "q").applyInArrow(_links, "u long, v long"))
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """Sets of role 1 walk the tree of those of role 0; of their links those that join components (of the same class, or ``comp``) in this task.
+
+    A set may come twice where a repeated row has a text again: once is enough.
+    """
+    role, cls = table.column("role").to_numpy(), table.column("cls").to_numpy()
+    comp = table.column("comp").to_numpy() if "comp" in table.column_names else cls
+    blobs = table.column("keys").to_pylist()
+    stay, go = (_once(np.flatnonzero(role == r), cls) for r in (0, 1))
+    tree = Tree([_read(blobs[i]) for i in stay], comp[stay])
+    pr, st = tree.walk([_read(blobs[i]) for i in go], comp[go])
+    u, v = go[pr], stay[st]
+    keep = joining(cls[u], cls[v], comp[u], comp[v])
+    return pa.table({"u": pa.array(cls[u][keep], pa.int64()), "v": pa.array(cls[v][keep], pa.int64())})
 
-    def run(table: pa.Table) -> pa.Table:
-        b, blobs = table.column("b").to_pylist(), table.column("keys").to_pylist()
-        rest = sorted((k, x) for k, x in zip(blobs, b) if x is not None)
-        linked = links_of(_read(blobs[b.index(None)]), [_read(k) for k, _ in rest])
-        v = [rest[i][1] for i in linked]
-        return pa.table({"u": pa.array([table.column("a")[0].as_py()] * len(v), pa.int64()), "v": pa.array(v, pa.int64())})
 
-    sent = rows.mapInArrow(ordered, "a long, g int, b long, keys binary")
-    return stored(sent.groupBy("a", "g").applyInArrow(run, "u long, v long"))
+def _once(at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return at[np.sort(np.unique(cls[at], return_index=True)[1])]
 
 
 def _read(blob: bytes) -> np.ndarray:
@@ -451,18 +565,16 @@ def join(docs: DataFrame) -> DataFrame:
     done = stored(first.distinct())
     links = verify(docs, done, reps, order, unnamed)
     comps = stored(components(links))
-    hot = stored(found.where("kind = 1").select("t", "a", "n", "p"))
-    for step in ("small", "few", "all"):
-        if step == "small":
-            more = pairs.select("a", "b")
-        else:
-            left = hot.join(comps, F.col("a") == F.col("node"), "left").select("t", "a", "n", "p", F.coalesce("component", "a").alias("comp"))
-            more = crossing(stored(left), buckets, FEW if step == "few" else None).distinct()
-        more = stored(_apart(more.join(done, ["a", "b"], "left_anti"), comps))
-        if more.limit(1).count():
-            links = links.unionByName(verify(docs, more, reps, order, unnamed))
-            comps = stored(components(links))
-            done = done.unionByName(more)
+    more = stored(_apart(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), comps))
+    if more.limit(1).count():
+        links = links.unionByName(verify(docs, more, reps, order, unnamed))
+        comps = stored(components(links))
+    hot = found.where("kind = 1").select("t", "a", "n")
+    left = hot.join(comps, F.col("a") == F.col("node"), "left").select("t", "a", "n", F.coalesce("component", "a").alias("comp"))
+    to = crossing(stored(left))
+    if to is not None:
+        links = links.unionByName(meet(docs, to, reps, order, unnamed))
+        comps = stored(components(links))
     part = stored(reps.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")))
     least = stored(part.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
     named = stored(part.join(least, "comp").select("cls", "component_id"))

@@ -141,12 +141,67 @@ def test_join_of_near_copies_without_id(spark):
     assert kept[None] == sum(i is None for i, _ in rows) and {i for i in kept if i is not None} == {c for c in least.values() if c is not None}
 
 
-def test_prefix_tree_walk():
+def test_tree_walk_against_all_pairs():
+    """Many probes and sets at once: nested sets, equal beginnings, one long run, marks, and steps that split."""
     rng = np.random.default_rng(1)
-    A = np.unique(rng.integers(0, 400, 100)).astype(np.uint64)
-    Bs = sorted((np.unique(np.concatenate([A[rng.random(len(A)) < 0.9], rng.integers(0, 400, 5).astype(np.uint64)])) for _ in range(60)), key=lambda b: b.byteswap().tobytes())
-    want = [i for i, B in enumerate(Bs) if 7 * len(np.intersect1d(A, B)) >= 3 * (len(A) + len(B))]
-    assert ngram_join.links_of(A, Bs, 16) == want and want
+    core = np.unique(rng.integers(0, 4000, 500)).astype(np.uint64)
+    found = [np.unique(np.concatenate([core[rng.random(len(core)) < rng.uniform(0.8, 1)], rng.integers(0, 4000, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(120)]
+    found += [core[:k] for k in (1, 2, 300, 400, len(core))] + [np.array([7], np.uint64), np.arange(5000, 6000).astype(np.uint64), np.arange(5100, 6050).astype(np.uint64)]
+    mark = rng.integers(0, 90, len(found))
+    link = lambda a, b: 7 * len(np.intersect1d(a, b)) >= 3 * (len(a) + len(b))
+    want = {(i, j) for i, a in enumerate(found) for j, b in enumerate(found) if mark[i] != mark[j] and link(a, b)}
+    assert len(want) > 500
+    step = ngram_join.STEP
+    for ngram_join.STEP in (1, 1 << 12, step):
+        pr, st = ngram_join.Tree(found, mark).walk(found, mark)
+        assert set(zip(pr.tolist(), st.tolist())) == want and len(pr) == len(want)
+    assert ngram_join.Tree([], np.zeros(0, np.int64)).walk(found[:2], mark[:2])[0].size == 0
+    assert ngram_join.Tree(found, mark).walk([], mark[:0])[0].size == 0
+
+
+def test_tree_leaves_subtrees_unseen():
+    """Sets that begin alike and can't reach the bound are left together: the walk looks at few of their keys."""
+    far = [np.concatenate([np.arange(100), np.arange(1000 + 500 * k, 1100 + 500 * k)]).astype(np.uint64) for k in range(200)]
+    tree = ngram_join.Tree(far, np.arange(200))
+    looked, run = [], tree.run
+    tree.run = type("Seen", (), {"__getitem__": lambda _, nd: looked.append(run[nd].sum()) or run[nd]})()
+    assert tree.walk([np.arange(2000, 2200).astype(np.uint64)], np.array([-1]))[0].size == 0
+    assert sum(looked) <= 128
+
+
+def test_join_of_touching_groups(spark, monkeypatch):
+    """Three groups of 300 near copies around the bound, so that members of a group often don't link with each other: no link may be lost."""
+    monkeypatch.setattr(ngram_join, "SHARD_KEYS", 3000)  # many shards and lots of walkers
+    rng, rows = random.Random(13), []
+    base = [f"b{k}" for k in range(140)]
+    for group in range(3):
+        centre = list(base)
+        for k in range(5 * group):
+            centre[12 + 11 * (k % 11)] = f"g{group}x{k}"
+        for _ in range(300):
+            w = list(centre)
+            for at in rng.sample(range(2, 138), rng.randint(0, 4)):
+                w[at] = f"w{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w)))
+    S = [shingles(t) for _, t in rows]
+    ids = {}
+    M = np.zeros((len(S), len({x for s in S for x in s})), np.float32)
+    for i, s in enumerate(S):
+        for x in s:
+            M[i, ids.setdefault(x, len(ids))] = 1
+    both, n = M @ M.T, M.sum(1)
+    link = 100 * both >= 75 * (n[:, None] + n[None, :] - both)
+    near = 100 * both >= 72 * (n[:, None] + n[None, :] - both)
+    assert (near & ~link).sum() > 10_000
+    comp = np.arange(len(S))
+    while True:
+        new = np.array([comp[link[i]].min() for i in range(len(S))])
+        if (new == comp).all():
+            break
+        comp = new
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(i, int(c)) for i, c in enumerate(comp)]
+    assert len(set(comp.tolist())) > 5
 
 
 def test_components(spark):
