@@ -1,9 +1,10 @@
 """Purged walk-forward forecasts.
 
-Rows (target, t, own, peers, y) and refits meet in one blocked equi-join; a grouped Arrow function
-fits each (target, arm, delta, refit) and returns coefficients; forecasts are then a join of test
-rows with coefficients and a dot product in Catalyst. Refits come every ``refit``-th position of
-the test index. A label at u resolves at u + h, so training ends at t - delta - h.
+Rows are (target, t, own, peers, y). A row goes once to the group of its target and each delay; a
+grouped Arrow function fits all refits of that group, ridge from running sums, and returns
+coefficients; forecasts are then a join of test rows with coefficients and a dot product in
+Catalyst. Refits come every ``refit``-th position of the test index. A label at u resolves at
+u + h, so training ends at t - delta - h. Each arm trains on the rows that are complete for itself.
 """
 
 from __future__ import annotations
@@ -18,15 +19,20 @@ from driftline.params import Params
 from . import models
 from .panel import training_rows
 
+#: own: the target's stale block; peers: the others' current values; cross: both.
 ARMS = ("own", "cross")
 COEFS = "target string, arm string, delta int, refit_id int, n int, lambda double, mu array<double>, sd array<double>, beta array<double>, smear double"
 
 
+def position(p: Params) -> F.Column:
+    """A row's place j in the test index, null off it: rows that every delay may forecast. It depends on the largest delay, so all arms and delays share it."""
+    some = (F.col("t") >= p.span + max(p.delays) + p.horizon) & F.col("y").isNotNull()
+    return F.when(some, F.count(F.when(some, 1)).over(Window.partitionBy("target").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)) - 1)
+
+
 def test_index(rows: DataFrame, p: Params) -> DataFrame:
-    """(target, t, j): rows that every delay may forecast, numbered. It depends on the largest delay, so all arms and delays share it."""
-    start = p.span + max(p.delays) + p.horizon
-    some = rows.where((F.col("t") >= start) & F.col("y").isNotNull())
-    return some.select("target", "t", (F.row_number().over(Window.partitionBy("target").orderBy("t")) - 1).alias("j"))
+    """(target, t, j) of the test index."""
+    return rows.select("target", "t", position(p).alias("j")).where("j IS NOT NULL")
 
 
 def refits(index: DataFrame, p: Params, extra_purge: int = 0) -> DataFrame:
@@ -38,56 +44,74 @@ def refits(index: DataFrame, p: Params, extra_purge: int = 0) -> DataFrame:
 
 
 def stale_rows(rows: DataFrame, p: Params) -> DataFrame:
-    """(target, t, delta, stale, peers, y): own blocks of every delay beside the row's peers, from one window."""
+    """(target, t, delta, stale, peers, y, j, bench): own blocks of every delay beside the row's peers, from one window."""
     w = Window.partitionBy("target").orderBy("t")
     s = F.array(*[F.struct(F.lit(d).alias("delta"), (F.lag("own", d).over(w) if d else F.col("own")).alias("stale")) for d in p.delays])
-    return rows.withColumn("all", s).withColumn("s", F.explode("all")).select("target", "t", "s.delta", "s.stale", "peers", "y")
+    bench = F.col("bench") if "bench" in rows.columns else F.lit(0.0).alias("bench")
+    return rows.select("target", "t", "peers", "y", bench, s.alias("all"), position(p).alias("j")).withColumn("s", F.explode("all")).select("target", "t", "s.delta", "s.stale", "peers", "y", "j", "bench")
 
 
 def complete(xs) -> F.Column:
     return xs.isNotNull() & F.forall(xs, lambda x: x.isNotNull() & ~F.isnan(x))
 
 
+def _stacked(col: pd.Series) -> np.ndarray:
+    """Arrays as rows; a missing array, and a null in one, is NaN."""
+    width = max((len(v) for v in col if v is not None), default=0)
+    return np.array([np.full(width, np.nan) if v is None else v for v in col], float).reshape(len(col), width)
+
+
 def fit(rows: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] = ARMS, extra_purge: int = 0, lam: float | None = None) -> DataFrame:
-    """Coefficients of every (target, arm, delta, refit) with at least ``min_train`` complete rows."""
-    sched = refits(test_index(rows, p), p, extra_purge)
-    stale = stale_rows(rows, p).where(F.col("y").isNotNull() & complete(F.col("stale")) & complete(F.col("peers"))).withColumnRenamed("delta", "d")
-    train = training_rows(stale, sched).where("d = delta").select("target", "delta", "refit_id", "t", "stale", "peers", "y")
+    """Coefficients of every (target, arm, delta, refit) with at least ``min_train`` rows that are complete for the arm.
+
+    A group is one target's history at one delay.
+    """
+    names = [c.split()[0] for c in COEFS.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < p.min_train:
-            return pd.DataFrame(columns=[c.split()[0] for c in COEFS.split(", ")])
-        pdf = pdf.sort_values("t")
-        own, peers, y = np.stack(pdf["stale"]), np.stack(pdf["peers"]), pdf["y"].to_numpy()
+        pdf = pdf.sort_values("t", ignore_index=True)
+        t, y, j, delta = pdf["t"].to_numpy(), pdf["y"].to_numpy(float), pdf["j"].to_numpy(float), int(pdf["delta"].iloc[0])
+        own, peers = _stacked(pdf["stale"]), _stacked(pdf["peers"])
+        head = np.flatnonzero(j % p.refit == 0)
+        cut = np.maximum(0, t[head] - delta - p.horizon - extra_purge)
         out = []
         for arm in arms:
-            X = own if arm == "own" or not peers.size else peers if arm == "peers" else np.hstack([own, peers])
-            mu, sd = X.mean(0), X.std(0) + 1e-9
-            Z = (X - mu) / sd
-            if lam is None:
-                b, chosen = models.by_validation(Z, y, p.lambdas, p.val, kind)
+            X = {"own": own, "peers": peers, "cross": np.hstack([own, peers])}[arm]
+            ok = np.isfinite(X).all(1) & np.isfinite(y)
+            X, u, label = X[ok], t[ok], y[ok]
+            last, first = np.searchsorted(u, cut), np.searchsorted(u, np.maximum(0, cut - p.span))
+            use = last - first >= max(p.min_train, 1)
+            lo, hi, at = first[use], last[use], (j[head[use]] // p.refit).astype(int)
+            if kind == "ridge":
+                fits = zip(*models.ridge_windows(X, label, lo, hi, p.lambdas if lam is None else (lam,), p.val)) if len(at) else ()
             else:
-                b, chosen = (models.ridge if kind == "ridge" else models.logistic)(Z, y, lam), lam
-            smear = float(np.exp(y - models.linear(b, Z)).mean()) if kind == "ridge" else 1.0
-            out.append((pdf["target"].iloc[0], arm, int(pdf["delta"].iloc[0]), int(pdf["refit_id"].iloc[0]), len(y), float(chosen), mu, sd, b, smear))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in COEFS.split(", ")])
+                fits = (_one(X[a:b], label[a:b], p, lam) for a, b in zip(lo, hi))
+            for refit, a, b, (mu, sd, beta, pick) in zip(at, lo, hi, fits):
+                smear = float(np.exp(label[a:b] - models.linear(beta, (X[a:b] - mu) / sd)).mean()) if kind == "ridge" else 1.0
+                out.append((pdf["target"].iloc[0], arm, delta, int(refit), int(b - a), float(pick), mu, sd, beta, smear))
+        return pd.DataFrame(out, columns=names)
+
+    return stale_rows(rows, p).drop("bench").groupBy("target", "delta").applyInPandas(run, COEFS)
+
 
-    return train.groupBy("target", "delta", "refit_id").applyInPandas(run, COEFS)
+def _one(X: np.ndarray, y: np.ndarray, p: Params, lam: float | None) -> tuple:
+    mu, sd = X.mean(0), X.std(0) + 1e-9
+    beta, pick = models.by_validation((X - mu) / sd, y, p.lambdas if lam is None else (lam,), p.val, "logistic")
+    return mu, sd, beta, pick
 
 
 def score(rows: DataFrame, coefs: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] = ARMS) -> DataFrame:
-    """(target, arm, delta, t, j, y, f, smear, bench): each test row by its refit's coefficients; 0 (or one half) where there are none."""
-    index = test_index(rows, p)
-    x = stale_rows(rows, p).join(index, ["target", "t"]).withColumn("refit_id", F.floor(F.col("j") / p.refit).cast("int")).withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+    """(target, arm, delta, t, j, y, f, smear, bench): each test row by its refit's coefficients; 0 (or one half) where there are none or a value is missing."""
+    x = stale_rows(rows, p).where("j IS NOT NULL").withColumn("refit_id", F.floor(F.col("j") / p.refit).cast("int")).withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
     x = x.withColumn("x", F.when(F.col("arm") == "own", F.col("stale")).when(F.col("arm") == "peers", F.col("peers")).otherwise(F.concat("stale", "peers")))
     # Few rows: coefficients are refits times arms; adaptive execution picks the join.
     m = x.join(coefs, ["target", "arm", "delta", "refit_id"], "left")
     z = F.zip_with(F.zip_with("x", "mu", lambda a, b: a - b), "sd", lambda a, b: a / b)
     dot = F.aggregate(F.zip_with(z, F.slice("beta", 2, 10_000), lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v) + F.get("beta", F.lit(0))
     if kind != "ridge":
-        dot = 1 / (1 + F.exp(-F.least(F.greatest(dot, F.lit(-30.0)), F.lit(30.0))))
-    bench = rows.select("target", "t", *(["bench"] if "bench" in rows.columns else [F.lit(0.0).alias("bench")]))
-    return m.join(bench, ["target", "t"]).select("target", "arm", "delta", "t", "j", "y", F.coalesce(dot, F.lit(0.0 if kind == "ridge" else 0.5)).alias("f"), F.coalesce("smear", F.lit(1.0)).alias("smear"), "bench")
+        dot = F.when(dot.isNotNull(), 1 / (1 + F.exp(-F.least(F.greatest(dot, F.lit(-30.0)), F.lit(30.0)))))  # least and greatest skip nulls
+    f = F.coalesce(F.when(complete(F.col("x")), dot), F.lit(0.0 if kind == "ridge" else 0.5))
+    return m.select("target", "arm", "delta", "t", "j", "y", f.alias("f"), F.coalesce("smear", F.lit(1.0)).alias("smear"), "bench")
 
 
 def walk(rows: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] = ARMS, **kw) -> DataFrame:

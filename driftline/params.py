@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+# Lengths, delays and penalties that results depend on.
 @dataclass(frozen=True)
 class Params:
     window: int = 5

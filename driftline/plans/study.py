@@ -127,6 +127,18 @@ def walk_forward_sign(spark, sf_dir):
     return scoring.binary(f).join(scoring.auc(f), scoring.KEYS).select(*scoring.KEYS, "n", *rounded("accuracy", "balanced", "brier", "log_score", "auc"))
 
 
+@query(f"""WITH {TRAIN_SQL}, ow AS (SELECT target, t, a, lead(a, {SHORT.horizon}) OVER (PARTITION BY target ORDER BY t) AS y FROM adm WHERE series_id = target),
+st AS (SELECT o.target, delta, o.t, o.y, x.a AS x FROM ow o CROSS JOIN (SELECT unnest({list(SHORT.delays)}) AS delta) JOIN ow x ON x.target = o.target AND x.t = o.t - delta),
+g AS (SELECT r.target, r.delta, refit_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, sqrt(var_pop(x)) + 1e-9 AS sd, var_pop(x) AS v, covar_pop(x, y) AS c FROM ref r JOIN st s ON s.target = r.target AND s.delta = r.delta AND s.t >= greatest(0, r.cut - {SHORT.span}) AND s.t < r.cut AND s.x IS NOT NULL AND s.y IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) >= {SHORT.min_train})
+SELECT i.target, CAST(s.delta AS int) AS delta, CAST(i.j AS bigint) AS j, CAST(i.t AS bigint) AS t, round(coalesce(my + n * c / sd / (n * v / (sd * sd) + 3) * (s.x - mx) / sd, 0), 6) AS f
+FROM idx i JOIN st s ON s.target = i.target AND s.t = i.t LEFT JOIN g ON g.target = i.target AND g.delta = s.delta AND g.refit_id = i.j // {SHORT.refit}""")
+def walk_forward_one(spark, sf_dir):
+    """M1, M4: the purged walk with one regressor and a fixed penalty, which SQL can state whole."""
+    rows = study_rows(spark, sf_dir).withColumn("own", F.slice("own", 1, 1))
+    f = walkforward.walk(rows, SHORT, arms=("own",), lam=3.0)
+    return f.select("target", "delta", long("j"), long("t"), F.round("f", 6).alias("f"))
+
+
 # Forecasts that need no fit: the stale level, and one-regressor ridge. Both engines can state them.
 FC_SQL = STUDY_SQL + """,
 d AS (SELECT unnest([0, 1, 2, 3]) AS delta),
@@ -397,7 +409,7 @@ def multiplicity(spark, sf_dir):
     return inference.multiplicity(t, ["target"]).select("target", "delta", *rounded("bh", "holm"))
 
 
-@query(f"""WITH {D_SQL}, x AS (SELECT target, delta, CAST(count(*) FILTER (d <> 0) AS int) AS n, CAST(count(*) FILTER (d > 0) AS int) AS plus FROM df WHERE t % 50 = 0 GROUP BY 1, 2)
+@query(f"""WITH {D_SQL}, x AS (SELECT target, delta, CAST(count(*) FILTER (d <> 0) AS int) AS n, CAST(count(*) FILTER (d > 0) AS int) AS plus FROM df GROUP BY 1, 2)
 SELECT target, delta, n, plus, round(least(1, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))) FROM range(0, least(plus, n - plus) + 1) r(i))), 6) AS p FROM x WHERE n > 0""")
 def sign_test(spark, sf_dir):
     """Exact sign test."""

@@ -77,37 +77,97 @@ def factor_rows(spark):
     return rows.persist()
 
 
-def reference_walk(rows, delta, arm):
-    """The walk by plain loops."""
-    own, peers, y = np.stack([r["own"] for r in rows]), np.stack([r["peers"] for r in rows]), np.array([np.nan if r["y"] is None else r["y"] for r in rows])
-    X = own if arm == "own" else None
+def loop_walk(rows, delta, arm, kind="ridge"):
+    """The walk by plain loops, with fitters of its own."""
+    nan = lambda v: np.nan if v is None else v
+    own, peers = (np.array([[nan(x) for x in r[c]] for r in rows]) for c in ("own", "peers"))
+    y = np.array([nan(r["y"]) for r in rows], float)
+    x_of = lambda t: own[t - delta] if arm == "own" else np.concatenate([own[t - delta], peers[t]])
+
+    def fitted(X, y, lam):
+        A = np.column_stack([np.ones(len(X)), X])
+        P = lam * np.diag([0.0] + [1.0] * X.shape[1])
+        if kind == "ridge":
+            return np.linalg.solve(A.T @ A + P, A.T @ y)
+        b = np.zeros(A.shape[1])
+        for _ in range(60):  # plain Newton: these designs are well behaved
+            mu = 1 / (1 + np.exp(-A @ b))
+            b = b - np.linalg.solve(A.T @ (A * (mu * (1 - mu))[:, None]) + P, A.T @ (mu - y) + P @ b)
+        return b
+
     idx = [t for t in range(P.span + max(P.delays) + P.horizon, len(y)) if np.isfinite(y[t])]
-    out, coef = [], None
+    out, coef = {}, None
     for j, t in enumerate(idx):
         if j % P.refit == 0:
             cut = max(0, t - delta - P.horizon)
-            us = [u for u in range(max(0, cut - P.span), cut) if u - delta >= 0 and np.isfinite(y[u])]
-            X = np.stack([own[u - delta] if arm == "own" else np.concatenate([own[u - delta], peers[u]]) for u in us])
-            mu, sd = X.mean(0), X.std(0) + 1e-9
-            coef = (mu, sd, models.by_validation((X - mu) / sd, y[us], P.lambdas, P.val)[0])
-        x = own[t - delta] if arm == "own" else np.concatenate([own[t - delta], peers[t]])
-        out.append((t, float(models.linear(coef[2], ((x - coef[0]) / coef[1])[None])[0])))
+            us = [u for u in range(max(0, cut - P.span), cut) if u - delta >= 0 and np.isfinite(y[u]) and np.isfinite(x_of(u)).all()]
+            coef = None
+            if len(us) >= P.min_train:
+                X, v = np.stack([x_of(u) for u in us]), y[us]
+                mu, sd = X.mean(0), X.std(0) + 1e-9
+                Z, best, lam = (X - mu) / sd, -np.inf, P.lambdas[2]
+                for g in P.lambdas if len(us) > P.val + 50 else ():
+                    s = np.column_stack([np.ones(P.val), Z[-P.val :]]) @ fitted(Z[: -P.val], v[: -P.val], g)
+                    s = -((s - v[-P.val :]) ** 2).mean() if kind == "ridge" else ((s > 0) == (v[-P.val :] > 0.5)).mean()
+                    if s > best:
+                        best, lam = s, g
+                coef = mu, sd, fitted(Z, v, lam)
+        f = np.nan if coef is None else coef[2][0] + (x_of(t) - coef[0]) / coef[1] @ coef[2][1:]
+        if kind != "ridge":
+            f = 1 / (1 + np.exp(-f))
+        out[t] = (0.0 if kind == "ridge" else 0.5) if np.isnan(f) else f
     return out
 
 
-def test_walk_matches_loops_and_never_leaks(spark, factor_rows):
-    rows = factor_rows.orderBy("t").collect()
-    got = walkforward.walk(factor_rows, P).collect()
+def with_holes(factor_rows):
+    """A peer is missing for a while and now and then, own values are NaN on some rows, labels on others."""
+    hole = F.col("t").between(300, 420) | (F.col("t") % 17 == 3)
+    peers = F.when(hole, F.concat(F.slice("peers", 1, 5), F.array(F.lit(None).cast("double")))).otherwise(F.col("peers"))
+    return factor_rows.withColumn("peers", peers).withColumn("own", F.when(F.col("t") % 41 == 5, F.array(F.lit(float("nan")))).otherwise(F.col("own"))).withColumn("y", F.when(F.col("t") % 29 != 7, F.col("y")))
+
+
+@pytest.mark.parametrize("holes", [False, True])
+def test_walk_matches_loops_and_never_leaks(spark, factor_rows, holes):
+    data = with_holes(factor_rows) if holes else factor_rows
+    rows = data.orderBy("t").collect()
+    got = walkforward.walk(data, P).collect()
     for delta in P.delays:
         for arm in walkforward.ARMS:
-            want = reference_walk(rows, delta, arm)
+            want = loop_walk(rows, delta, arm)
             have = {r["t"]: r["f"] for r in got if r["arm"] == arm and r["delta"] == delta}
-            assert len(have) == len(want) and all(abs(have[t] - f) < 1e-8 for t, f in want)
-    assert all(r["late"] == 0 for r in walkforward.leaks(factor_rows, P).collect())
-    bad = walkforward.leaks(factor_rows, P, extra_purge=-P.horizon - 1).collect()
+            assert have.keys() == want.keys() and all(abs(have[t] - f) < 1e-8 for t, f in want.items())
+    if holes:  # the cross arm has gaps of its own; the own arm keeps its rows
+        back = {a: sum(r["f"] == 0 for r in got if r["arm"] == a and r["delta"] == 0) for a in walkforward.ARMS}
+        assert back["cross"] > back["own"] > 0
+    assert all(r["late"] == 0 for r in walkforward.leaks(data, P).collect())
+    bad = walkforward.leaks(data, P, extra_purge=-P.horizon - 1).collect()
     assert any(r["late"] > 0 for r in bad)
 
 
+def test_logistic_walk_matches_loops(spark, factor_rows):
+    data = with_holes(factor_rows).withColumn("y", F.when(F.col("y").isNotNull(), (F.col("y") > 0).cast("double")))
+    rows = data.orderBy("t").collect()
+    got = walkforward.walk(data, P, "logistic").where("delta = 3").collect()
+    for arm in walkforward.ARMS:
+        want = loop_walk(rows, 3, arm, "logistic")
+        have = {r["t"]: r["f"] for r in got if r["arm"] == arm}
+        assert have.keys() == want.keys() and all(abs(have[t] - f) < 1e-7 for t, f in want.items())
+
+
+def test_logistic_is_the_maximum():
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(300, 4))
+    y = (X @ [1, -1, 0.5, 0] + rng.logistic(size=300) > 0.3).astype(float)
+    b = models.logistic(X, y, 2.0)
+    slope = np.column_stack([np.ones(300), X]).T @ (models.chance(b, X) - y) + 2.0 * np.r_[0, b[1:]]
+    assert np.abs(slope).max() < 1e-6
+    flat = models.logistic(np.column_stack([X, np.zeros(300), np.ones(300)]), y, 0.0)  # a column of zeros, and one like the intercept
+    assert np.allclose(models.linear(flat, np.column_stack([X, np.zeros(300), np.ones(300)])), models.linear(models.logistic(X, y, 0.0), X), atol=1e-5)
+    apart = models.logistic(X[:, :1], (X[:, 0] > 0).astype(float), 0.3)  # separable, held by the penalty
+    assert np.isfinite(apart).all() and apart[1] > 1
+    assert np.abs(models.logistic(X, np.ones(300), 1.0)[1:]).max() < 1e-3
+
+
 def test_peers_make_up_for_delay(spark, factor_rows):
     s = scoring.substitution_rate(scoring.skill(walkforward.walk(factor_rows, P)))
     r = {x["delta"]: x for x in s.collect()}
