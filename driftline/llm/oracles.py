@@ -11,24 +11,32 @@ OP1 = f"""WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, '')
 SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p"""
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
-_RULES = ", ".join(f"('{r}', {j}, {c})" for r, cs in q.RULES.items() for j, c in enumerate(cs))
 _STRATUM = "CASE " + " ".join(f"WHEN n_words < {b} THEN {k}" for k, b in enumerate(q.BANDS)) + f" ELSE {len(q.BANDS)} END"
-_LEVEL = q.DELTA / (len(q.RULES) * (len(q.BANDS) + 1))
+_LEVEL = q.DELTA / (len(q.BANDS) + 2)
+_STEPS = ", ".join([f"(max(bin) + ({q.GRID} - max(bin)) * {x}) / {q.GRID}" for x in q.SLACK] + [f"min(CASE WHEN below >= {1 - x!r} * total THEN bin END) / {q.GRID}" for x in q.TAILS])
+_UNDER = " UNION ALL ".join(f"SELECT h, stratum, '{r}' AS rule, {r} AS val FROM hd" for r in q.RULES)
 
-OP6 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text='text')} AS w, {_BARE} AS bare, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+OP6 = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, md5(coalesce(text, '')) AS h, {_WORDS.format(text='text')} AS w, {_BARE} AS bare, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 cov AS (SELECT rid, count(DISTINCT i + k) AS n FROM win CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY 1),
-m AS (SELECT doc_id, d.rid, CAST(len(w) AS bigint) AS n_words, CAST(length(bare) AS bigint) AS word_chars, CAST(length(bare) - length(regexp_replace(bare, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
+m AS (SELECT doc_id, d.rid, h, CAST(len(w) AS bigint) AS n_words, CAST(length(bare) AS bigint) AS word_chars, CAST(length(bare) - length(regexp_replace(bare, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS bigint) AS n_repeat_words, len(lines) AS n_lines,
   length(bare) - length(regexp_replace(bare, '[A-Z]', '', 'g')) AS n_upper, length(bare) - length(replace(bare, '!', '')) AS n_bang FROM d LEFT JOIN cov USING (rid)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_STRATUM} AS stratum, map {{'symbol_share': n_symbols / greatest(word_chars, 1), 'upper_share': n_upper / greatest(word_chars, 1), 'bang_share': n_bang / greatest(word_chars, 1), 'repeat_share': n_repeat_words / greatest(n_words, 1), 'dup_line_share': n_dup_lines / greatest(n_lines, 1)}} AS v FROM m),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_STRATUM} AS stratum, n_symbols / greatest(word_chars, 1) AS symbol_share, n_upper / greatest(word_chars, 1) AS upper_share, n_bang / greatest(word_chars, 1) AS bang_share, n_repeat_words / greatest(n_words, 1) AS repeat_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share FROM m),
 clean AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(coalesce(quality, 0)) = 1),
-t AS (SELECT * FROM (VALUES {_RULES}) t(rule, j, cutoff)),
-k AS (SELECT stratum, rule, j, cutoff, count(*) AS n, sum(CAST(v[rule] > cutoff AS bigint)) AS k FROM b JOIN clean USING (doc_id) CROSS JOIN t WHERE NOT base_failed GROUP BY 1, 2, 3, 4),
-h AS (SELECT *, k < n * {q.RISK} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.RISK}) + (n - i) * ln(1 - {q.RISK}))) FROM range(0, CAST(k AS bigint) + 1) r(i)) <= {_LEVEL!r} AS holds FROM k),
-s AS (SELECT stratum, rule, coalesce(min(CASE WHEN NOT holds THEN j END), count(*)) AS stop FROM h GROUP BY 1, 2),
-c AS (SELECT s.stratum, s.rule, t.cutoff FROM s JOIN t ON t.rule = s.rule AND t.j = s.stop - 1),
-o AS (SELECT rid, bool_or(v[rule] > cutoff) AS over FROM b JOIN c USING (stratum) GROUP BY 1)
+own AS (SELECT DISTINCT h, stratum, {', '.join(q.RULES)} FROM b JOIN clean USING (doc_id) WHERE NOT base_failed),
+hd AS (SELECT * FROM own UNION ALL SELECT * REPLACE ({q.POOLED} AS stratum) FROM own),
+u AS (SELECT *, CAST('0x' || substr(h, 1, 2) AS int) % {q.TUNING} = 0 AS tune FROM ({_UNDER})),
+bins AS (SELECT stratum, rule, CAST(ceil(val * {q.GRID}) AS bigint) AS bin, count(*) AS c FROM u WHERE tune GROUP BY 1, 2, 3),
+run AS (SELECT *, sum(c) OVER (PARTITION BY stratum, rule ORDER BY bin) AS below, sum(c) OVER (PARTITION BY stratum, rule) AS total FROM bins),
+st AS (SELECT stratum, rule, [{_STEPS}] AS steps FROM run GROUP BY 1, 2),
+cu AS (SELECT stratum, rule, unnest(steps) AS cutoff, unnest(range(len(steps))) AS step FROM st),
+ov AS (SELECT u.stratum, u.h, step, bool_or(val > cutoff) AS over FROM u JOIN cu USING (stratum, rule) WHERE NOT tune GROUP BY 1, 2, 3),
+k AS (SELECT stratum, step, count(*) AS n, sum(CAST(over AS bigint)) AS k FROM ov GROUP BY 1, 2),
+t AS (SELECT *, k < n * {q.RISK} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.RISK}) + (n - i) * ln(1 - {q.RISK}))) FROM range(0, CAST(k AS bigint) + 1) r(i)) <= {_LEVEL!r} AS holds FROM k WHERE pow(1 - {q.RISK}, n) <= {_LEVEL!r}),
+s AS (SELECT stratum, coalesce(min(CASE WHEN NOT holds THEN step END), count(*)) - 1 AS step FROM t GROUP BY 1),
+c AS (SELECT z.stratum, cu.rule, cu.cutoff FROM (SELECT unnest(range({len(q.BANDS) + 1})) AS stratum) z LEFT JOIN s o ON o.stratum = z.stratum LEFT JOIN s a ON a.stratum = {q.POOLED} JOIN cu ON cu.stratum = coalesce(o.stratum, a.stratum) AND cu.step = coalesce(o.step, a.step)),
+o AS (SELECT rid, bool_or(CASE c.rule {' '.join(f"WHEN '{r}' THEN {r}" for r in q.RULES)} END > cutoff) AS over FROM b JOIN c USING (stratum) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept FROM b LEFT JOIN o USING (rid)"""
 
 OP7 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),

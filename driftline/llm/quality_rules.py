@@ -1,40 +1,49 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Base measures of every text come in one pass without a shuffle. For each rule (a measure that is
-high in junk) and each stratum (a band of text length), cutoffs are tried from the loosest to the
-tightest. A cutoff holds if the exact binomial bound says that it rejects at most ``risk`` of the
-clean labelled documents: P(Bin(n, risk) <= k) <= delta / (rules * strata), k of n rejected. The
-fixed order needs no correction for the number of cutoffs; rules and strata are corrected for by
-Bonferroni. The tightest cutoff before the first that fails is taken; without one, the rule is off
-in that stratum.
+Base measures of every text come in one pass without a shuffle. A text goes if any rule (a measure
+that is high in junk) is above its cutoff. What is bounded is this verdict, not each rule: in each
+stratum (a band of text length) it shall reject at most ``risk`` of the clean documents.
+
+* Clean labelled documents, equal texts once, are dealt by a hash of the text: ``TUNING`` of them
+  propose cutoffs, the others are the holdout that tests them.
+* The proposals are steps from loose to tight, the same for all rules: from 1 down to the greatest
+  value of the tuning documents (``SLACK``), then down its upper quantiles (``TAILS``), on a grid of 1 / GRID.
+* A step holds if the exact binomial bound says so: P(Bin(n, risk) <= k) <= delta / (strata + 1), k of
+  the n holdout documents rejected by any rule. Steps are tested in their order up to the first that
+  fails, which needs no correction for their number (they don't depend on the holdout); strata are
+  corrected for by Bonferroni. The last step that holds is taken; without one all rules are off.
+* A stratum whose holdout is so small that even k = 0 can't hold takes the cutoffs of all strata pooled,
+  which are tested alike (the + 1 above). There the bound holds for clean documents of all lengths together.
+
+Near-equal texts still count as trials of their own. 3-word windows are told apart by 64-bit hashes less
+as many bits as a text's window numbers need: in a text of 20,000 words the chance of a false repeat is 4 in 10 million.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import stored
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Upper ends of the bands of n_words that are strata; the last is open.
+# Upper ends of the bands of n_words that are strata; the last is open. All together are the stratum POOLED.
 BANDS = (200, 600)
-RISK, DELTA = 0.02, 0.05
-# Cutoffs of each rule, loosest first: a text is rejected if its measure is above.
-RULES: dict[str, tuple[float, ...]] = {
-    "symbol_share": (0.6, 0.45, 0.3, 0.2, 0.15, 0.1, 0.07, 0.05),
-    "upper_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
-    "repeat_share": (0.48, 0.45, 0.4, 0.35, 0.3, 0.25),
-    "dup_line_share": (0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
-    "bang_share": (0.6, 0.45, 0.3, 0.2, 0.15, 0.1, 0.07),
-}
+POOLED = -1
+RISK, DELTA = 0.03, 0.05
+RULES = ("symbol_share", "upper_share", "repeat_share", "dup_line_share", "bang_share")
+SLACK = (0.75, 0.5, 0.25, 0.1, 0.0)
+TAILS = (0.001, 0.0025, 0.005, 0.01, 0.02)
+GRID = 1000
+# One in so many clean documents is for tuning.
+TUNING = 3
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and shares) per row; null text counts as empty.
+    """(doc_id, h, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and shares) per row, h the text's MD5; null text counts as empty.
 
     Other columns of ``docs`` are ignored. Repeated doc_ids are measured row by row.
     """
@@ -44,6 +53,7 @@ def measures(docs: DataFrame) -> DataFrame:
     lacking = lambda chars: F.length(bare) - F.length(F.translate(bare, chars, ""))
     d = docs.select(
         "doc_id",
+        F.md5(text).alias("h"),
         F.filter(F.split(F.translate(text, spaces + "\n", " " * 5), " "), lambda w: w != "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: F.translate(x, " \t\x0b\x0c\r", "") != "").alias("lines"),
         F.length(bare).cast("long").alias("word_chars"),
@@ -51,23 +61,24 @@ def measures(docs: DataFrame) -> DataFrame:
         lacking(UPPER).alias("n_upper"),
         lacking("!").alias("n_bang"),
     )
-    n = F.size("w")
-    at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    keyed = F.transform(at, lambda i: F.struct(F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")))
-    kept = ["doc_id", "word_chars", "n_symbols", "n_upper", "n_bang"]
+    kept = ["doc_id", "h", "word_chars", "n_symbols", "n_upper", "n_bang"]
+    # Windows as longs, the hash above and the number below: sorted as primitives, equal hashes lie side by side.
     d = d.select(
-        *kept, n.cast("long").alias("n_words"), F.array_sort(keyed).alias("s"), F.size("lines").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        *kept, "w", F.size("w").alias("n"), F.size("lines").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.size("w"), F.lit(2))))).cast("long").alias("room"),
     )
-    same = lambda x, j: F.coalesce(F.get("s", j)["h"] == x["h"], F.lit(False))
-    twice = F.transform("s", lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"]))
-    d = d.select(*kept, "n_words", "n_lines", "n_dup_lines", F.array_sort(F.array_compact(twice)).alias("f"))
+    at = F.when(F.col("n") >= 3, F.sequence(F.lit(0), F.col("n") - 3)).otherwise(F.array().cast("array<int>"))
+    key = F.transform(at, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).bitwiseAND(-F.col("room")).bitwiseOR(i.cast("long")))
+    d = d.select(*kept, "n_lines", "n_dup_lines", F.col("n").cast("long").alias("n_words"), "room", F.sort_array(key).alias("s"))
+    same = lambda x, j: F.coalesce(F.get("s", j).bitwiseAND(-F.col("room")) == x.bitwiseAND(-F.col("room")), F.lit(False))
+    twice = F.transform(F.filter("s", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x.bitwiseAND(F.col("room") - 1).cast("int"))
+    d = d.select(*kept, "n_words", "n_lines", "n_dup_lines", F.sort_array(twice).alias("f"))
     start = F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate("f", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     d = d.select(*kept, "n_words", "n_lines", "n_dup_lines", covered.cast("long").alias("n_repeat_words"))
     share = lambda x, of: (F.col(x) / F.greatest(F.col(of), F.lit(1))).alias
     return d.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("n_symbols", "word_chars")("symbol_share"), share("n_upper", "word_chars")("upper_share"), share("n_bang", "word_chars")("bang_share"),
         share("n_repeat_words", "n_words")("repeat_share"), share("n_dup_lines", "n_lines")("dup_line_share"),
         ((F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).alias("base_failed"),
@@ -112,20 +123,46 @@ def binomial_tail(k: F.Column, n: F.Column, p: float) -> F.Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_top) * total)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, rules: dict | None = None) -> DataFrame:
-    """(stratum, rule, cutoff) of the rules that are on. Labels: (doc_id, quality); a document counts as clean if all its labels are 1."""
-    rules = RULES if rules is None else rules
+def tuning() -> F.Column:
+    return F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % TUNING == 0
+
+
+def proposals(clean: DataFrame) -> DataFrame:
+    """(stratum, rule, step, cutoff) from tuning documents (stratum, rules): counts on the grid, then their running sums."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(F.col(r) * GRID).cast("long").alias("bin")) for r in RULES]))
+    bins = clean.select("stratum", pairs.alias("x")).groupBy("stratum", "x.rule", "x.bin").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("stratum", "rule")
+    run = bins.withColumn("below", F.sum("c").over(w.orderBy("bin"))).withColumn("all", F.sum("c").over(w))
+    top = F.max("bin")
+    steps = [(top + (GRID - top) * x) / GRID for x in SLACK] + [F.min(F.when(F.col("below") >= (1 - x) * F.col("all"), F.col("bin"))) / GRID for x in TAILS]
+    return run.groupBy("stratum", "rule").agg(F.array(*steps).alias("steps")).select("stratum", "rule", F.posexplode("steps").alias("step", "cutoff"))
+
+
+def tested(clean: DataFrame, risk: float, delta: float) -> DataFrame:
+    """(stratum, n, step, k, holds, cutoffs) of every step, cutoffs a map by rule; ``clean``: (h, n_words, rules), equal texts once."""
+    both = clean.withColumn("stratum", F.explode(F.array(stratum(), F.lit(POOLED))))
+    steps = proposals(both.where(tuning())).groupBy("stratum", "step").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    steps = stored(steps)  # strata times steps: a few rows
+    over = F.lit(False)
+    for r in RULES:
+        over = over | (F.col(r) > F.col("cutoffs")[r])
+    k = both.where(~tuning()).join(F.broadcast(steps), "stratum").groupBy("stratum", "step").agg(F.count("*").alias("n"), F.sum(over.cast("long")).alias("k"))
+    level = delta / (len(BANDS) + 2)
+    return k.join(steps, ["stratum", "step"]).withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk) <= level).withColumn("enough", F.pow(F.lit(1 - risk), F.col("n")) <= level)
+
+
+def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, step, cutoffs) of the strata with a step that holds, POOLED among them. Labels: (doc_id, quality); a document counts as clean if all its labels are 1.
+
+    A stratum with too small a holdout is absent, so ``judge`` takes the pooled one; one whose first step fails has step -1 and no cutoffs.
+    """
     clean = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id")
-    held = measured.where(~F.col("base_failed")).join(clean, "doc_id").withColumn("stratum", stratum())
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum((F.col(r) > c).cast("long")).alias(f"{r}_{j}") for r, cs in rules.items() for j, c in enumerate(cs)])
-    tests = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("j"), F.lit(c).alias("cutoff"), F.col(f"{r}_{j}").alias("k")) for r, cs in rules.items() for j, c in enumerate(cs)])
-    t = counts.select("stratum", "n", F.explode(tests).alias("t")).select("stratum", "n", "t.*")
-    t = t.withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk) <= delta / (len(rules) * (len(BANDS) + 1)))
-    # The first that fails ends the sequence.
-    ends = F.min(F.when(~F.col("holds"), F.col("j")))
-    g = t.groupBy("stratum", "rule").agg(ends.alias("stop"), F.sort_array(F.collect_list(F.struct("j", "cutoff"))).alias("all"))
-    taken = F.coalesce(F.col("stop"), F.size("all"))
-    return g.where(taken > 0).select("stratum", "rule", F.get("all", taken - 1)["cutoff"].alias("cutoff"))
+    held = measured.where(~F.col("base_failed")).join(clean, "doc_id").select("h", "n_words", *RULES).distinct()
+    t = tested(stored(held), risk, delta)
+    fail = F.min(F.when(~F.col("holds"), F.col("step"))).over(Window.partitionBy("stratum"))
+    t = t.withColumn("fail", F.coalesce(fail, F.lit(len(SLACK) + len(TAILS)))).where(F.col("enough"))
+    last = F.when(F.col("step") < F.col("fail"), F.col("step"))
+    return t.groupBy("stratum").agg(F.coalesce(F.max(last), F.lit(-1)).alias("step"), F.max_by("cutoffs", last).alias("cutoffs"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -136,10 +173,10 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     """
     m = stored(measures(docs))
     on = cutoffs(m, labels, risk, delta)
-    # One row of at most strata * rules cutoffs, whatever the input.
-    limits = on.agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("/", "stratum", "rule"), "cutoff"))).alias("cut"))
-    j = m.withColumn("stratum", stratum()).crossJoin(F.broadcast(limits))
+    # One row of a cutoff for each stratum and rule, whatever the input.
+    limits = on.agg(F.map_from_entries(F.collect_list(F.struct("stratum", F.coalesce("cutoffs", F.create_map().cast("map<string,double>"))))).alias("cut"))
+    j = m.crossJoin(F.broadcast(limits)).withColumn("mine", F.coalesce(F.try_element_at("cut", stratum()), F.try_element_at("cut", F.lit(POOLED))))
     over = F.lit(False)
     for r in RULES:
-        over = over | F.coalesce(F.col(r) > F.try_element_at("cut", F.concat_ws("/", F.col("stratum").cast("string"), F.lit(r))), F.lit(False))
+        over = over | F.coalesce(F.col(r) > F.try_element_at("mine", F.lit(r)), F.lit(False))
     return j.withColumn("kept", ~F.col("base_failed") & ~over).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -278,17 +278,76 @@ def test_quality_rules(spark, docs, rows, empty):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
-def test_cutoffs_are_safe(spark):
-    """Rules with enough clean labels come on; one that would reject clean documents stays off."""
-    m = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit(300).alias("n_words"), F.lit(False).alias("base_failed"), (F.col("id") % 10 / 100).alias("symbol_share"), F.lit(0.95).alias("upper_share"), *[F.lit(0.0).alias(c) for c in ("bang_share", "repeat_share", "dup_line_share")])
-    on = {r["rule"]: r["cutoff"] for r in quality_rules.cutoffs(m, m.select("doc_id", F.lit(1).alias("quality"))).collect()}
-    assert "upper_share" not in on and on["symbol_share"] == 0.1 and on["bang_share"] == 0.07
-    assert quality_rules.cutoffs(m.limit(20), m.select("doc_id", F.lit(1).alias("quality"))).count() == 0
+def measured(spark, n, seed=1, words=300, **rules):
+    """Measures of n texts as ``measures`` gives them; ``rules``: functions of a random source."""
+    rng = random.Random(seed)
+    rows = [(i, hashlib.md5(f"{seed}-{i}".encode()).hexdigest(), words(rng) if callable(words) else words, False, *[float(rules.get(r, lambda _: 0.0)(rng)) for r in quality_rules.RULES]) for i in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, h string, n_words long, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+
+
+def test_cutoffs_stop_where_the_bound_does(spark):
+    """The joint verdict decides, by exact fractions: each step up to the chosen one holds, and the next fails; the verdict's false rejection keeps its bound."""
+    from math import comb
+
+    q = quality_rules
+    m = measured(spark, 6000, words=lambda r: r.choice([100, 300, 900]), symbol_share=lambda r: r.betavariate(1, 30), upper_share=lambda r: r.betavariate(2, 20), bang_share=lambda r: r.betavariate(1, 60)).persist()
+    labels = m.select("doc_id", F.lit(1).alias("quality"))
+    on = {r["stratum"]: r for r in q.cutoffs(m, labels).collect()}
+    steps = {(r["stratum"], r["step"]): r for r in q.tested(m, q.RISK, q.DELTA).collect()}
+    last, level = len(q.SLACK) + len(q.TAILS) - 1, q.DELTA / (len(q.BANDS) + 2)
+    tail = lambda k, n: sum(comb(n, j) * q.RISK**j * (1 - q.RISK) ** (n - j) for j in range(k + 1))
+    rows = m.collect()
+    stratum_of = lambda r: sum(r["n_words"] >= b for b in q.BANDS)
+    assert set(on) == {-1, 0, 1, 2} and all(0 < r["step"] < last for r in on.values())
+    for s, r in on.items():
+        for step in range(r["step"] + 2):
+            t = steps[s, step]
+            held = [x for x in rows if (s == -1 or stratum_of(x) == s) and int(x["h"][:2], 16) % q.TUNING]
+            k = sum(any(x[c] > t["cutoffs"][c] for c in q.RULES) for x in held)
+            assert (t["n"], t["k"]) == (len(held), k) and (tail(k, len(held)) <= level) == (step <= r["step"])
+        fresh = measured(spark, 4000, seed=9, symbol_share=lambda r: r.betavariate(1, 30), upper_share=lambda r: r.betavariate(2, 20), bang_share=lambda r: r.betavariate(1, 60)).collect()
+        assert sum(any(x[c] > r["cutoffs"][c] for c in q.RULES) for x in fresh) <= q.RISK * len(fresh)
+    m.unpersist()
+
+
+def test_cutoffs_of_small_strata(spark):
+    """A stratum with too few labels takes the pooled cutoffs; without enough in all, every rule is off; equal texts count once; a first step that fails leaves its stratum without rules."""
+    q = quality_rules
+    few = measured(spark, 40, seed=2, words=900, upper_share=lambda r: 0.3)
+    many = measured(spark, 900, seed=3, words=100, upper_share=lambda r: r.random() / 20).withColumn("doc_id", F.col("doc_id") + 1000)
+    m = few.unionByName(many)
+    on = {r["stratum"]: r["step"] for r in q.cutoffs(m, m.select("doc_id", F.lit(1).alias("quality"))).collect()}
+    assert 2 not in on and 1 not in on and on[0] > 0 and q.POOLED in on
+    same = few.crossJoin(spark.range(30).select(F.col("id").alias("copy"))).withColumn("doc_id", F.col("doc_id") * 100 + F.col("copy")).drop("copy")
+    assert q.cutoffs(same, same.select("doc_id", F.lit(1).alias("quality"))).count() == 0
+    assert q.cutoffs(m, m.select("doc_id", F.lit(None).cast("int").alias("quality"))).count() == 0
+    # Tuning documents that are unlike the holdout: the first step rejects too many.
+    h = measured(spark, 900, seed=4, words=100)
+    odd = h.withColumn("upper_share", F.when(q.tuning(), 0.0).otherwise(0.9))
+    assert {(r["stratum"], r["step"], r["cutoffs"]) for r in q.cutoffs(odd, odd.select("doc_id", F.lit(1).alias("quality"))).collect()} == {(0, -1, None), (-1, -1, None)}
+
+
+def test_quality_verdict(spark):
+    """``kept`` follows the chosen cutoffs, not only the base; clashing columns, nulls, repeats and empty tables are no trouble."""
+    rng = random.Random(5)
+    good = [(i, prose(rng, rng.randint(60, 150)).lower()) for i in range(900)]
+    bad = [(1000 + i, prose(rng, 40).upper() + " " + prose(rng, 30).lower()) for i in range(20)] + [(2000, None), (2001, ""), (2002, "x " * 40_000), (1000, "repeated id " + prose(rng, 60).lower())]
+    d = spark.createDataFrame(good + bad, "doc_id long, text string")
+    for c in ("h", "n_words", "stratum", "cut", "mine", "kept", "quality", "w", "s"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = quality_rules.judge(d, spark.createDataFrame([(i, 1) for i, _ in good], "doc_id long, quality int")).collect()
+    assert len(got) == len(good) + len(bad)
+    kept = Counter((r["doc_id"] < 1000, r["base_failed"], r["kept"]) for r in got if len((dict(bad).get(r["doc_id"]) or "x")) < 5000)
+    assert kept[True, False, True] >= 0.97 * 900 and sum(not r["kept"] and not r["base_failed"] for r in got if 1000 <= r["doc_id"] < 1020) >= 20
+    assert {r["kept"] for r in got if r["doc_id"] >= 2000} == {False}
+
+
+def test_binomial_tail(spark):
     from math import comb
 
-    k, n = 3, 300
-    got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k), F.lit(n), 0.02)).head()[0]
-    assert abs(got - sum(comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1))) < 1e-11
+    for k, n, p in ((3, 300, 0.02), (0, 1, 0.5), (40, 2000, 0.03), (7, 10, 0.9)):
+        got = spark.range(1).select(quality_rules.binomial_tail(F.lit(k), F.lit(n), p)).head()[0]
+        assert abs(got - (sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if k < n * p else 1.0)) < 1e-11
 
 
 def test_language(spark, docs, rows, empty):
