@@ -6,15 +6,21 @@ and treats script and style as raw text. Elements that are never displayed, or a
 attribute or inline style, give no text. In svg only text and foreignObject are displayed, each text
 on a line; tokens of a formula stand a space apart; a select has its options, a line each. In svg and
 math '/>' closes an element, and HTML's own elements end them. The renderer keeps block spacing, line breaks, preformatted
-text, nested list marks and numbers, and sets table cells in aligned columns. Neither recurses, so
-depth is no limit.
+text, nested list marks and numbers (indented up to ``MAX_INDENT`` levels), and sets table cells in aligned columns.
+
+Nothing recurses, and no tag is looked for twice: ends of tags, open elements and free columns of a
+table are found by places kept in order, so time grows with a page's length (but each table within a
+table lays its lines out again).
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,13 +55,15 @@ MATH_TOKENS = frozenset("mi mo mn ms mtext".split())
 SCOPE = frozenset("table td th caption button object template".split())
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
+SPECIAL = re.compile(r"[>\"']")
+NAME_END = re.compile(r"[\s/>]")
+COMMENT_END = re.compile(r"--!?>")
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 UNQUOTED_END = re.compile(r"=\s*[^\s\"']\S*\Z")
 HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
-INDENT = "  "
+INDENT, MAX_INDENT = "  ", 40
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -71,7 +79,69 @@ def hidden(tag: str, at: dict[str, str]) -> bool:
 
 def self_closing(text: str) -> bool:
     """Whether a tag's attributes end with '/' that belongs to no unquoted value."""
-    return text.endswith("/") and not UNQUOTED_END.search(QUOTED.sub('""', text))
+    if not text.endswith("/"):
+        return False
+    head, tail = re.match(r"(?s)(.*\s)?(\S*)\Z", QUOTED.sub('""', text)).groups()
+    return not UNQUOTED_END.search(tail) and not ((head or "").rstrip().endswith("=") and tail[0] not in "\"'")
+
+
+class Tags:
+    """Tags of a source in turn. What begins like a tag and has no end is text."""
+
+    def __init__(self, source: str):
+        self.source, self.marks = source, [m.start() for m in SPECIAL.finditer(source)]
+        self.mark = 0  # the first of them that may lie ahead
+        self.dead: set[int] = set()  # quotes after which no tag ends
+        self.over: dict[str, int] = {}  # after which place a quote, or '>', does not occur
+        self.name_end = 0
+
+    def end(self, at: int) -> int | None:
+        """The place of the '>' that ends a tag whose name ends at ``at``; quoted stretches don't count."""
+        source, marks, been = self.source, self.marks, []
+        while self.mark < len(marks) and marks[self.mark] < at:
+            self.mark += 1
+        k = self.mark
+        while k < len(marks):
+            i = marks[k]
+            q = source[i]
+            if q == ">":
+                return i
+            if i in self.dead or i >= self.over.get(q, len(source)):
+                break
+            been.append(i)
+            close = source.find(q, i + 1)
+            if close < 0:
+                self.over[q] = i
+                break
+            k = bisect_right(marks, close, k)
+        self.dead.update(been)
+        return None
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, '/' or '', name, attributes) of the first tag, comment or declaration from ``at`` on; the name is empty for those."""
+        source = self.source
+        while (lo := source.find("<", at)) >= 0:
+            at = lo + 1
+            if source.startswith("<!--", lo):
+                if source.startswith((">", "->"), lo + 4):
+                    return lo, source.index(">", lo) + 1, "", "", ""
+                m = COMMENT_END.search(source, lo + 4)
+                return lo, m.end() if m else len(source), "", "", ""
+            slash = source[at : at + 1] == "/"
+            first = source[at + slash : at + slash + 1]
+            if first.isascii() and first.isalpha():
+                if self.name_end < at + slash:
+                    m = NAME_END.search(source, at + slash)
+                    self.name_end = m.start() if m else len(source)
+                end = self.end(self.name_end)
+                if end is not None:
+                    return lo, end + 1, "/" * slash, source[at + slash : self.name_end].lower(), source[self.name_end : end]
+            if slash or first in ("!", "?"):  # an end tag without a name, a declaration
+                k = source.find(">", at) if at < self.over.get(">", len(source)) else -1
+                if k >= 0:
+                    return lo, k + 1, "", "", ""
+                self.over.setdefault(">", at)
+        return None
 
 
 def width(line: str) -> int:
@@ -116,7 +186,7 @@ class Flow:
         if self.gap and self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
-        pad = INDENT * self.depth
+        pad = INDENT * min(self.depth, MAX_INDENT)
         for k, x in enumerate(lines):
             mark = self.bullet if k == 0 and self.bullet is not None else pad
             self.lines.append((mark + x).rstrip(" ") if x or mark.strip() else "")
@@ -127,6 +197,51 @@ class Flow:
         self.gap = max(self.gap, gap)
 
 
+class Taken:
+    """Columns that cells of rows above reach down into: runs [lo, hi) in order, apart from each other."""
+
+    def __init__(self):
+        self.lo: list[int] = []
+        self.hi: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # a heap of (row, lo, hi): free again from that row on
+
+    def free(self, col: int) -> int:
+        k = bisect_right(self.lo, col) - 1
+        return self.hi[k] if k >= 0 and self.hi[k] > col else col
+
+    def take(self, lo: int, hi: int, row: int) -> None:
+        """The part of lo .. hi - 1 that is not taken yet, up to ``row``."""
+        while lo < hi:
+            lo = self.free(lo)
+            k = bisect_right(self.lo, lo)
+            stop = min(hi, self.lo[k]) if k < len(self.lo) else hi
+            if lo >= stop:
+                return
+            heapq.heappush(self.until, (row, lo, stop))
+            left, right = k > 0 and self.hi[k - 1] == lo, k < len(self.lo) and self.lo[k] == stop
+            if left and right:
+                self.hi[k - 1] = self.hi.pop(k)
+                self.lo.pop(k)
+            elif left:
+                self.hi[k - 1] = stop
+            elif right:
+                self.lo[k] = lo
+            else:
+                self.lo.insert(k, lo)
+                self.hi.insert(k, stop)
+            lo = stop
+
+    def pass_to(self, row: int) -> None:
+        while self.until and self.until[0][0] <= row:
+            _, lo, hi = heapq.heappop(self.until)
+            k = bisect_right(self.lo, lo) - 1
+            a, b = self.lo.pop(k), self.hi.pop(k)
+            for x, y in ((hi, b), (a, lo)):
+                if x < y:
+                    self.lo.insert(k, x)
+                    self.hi.insert(k, y)
+
+
 class Table:
     """Rows of cells; a cell is [lines, columns, rows]."""
 
@@ -135,18 +250,18 @@ class Table:
 
     def lines(self) -> list[str]:
         """Cells in a grid, columns two spaces apart; a cell with several lines takes several."""
-        grid, waiting = [], {}
-        for row in self.rows:
-            at, placed, col = {}, [], 0
-            waiting = {c: n - 1 for c, n in waiting.items() if n > 1}
+        grid, taken = [], Taken()
+        for k, row in enumerate(self.rows):
+            placed, col, down = [], 0, []
+            taken.pass_to(k)
             for lines, cols, rows in row:
-                while col in waiting:
-                    col += 1
+                col = taken.free(col)
                 placed.append((col, lines, cols))
-                if rows > 1:
-                    at |= {c: rows for c in range(col, col + cols)}
+                if rows > 1 and k + 1 < len(self.rows):
+                    down.append((col, col + cols, min(k + rows, len(self.rows))))
                 col += cols
-            waiting |= at
+            for x in down:
+                taken.take(*x)
             grid.append(placed)
         wide: dict[int, int] = {}
         for placed in grid:
@@ -174,6 +289,7 @@ class Table:
 class Page:
     def __init__(self):
         self.stack: list[tuple[str, int, bool]] = []  # tag, hidden (2: in svg, outside its texts), pre
+        self.places: dict[str, list[int]] = defaultdict(list)  # of each tag, where it is on the stack
         self.within: list[str | None] = []  # of each open element: svg or math, if its children belong to it
         self.flow = Flow()
         self.lists: list[list] = []  # of each open list: its flow, and the next number or None
@@ -185,6 +301,7 @@ class Page:
 
     def push(self, tag: str, hide: int, pre: bool) -> None:
         self.within.append(tag if tag in FOREIGN else None if tag in INTEGRATION else self.foreign())
+        self.places[tag].append(len(self.stack))
         self.stack.append((tag, hide, pre))
 
     def open(self, tag: str, at: dict[str, str], closed: bool = False) -> None:
@@ -192,7 +309,7 @@ class Page:
         while tag in BREAKOUT and self.foreign():
             self.end_any(FOREIGN, set())
         within = self.foreign()
-        if tag in ("html", "body") and any(t == tag for t, _, _ in self.stack):
+        if tag in ("html", "body") and self.places[tag]:
             return
         if tag in IMPLIED_END:
             ends, limits = IMPLIED_END[tag]
@@ -245,7 +362,9 @@ class Page:
         elif tag in CELLS and self.tables:
             num = lambda k, most: min(max(int(m[0]) if (m := re.match(r"\d{1,6}", at.get(k, "").strip())) else 1, 1), most)
             self.flow = Flow()
-            self.tables[-1].rows[-1:] = [(self.tables[-1].rows[-1] if self.tables[-1].rows else []) + [[[], num("colspan", MAX_COLSPAN), num("rowspan", MAX_ROWSPAN)]]]
+            if not self.tables[-1].rows:
+                self.tables[-1].rows.append([])
+            self.tables[-1].rows[-1].append([[], num("colspan", MAX_COLSPAN), num("rowspan", MAX_ROWSPAN)])
         elif tag in ("ul", "ol", "menu", "dir"):
             f.block(0 if self.lists and self.lists[-1][0] is f else 1)
             first = re.match(r"-?\d{1,9}", at.get("start", "").strip())
@@ -257,7 +376,7 @@ class Page:
             mark = "- " if number is None else f"{number}. "
             if number is not None:
                 self.lists[-1][1] += 1
-            f.bullet = INDENT * max(f.depth - 1, 0) + mark
+            f.bullet = INDENT * min(max(f.depth - 1, 0), MAX_INDENT) + mark
         elif tag == "dd":
             f.block(0)
             f.depth += 1
@@ -269,6 +388,7 @@ class Page:
 
     def pop(self) -> None:
         tag, hide, _ = self.stack.pop()
+        self.places[tag].pop()
         self.within.pop()
         if hide:
             return
@@ -285,7 +405,8 @@ class Page:
         elif tag in CELLS and self.tables and self.tables[-1].rows and self.tables[-1].rows[-1]:
             f.line()
             self.tables[-1].rows[-1][-1][0] = f.lines
-            self.lists = [x for x in self.lists if x[0] is not f]
+            while self.lists and self.lists[-1][0] is f:
+                self.lists.pop()
             self.flow = self.tables[-1].outer
         elif tag in ("ul", "ol", "menu", "dir") and self.lists:
             f.block(0)
@@ -298,23 +419,23 @@ class Page:
         elif tag in BLOCK:
             f.block(1 if tag in SPACED else 0)
 
+    def nearest(self, tags) -> int:
+        """Where the nearest open element of ``tags`` is on the stack; -1 if there is none."""
+        top = -1
+        for t in tags:
+            if (at := self.places.get(t)) and at[-1] > top:
+                top = at[-1]
+        return top
+
     def has(self, tag: str, limits) -> bool:
-        for t, _, _ in reversed(self.stack):
-            if t == tag:
-                return True
-            if t in limits:
-                return False
-        return False
+        return bool(self.places[tag]) and self.places[tag][-1] > self.nearest(limits)
 
     def end_any(self, tags, limits) -> None:
         """Close up to and with the nearest of ``tags``, unless one of ``limits`` stands before it."""
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if self.stack[k][0] in limits:
-                return
+        k = self.nearest(tags)
+        if k >= 0 and k > self.nearest(limits):
+            while len(self.stack) > k:
+                self.pop()
 
     def close(self, tag: str) -> None:
         if tag == "p" and not self.has("p", SCOPE):
@@ -342,23 +463,22 @@ class Page:
 def render(source: str | None) -> str:
     """The visible text of a page. Null or empty: empty. What no tag claims is text."""
     page, at, source = Page(), 0, (source or "").replace("\0", "")
-    for_tag = TOKEN.search
+    tags = Tags(source)
     while at < len(source):
-        m = for_tag(source, at)
-        stop = m.start() if m else len(source)
+        m = tags.next(at)
+        stop = m[0] if m else len(source)
         if stop > at:
             page.text(html.unescape(source[at:stop]))
         if not m:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, slash, tag, rest = m
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if slash:
             page.close(tag)
             continue
         within = page.foreign()
-        page.open(tag, attributes(m[3]) if m[3] else {}, self_closing(m[3]))
+        page.open(tag, attributes(rest) if rest else {}, self_closing(rest))
         if (tag in RAW or tag in RCDATA) and not within:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             stop = end.start() if end else len(source)

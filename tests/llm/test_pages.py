@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pyarrow.fs as pafs
@@ -161,3 +162,34 @@ def test_self_closing_in_svg_and_math():
     assert r("<div/>a<p/>b") == "a\n\nb"
     assert r("<svg><path><p>out</p>more") == "out\n\nmore"
     assert r("<title/>not text</title>x") == "x"
+
+
+def test_time_grows_with_the_page():
+    """Shapes that make scanners look twice, a megabyte each."""
+    shapes = [
+        "<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 28_000, "<table>" + "<tr><td rowspan=9999>x" * 45_000, "<a " * 333_000, '<a "' * 250_000 + ">", "<a '\"" * 200_000 + ">", "<ul><li>x" * 111_000, "<a" * 500_000,
+        "<i><table><td>" + "<b>" * 140_000 + "</i>" * 140_000, "<a " + "=a" * 500_000 + " x/>", "<!x" * 333_000, "<ul><li>" * 50_000 + "<table>" + "<td>x" * 100_000, "<p>" + "<span>" * 160_000,
+    ]
+    for s in shapes:
+        began = time.process_time()
+        html_text.render(s)
+        assert time.process_time() - began < 20, s[:40]
+
+
+def test_tags_with_quotes_and_without_ends():
+    r = html_text.render
+    assert r("<p title='a>b'>x<p title=\"it's\">y") == "x\n\ny"
+    assert r("<p t='q>one <b title=\"x>y\">two</b>") == "<p t='q>one two"
+    assert r("a <b c") == "a <b c" and r("a <!-- b") == "a" and r("a <? b> c</ >d") == "a cd" and r("a <!b") == "a <!b"
+    assert r("x<b a=\"1\" b='2'/>y</b>") == "xy" and r("<svg><g a=b/>t</svg>z") == "z"
+
+
+def test_cells_that_span(spark):
+    page = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td colspan=2>f<td>g</table>"
+    assert html_text.render(page) == "a  b  c\n   d  e\nf     g"
+    rows = [(1, "u", page), (1, "u", page), (2, None, "<p>" + "long " * 200_000)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    for c in ("text", "n_chars", "n_lines"):
+        d = d.withColumn(c, F.lit("clash"))
+    got = sorted(html_text.extract(d).collect())
+    assert [r["page_id"] for r in got] == [1, 1, 2] and got[0] == got[1] and got[2]["n_chars"] == 5 * 200_000 - 1
