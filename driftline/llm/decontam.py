@@ -21,12 +21,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import textkit as tk
+from .store import stored
 
 WINDOW, COVERAGE = 5, 0.5
 # Literal words that a window needs to count.
@@ -287,15 +290,30 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     a window that counts has one in ``item_windows``, the whole of it. Repeated rows on either side: a row each. Other columns are ignored. No match, or an empty table: no rows.
     """
     spark = docs.sparkSession
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, n_windows long, item_windows long, coverage double, reparameterised boolean"
-    out = None
-    for block in blocks(benchmark):
-        part = docs.select("doc_id", "text").mapInArrow(_finder(spark.sparkContext.broadcast(block), schema), schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def _finder(build, schema: str):
+    item = benchmark.schema["item_id"].dataType
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {item.simpleString()}, n_windows long, item_windows long, coverage double, reparameterised boolean"
+    parts = []
+    for block, more in _with_more(blocks(benchmark)):
+        build = spark.sparkContext.broadcast(block)
+        part = docs.select("doc_id", "text").mapInArrow(_finder(build, schema, to_arrow_type(item)), schema)
+        if more or parts:  # one block at a time: this one is done with before the next is sent
+            part = stored(part)
+            build.destroy()
+        parts.append(part)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def _with_more(items):
+    """Each item, and whether another follows."""
+    items = iter(items)
+    now = next(items, None)
+    while now is not None:
+        after = next(items, None)
+        yield now, after is not None
+        now = after
+
+
+def _finder(build, schema: str, item_type):
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
@@ -306,13 +324,13 @@ def _finder(build, schema: str):
                 rows = k.leaks(buf, offs, units)
                 if rows:
                     total = [max(int(k.total[i]), 1) for _, i, _, _ in rows]
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + d for d, *_ in rows])), pa.array([k.ids[i] for _, i, _, _ in rows], pa.int64()), pa.array([n for _, _, n, _ in rows], pa.int64()), pa.array(total, pa.int64()), pa.array([n / t for (_, _, n, _), t in zip(rows, total)]), pa.array([r for *_, r in rows])], names)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([lo + d for d, *_ in rows])), pa.array([k.ids[i] for _, i, _, _ in rows]).cast(item_type), pa.array([n for _, _, n, _ in rows], pa.int64()), pa.array(total, pa.int64()), pa.array([n / t for (_, _, n, _), t in zip(rows, total)]), pa.array([r for *_, r in rows])], names)
 
     return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated rows; all columns as they are. Nothing is shuffled."""
+    """``docs`` without contaminated rows; all columns as they are. Nothing is shuffled; each block of the benchmark beyond the first is a scan more."""
     spark = docs.sparkSession
 
     def keeper(build):
@@ -327,6 +345,12 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(keeper(spark.sparkContext.broadcast(block)), docs.schema)
+    several = False
+    for block, more in _with_more(blocks(benchmark)):
+        build = spark.sparkContext.broadcast(block)
+        docs = docs.mapInArrow(keeper(build), docs.schema)
+        several |= more
+        if several:
+            docs = stored(docs)
+            build.destroy()
     return docs

@@ -131,7 +131,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
     for r in langs:
         share = F.when(F.col("lang") == r["lang"], min(1.0, per_lang / r["n"])).otherwise(share)
     at = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(at < share).select("lang", "text").limit(2 * per_lang * len(langs))
+    sample = rows.where(at < share).select("lang", "text")
 
     def encode(batches):
         for b in batches:
@@ -139,7 +139,8 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
                 x = histograms(buf, offs).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = sample.mapInArrow(encode, "lang string, x binary").toPandas()
+    # Texts become histograms where they lie; the limit only guards against a doc_id that repeats without end.
+    got = sample.mapInArrow(encode, "lang string, x binary").limit(2 * per_lang * len(langs)).toPandas()
     X = np.stack([np.frombuffer(x, np.float16) for x in got["x"]]).astype(np.float32)
     lang = got["lang"].to_numpy()
     order = np.lexsort((got["x"].to_numpy(), lang))  # rows arrive in any order
@@ -182,14 +183,23 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def known(docs: DataFrame, model: dict | None) -> DataFrame:
-    """``docs`` without rows of language ``und``; all columns as they are. Without a model all rows with a letter stay."""
+    """``docs`` without rows of language ``und``, and with the language predicted in ``lang``, if there is such a column; other columns as they are.
+
+    Without a model all rows with a letter stay as they are.
+    """
+    place = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches):
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
+            keep, said = np.zeros(b.num_rows, bool), np.full(b.num_rows, None, object)
             for lo, hi, buf, offs in tk.slices(b.column("text")):
-                keep[lo:hi] = label(buf, offs, model)[0] != "und" if model else has_letter(buf, offs)
-            yield b.filter(pa.array(keep))
+                if model:
+                    said[lo:hi] = label(buf, offs, model)[0]
+                keep[lo:hi] = said[lo:hi] != "und" if model else has_letter(buf, offs)
+            cols = list(b.columns)
+            if model and place is not None:
+                cols[place] = pa.array(said, pa.string()).cast(cols[place].type)
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names).filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
 

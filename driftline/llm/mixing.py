@@ -5,8 +5,10 @@
    their targets up to ``max_repeat`` times their size, excess reshared by weight.
 3. ``apportion`` gives sources whole blocks by the highest quotients target / (2 seats + 1):
    the house goes to all quotients above a divisor, found by narrowing it with one aggregate of
-   many trial divisors per round. Within a source, shards get integer quotas the same way.
-4. A shard's documents lie end to end in seeded order. Its words are cut into equal blocks; a
+   many trial divisors per round; of equal last quotients the later sources give way, so the house is
+   met exactly. Within a source, shards get integer quotas the same way.
+4. A shard's documents lie end to end in seeded order. Its words are cut into floor(words / 64) blocks that
+   are equal to a word: 64 words in a large shard, up to 127 in one that has no more. A
    quota of q over n blocks takes each block q // n times and q % n seeded ones once more.
 
 Nothing is gathered but single rows of sums. A shard holds a bounded share of the corpus, and a
@@ -75,7 +77,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), share
 
 
 def divisor(votes: DataFrame, house: int, trials: int = 64, rounds: int = 12) -> float:
-    """A divisor d for which rounding ``target / d`` half up (at most ``cap``) gives at least ``house`` seats, and hardly more."""
+    """A divisor d for which rounding ``target / d`` half up (at most ``cap``) gives at least ``house`` seats, and more by ties alone."""
     total = float(votes.agg(F.sum("target")).head()[0] or 0)
     if house <= 0 or total <= 0:
         return float("inf")
@@ -96,6 +98,19 @@ def divisor(votes: DataFrame, house: int, trials: int = 64, rounds: int = 12) ->
     return lo
 
 
+def apportion(votes: DataFrame, house: int) -> DataFrame:
+    """(rank, seats): exactly ``house`` Sainte-Lague seats (or all that caps allow) for (rank, target, cap); ties to the lower rank."""
+    d = divisor(votes, house)
+    given = stored(votes.select("rank", "target", F.least(F.floor(F.col("target") / d + 0.5), F.col("cap")).cast("long").alias("seats")))
+    over = int((given.agg(F.sum("seats")).head()[0] or 0) - max(house, 0))
+    if over <= 0:
+        return given.select("rank", "seats")
+    # The lowest last quotients go back: as many as sources tie at the divisor, one of each.
+    last = given.where("seats > 0").select("rank", (F.col("target") / (2 * F.col("seats") - 1)).alias("q"))
+    back = last.orderBy(F.round(F.log("q"), 12), F.desc("rank")).limit(over).select("rank", F.lit(1).alias("back"))
+    return given.join(back, "rank", "left").select("rank", (F.col("seats") - F.coalesce("back", F.lit(0))).alias("seats"))
+
+
 def highest_quotients(votes: np.ndarray, cap: np.ndarray, house: int) -> np.ndarray:
     """Sainte-Lague seats: ``house`` of the quotients votes / (2 k - 1), k up to cap, highest first; ties to the first."""
     votes, cap = np.asarray(votes, float), np.asarray(cap, np.int64)
@@ -126,20 +141,20 @@ def _shard_quotas(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf[["rank", "shard", "words", "blocks", "quota"]]
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs`` (doc_id, text, source).
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, weights: tuple[int, ...] = (1, 2, 3), share: float = 1.0, max_repeat: int = 3, shard_words: int = SHARD_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, and the columns ``carry``) for every row of ``docs`` (doc_id, text, source).
 
     Null or blank text: size and taken 0. Null source: a source that ranks last. A repeated
     doc_id: each row is a document of its own. Empty table: no rows. Other columns are ignored.
     Same input and seed, same result, whatever the partitions.
     """
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = stored(docs.select("doc_id", *carry, "source", word_count(F.col("text")).alias("size")))
     src, total = source_targets(sizes, weights, share, max_repeat)
     load = float(src.agg(F.sum("load")).head()[0] or 0)
     per_shard = max(float(shard_words), load / MAX_SHARDS)
     src = stored(src.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("load") / per_shard)).cast("int")))
     placed = sizes.join(src.select("mix_source", "rank", "shards"), F.col("source").eqNullSafe(F.col("mix_source")))
-    placed = stored(placed.select("doc_id", "size", "rank", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int").alias("shard")))
+    placed = stored(placed.select("doc_id", *carry, "size", "rank", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int").alias("shard")))
     shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"))
     blocks = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.floor(F.col("words") / block_words))).otherwise(0).cast("long")
     shards = stored(shards.withColumn("blocks", blocks).withColumn("cap", blocks * max_repeat))
@@ -147,13 +162,12 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, weights
     votes = stored(src.join(shards.groupBy("rank").agg(F.sum("blocks").alias("source_blocks")), "rank").select("rank", "target", "source_size", (F.col("source_blocks") * max_repeat).alias("cap"), (F.col("target") * F.col("source_blocks") / F.greatest(F.col("source_size"), F.lit(1))).alias("want")))
     in_blocks = votes.withColumn("target", F.col("want"))
     house = int(round(float(in_blocks.agg(F.sum("target")).head()[0] or 0)))
-    d = divisor(in_blocks, house)
-    seats = in_blocks.select("rank", F.least(F.floor(F.col("target") / d + 0.5), F.col("cap")).cast("long").alias("seats"))
+    seats = apportion(in_blocks.select("rank", "target", "cap"), house)
     quotas = shards.join(seats, "rank").groupBy("rank").applyInPandas(_shard_quotas, "rank long, shard int, words long, blocks long, quota long")
     quotas = stored(quotas)
-    w = Window.partitionBy("rank", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("rank", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("stop", F.sum("size").over(w)).join(quotas, ["rank", "shard"]).join(src.select("rank", "source_size", "target"), "rank")
-    return laid.select("doc_id", "size", "source_size", "target", taken(seed).alias("taken"))
+    return laid.select("doc_id", "size", "source_size", "target", taken(seed).alias("taken"), *carry)
 
 
 def taken(seed: int) -> F.Column:

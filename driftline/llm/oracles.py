@@ -7,8 +7,13 @@ from . import quality_rules as q
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(h, {k}, 5) AS bigint) >> {s}) & 31), 1)" for k in range(1, 41, 5) for s in (15, 10, 5, 0))
 
-OP1 = f"""WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS bigint) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
-SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM p"""
+_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]+)?([^#]*)"
+
+OP1 = rf"""WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS bigint) AS payload_bytes, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+  regexp_matches(coalesce(url, ''), '{_URL}') AS whole, regexp_replace(lower(regexp_extract(coalesce(url, ''), '{_URL}', 1)), '^www[0-9]*\.', '') AS host, regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path, lower(string_split(coalesce(url, ''), '#')[1]) AS bare FROM pages),
+k AS (SELECT *, CASE WHEN whole THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path = '' THEN '/' ELSE path END ELSE bare END AS url_key, strftime(TIMESTAMP '2024-01-01' + to_seconds(coalesce(page_id, 0) % 3155760000), '%Y%m%d%H%M%S') AS captured FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to,
+  url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS place FROM k"""
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _STRATUM = "CASE " + " ".join(f"WHEN n_words < {b} THEN {k}" for k, b in enumerate(q.BANDS)) + f" ELSE {len(q.BANDS)} END"

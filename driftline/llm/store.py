@@ -9,12 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; only where that is unset (tests), one in a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under ``spark.checkpoint.dir``, which Hadoop deletes when the session's JVM ends.
+
+    Where that is unset, a temporary folder serves on a local master (tests); on a cluster it is an error.
+    """
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not context.master.startswith(("local[", "local")) or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="driftline-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/driftline-{uuid.uuid4().hex}"
+    name = f"{base.rstrip('/')}/driftline-{uuid.uuid4().hex}"
+    folder = context._jvm.org.apache.hadoop.fs.Path(name)
+    files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return f"{name}/data"
 
 
 def stored(df: DataFrame, *partition_by: str) -> DataFrame:
@@ -24,10 +35,3 @@ def stored(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a folder by Hadoop's file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

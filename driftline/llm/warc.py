@@ -30,6 +30,7 @@ from .store import shared_dir, stored
 
 MIN_REVISIT_BYTES = 0
 FILE_BYTES = 64 << 20
+BROADCAST_DIGESTS = 200_000
 RUN_ROWS, BLOCK_ROWS = 1 << 16, 512
 # Range bounds come from at most so many keys; they only balance ranges.
 SAMPLE_KEYS, KEYS_PER_FILE = 20_000, 64
@@ -92,7 +93,9 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_REVISIT_BYTES) ->
     size = F.octet_length(body).cast("long")
     seen = pages.select("page_id", digest.alias("digest"), size.alias("size")).where(F.col("size") >= min_bytes)
     again = stored(seen.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("digest", "first"))
-    rows = pages.select("page_id", "url", "html", digest.alias("digest"), size.alias("size")).join(again, "digest", "left")
+    # Few repeated payloads are broadcast, so no page is shuffled; of more, adaptive execution splits a common one.
+    few = again.count() <= BROADCAST_DIGESTS
+    rows = pages.select("page_id", "url", "html", digest.alias("digest"), size.alias("size")).join(F.broadcast(again) if few else again, "digest", "left")
     refers = F.when(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     rows = rows.select("page_id", "url", F.when(refers.isNull(), F.col("html")).alias("html"), "size", base32(F.col("digest")).alias("digest"), refers.alias("refers_to"))
     rows = rows.sortWithinPartitions("page_id", "digest", "url")
@@ -300,3 +303,14 @@ def archive(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc"
     return read(write(pages, folder, min_bytes), folder)
+
+
+def histories(captures: DataFrame) -> DataFrame:
+    """``captures`` with ``place``, the number of each in the global order from 0 on: rows of the ranges before, and the place in its own."""
+    rows = stored(captures)
+    before, base = 0, []
+    for r in sorted(rows.groupBy("range_id").count().collect()):  # as many rows as ranges
+        base.append((r["range_id"], before))
+        before += r["count"]
+    starts = rows.sparkSession.createDataFrame(base, "range_id long, base long")
+    return rows.join(F.broadcast(starts), "range_id").withColumn("place", F.col("base") + F.col("seq")).drop("base")

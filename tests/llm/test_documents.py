@@ -533,5 +533,48 @@ def test_pipeline_on_a_small_table(spark, rows, tmp_path):
     assert len(ids) == len(set(ids)) and not {160, 161, 162, 163, 3, 120} & set(ids) and all(r["taken"] > 0 for r in got)
 
 
+def test_pipeline_with_clashes_nulls_and_repeats(spark, rows, tmp_path):
+    """Columns named like those that stages add, null ids, rows alike in id and size but not in text, and an empty table."""
+    more = [(None, prose(random.Random(1), 60), None, None, 0), (500, "one two three four five six", "en", "s0", 0), (500, "six five four three two one", "en", "s0", 0), (501, "again " * 40, None, "s9", 0), (501, "again " * 40, None, "s9", 0)]
+    names = ("size", "source_size", "target", "taken", "spans", "score", "cls", "lang_pred", "h", "rank")
+    for name, data in (("full", [*rows, *more]), ("none", [])):
+        d = spark.createDataFrame(data, SCHEMA)
+        for c in names:
+            d = d.withColumn(c, F.lit("clash"))
+        d.write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(5, rows[3][1])], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    assert Counter(got.columns) == Counter([*d.columns]) and {t for c, t in got.dtypes if c in ("size", "taken")} == {"bigint"}
+    out = got.collect()
+    size = Counter(r["doc_id"] for r in out)
+    assert size[None] == 1 and size[501] == 1 and all(r["size"] == len(WORD.findall(r["text"])) and r["lang"] in ("en", "fr", "de", "es") for r in out)
+    # Every word that the mix takes comes with a document: nothing is lost in the last join.
+    docs = spark.createDataFrame([*more, *more[1:3]], SCHEMA)
+    mixed = corpus_pipeline.mixture(spark, docs, "")
+    assert mixed.agg(F.sum("taken")).head()[0] == mixing.mix(docs).agg(F.sum("taken")).head()[0] and mixed.where("text is null").count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_apportionment_of_ties(spark):
+    """Exactly the house, ties to the lower rank, as the plain rule gives it."""
+    rng = random.Random(6)
+    for votes, cap, house in [([10.5, 10.5], [99, 99], 21), ([1.0] * 9, [5] * 9, 4), ([3.0, 1.0, 1.0, 1.0], [9, 9, 9, 9], 3)] + [([float(rng.randint(1, 6)) for _ in range(7)], [rng.randint(1, 9) for _ in range(7)], rng.randint(1, 30)) for _ in range(3)]:
+        d = spark.createDataFrame([(k, v, c) for k, (v, c) in enumerate(zip(votes, cap))], "rank long, target double, cap long")
+        got = [r["seats"] for r in mixing.apportion(d, house).orderBy("rank").collect()]
+        assert got == mixing.highest_quotients(np.array(votes), np.array(cap), house).tolist() and sum(got) == min(house, sum(cap))
+
+
+def test_decontamination_takes_any_item_id(spark, monkeypatch):
+    """String ids, null ids, and several blocks of the benchmark, each sent after the one before."""
+    text = "the quick brown foxes jump over lazy dogs near old stone bridges"
+    docs = spark.createDataFrame([(1, f"so {text} again"), (2, "nothing of that")], "doc_id long, text string")
+    bench = spark.createDataFrame([("a-1", text), (None, text), ("b", "other words that nobody has written so far in here")], "item_id string, text string")
+    real = decontam.blocks
+    for limit in (1_000_000, 3):
+        monkeypatch.setattr(decontam, "blocks", lambda b, limit=limit: real(b, limit))
+        assert sorted((r["doc_id"], r["item_id"] or "") for r in decontam.find(docs, bench).collect()) == [(1, ""), (1, "a-1")]
+        assert [r["doc_id"] for r in decontam.clean(docs, bench).collect()] == [2]
+
+
 def test_every_operator_has_its_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
