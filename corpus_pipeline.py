@@ -10,7 +10,7 @@ from driftline.llm.store import stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language can be told: null texts and texts without a letter go."""
+    """Rows whose language can be told, with it in ``lang``: null texts and texts without a letter go."""
     return langid.known(docs, langid.train(docs.where(langid.fold("doc_id", 4) != 2)))
 
 
@@ -30,14 +30,20 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mix takes words, with size, source_size, target and taken.
+    """Documents of which the mix takes words, with size, source_size, target and taken; columns of ``docs`` that have these names give way.
 
-    A document and its row of the mix meet by doc_id and size.
+    A row and its part of the mix meet by doc_id and a hash of the whole row. Rows alike in all
+    columns are one another's equals: each part of theirs comes with one of them.
     """
-    plan = stored(mixing.mix(docs)).where("taken > 0").dropDuplicates(["doc_id", "size"])
-    sized = docs.withColumn("__size", mixing.word_count(F.col("text")))
-    same = sized["doc_id"].eqNullSafe(plan["doc_id"]) & (sized["__size"] == plan["size"])
-    return sized.join(plan, same).select(*[sized[c] for c in docs.columns], "size", "source_size", "target", "taken")
+    made = ("size", "source_size", "target", "taken")
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("__key")
+    plan = stored(mixing.mix(docs.select("doc_id", "text", "source", key), carry=("__key",)))
+    whole = docs.select(key, F.col("doc_id").alias("__id"), F.struct(*[f"`{c}`" for c in docs.columns if c not in made]).alias("__row"))
+    if plan.groupBy("__key", "doc_id").count().where("count > 1").limit(1).count():
+        whole = whole.dropDuplicates(["__key", "__id"])
+    parts = plan.where("taken > 0").withColumnRenamed("__key", "__of")
+    found = parts.join(whole, (F.col("__of") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return found.select("__row.*", *made)
 
 
 STAGES = [
