@@ -1,8 +1,8 @@
 """Conditional random fields over tokens: tokens of a slice of texts, hashed features, a linear chain.
 
-Labels are O (0), begin (1), inside (2). Potentials are finite, so a token whose emission for O
-leads by more than any change of its two transitions can bring is O on the best path. ``viterbi``
-drops such tokens and decodes the runs between them: the same path as over the whole text.
+Labels are O (0), begin (1), inside (2). A label that O beats whatever labels its neighbours may still
+have is on no best path (dead-end elimination, round by round). ``decode``
+drops tokens that only O is left to and decodes the runs between them: the same path as over the whole text.
 """
 
 from __future__ import annotations
@@ -143,13 +143,34 @@ def fit(seqs: list[tuple[list[np.ndarray], np.ndarray]], sizes: list[int], epoch
     return [w.astype(np.float32) for w in W], T
 
 
-def open_tokens(E: np.ndarray, T: np.ndarray) -> np.ndarray:
-    """Tokens that may be other than O on a best path.
+def open_tokens(E: np.ndarray, T: np.ndarray, doc: np.ndarray, slack: float = 0.0, rounds: int = 8) -> np.ndarray:
+    """Tokens that may be other than O on a best path, or within ``slack`` of it.
 
-    Taking O for a token changes its emission and two transitions. Where O leads by more than
-    twice the spread of transitions, it is certain.
+    Taking O for a token's label k changes its emission and two transitions. Where that gains for all
+    labels that the neighbours may have, k is ruled out, which leaves the neighbours fewer in the next round.
     """
-    return E[:, 0] - E[:, 1:].max(1) <= 2 * float(T.max() - T.min())
+    n = len(E)
+    before, after = T - T[:, :1], T - T[:1]  # gain of k over O after label a: [a, k]; ahead of label b: [k, b]
+    gain = [E[:, k] - E[:, 0] + slack for k in range(LABELS)]
+    may = [np.ones(n, bool)] + [gain[k] + (max(before[:, k].max(), 0) + max(after[k].max(), 0)) >= 0 for k in range(1, LABELS)]
+    some = np.flatnonzero(may[1] | may[2])
+    for _ in range(rounds):
+        left, right = some - 1, np.minimum(some + 1, n - 1)
+        first, last = (some == 0) | (doc[left] != doc[some]), (some == n - 1) | (doc[right] != doc[some])
+        fresh = []
+        for k in range(1, LABELS):
+            lead, tail = np.full(len(some), before[0, k]), np.full(len(some), after[k, 0])
+            for x in range(1, LABELS):
+                lead = np.where(may[x][left], np.maximum(lead, before[x, k]), lead)
+                tail = np.where(may[x][right], np.maximum(tail, after[k, x]), tail)
+            fresh.append(may[k][some] & (gain[k][some] + np.where(first, 0, lead) + np.where(last, 0, tail) >= 0))
+        same = all((f == may[k][some]).all() for k, f in enumerate(fresh, 1))
+        for k, f in enumerate(fresh, 1):
+            may[k][some] = f
+        some = some[fresh[0] | fresh[1]]
+        if same or not len(some):
+            break
+    return may[1] | may[2]
 
 
 def viterbi(E: np.ndarray, T: np.ndarray) -> np.ndarray:
@@ -171,7 +192,7 @@ def viterbi(E: np.ndarray, T: np.ndarray) -> np.ndarray:
 def decode(E: np.ndarray, T: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Labels of all tokens of a slice, text by text."""
     y = np.zeros(len(E), np.int64)
-    at = np.flatnonzero(open_tokens(E, T))
+    at = np.flatnonzero(open_tokens(E, T, doc)) if len(E) else np.zeros(0, int)
     if not len(at):
         return y
     cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(doc[at]) != 0)) + 1

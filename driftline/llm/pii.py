@@ -6,7 +6,7 @@ far apart and however many: each has an edge to it whose potential favours one l
 mentions count for each and none is weaker for being the tenth. Hubs are made of tokens with
 digits and of capitalised words. Beliefs come from loopy message passing with damping.
 Tokens that the chain leaves open, or that share a hub with an open one, take part; where outside leads
-by more than any transition can change, a token is observed as outside. Edges grow with tokens, not with pairs.
+whatever labels the neighbours may have, a token is observed as outside. Edges grow with tokens, not with pairs.
 """
 
 from __future__ import annotations
@@ -158,7 +158,7 @@ def graph(t: crf.Tokens, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def infer(t: crf.Tokens, E: np.ndarray, T: np.ndarray, skip: tuple[float, float], rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Labels of all tokens; the nodes, and their beliefs. ``skip``: strength of an edge to a hub, and a hub's own lean to personal data."""
     y = np.zeros(len(E), np.int64)
-    node, chain, spoke = graph(t, crf.open_tokens(E, T)) if len(E) else (y, np.zeros((2, 0), int), np.zeros((2, 0), int))
+    node, chain, spoke = graph(t, crf.open_tokens(E, T, t.doc)) if len(E) else (y, np.zeros((2, 0), int), np.zeros((2, 0), int))
     if not len(node):
         return y, node, np.zeros((0, crf.LABELS))
     hubs = int(spoke[1].max()) + 1 - len(node) if spoke.size else 0
@@ -177,18 +177,18 @@ def infer(t: crf.Tokens, E: np.ndarray, T: np.ndarray, skip: tuple[float, float]
     dst = np.concatenate([chain[1], chain[0], spoke[1], spoke[0]])
     a, s = chain.shape[1], spoke.shape[1]
     back = np.concatenate([np.arange(a, 2 * a), np.arange(a), np.arange(2 * a + s, 2 * a + 2 * s), np.arange(2 * a, 2 * a + s)])
-    pot = np.concatenate([np.broadcast_to(p, (k, 3, 3)) for p, k in ((T, a), (T.T, a), (agree, 2 * s))]) if len(src) else np.zeros((0, 3, 3))
-    msg = np.zeros((len(src), crf.LABELS))
-
-    def gathered() -> np.ndarray:
-        return local + np.stack([np.bincount(dst, msg[:, k], len(local)) for k in range(crf.LABELS)], 1)
-
+    local, msg = np.ascontiguousarray(local.T), np.zeros((crf.LABELS, len(src)))  # labels first: sums over them are sums of rows
+    gathered = lambda: local + np.stack([np.bincount(dst, m, local.shape[1]) for m in msg])
+    kinds = [(slice(0, a), T), (slice(a, 2 * a), T.T), (slice(2 * a, None), agree)]
     for _ in range(rounds if len(src) else 0):
-        v = (gathered()[src] - msg[back])[:, :, None] + pot
-        top = v.max(1, keepdims=True)
-        new = np.log(np.exp(v - top).sum(1)) + top[:, 0]
-        msg = DAMPING * msg + (1 - DAMPING) * (new - new.max(1, keepdims=True))
-    total = gathered()[: len(node)]
+        v, new = gathered()[:, src] - msg[:, back], np.empty_like(msg)
+        for part, pot in kinds:
+            for k in range(crf.LABELS):
+                x = v[:, part] + pot[:, k, None]
+                top = np.maximum(np.maximum(x[0], x[1]), x[2])
+                new[k, part] = top + np.log(np.exp(x[0] - top) + np.exp(x[1] - top) + np.exp(x[2] - top))
+        msg = DAMPING * msg + (1 - DAMPING) * (new - np.maximum(np.maximum(new[0], new[1]), new[2]))
+    total = gathered()[:, : len(node)].T
     belief = np.exp(total - total.max(1, keepdims=True))
     belief /= belief.sum(1, keepdims=True)
     y[node] = belief.argmax(1)

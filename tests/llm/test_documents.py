@@ -416,6 +416,10 @@ def test_viterbi_over_open_tokens_is_viterbi():
         whole = np.concatenate([crf.viterbi(E[doc == d], T) for d in range(3)])
         score = lambda y: sum(E[i, y[i]] + (T[y[i - 1], y[i]] if i and doc[i] == doc[i - 1] else 0) for i in range(60))  # noqa: E731, B023
         assert abs(score(crf.decode(E, T, doc)) - score(whole)) < 1e-6
+        # With an O to inside that is all but ruled out, as trained fields have it.
+        T[0, 2] -= 8
+        whole = np.concatenate([crf.viterbi(E[doc == d], T) for d in range(3)])
+        assert abs(score(crf.decode(E, T, doc)) - score(whole)) < 1e-6 and not (whole[~crf.open_tokens(E, T, doc)] > 0).any()
 
 
 def test_personal_data(spark, docs, empty):
