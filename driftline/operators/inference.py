@@ -82,9 +82,19 @@ def covers(s: Column, x: Column) -> Column:
 
 def ratio(series: DataFrame, by: list[str], num: str, den: str, band: int, z: float = Z95) -> DataFrame:
     """(by, n, ratio, delta_se, set): ratio of two means with its delta-method error and its set."""
-    means = series.groupBy(*by).agg(F.count("*").alias("n"), F.avg(num).alias("mn"), F.avg(den).alias("md"))
-    v = lambda a, b, name: long_run(series, by, a, band, b).select(*by, F.col("lrv").alias(name))
-    j = means.join(v(num, num, "vn"), by).join(v(den, den, "vd"), by).join(v(num, den, "cv"), by)
+    w = Window.partitionBy(*by)
+    x, y = F.col(num) - F.avg(num).over(w), F.col(den) - F.avg(den).over(w)
+    d = series.select(*by, "t", F.col(num).alias("num"), F.col(den).alias("den"), x.alias("x"), y.alias("y"))
+    o = w.orderBy("t")
+    lags = range(1, band + 1)
+    d = d.select(*by, "num", "den", "x", "y", *[F.lead(v, k).over(o).alias(f"{v}{k}") for k in lags for v in "xy"])
+
+    def long(a: str, b: str) -> Column:
+        """Sum over rows of the weighted products at all lags."""
+        terms = [F.sum(F.col(a) * F.col(b))] + [(1 - k / (band + 1)) * F.coalesce(F.sum(F.col(a) * F.col(f"{b}{k}") + F.col(b) * F.col(f"{a}{k}")), F.lit(0.0)) for k in lags]
+        return sum(terms[1:], terms[0]) / F.count("*")
+
+    j = d.groupBy(*by).agg(F.count("*").alias("n"), F.avg("num").alias("mn"), F.avg("den").alias("md"), long("x", "x").alias("vn"), long("y", "y").alias("vd"), long("x", "y").alias("cv"))
     n, mn, md = F.col("n"), F.col("mn"), F.col("md")
     vn, vd, cv = (F.greatest(F.col("vn"), F.lit(1e-18)) / n, F.greatest(F.col("vd"), F.lit(1e-18)) / n, F.col("cv") / n)
     r = mn / F.nullif(md, F.lit(0.0))
@@ -142,27 +152,36 @@ def stationary_indices(n: int, block: float, rng: np.random.Generator, geometric
     return np.array(out[:n])
 
 
-def reality_check(panel: DataFrame, by: list[str], draws: int = 500, block: float = 40, seed: int = 7) -> DataFrame:
-    """(by, models, n, statistic, p_reality, p_spa): the best of many models' gains (by, model, t, d) over none.
+def reality_check(panel: DataFrame, by: list[str], draws: int = 500, block: int = 40, seed: int = 7) -> DataFrame:
+    """(by, models, n, kept, statistic, p_reality, p_spa): the best of many models' mean gains (by, model, t, d) over none, unstudentised.
 
-    The second p recentres only models that are not hopeless.
+    The first p recentres every model; the second only those not far below zero, by the law of the
+    iterated logarithm with a long-run deviation of band ``block``. Both resample with mean length ``block``.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        D = pdf.pivot(index="t", columns="model", values="d").to_numpy()
+        D = pdf.pivot(index="t", columns="model", values="d").sort_index().to_numpy()
         n, k = D.shape
         rng = np.random.default_rng(seed)
-        m = D.mean(0)
+        mean, root = D.mean(0), np.sqrt(n)
+        keep = mean >= -np.sqrt(_long_runs((D - mean).T, np.full(k, block))) * np.sqrt(2 * np.log(np.log(max(n, 3)))) / root
         boots = np.array([D[stationary_indices(n, block, rng)].mean(0) for _ in range(draws)])
-        sd = np.sqrt(n) * boots.std(0) + 1e-12
-        keep = m >= -sd / np.sqrt(n) * np.sqrt(2 * np.log(np.log(max(n, 16))))
-        t, rc = np.sqrt(n) * m.max(), np.sqrt(n) * (boots - m).max(1)
-        ts, spa = max(0.0, (np.sqrt(n) * m / sd).max()), np.maximum((np.sqrt(n) * (boots - np.where(keep, m, 0)) / sd).max(1), 0)
+        best = root * mean.max()
+        p = [float(((root * (boots - base)).max(1) >= best).mean()) for base in (mean, np.where(keep, mean, 0.0))]
         head = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(head | {"models": [k], "n": [n], "statistic": [t], "p_reality": [float((rc >= t).mean())], "p_spa": [float((spa >= ts).mean())]})
+        return pd.DataFrame(head | {"models": [k], "n": [n], "kept": [int(keep.sum())], "statistic": [best], "p_reality": [p[0]], "p_spa": [p[1]]})
 
     kinds = ", ".join(f"{c} {panel.schema[c].dataType.simpleString()}" for c in by)
-    return panel.groupBy(*by).applyInPandas(run, f"{kinds}, models int, n int, statistic double, p_reality double, p_spa double")
+    return panel.groupBy(*by).applyInPandas(run, f"{kinds}, models int, n int, kept int, statistic double, p_reality double, p_spa double")
+
+
+def _long_runs(X: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """Bartlett long-run variance of each centred row, at its own band."""
+    n = X.shape[1]
+    f = np.fft.rfft(X, 1 << (2 * n - 1).bit_length())
+    g = np.fft.irfft(f * np.conj(f))[:, :n] / n
+    v = [g[i, 0] + 2 * ((1 - np.arange(1, b + 1) / (b + 1))[: n - 1] * g[i, 1 : b + 1]).sum() for i, b in enumerate(bands)]
+    return np.maximum(v, 1e-18)
 
 
 def fixed_b(spark: SparkSession, sizes: list[tuple[int, int]], draws: int = 4000, seed: int = 20) -> DataFrame:
@@ -206,36 +225,36 @@ def multiplicity(tests: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     return t.withColumn("holm", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("m") - F.col("j") + 1)).over(asc))).drop("j", "m")
 
 
-def joint_null(cells: DataFrame, draws: int = 500, block: int = 40, seed: int = 5) -> DataFrame:
-    """(calendar_group, cells, hits, p, bound): how often a block bootstrap of centred cells (cell_id, calendar_group, series, bandwidth, critical_value) beats the observed count of |t| over its critical value.
+def joint_null(cells: DataFrame, draws: int = 500, block: int | None = None, seed: int = 5) -> DataFrame:
+    """(cells, hits, p, bound): how often a block bootstrap of all centred cells (cell_id, calendar_group, series, bandwidth, critical_value) has as many |t| over their critical values as the data.
 
-    One set of block starts serves all cells of a group. Without any exceedance, ``bound`` is the
-    largest chance that such luck leaves with 5%.
+    A draw counts hits over all groups. One set of block starts serves all cells of a group, whose
+    series are of one length; blocks are of 4 n^(1/3) rows, 20 at least and a quarter of n at most. Without
+    any exceedance, ``bound`` is the largest chance that such luck leaves with 5%.
     """
 
-    def tstat(X: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cell_id")
+        X = np.stack(pdf["series"].to_list()).astype(float)
+        bands, crit = pdf["bandwidth"].to_numpy(), pdf["critical_value"].to_numpy()
         n = X.shape[1]
-        d = X - X.mean(1, keepdims=True)
-        m = 1 << (2 * n - 1).bit_length()
-        f = np.fft.rfft(d, m)
-        g = np.fft.irfft(f * np.conj(f), m) / n
-        v = np.array([g[i, 0] + 2 * ((1 - np.arange(1, b + 1) / (b + 1)) * g[i, 1 : b + 1]).sum() for i, b in enumerate(bands)])
-        return X.mean(1) / np.sqrt(np.maximum(v, 1e-18) / n)
+        long = min(block or max(20, round(4 * n ** (1 / 3))), max(2, n // 4), n)
+        rng = np.random.default_rng([seed, *str(pdf["calendar_group"].iloc[0]).encode()])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.stack(pdf.sort_values("cell_id")["series"].to_list()).astype(float)
-        bands, crit = pdf.sort_values("cell_id")["bandwidth"].to_numpy(), pdf.sort_values("cell_id")["critical_value"].to_numpy()
-        n, rng = X.shape[1], np.random.default_rng(seed)
-        seen = int((np.abs(tstat(X, bands)) > crit).sum())
-        C = X - X.mean(1, keepdims=True)
-        over = 0
-        for _ in range(draws):
-            s = rng.integers(0, n - block + 1, -(-n // block))
-            idx = (s[:, None] + np.arange(block)).ravel()[:n]
-            over += int((np.abs(tstat(C[:, idx], bands)) > crit).sum()) >= seen
-        return pd.DataFrame({"calendar_group": [pdf["calendar_group"].iloc[0]], "cells": [len(X)], "hits": [seen], "p": [(1 + over) / (draws + 1)], "bound": [1 - 0.05 ** (1 / draws) if not over else None]})
+        def over(Y: np.ndarray) -> int:
+            m = Y.mean(1, keepdims=True)
+            return int((np.abs(m[:, 0]) / np.sqrt(_long_runs(Y - m, bands) / n) > crit).sum())
 
-    return cells.groupBy("calendar_group").applyInPandas(run, "calendar_group string, cells int, hits int, p double, bound double")
+        hits, C = [over(X)], X - X.mean(1, keepdims=True)
+        for _ in range(draws):
+            first = rng.integers(0, n - long + 1, -(-n // long))
+            hits.append(over(C[:, (first[:, None] + np.arange(long)).ravel()[:n]]))
+        return pd.DataFrame({"draw": np.arange(-1, draws), "cells": len(X), "hits": hits})
+
+    d = cells.groupBy("calendar_group").applyInPandas(run, "draw int, cells int, hits int").groupBy("draw").agg(F.sum("cells").cast("int").alias("cells"), F.sum("hits").cast("int").alias("hits"))
+    seen = d.where("draw = -1").select("cells", F.col("hits").alias("seen"))
+    g = d.where("draw >= 0").select("hits").crossJoin(F.broadcast(seen)).groupBy("cells", "seen").agg(F.sum((F.col("hits") >= F.col("seen")).cast("int")).alias("over"))
+    return g.select("cells", F.col("seen").alias("hits"), ((1 + F.col("over")) / (draws + 1)).alias("p"), F.when(F.col("over") == 0, 1 - 0.05 ** (1 / draws)).alias("bound"))
 
 
 def sign_test(df: DataFrame, by: list[str], d: str) -> DataFrame:

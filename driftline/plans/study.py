@@ -381,7 +381,7 @@ def fieller_set(spark, sf_dir):
 
 
 @query(f"""WITH {D_SQL}, pre AS (SELECT target, pos, n, sum(d) OVER (PARTITION BY target ORDER BY pos) AS S FROM dm WHERE delta = 1), sz AS (SELECT target, max(n) AS n, max_by(S, pos) AS total FROM pre GROUP BY 1), p0 AS (SELECT target, pos, S FROM pre UNION ALL SELECT target, 0, 0.0 FROM sz),
-ln AS (SELECT DISTINCT n, CAST(ceil(n / 40.0) AS bigint) AS nb FROM sz), ids AS (SELECT n, nb, unnest(range(200 * nb)) AS id FROM ln),
+ln AS (SELECT DISTINCT n, CAST(ceil(n / 40.0) AS bigint) AS nb FROM sz), ids AS (SELECT n, nb, unnest(range(1500 * nb)) AS id FROM ln),
 st AS (SELECT n, nb, id // nb AS draw, id % nb AS b, (1103515245 * id + 12345) % 2147483648 % (n - 40 + 1) AS start FROM ids),
 en AS (SELECT *, start + CASE WHEN b = nb - 1 THEN n - (nb - 1) * 40 ELSE 40 END AS stop FROM st),
 mn AS (SELECT z.target, e.draw, sum(h.S - l.S) / max(z.n) AS m FROM sz z JOIN en e ON e.n = z.n JOIN p0 l ON l.target = z.target AND l.pos = e.start JOIN p0 h ON h.target = z.target AND h.pos = e.stop GROUP BY 1, 2)
@@ -389,7 +389,7 @@ SELECT target, max(z.n) AS n, round(max(total / z.n), 6) AS mean, round(quantile
 def block_bootstrap(spark, sf_dir):
     """Moving blocks by prefix sums, from draws that both engines repeat."""
     d = loss_differences(spark, sf_dir).where("delta = 1").drop("delta")
-    return inference.block_bootstrap(d, ["target"], "d", 200, 40).select("target", "n", *rounded("mean", "lo", "hi"))
+    return inference.block_bootstrap(d, ["target"], "d", 1500, 40).select("target", "n", *rounded("mean", "lo", "hi"))
 
 
 @query(f"""WITH {D_SQL}, v AS (SELECT target, avg(d) OVER (PARTITION BY target) AS m, count(*) OVER (PARTITION BY target) AS n, row_number() OVER (PARTITION BY target ORDER BY t) AS k, avg(d) OVER (PARTITION BY target ORDER BY t) AS rec FROM df WHERE delta = 1)
@@ -471,26 +471,26 @@ def factor_filter(spark, sf_dir):
 @query()
 def fixed_b(spark, sf_dir):
     """Simulated critical values."""
-    return inference.fixed_b(spark, [(250, 12), (500, 25)], 2000).select("n", "band", F.round("critical", 4).alias("critical"))
+    return inference.fixed_b(spark, [(250, 12), (500, 25)], 12_000).select("n", "band", F.round("critical", 4).alias("critical"))
 
 
 @query()
 def reality_check(spark, sf_dir):
     """I8: the best delay's gain against none."""
-    d = loss_differences(spark, sf_dir).where("delta > 0 AND t >= 100").withColumn("model", F.col("delta").cast("string"))
+    d = loss_differences(spark, sf_dir).where("delta > 0").withColumn("model", F.col("delta").cast("string"))
     full = d.groupBy("target", "t").agg(F.count("*").alias("k")).where("k = 3").select("target", "t")
-    return inference.reality_check(d.join(full, ["target", "t"], "left_semi").select("target", "model", "t", "d"), ["target"], 200)
+    return inference.reality_check(d.join(full, ["target", "t"], "left_semi").select("target", "model", "t", "d"), ["target"], 2000, SHORT.block_for(max(SHORT.delays)))
 
 
 @query()
 def joint_null(spark, sf_dir):
-    """Bootstrap null of the number of hits."""
-    d = loss_differences(spark, sf_dir).where("t >= 100")
+    """Bootstrap null of the number of hits over all targets and delays."""
+    d = loss_differences(spark, sf_dir)
     n = F.count("*").over(Window.partitionBy("target", "t"))
     d = d.withColumn("k", n).where("k = 4")
     c = d.groupBy("target", "delta").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "d"))), lambda x: x["d"]).alias("series"))
     cells = c.select(F.concat_ws("/", "target", "delta").alias("cell_id"), F.col("target").alias("calendar_group"), "series", F.lit(12).alias("bandwidth"), F.lit(2.0).alias("critical_value"))
-    return inference.joint_null(cells, 100)
+    return inference.joint_null(cells, 2000)
 
 
 @query()
