@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from driftline.functions import normal
 
+from . import resample
+
 Z95 = normal.inverse(0.975)
 
 
@@ -102,41 +104,6 @@ def ratio(series: DataFrame, by: list[str], num: str, den: str, band: int, z: fl
     return j.select(*by, "n", r.alias("ratio"), se.alias("delta_se"), fieller(mn, md, vn, vd, cv, F.lit(z)).alias("set"))
 
 
-def starts(spark: SparkSession, draws: int, n: int, block: int, seed: int = 12345) -> DataFrame:
-    """(draw, b, start): block starts in 0 .. n - block, both ends included, from a linear congruence in 64-bit integers, which any SQL engine repeats."""
-    nb = -(-n // block)
-    ids = spark.range(draws * nb).select(F.floor(F.col("id") / nb).cast("long").alias("draw"), (F.col("id") % nb).alias("b"), "id")
-    return ids.select("draw", "b", ((F.lit(1103515245).cast("long") * F.col("id") + seed) % 2147483648 % (n - block + 1)).alias("start"))
-
-
-def block_bootstrap(series: DataFrame, by: list[str], x: str, draws: int, block: int, seed: int = 12345) -> DataFrame:
-    """(by, n, mean, lo, hi): percentile interval of a mean under the moving-block bootstrap.
-
-    Prefix sums make each block a difference of two rows, so a draw costs its blocks, not its rows.
-    All groups need the same length; its starts are shared between them.
-    """
-    spark = series.sparkSession
-    w = Window.partitionBy(*by).orderBy("t")
-    pre = series.select(*by, (F.row_number().over(w)).alias("pos"), F.sum(x).over(w).alias("S"))
-    sizes = pre.groupBy(*by).agg(F.max("pos").cast("long").alias("n"), F.max_by("S", "pos").alias("total"))
-    lengths = [r["n"] for r in sizes.select("n").distinct().limit(1001).collect()]
-    if len(lengths) > 1000:
-        raise ValueError("more than 1000 lengths: bootstrap groups of like length together")
-    out = None
-    for n in sorted(lengths):
-        if n <= 2 * block:
-            continue
-        nb = -(-n // block)
-        st = starts(spark, draws, n, block, seed).withColumn("end", F.col("start") + F.when(F.col("b") == nb - 1, n - (nb - 1) * block).otherwise(block))
-        lo = pre.select(*by, F.col("pos").alias("start"), F.col("S").alias("S0")).unionByName(sizes.where(F.col("n") == n).select(*by, F.lit(0).alias("start"), F.lit(0.0).alias("S0")))
-        hi = pre.select(*by, F.col("pos").alias("end"), F.col("S").alias("S1"))
-        one = st.join(lo, "start").join(hi, [*by, "end"]).join(sizes.where(F.col("n") == n).select(*by), by, "left_semi")
-        mean = one.groupBy(*by, "draw").agg((F.sum(F.col("S1") - F.col("S0")) / n).alias("m"))
-        part = mean.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi")).join(sizes.select(*by, "n", (F.col("total") / F.col("n")).alias("mean")), by).select(*by, "n", "mean", "lo", "hi")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else sizes.where("false").select(*by, "n", F.lit(0.0).alias("mean"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-
-
 def stationary_indices(n: int, block: float, rng: np.random.Generator, geometric: bool = False) -> np.ndarray:
     """Circular resample: restarts by chance 1 / block at each step, or blocks of geometric length."""
     if not geometric:
@@ -278,11 +245,29 @@ def ljung_box(series: DataFrame, by: list[str], x: str, lags: int) -> DataFrame:
     return q.withColumn("p", normal.chi2_upper(F.col("q"), lags))
 
 
-def sup_t(draws: DataFrame, fixed: DataFrame) -> DataFrame:
-    """(target, critical): the 95% point over draws (target, draw, delta, m) of the largest |m - mean| / se over delays; ``fixed``: (target, delta, mean, se)."""
-    j = draws.join(fixed, ["target", "delta"])
-    top = j.groupBy("target", "draw").agg(F.max(F.abs(F.col("m") - F.col("mean")) / F.col("se")).alias("top"))
-    return top.groupBy("target").agg(F.percentile("top", F.lit(0.95)).alias("critical"))
+def sup_t(series: DataFrame, by: list[str], member: str, x: str, draws: int, block: int) -> DataFrame:
+    """(by, member, n, mean, se, critical, lo, hi): a band for the means of all members of a group at once.
+
+    ``critical`` is the 95% point over draws of the largest |mean of the draw - mean| / se over members, which share
+    their starts if they have the same rows; se is long-run with band ``block`` and the same in every draw.
+    """
+    fixed = hac(series, [*by, member], x, block).select(*by, member, "n", "mean", "se")
+    s = resample.block_sums(series, [*by, member], [x], draws, block).drop("n").join(fixed, [*by, member])
+    top = s.groupBy(*by, "draw").agg(F.max(F.abs(F.col(x) / F.col("n") - F.col("mean")) / F.greatest("se", F.lit(1e-12))).alias("top"))
+    c = top.groupBy(*by).agg(F.percentile("top", F.lit(0.95)).alias("critical"))
+    half = F.col("critical") * F.col("se")
+    return fixed.join(c, by).select(*by, member, "n", "mean", "se", "critical", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"))
+
+
+def contrast(series: DataFrame, by: list[str], a: tuple[str, str], b: tuple[str, str], band: int) -> DataFrame:
+    """(by, n, one, two, contrast, se): a ratio of means less another's, from the full rows; the error is that of the linearised difference (delta method)."""
+    w = Window.partitionBy(*by)
+    m = {c: F.avg(c).over(w) for c in (*a, *b)}
+    rate = lambda p: m[p[0]] / F.nullif(m[p[1]], F.lit(0.0))
+    part = lambda p: (F.col(p[0]) - rate(p) * F.col(p[1])) / F.nullif(m[p[1]], F.lit(0.0))
+    s = series.select(*by, "t", rate(a).alias("one"), rate(b).alias("two"), (part(a) - part(b)).alias("x"))
+    g = s.groupBy(*by).agg(F.max("one").alias("one"), F.max("two").alias("two"))
+    return long_run(s, by, "x", band).join(g, by).select(*by, "n", "one", "two", (F.col("one") - F.col("two")).alias("contrast"), F.sqrt(F.greatest("lrv", F.lit(0.0)) / F.col("n")).alias("se"))
 
 
 def retention(series: DataFrame, by: list[str], x: str, band: int, wide: int) -> DataFrame:

@@ -106,3 +106,8 @@ def latest_vintage(rows: DataFrame, vintages: DataFrame, lag: int) -> DataFrame:
     w = Window.partitionBy("target").orderBy("at", F.col("t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("made").isNotNull(), F.struct("made", *cols)), ignorenulls=True).over(w)
     return a.unionByName(b).withColumn("v", last).where(F.col("t").isNotNull()).select("target", "t", "v.*")
+
+
+def phase(rows: DataFrame, months: tuple[int, ...]) -> DataFrame:
+    """Rows of the given months of the year."""
+    return rows.where(F.month("date").isin(*months))

@@ -69,6 +69,47 @@ def rate_summary(rates: DataFrame) -> DataFrame:
     return r.groupBy("delta").agg(F.count("*").alias("n"), F.avg("rate").alias("mean_of_ratios"), (F.sum(gain) / F.sum(gain / F.nullif(F.col("rate"), F.lit(0.0)))).alias("ratio_of_means"))
 
 
+def squared_losses(forecasts: DataFrame) -> DataFrame:
+    """(target, delta, t, own, cross, fresh, bench): squared errors of both arms, of the own arm without delay and of the benchmark, where all four are there."""
+    y = F.col("y")
+    arm = lambda a: F.max(F.when(F.col("arm") == a, (y - F.col("f")) ** 2))
+    g = forecasts.groupBy("target", "delta", "t").agg(arm("own").alias("own"), arm("cross").alias("cross"), F.max((y - F.col("bench")) ** 2).alias("bench"))
+    fresh = F.max(F.when(F.col("delta") == 0, F.col("own"))).over(Window.partitionBy("target", "t"))
+    return g.withColumn("fresh", fresh).where("own IS NOT NULL AND cross IS NOT NULL AND fresh IS NOT NULL AND bench IS NOT NULL")
+
+
+def rolling_rate(losses: DataFrame, roll: int = 1000, step: int = 250, least: float = 1e-9) -> DataFrame:
+    """(target, delta, start, last, rate) of squared losses: the substitution rate in windows of ``roll`` rows, ``step`` apart, both halves on the same rows; ``last`` is the t of a window's last row.
+
+    Windows are frames ahead of their first row: no row is copied into the windows it is in.
+    """
+    w = Window.partitionBy("target", "delta").orderBy("t")
+    ahead = w.rowsBetween(0, roll - 1)
+    total = lambda c: F.sum(c).over(ahead)
+    lost = (total("own") - total("fresh")) / F.nullif(total("bench"), F.lit(0.0))
+    gain = (total("own") - total("cross")) / F.nullif(total("bench"), F.lit(0.0))
+    s = losses.where("delta > 0").select("target", "delta", (F.row_number().over(w) - 1).alias("start"), F.count("*").over(ahead).alias("n"), F.max("t").over(ahead).alias("last"), F.when(lost > least, gain / lost).alias("rate"))
+    return s.where((F.col("n") == roll) & (F.col("start") % step == 0)).select("target", "delta", "start", "last", "rate")
+
+
+def rate_trend(windows: DataFrame, year: str = "year") -> DataFrame:
+    """(target, delta, windows, least, most, range, trend): span of the rates and their slope a decade, of more than two windows with a rate; the windows overlap, so it describes only."""
+    g = windows.where("rate IS NOT NULL").groupBy("target", "delta").agg(F.count("*").alias("windows"), F.min("rate").alias("least"), F.max("rate").alias("most"), (F.regr_slope("rate", year) * 10).alias("b"))
+    return g.select("target", "delta", "windows", "least", "most", (F.col("most") - F.col("least")).alias("range"), F.when(F.col("windows") > 2, F.col("b")).alias("trend"))
+
+
+def top(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of each group, numbered by ``place``."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= k)
+
+
+def outage_split(skills: DataFrame) -> DataFrame:
+    """(target, delta, total, feature, vintage, vintage_share) of own-arm skills (target, delta, s_feature, s_outage): what a delay costs by old features, and by old coefficients."""
+    s0 = F.max(F.when(F.col("delta") == 0, F.col("s_outage"))).over(Window.partitionBy("target"))
+    s = skills.withColumn("total", s0 - F.col("s_outage")).withColumn("feature", s0 - F.col("s_feature")).withColumn("vintage", F.col("s_feature") - F.col("s_outage")).where("delta > 0")
+    return s.select("target", "delta", "total", "feature", "vintage", F.when(F.abs("total") > 1e-12, F.col("vintage") / F.col("total")).alias("vintage_share"))
+
+
 def effective_age(curve: DataFrame, wanted: DataFrame) -> DataFrame:
     """(target, delta, age): where the own skill curve (target, delta, s), made monotone by its running minimum, falls to a wanted skill (target, delta, s).
 
@@ -107,6 +148,24 @@ def mutual_information(pairs: DataFrame, by: list[str], x: str, y: str, bins: in
     return cell.withColumn("term", term).groupBy(*by).agg(F.sum("k").alias("n"), F.sum("term").alias("mi"))
 
 
+def mutual_information_null(pairs: DataFrame, by: list[str], x: str, y: str, draws: int = 200, bins: int = 16) -> DataFrame:
+    """(by, n, mi, null_mean, null_sd, debiased) of pairs (by, t, x, y): mutual information against its value when y is dealt anew.
+
+    A draw orders the rows by a digest of (draw, t); bins of equal count of that order are what a permutation of y gives.
+    """
+    b = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("bx", equal_bins(x, by, bins))
+    d = b.select(*by, "t", "bx", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    d = d.withColumn("key", F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("t").cast("string"))))
+    place = F.row_number().over(Window.partitionBy(*by, "draw").orderBy("key", "t")) - 1
+    d = d.withColumn("by_", F.floor(place * bins / F.count("*").over(Window.partitionBy(*by, "draw"))))
+    cell = d.groupBy(*by, "draw", "bx", "by_").agg(F.count("*").alias("k"))
+    w = lambda *c: Window.partitionBy(*by, "draw", *c)
+    k = F.col("k")
+    term = k / F.sum("k").over(w()) * F.log(k * F.sum("k").over(w()) / (F.sum("k").over(w("bx")) * F.sum("k").over(w("by_"))))
+    null = cell.withColumn("term", term).groupBy(*by, "draw").agg(F.sum("term").alias("m")).groupBy(*by).agg(F.avg("m").alias("null_mean"), F.stddev_samp("m").alias("null_sd"))
+    return mutual_information(pairs, by, x, y, bins).join(null, by).withColumn("debiased", F.greatest(F.col("mi") - F.col("null_mean"), F.lit(0.0)))
+
+
 def nearest_entropy(values: DataFrame, by: list[str], x: str) -> DataFrame:
     """(by, n, entropy): differential entropy by nearest neighbours on the line; repeated values count once."""
     euler = 0.57721566490153286

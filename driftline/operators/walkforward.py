@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from driftline.params import Params
 
-from . import models
+from . import models, scoring
 from .panel import training_rows
 
 #: own: the target's stale block; peers: the others' current values; cross: both.
@@ -61,10 +61,10 @@ def _stacked(col: pd.Series) -> np.ndarray:
     return np.array([np.full(width, np.nan) if v is None else v for v in col], float).reshape(len(col), width)
 
 
-def fit(rows: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] = ARMS, extra_purge: int = 0, lam: float | None = None) -> DataFrame:
+def fit(rows: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] = ARMS, extra_purge: int = 0, lam: float | None = None, feature_only: bool = False) -> DataFrame:
     """Coefficients of every (target, arm, delta, refit) with at least ``min_train`` rows that are complete for the arm.
 
-    A group is one target's history at one delay.
+    A group is one target's history at one delay. With ``feature_only`` the labels are known without delay, and only the features are old.
     """
     names = [c.split()[0] for c in COEFS.split(", ")]
 
@@ -73,7 +73,7 @@ def fit(rows: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] =
         t, y, j, delta = pdf["t"].to_numpy(), pdf["y"].to_numpy(float), pdf["j"].to_numpy(float), int(pdf["delta"].iloc[0])
         own, peers = _stacked(pdf["stale"]), _stacked(pdf["peers"])
         head = np.flatnonzero(j % p.refit == 0)
-        cut = np.maximum(0, t[head] - delta - p.horizon - extra_purge)
+        cut = np.maximum(0, t[head] - (0 if feature_only else delta) - p.horizon - extra_purge)
         out = []
         for arm in arms:
             X = {"own": own, "peers": peers, "cross": np.hstack([own, peers])}[arm]
@@ -126,3 +126,25 @@ def leaks(rows: DataFrame, p: Params, extra_purge: int = 0) -> DataFrame:
     used = training_rows(rows.where("y IS NOT NULL").select("target", "t"), sched).groupBy("target", "delta", "refit_id").agg((F.max("t") + p.horizon).alias("resolved"))
     j = used.join(heads, ["target", "refit_id"])
     return j.groupBy("target", "delta").agg(F.count("*").alias("refits"), F.sum((F.col("resolved") > F.col("head") - F.col("delta")).cast("long")).alias("late"))
+
+
+def estimation_cost(rows: DataFrame, p: Params, draws: int, seed: int = 12345, **kw) -> DataFrame:
+    """(target, delta, draws, net, cost, cost_se, gross): skill that the peers add, what peers without information add (their estimation's cost, as a rule below 0), and the difference.
+
+    A surrogate takes a target's whole peer arrays from a row that is ``shift`` rows off, round the end: their own
+    history and common moves stay, their relation to the target goes. Each draw shifts by at least a tenth of the rows.
+    Each row is sent once for each draw and delay.
+    """
+    w = Window.partitionBy("target")
+    k = rows.withColumn("pos", F.row_number().over(w.orderBy("t")) - 1).withColumn("n", F.count("*").over(w))
+    least = F.ceil(F.col("n") / 10)
+    shift = least + F.pmod(F.xxhash64("target", "draw", F.lit(seed)), F.greatest(F.col("n") - 2 * least, F.lit(1)))
+    src = k.select("target", "pos", "n", "peers", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    src = src.select("target", "draw", F.pmod(F.col("pos") + shift, F.col("n")).alias("pos"), "peers")
+    fake = k.drop("peers", "n").join(src, ["target", "pos"])
+    both = k.drop("n", "pos").withColumn("draw", F.lit(0)).unionByName(fake.drop("pos")).withColumn("target", F.concat_ws("#", "target", "draw")).drop("draw")
+    s = scoring.substitution_rate(scoring.skill(walk(both, p, **kw)))
+    s = s.select(F.expr("substring(target, 1, length(target) - locate('#', reverse(target)))").alias("target"), F.substring_index("target", "#", -1).cast("int").alias("draw"), "delta", (F.col("s_cross") - F.col("s_own")).alias("gain"))
+    fakes = F.when(F.col("draw") > 0, F.col("gain"))
+    g = s.groupBy("target", "delta").agg(F.count(fakes).alias("draws"), F.max(F.when(F.col("draw") == 0, F.col("gain"))).alias("net"), F.avg(fakes).alias("cost"), (F.stddev_samp(fakes) / F.sqrt(F.count(fakes))).alias("cost_se"))
+    return g.withColumn("gross", F.col("net") - F.col("cost"))

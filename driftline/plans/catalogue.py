@@ -1,5 +1,5 @@
 """Every query by name, and its SQL."""
 
-from . import base, market, study  # noqa: F401
+from . import base, market, robust, study  # noqa: F401
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

@@ -67,10 +67,10 @@ def seam_audit(spark, sf_dir):
     return audit.seam(chunks(spark, sf_dir)).select("series_id", "shared", "mismatched", "verdict")
 
 
-@query(f"WITH {BARS_SQL}, g AS (SELECT series_id, date, lag(date) OVER (PARTITION BY series_id ORDER BY date) AS before FROM bars) SELECT series_id, CAST(date AS varchar) AS date, CAST((SELECT count(*) FROM range(before + 1, date + 1, INTERVAL 1 DAY) x(d) WHERE isodow(d) < 6) AS bigint) AS business_days FROM g WHERE before IS NOT NULL AND date - before > 3")
+@query(f"WITH {BARS_SQL}, g AS (SELECT series_id, date, lag(date) OVER (PARTITION BY series_id ORDER BY date) AS before FROM bars WHERE t % 97 >= 6) SELECT series_id, CAST(date AS varchar) AS date, CAST((SELECT count(*) FROM range(before + 1, date + 1, INTERVAL 1 DAY) x(d) WHERE isodow(d) < 6) AS bigint) AS business_days FROM g WHERE before IS NOT NULL AND date - before > 3")
 def calendar_gaps(spark, sf_dir):
-    """Business days across each gap of over three days."""
-    return audit.gaps(bars(spark, sf_dir), 3).select("series_id", F.col("date").cast("string").alias("date"), "business_days")
+    """Business days across each gap of over three days; six rows of every 97 are taken out so that there are gaps."""
+    return audit.gaps(bars(spark, sf_dir).where("t % 97 >= 6"), 3).select("series_id", F.col("date").cast("string").alias("date"), "business_days")
 
 
 @query("""WITH f AS (SELECT l_suppkey % 10 AS file, row_number() OVER (PARTITION BY l_suppkey % 10 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS "at", CAST(l_shipdate AS date) AS date FROM lineitem),
@@ -84,11 +84,14 @@ def order_guard(spark, sf_dir):
     return audit.file_order(f)
 
 
-@query(f"""WITH {BARS_SQL} SELECT series_id, count(*) AS n, CAST(sum(CASE WHEN high < low THEN 1 ELSE 0 END) AS bigint) AS high_below_low, CAST(sum(CASE WHEN high < greatest(open, close) - 1e-9 THEN 1 ELSE 0 END) AS bigint) AS high_inside,
+@query(f"""WITH {BARS_SQL.replace('bars AS', 'whole AS')}, bars AS (SELECT series_id, open, CASE WHEN t % 31 = 0 THEN low * 0.9 ELSE high END AS high, CASE WHEN t % 47 = 0 THEN high * 1.1 ELSE low END AS low, CASE WHEN t % 53 = 0 THEN -close ELSE close END AS close FROM whole)
+SELECT series_id, count(*) AS n, CAST(sum(CASE WHEN high < low THEN 1 ELSE 0 END) AS bigint) AS high_below_low, CAST(sum(CASE WHEN high < greatest(open, close) - 1e-9 THEN 1 ELSE 0 END) AS bigint) AS high_inside,
 CAST(sum(CASE WHEN low > least(open, close) + 1e-9 THEN 1 ELSE 0 END) AS bigint) AS low_inside, CAST(sum(CASE WHEN close <= 0 THEN 1 ELSE 0 END) AS bigint) AS not_positive FROM bars GROUP BY 1""")
 def row_invariants(spark, sf_dir):
-    """What must hold in each bar."""
-    return audit.invariants(bars(spark, sf_dir))
+    """What must hold in each bar, with violations of each kind planted."""
+    t, h, low = F.col("t"), F.col("high"), F.col("low")
+    b = bars(spark, sf_dir).select("series_id", "open", F.when(t % 31 == 0, low * 0.9).otherwise(h).alias("high"), F.when(t % 47 == 0, h * 1.1).otherwise(low).alias("low"), F.when(t % 53 == 0, -F.col("close")).otherwise(F.col("close")).alias("close"))
+    return audit.invariants(b)
 
 
 @query(f"WITH {SIGNALS_SQL} SELECT series_id, CAST(date AS varchar) AS date, round(cc_mean, 6) AS cc_mean, round(cc_var, 6) AS cc_var, round(yz, 6) AS yz, round(rs, 6) AS rs, round(pk, 6) AS pk FROM sig")

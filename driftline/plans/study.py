@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import features, frames, normal
-from driftline.operators import inference, models, panel, scoring, walkforward
+from driftline.operators import inference, models, panel, resample, scoring, walkforward
 from driftline.params import SHORT
 from driftline.sources import bars as sources
 from driftline.sources import provenance
@@ -244,13 +244,28 @@ def tail_report(spark, sf_dir):
     return scoring.tail_report(f, ["target", "delta"]).select("target", "delta", "n", *rounded("median", "above_double", "below_half", "p05"), F.round("p95", 4).alias("p95"))
 
 
-@query(f"""WITH {STUDY_SQL}, v AS (SELECT series_id, a, y FROM study WHERE a IS NOT NULL AND y IS NOT NULL),
-b AS (SELECT series_id, ((row_number() OVER (PARTITION BY series_id ORDER BY a) - 1) * 16) // count(*) OVER (PARTITION BY series_id) AS bx, ((row_number() OVER (PARTITION BY series_id ORDER BY y) - 1) * 16) // count(*) OVER (PARTITION BY series_id) AS yb FROM v),
-c AS (SELECT series_id, bx, yb, count(*) AS k FROM b GROUP BY 1, 2, 3), m AS (SELECT series_id, k, k / sum(k) OVER (PARTITION BY series_id) * ln(k * sum(k) OVER (PARTITION BY series_id) / (sum(k) OVER (PARTITION BY series_id, bx) * sum(k) OVER (PARTITION BY series_id, yb))) AS term FROM c)
-SELECT series_id, CAST(sum(k) AS bigint) AS n, round(sum(term), 6) AS mi FROM m GROUP BY 1""")
+MI_SQL = STUDY_SQL + """, v AS (SELECT series_id, t, a, y FROM study WHERE a IS NOT NULL AND y IS NOT NULL), z AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM v),
+b AS (SELECT series_id, t, n, ((row_number() OVER (PARTITION BY series_id ORDER BY a) - 1) * 16) // n AS bx, ((row_number() OVER (PARTITION BY series_id ORDER BY y) - 1) * 16) // n AS yb FROM z),
+q AS (SELECT series_id, -1 AS draw, n, bx, yb FROM b UNION ALL SELECT series_id, draw, n, bx, ((row_number() OVER (PARTITION BY series_id, draw ORDER BY md5(concat(draw, ':', t)), t) - 1) * 16) // n FROM b CROSS JOIN (SELECT unnest(range(200)) AS draw)),
+c AS (SELECT series_id, draw, n, bx, yb, count(*) AS k FROM q GROUP BY ALL), e AS (SELECT *, sum(k) OVER (PARTITION BY series_id, draw, bx) AS kx, sum(k) OVER (PARTITION BY series_id, draw, yb) AS ky FROM c),
+m AS (SELECT series_id, draw, max(n) AS n, sum(k / n * ln(k * n / (kx * ky))) AS mi FROM e GROUP BY 1, 2),
+mn AS (SELECT series_id, max(n) AS n, max(CASE WHEN draw < 0 THEN mi END) AS mi, avg(CASE WHEN draw >= 0 THEN mi END) AS null_mean, stddev_samp(CASE WHEN draw >= 0 THEN mi END) AS null_sd FROM m GROUP BY 1)"""
+
+
+@query(f"""WITH {MI_SQL} SELECT series_id, n, round(mi, 6) AS mi, round(null_mean, 6) AS null_mean, round(null_sd, 6) AS null_sd, round(greatest(mi - null_mean, 0), 6) AS debiased FROM mn""")
 def mutual_info(spark, sf_dir):
-    """Mutual information in 16 bins of equal count."""
-    return scoring.mutual_information(study(spark, sf_dir), ["series_id"], "a", "y").select("series_id", "n", F.round("mi", 6).alias("mi"))
+    """Mutual information in 16 bins of equal count, less its mean over 200 permutations."""
+    return scoring.mutual_information_null(study(spark, sf_dir), ["series_id"], "a", "y").select("series_id", "n", *rounded("mi", "null_mean", "null_sd", "debiased"))
+
+
+@query(f"""WITH {MI_SQL}, u AS (SELECT DISTINCT series_id, y FROM v), g AS (SELECT series_id, least(coalesce(y - lag(y) OVER w, 1e300), coalesce(lead(y) OVER w - y, 1e300)) AS gap FROM u WINDOW w AS (PARTITION BY series_id ORDER BY y)),
+h AS (SELECT series_id, avg(ln(2 * gap)) + ln(count(*) - 1) + 0.57721566490153286 AS h FROM g GROUP BY 1), s AS (SELECT series_id, var_samp(y) AS var FROM v GROUP BY 1)
+SELECT series_id, round(1 - exp(2 * h) / (2 * pi() * exp(1)) / var * exp(-2 * greatest(mi - null_mean, 0)), 6) AS ceiling FROM mn JOIN h USING (series_id) JOIN s USING (series_id)""")
+def information_ceiling(spark, sf_dir):
+    """The R2 that the debiased information and the target's entropy allow."""
+    s = study(spark, sf_dir).where("a IS NOT NULL AND y IS NOT NULL")
+    j = scoring.mutual_information_null(s, ["series_id"], "a", "y").join(scoring.nearest_entropy(s, ["series_id"], "y").drop("n"), "series_id").join(s.groupBy("series_id").agg(F.var_samp("y").alias("var")), "series_id")
+    return j.select("series_id", F.round(scoring.r2_ceiling(F.col("entropy"), F.col("var"), F.col("debiased")), 6).alias("ceiling"))
 
 
 @query(f"""WITH {SIGNALS_SQL}, v AS (SELECT DISTINCT series_id, a FROM sig WHERE a IS NOT NULL), g AS (SELECT series_id, least(coalesce(a - lag(a) OVER w, 1e300), coalesce(lead(a) OVER w - a, 1e300)) AS gap FROM v WINDOW w AS (PARTITION BY series_id ORDER BY a))
@@ -322,13 +337,14 @@ def geometric_decay(spark, sf_dir):
     return models.geometric_decay(r, ["target"]).select("target", "n", *rounded("slope", "phi"))
 
 
-@query("""WITH RECURSIVE g AS (SELECT phi, eta, d AS delta FROM (VALUES (0.9), (0.98)) a(phi), (VALUES (0.1), (0.4)) b(eta), (VALUES (0), (5), (21)) c(d)),
-r AS (SELECT phi::double AS phi, eta::double AS eta, delta, 0 AS k, 1.0::double AS p FROM g UNION ALL SELECT phi, eta, delta, k + 1, (phi * phi * p + 1 - phi * phi) * (eta / (1 - eta)) / (phi * phi * p + 1 - phi * phi + eta / (1 - eta)) FROM r WHERE k < 200)
-SELECT phi, eta, CAST(delta AS int) AS delta, round(pow(phi, 2 * delta) * (1 - p), 6) AS ceiling FROM r WHERE k = 200""")
+@query("""WITH RECURSIVE g AS (SELECT phi::double AS phi, eta::double AS eta, s::double AS noise, k, d AS delta FROM (VALUES (0.9), (0.98)) a(phi), (VALUES (0.1), (0.4)) b(eta), (VALUES (0.3), (1.0)) e(s), (VALUES (1), (5)) f(k), (VALUES (0), (5), (21)) c(d)),
+r AS (SELECT *, 0 AS step, 1.0::double AS p FROM g UNION ALL SELECT phi, eta, noise, k, delta, step + 1, (phi * phi * p + eta * eta) * noise * noise / (phi * phi * p + eta * eta + noise * noise) FROM r WHERE step < 400),
+v AS (SELECT *, (SELECT sum(pow(phi, j)) / k FROM range(1, k + 1) x(j)) AS w, (SELECT sum(pow(phi, abs(i - j))) / (k * k) FROM range(0, k) x(i), range(0, k) y(j)) AS c FROM r WHERE step = 400)
+SELECT phi, eta, noise, CAST(k AS int) AS k, CAST(delta AS int) AS delta, round(pow(phi, 2 * delta) * w * w * (eta * eta / (1 - phi * phi) - p) / (eta * eta / (1 - phi * phi) * c + noise * noise / k), 6) AS ceiling FROM v""")
 def delay_ceiling(spark, sf_dir):
-    """What any filter can reach, from the variance recursion."""
-    g = spark.createDataFrame([(p, e, d) for p in (0.9, 0.98) for e in (0.1, 0.4) for d in (0, 5, 21)], "phi double, eta double, delta int")
-    return g.select("phi", "eta", "delta", F.round(models.delay_ceiling(F.col("phi"), F.col("eta"), F.col("delta")), 6).alias("ceiling"))
+    """What any filter can reach for the mean of the next k observations; the SQL iterates the filter and sums the covariances."""
+    g = spark.createDataFrame([(p, e, s, k, d) for p in (0.9, 0.98) for e in (0.1, 0.4) for s in (0.3, 1.0) for k in (1, 5) for d in (0, 5, 21)], "phi double, eta double, noise double, k int, delta int")
+    return g.select("*", F.round(models.delay_ceiling(*[F.col(c) for c in ("phi", "eta", "noise", "k", "delta")]), 6).alias("ceiling"))
 
 
 @query("SELECT rho::double AS rho, round(0.5 + asin(rho) / pi(), 6) AS accuracy, round(0.5 + asin(rho) / pi(), 4) AS by_quadrature FROM (VALUES (0.1), (0.5), (0.9)) v(rho)")
@@ -380,16 +396,12 @@ def fieller_set(spark, sf_dir):
     return s.select("target", "n", F.round("ratio", 4).alias("ratio"), "set.kind", F.round("set.lo", 4).alias("lo"), F.round("set.hi", 4).alias("hi"))
 
 
-@query(f"""WITH {D_SQL}, pre AS (SELECT target, pos, n, sum(d) OVER (PARTITION BY target ORDER BY pos) AS S FROM dm WHERE delta = 1), sz AS (SELECT target, max(n) AS n, max_by(S, pos) AS total FROM pre GROUP BY 1), p0 AS (SELECT target, pos, S FROM pre UNION ALL SELECT target, 0, 0.0 FROM sz),
-ln AS (SELECT DISTINCT n, CAST(ceil(n / 40.0) AS bigint) AS nb FROM sz), ids AS (SELECT n, nb, unnest(range(1500 * nb)) AS id FROM ln),
-st AS (SELECT n, nb, id // nb AS draw, id % nb AS b, (1103515245 * id + 12345) % 2147483648 % (n - 40 + 1) AS start FROM ids),
-en AS (SELECT *, start + CASE WHEN b = nb - 1 THEN n - (nb - 1) * 40 ELSE 40 END AS stop FROM st),
-mn AS (SELECT z.target, e.draw, sum(h.S - l.S) / max(z.n) AS m FROM sz z JOIN en e ON e.n = z.n JOIN p0 l ON l.target = z.target AND l.pos = e.start JOIN p0 h ON h.target = z.target AND h.pos = e.stop GROUP BY 1, 2)
-SELECT target, max(z.n) AS n, round(max(total / z.n), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM mn JOIN sz z USING (target) GROUP BY 1""")
+@query(f"""WITH {D_SQL}, one AS (SELECT target, t, d FROM df WHERE delta = 1), {resample.block_sums_sql('one', ['target'], ['d'], 1500, 40)}, m AS (SELECT target, avg(d) AS mean FROM one GROUP BY 1)
+SELECT target, max(n) AS n, round(max(mean), 6) AS mean, round(quantile_cont(d / n, 0.025), 6) AS lo, round(quantile_cont(d / n, 0.975), 6) AS hi FROM bs JOIN m USING (target) GROUP BY 1""")
 def block_bootstrap(spark, sf_dir):
-    """Moving blocks by prefix sums, from draws that both engines repeat."""
+    """Moving blocks by prefix sums, from draws that both engines repeat; d pairs the two arms."""
     d = loss_differences(spark, sf_dir).where("delta = 1").drop("delta")
-    return inference.block_bootstrap(d, ["target"], "d", 1500, 40).select("target", "n", *rounded("mean", "lo", "hi"))
+    return resample.mean(d, ["target"], "d", 1500, 40).select("target", "n", *rounded("mean", "lo", "hi"))
 
 
 @query(f"""WITH {D_SQL}, v AS (SELECT target, avg(d) OVER (PARTITION BY target) AS m, count(*) OVER (PARTITION BY target) AS n, row_number() OVER (PARTITION BY target ORDER BY t) AS k, avg(d) OVER (PARTITION BY target ORDER BY t) AS rec FROM df WHERE delta = 1)
@@ -440,7 +452,11 @@ def series_digest(spark, sf_dir):
     return provenance.series_digest(signals(spark, sf_dir), "r").select("series_id", "rows", "sha256")
 
 
-@query("SELECT * FROM (VALUES ('AFRICA', 'IDENTICAL'), ('AMERICA', 'MISSING'), ('ASIA', 'DIFFERENT'), ('EUROPE', 'SAME DATA'), ('MIDDLE EAST', 'IDENTICAL')) v(series_id, state)")
+@query(f"""WITH {SIGNALS_SQL}, x AS (SELECT series_id, date, close, year(date) AS yr, max(year(date)) OVER (PARTITION BY series_id) AS last FROM sig),
+a AS (SELECT series_id, yr, sha256(string_agg(concat(CAST(date AS varchar), chr(9), printf('%.4f', close)), chr(10) ORDER BY date)) AS h FROM x WHERE series_id <> 'EUROPE' OR yr < last GROUP BY 1, 2),
+b AS (SELECT series_id, yr, sha256(string_agg(concat(CAST(date AS varchar), chr(9), printf('%.4f', close + CASE WHEN series_id = 'ASIA' AND yr = 1996 THEN 1 ELSE 0 END)), chr(10) ORDER BY date)) AS h FROM x WHERE series_id <> 'AMERICA' GROUP BY 1, 2),
+s AS (SELECT a.series_id, count(b.h) AS there, count(*) FILTER (b.h IS DISTINCT FROM a.h) AS off, count(*) AS k FROM a LEFT JOIN b ON b.series_id = a.series_id AND b.yr = a.yr GROUP BY 1)
+SELECT series_id, CASE WHEN there = 0 THEN 'MISSING' WHEN off > 0 THEN 'DIFFERENT' WHEN k < (SELECT count(*) FROM b WHERE b.series_id = s.series_id) THEN 'SAME DATA' ELSE 'IDENTICAL' END AS state FROM s""")
 def manifest_states(spark, sf_dir):
     """One series is missing, one changed in a year, one longer than recorded."""
     s = signals(spark, sf_dir).select("series_id", "date", "close")

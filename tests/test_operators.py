@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftline.functions import frames, normal
-from driftline.operators import audit, inference, models, panel, scoring, walkforward
+from driftline.operators import audit, breaks, inference, models, panel, resample, scoring, walkforward
 from driftline.params import Params
 from driftline.sources import bars, generators, provenance
 
@@ -210,14 +210,15 @@ def test_principal_signs_and_kalman_tracks(spark):
 
 
 def test_ceiling_against_simulation(spark):
-    g = spark.createDataFrame([(0.9, 0.3, 2)], "phi double, eta double, delta int")
-    want = g.select(models.delay_ceiling(F.col("phi"), F.col("eta"), F.col("delta"))).head()[0]
+    g = spark.createDataFrame([(0.9, math.sqrt(0.19), math.sqrt(0.3 / 0.7), 1, 2)], "phi double, eta double, noise double, k int, delta int")
+    want = g.select(models.delay_ceiling(*[F.col(c) for c in g.columns])).head()[0]
     s = generators.latent(spark, 60_000, 0.9, 0.3, 5).toPandas()
     par = {"mu": 0.0, "sd": 1.0, "lam": np.ones(1), "r": np.array([0.3 / 0.7]), "phi": 0.9, "q": 1 - 0.81}
-    m = models.kalman(s[["z"]].to_numpy(), par)
-    x = s["x"].to_numpy()
-    f = 0.81 * m[:-2]
-    assert abs(1 - ((x[2:] - f) ** 2).mean() / x.var() - want) < 0.02
+    z = s["z"].to_numpy()
+    m = models.kalman(z[:, None], par)
+    # One row ahead of data that are two rows old.
+    f = 0.9**3 * m[:-3]
+    assert abs(1 - ((z[3:] - f) ** 2).mean() / z.var() - want) < 0.02
 
 
 def test_hac_is_the_textbook_sum(spark):
@@ -238,8 +239,9 @@ def test_fieller_kinds(spark, md, vd, kind):
 
 
 def test_bootstrap_draws_the_last_row(spark):
-    st = inference.starts(spark, 500, 103, 10).agg(F.min("start"), F.max("start"), F.count("*")).head()
-    assert st[0] == 0 and st[1] == 93 and st[2] == 500 * 11
+    one = spark.createDataFrame([(103,)], "n long")
+    st = resample.starts(one, 500, 10).agg(F.min("start"), F.max("start"), F.count("*"), F.min("stop"), F.max("stop"), F.sum(F.col("stop") - F.col("start"))).head()
+    assert tuple(st) == (0, 93, 5500, 3, 103, 500 * 103)
     idx = inference.stationary_indices(50, 10, np.random.default_rng(0))
     assert len(idx) == 50 and idx.min() >= 0 and idx.max() < 50
     assert len(inference.stationary_indices(50, 10, np.random.default_rng(0), True)) == 50
