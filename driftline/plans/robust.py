@@ -177,11 +177,13 @@ def peak_rows(spark, sf_dir):
 
 
 @query(f"""WITH {SIGNALS_SQL}, x AS (SELECT series_id, date, close, lag(close) OVER (PARTITION BY series_id ORDER BY date) AS moved, open, high, low, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS ix, count(*) OVER (PARTITION BY series_id) AS n FROM raw)
-SELECT series_id, CAST(date AS varchar) AS date, CASE WHEN ix >= n // 2 THEN coalesce(moved, close) ELSE close END AS shifted, round(CASE WHEN ix >= n // 2 THEN greatest(open * exp(1.25 * ln(high / open)), close) ELSE high END, 6) AS high, round(CASE WHEN ix >= n // 2 THEN least(open * exp(1.25 * ln(low / open)), close) ELSE low END, 6) AS low FROM x""")
+SELECT series_id, CAST(date AS varchar) AS date, CASE WHEN ix >= n // 2 THEN coalesce(moved, close) ELSE close END AS shifted,
+round(CASE WHEN ix >= n // 2 THEN greatest(1.25 * ln(high / open), ln(close / open)) ELSE ln(high / open) END, 6) AS up, round(CASE WHEN ix >= n // 2 THEN least(1.25 * ln(low / open), ln(close / open)) ELSE ln(low / open) END, 6) AS down FROM x""")
 def corrupted(spark, sf_dir):
-    """From the middle on, closes a day late and ranges stretched by a quarter."""
-    b = breaks.stretched(breaks.shifted(bars(spark, sf_dir), F.floor(F.col("n") / 2)), F.floor(F.col("n") / 2), 1.25)
-    return b.select("series_id", F.col("date").cast("string").alias("date"), "shifted", *rounded("high", "low"))
+    """From the middle on, closes a day late and ranges (up and down from the open, in logs) stretched by a quarter."""
+    half = F.floor(F.col("n") / 2)
+    b = breaks.stretched(breaks.shifted(bars(spark, sf_dir), half), half, 1.25)
+    return b.select("series_id", F.col("date").cast("string").alias("date"), "shifted", *[F.round(F.log(F.col(c) / F.col("open")), 6).alias(n) for c, n in (("high", "up"), ("low", "down"))])
 
 
 @query()
