@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.operators import breaks, inference, resample, scoring, walkforward
 from driftline.params import Params
+from driftline.plans import batch
 
 
 def frame(spark, **cols):
@@ -155,3 +156,27 @@ def test_corrupted_from_the_event_on(spark):
     assert s == [10.0, 10.5, 9.5, 9.5, 10.2, 10.8]
     h = [r["high"] for r in breaks.stretched(b, F.lit(4), 2.0).orderBy("date").collect()]
     assert np.allclose(h, [11, 11, 11, 11, 12.1, 12.1])
+
+
+def test_batches_go_on_where_they_stopped(spark, tmp_path):
+    out = f"file://{tmp_path}/batches"
+    runs = []
+
+    def one(name, fails=False):
+        def f(spark, sf_dir):
+            runs.append(name)
+            if fails and runs.count(name) == 1:
+                raise RuntimeError("lost")
+            return spark.range(3)
+
+        return f
+
+    queries = {"a": one("a"), "b": one("b", True), "c": one("c")}
+    assert batch.run(spark, "", out, queries, limit=1) == ["a"]
+    with pytest.raises(RuntimeError):
+        batch.run(spark, "", out, queries)
+    assert batch.run(spark, "", out, queries) == ["b", "c"] and batch.run(spark, "", out, queries) == []
+    assert runs == ["a", "b", "b", "c"]
+    assert {(r["name"], r["rows"]) for r in batch.done(spark, out).collect()} == {("a", 3), ("b", 3), ("c", 3)}
+    with pytest.raises(KeyError):
+        batch.run(spark, "", out, queries, ["d"])
