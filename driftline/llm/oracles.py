@@ -52,4 +52,39 @@ e AS (SELECT x, y FROM p JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y WHERE 1
 r AS (SELECT rid AS x, rid AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y)
 SELECT d.doc_id, CAST(coalesce(max(n.n), 0) AS bigint) AS n_shingles, min(o.doc_id) AS component_id FROM d LEFT JOIN n USING (rid) JOIN r ON r.x = d.rid JOIN d o ON o.rid = r.y GROUP BY d.rid, d.doc_id"""
 
-SQL: dict[str, str] = {"op1_warc_histories": OP1, "op6_quality_rules": OP6, "op7_ngram_join": OP7}
+_NGRAM = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP11 = rf"""WITH RECURSIVE tab AS (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(i)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_NGRAM} AS w, true AS mine FROM documents UNION ALL SELECT -1 - row_number() OVER (), NULL, {_NGRAM}, false FROM benchmark),
+tok AS (SELECT rid, mine, i, w, lead(w, 1) OVER q AS x, lead(w, 2) OVER q AS y FROM (SELECT rid, mine, unnest(w) AS w, unnest(range(len(w))) AS i FROM d) WINDOW q AS (PARTITION BY rid ORDER BY i)),
+f AS (SELECT rid, mine, w AS f FROM tok UNION ALL SELECT rid, mine, w || ' ' || x FROM tok WHERE x IS NOT NULL UNION ALL SELECT rid, mine, w || ' ' || x || ' ' || y FROM tok WHERE y IS NOT NULL),
+c AS (SELECT f, hex(encode(f)) AS hx, 0 AS k, 4294967295::bigint AS crc FROM (SELECT DISTINCT f FROM f) UNION ALL SELECT f, hx, k + 1, xor(crc >> 8, tab.v) FROM c JOIN tab ON tab.i = xor(crc & 255, CAST('0x' || substr(hx, 2 * k + 1, 2) AS bigint)) WHERE 2 * k < length(hx)),
+b AS (SELECT f, xor(crc, 4294967295) % 10000 AS bucket FROM c WHERE 2 * k = length(hx)),
+n AS (SELECT bucket, count(*) FILTER (mine) AS s, count(*) FILTER (NOT mine) AS t FROM f JOIN b USING (f) GROUP BY 1),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::double * ((SELECT sum(s) FROM n) + 10000)::double / ((s + 1)::double * ((SELECT sum(t) FROM n) + 10000)::double))) AS bigint) AS gain FROM n),
+w AS (SELECT rid, count(*) AS n, sum(gain) AS weight FROM f JOIN b USING (f) JOIN g USING (bucket) WHERE mine GROUP BY 1),
+o AS (SELECT rid, doc_id, len(d.w) >= 20 AS long_enough, CAST(coalesce(n, 0) AS bigint) AS n_features, CAST(coalesce(weight, 0) AS bigint) AS weight, CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS varchar), '')), 1, 8) AS bigint) AS h FROM d LEFT JOIN w USING (rid) WHERE mine),
+z AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) AS bigint) AS score FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY long_enough ORDER BY score DESC, doc_id NULLS FIRST) AS place, count(*) OVER (PARTITION BY long_enough) AS all_of FROM z)
+SELECT doc_id, n_features, weight, score, CASE WHEN long_enough AND place <= 5 * all_of // 100 THEN place END AS rank FROM r"""
+
+
+def _rounds() -> str:
+    """The assignments and the next centroids of each round, one after another."""
+    out = []
+    for r in range(4):
+        out.append(f"a{r} AS (SELECT rid, min(d) AS distance, arg_min(c, d * 16 + c) AS cluster FROM (SELECT rid, c, sum((x.x - k.x) * (x.x - k.x)) AS d FROM x JOIN c{r} k USING (dim) GROUP BY 1, 2) GROUP BY 1)")
+        if r < 3:
+            out.append(f"m{r} AS (SELECT cluster AS c, dim, sum(x) AS s, count(*) AS n FROM x JOIN a{r} USING (rid) GROUP BY 1, 2)")
+            out.append(f"c{r + 1} AS (SELECT k.c, k.dim, CASE WHEN n IS NULL THEN k.x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{r} k LEFT JOIN m{r} m ON m.c = k.c AND m.dim = k.dim)")
+    return ",\n".join(out)
+
+
+OP13 = f"""WITH v AS (SELECT row_number() OVER () AS rid, vec_id, embedding, sha256('1:' || coalesce(CAST(vec_id AS varchar), '')) AS h, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS double)) AS bigint)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+x AS (SELECT rid, unnest(v) AS x, unnest(range(64)) AS dim FROM v),
+c0 AS (SELECT c, unnest(v) AS x, unnest(range(64)) AS dim FROM (SELECT row_number() OVER (ORDER BY h, embedding) - 1 AS c, v FROM v) WHERE c < 16),
+{_rounds()},
+s AS (SELECT c AS cluster, sha256(string_agg(CAST(CAST(x AS bigint) AS varchar), ',' ORDER BY dim)) AS centroid_sha256 FROM c3 GROUP BY 1)
+SELECT vec_id, CAST(cluster AS int) AS cluster, CAST(distance AS bigint) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS bigint) AS cluster_inertia, CAST(sum(distance) OVER () AS bigint) AS inertia, centroid_sha256 FROM a3 JOIN v USING (rid) JOIN s USING (cluster)"""
+
+SQL: dict[str, str] = {"op1_warc_histories": OP1, "op6_quality_rules": OP6, "op7_ngram_join": OP7, "op11_importance_resampling": OP11, "op13_centroids": OP13}

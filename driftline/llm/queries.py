@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, decontam, html_text, langid, mixing, ngram_join, pii, quality_rules, secrets, warc
+from . import attention, centroids, decontam, html_text, importance, langid, mixing, ngram_join, pii, quality_rules, secrets, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,4 +53,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_histories, op2_decontamination, op3_mixing, op4_secret_scan, op5_html_text, op6_quality_rules, op7_ngram_join, op8_personal_data, op9_attention_quality, op10_language_id)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_histories, op2_decontamination, op3_mixing, op4_secret_scan, op5_html_text, op6_quality_rules, op7_ngram_join, op8_personal_data, op9_attention_quality, op10_language_id, op11_importance_resampling, op12_token_counts, op13_centroids)}
