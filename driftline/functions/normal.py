@@ -27,6 +27,14 @@ def two_sided(z: Column) -> Column:
     return 2 * cdf(-F.abs(z))
 
 
+def two_sided_sql(z: str) -> str:
+    """``two_sided`` as SQL: the same series and continued fraction."""
+    a, dens = f"abs({z})", f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()))"
+    near = f"list_sum(list_transform(range(0, 61), lambda k: pow({a}, 2 * k + 1) / exp(lgamma(2 * k + 2) - k * ln(2) - lgamma(k + 1))))"
+    far = f"list_reduce(list_prepend({a}, list_transform(range(80, 0, -1), lambda k: CAST(k AS double))), lambda s, k: {a} + k / s)"
+    return f"(2 * CASE WHEN {a} < 3.5 THEN 0.5 - {dens} * {near} ELSE {dens} / {far} END)"
+
+
 def inverse(p: float) -> float:
     """The quantile, by bisection."""
     lo, hi = -40.0, 40.0

@@ -104,51 +104,31 @@ def ratio(series: DataFrame, by: list[str], num: str, den: str, band: int, z: fl
     return j.select(*by, "n", r.alias("ratio"), se.alias("delta_se"), fieller(mn, md, vn, vd, cv, F.lit(z)).alias("set"))
 
 
-def stationary_indices(n: int, block: float, rng: np.random.Generator, geometric: bool = False) -> np.ndarray:
-    """Circular resample: restarts by chance 1 / block at each step, or blocks of geometric length."""
-    if not geometric:
-        new = rng.random(n) < 1 / block
-        new[0] = True
-        start = np.where(new, rng.integers(0, n, n), 0)
-        at = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        return (start[at] + np.arange(n) - at) % n
-    out = []
-    while len(out) < n:
-        s, k = rng.integers(0, n), rng.geometric(1 / block)
-        out.extend((s + np.arange(k)) % n)
-    return np.array(out[:n])
-
-
-def reality_check(panel: DataFrame, by: list[str], draws: int = 500, block: int = 40, seed: int = 7) -> DataFrame:
+def reality_check(panel: DataFrame, by: list[str], draws: int = 2000, block: int = 40, seed: int = 7, kind: str = "restart") -> DataFrame:
     """(by, models, n, kept, statistic, p_reality, p_spa): the best of many models' mean gains (by, model, t, d) over none, unstudentised.
 
     The first p recentres every model; the second only those not far below zero, by the law of the
-    iterated logarithm with a long-run deviation of band ``block``. Both resample with mean length ``block``.
+    iterated logarithm with a long-run deviation of band ``block``. Both resample by stationary blocks of
+    mean length ``block``; a draw is a key, and models of one length share its blocks.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        D = pdf.pivot(index="t", columns="model", values="d").sort_index().to_numpy()
-        n, k = D.shape
-        rng = np.random.default_rng(seed)
-        mean, root = D.mean(0), np.sqrt(n)
-        keep = mean >= -np.sqrt(_long_runs((D - mean).T, np.full(k, block))) * np.sqrt(2 * np.log(np.log(max(n, 3)))) / root
-        boots = np.array([D[stationary_indices(n, block, rng)].mean(0) for _ in range(draws)])
-        best = root * mean.max()
-        p = [float(((root * (boots - base)).max(1) >= best).mean()) for base in (mean, np.where(keep, mean, 0.0))]
-        head = {c: [pdf[c].iloc[0]] for c in by}
-        return pd.DataFrame(head | {"models": [k], "n": [n], "kept": [int(keep.sum())], "statistic": [best], "p_reality": [p[0]], "p_spa": [p[1]]})
-
-    kinds = ", ".join(f"{c} {panel.schema[c].dataType.simpleString()}" for c in by)
-    return panel.groupBy(*by).applyInPandas(run, f"{kinds}, models int, n int, kept int, statistic double, p_reality double, p_spa double")
-
-
-def _long_runs(X: np.ndarray, bands: np.ndarray) -> np.ndarray:
-    """Bartlett long-run variance of each centred row, at its own band."""
-    n = X.shape[1]
-    f = np.fft.rfft(X, 1 << (2 * n - 1).bit_length())
-    g = np.fft.irfft(f * np.conj(f))[:, :n] / n
-    v = [g[i, 0] + 2 * ((1 - np.arange(1, b + 1) / (b + 1))[: n - 1] * g[i, 1 : b + 1]).sum() for i, b in enumerate(bands)]
-    return np.maximum(v, 1e-18)
+    fixed = hac(panel, [*by, "model"], "d", block).select(*by, "model", "mean", "se", "n")
+    n, root = F.col("n"), F.sqrt("n")
+    fixed = fixed.withColumn("keep", F.col("mean") >= -F.col("se") * F.sqrt(2 * F.log(F.log(F.greatest(n, F.lit(3)).cast("double")))))
+    top = fixed.groupBy(*by, "n").agg(F.count("*").cast("int").alias("models"), F.sum(F.col("keep").cast("int")).cast("int").alias("kept"), F.max(root * F.col("mean")).alias("statistic"))
+    s = resample.block_sums(panel, [*by, "model"], ["d"], draws, block, seed, kind).drop("n").join(fixed, [*by, "model"])
+    gap = lambda base: F.max(root * (F.col("d") / n - base))
+    boots = s.groupBy(*by, "n", "draw").agg(gap(F.col("mean")).alias("all"), gap(F.when(F.col("keep"), F.col("mean")).otherwise(0.0)).alias("some"))
+    over = lambda c: F.avg((F.col(c) >= F.col("statistic")).cast("double"))
+    return boots.join(top, [*by, "n"]).groupBy(*by, "models", "n", "kept", "statistic").agg(over("all").alias("p_reality"), over("some").alias("p_spa"))
+
+
+def bartlett(Z: np.ndarray, band: int) -> np.ndarray:
+    """Bartlett long-run variance of each row about its mean: the mean square of its moving sums of band + 1 values, the ends padded with nothing."""
+    n = Z.shape[1]
+    e = Z - Z.mean(1, keepdims=True)
+    run = np.pad(np.cumsum(np.pad(e, ((0, 0), (1, 0))), 1), ((0, 0), (0, band)), mode="edge")
+    moving = run[:, 1:] - np.concatenate([np.zeros((len(Z), band + 1)), run[:, 1:n]], 1)
+    return (moving**2).sum(1) / ((band + 1) * n)
 
 
 def fixed_b(spark: SparkSession, sizes: list[tuple[int, int]], draws: int = 4000, seed: int = 20) -> DataFrame:
@@ -192,36 +172,59 @@ def multiplicity(tests: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     return t.withColumn("holm", F.least(F.lit(1.0), F.max(F.col(p) * (F.col("m") - F.col("j") + 1)).over(asc))).drop("j", "m")
 
 
-def joint_null(cells: DataFrame, draws: int = 500, block: int | None = None, seed: int = 5) -> DataFrame:
-    """(cells, hits, p, bound): how often a block bootstrap of all centred cells (cell_id, calendar_group, series, bandwidth, critical_value) has as many |t| over their critical values as the data.
+def whole_blocks(n: int, block: int, band: int) -> int:
+    """A block length of at least ``block``, at most a quarter of n, whose last, cut block is longer than the band."""
+    long = min(block, max(2, n // 4))
+    return next((x for x in range(long, n) if n % x == 0 or n % x > band), n)
 
-    A draw counts hits over all groups. One set of block starts serves all cells of a group, whose
-    series are of one length; blocks are of 4 n^(1/3) rows, 20 at least and a quarter of n at most. Without
-    any exceedance, ``bound`` is the largest chance that such luck leaves with 5%.
+
+def absolute_t(cells: DataFrame, draws: int, block: int, seed: int) -> DataFrame:
+    """(cell_id, draw, t) of cells (cell_id, series, bandwidth): |mean| over its long-run error in moving-block draws of the centred series.
+
+    Starts depend on the number of rows and the draw alone, so cells of one calendar share them without meeting.
+    A task holds one cell and some of the draws.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cell_id")
-        X = np.stack(pdf["series"].to_list()).astype(float)
-        bands, crit = pdf["bandwidth"].to_numpy(), pdf["critical_value"].to_numpy()
-        n = X.shape[1]
-        long = min(block or max(20, round(4 * n ** (1 / 3))), max(2, n // 4), n)
-        rng = np.random.default_rng([seed, *str(pdf["calendar_group"].iloc[0]).encode()])
-
-        def over(Y: np.ndarray) -> int:
-            m = Y.mean(1, keepdims=True)
-            return int((np.abs(m[:, 0]) / np.sqrt(_long_runs(Y - m, bands) / n) > crit).sum())
-
-        hits, C = [over(X)], X - X.mean(1, keepdims=True)
-        for _ in range(draws):
-            first = rng.integers(0, n - long + 1, -(-n // long))
-            hits.append(over(C[:, (first[:, None] + np.arange(long)).ravel()[:n]]))
-        return pd.DataFrame({"draw": np.arange(-1, draws), "cells": len(X), "hits": hits})
-
-    d = cells.groupBy("calendar_group").applyInPandas(run, "draw int, cells int, hits int").groupBy("draw").agg(F.sum("cells").cast("int").alias("cells"), F.sum("hits").cast("int").alias("hits"))
-    seen = d.where("draw = -1").select("cells", F.col("hits").alias("seen"))
-    g = d.where("draw >= 0").select("hits").crossJoin(F.broadcast(seen)).groupBy("cells", "seen").agg(F.sum((F.col("hits") >= F.col("seen")).cast("int")).alias("over"))
-    return g.select("cells", F.col("seen").alias("hits"), ((1 + F.col("over")) / (draws + 1)).alias("p"), F.when(F.col("over") == 0, 1 - 0.05 ** (1 / draws)).alias("bound"))
+    def statistic(row, draw):
+        x = np.asarray(row["series"], float)
+        Z = (x - x.mean())[resample.rows_drawn(len(x), draw, whole_blocks(len(x), block, int(row["bandwidth"])), seed)]
+        return {"t": np.abs(Z.mean(1)) / np.sqrt(np.maximum(bartlett(Z, int(row["bandwidth"])), 1e-18) / len(x))}
+
+    return resample.by_draw(cells.select("cell_id", "series", "bandwidth"), ["cell_id"], draws, statistic, "t double")
+
+
+def joint_null(cells: DataFrame, draws: int = 2000, block: int = 60, seed: int = 5) -> DataFrame:
+    """(rule, cells, hits, null_mean, p, bound) of cells (cell_id, series, bandwidth, critical_value): how often resampling all centred cells together has as many significant ones as the data.
+
+    Rule A holds |t| against the normal, B against the cell's own critical value, C against the 95% point of the
+    cell's |t| in draws of another seed. All rules are counted on the same draws, each against its own null. Without
+    any exceedance, ``bound`` is the largest chance that such luck leaves with 5%. Series are free of nulls.
+    """
+    t = absolute_t(cells, draws, block, seed)
+    own = absolute_t(cells, draws, block, seed + 7777).groupBy("cell_id").agg(F.percentile("t", F.lit(0.95)).alias("own"))
+
+    def observed(batches):
+        for pdf in batches:
+            xs = [np.asarray(x, float) for x in pdf["series"]]
+            v = [abs(x.mean()) / np.sqrt(max(bartlett(x[None], int(b))[0], 1e-18) / len(x)) for x, b in zip(xs, pdf["bandwidth"])]
+            yield pd.DataFrame({"cell_id": pdf["cell_id"], "draw": np.full(len(pdf), -1, np.int64), "t": np.array(v, float)})
+
+    kind = cells.schema["cell_id"].dataType.simpleString()
+    seen = cells.select("cell_id", "series", "bandwidth").mapInPandas(observed, f"cell_id {kind}, draw bigint, t double")
+    limits = cells.select("cell_id", "critical_value").join(own, "cell_id")
+    rules = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), c.cast("double").alias("limit")) for r, c in (("A", F.lit(Z95)), ("B", F.col("critical_value")), ("C", F.col("own")))]))
+    limits = limits.select("cell_id", rules.alias("r")).select("cell_id", "r.rule", "r.limit")
+    hits = t.unionByName(seen).join(limits, "cell_id").groupBy("rule", "draw").agg(F.count("*").alias("cells"), F.sum((F.col("t") > F.col("limit")).cast("long")).alias("hits"))
+    real = F.max(F.when(F.col("draw") < 0, F.col("hits"))).over(Window.partitionBy("rule"))
+    over = F.sum(((F.col("draw") >= 0) & (F.col("hits") >= F.col("seen"))).cast("long"))
+    g = hits.withColumn("seen", real).groupBy("rule", "cells", "seen").agg(F.avg(F.when(F.col("draw") >= 0, F.col("hits"))).alias("null_mean"), over.alias("over"))
+    return g.select("rule", "cells", F.col("seen").alias("hits"), "null_mean", ((1 + F.col("over")) / (draws + 1)).alias("p"), F.when(F.col("over") == 0, 1 - 0.05 ** (1 / draws)).alias("bound"))
+
+
+def fixed_band(n: Column, band: Column) -> Column:
+    """The 97.5% point of a mean's t with a Bartlett error of that band, by the published cubic in band over rows."""
+    b = (band + 1) / n
+    return Z95 + 2.9694 * b + 0.4160 * b * b - 0.5324 * b * b * b
 
 
 def sign_test(df: DataFrame, by: list[str], d: str) -> DataFrame:

@@ -192,10 +192,3 @@ def outage_split(spark, sf_dir):
     rows = study_rows(spark, sf_dir)
     skills = [scoring.skill(walkforward.walk(rows, SHORT, arms=("own",), lam=3.0, feature_only=x)).select("target", "delta", F.col("r2").alias(n)) for x, n in ((True, "s_feature"), (False, "s_outage"))]
     return scoring.outage_split(skills[0].join(skills[1], ["target", "delta"])).select("target", "delta", *rounded("total", "feature", "vintage", "vintage_share"))
-
-
-@query()
-def estimation_cost(spark, sf_dir):
-    """The peers' gain, the mean gain of circularly shifted peers that can know nothing (the cost of estimating them), and what is left."""
-    c = walkforward.estimation_cost(study_rows(spark, sf_dir), SHORT, 8, lam=3.0)
-    return c.select("target", "delta", "draws", *rounded("net", "cost", "cost_se", "gross"))

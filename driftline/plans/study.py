@@ -412,13 +412,13 @@ def self_normalised(spark, sf_dir):
     return inference.self_normalised(d, ["target"], "d").select("target", "n", F.round("statistic", 4).alias("statistic"))
 
 
-@query(f"""WITH {D_SQL}, p AS (SELECT target, delta, round(abs(mean / se), 4) AS z FROM hc), q AS (SELECT *, 1 / (1 + z) AS pv FROM p), j AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pv, delta) AS j, count(*) OVER (PARTITION BY target) AS m FROM q)
-SELECT target, delta, round(least(1, min(pv * m / j) OVER (PARTITION BY target ORDER BY j DESC)), 6) AS bh, round(least(1, max(pv * (m - j + 1)) OVER (PARTITION BY target ORDER BY j)), 6) AS holm FROM j""")
+@query(f"""WITH {D_SQL}, p AS (SELECT target, delta, round(mean / se, 4) AS z FROM hc), q AS (SELECT *, {normal.two_sided_sql('z')} AS pv FROM p), j AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY pv, delta) AS j, count(*) OVER (PARTITION BY target) AS m FROM q)
+SELECT target, delta, round(pv, 6) AS p, round(least(1, min(pv * m / j) OVER (PARTITION BY target ORDER BY j DESC)), 6) AS bh, round(least(1, max(pv * (m - j + 1)) OVER (PARTITION BY target ORDER BY j)), 6) AS holm FROM j""")
 def multiplicity(spark, sf_dir):
-    """Adjusted p of a family (a simple decreasing map of z stands for p, which DuckDB lacks)."""
+    """P of each delay's test, and adjusted in its family; z is taken to four decimals."""
     z = inference.hac(loss_differences(spark, sf_dir), ["target", "delta"], "d", 8)
-    t = z.select("target", "delta", (1 / (1 + F.round(F.abs("z"), 4))).alias("p"))
-    return inference.multiplicity(t, ["target"]).select("target", "delta", *rounded("bh", "holm"))
+    t = z.select("target", "delta", normal.two_sided(F.round("z", 4)).alias("p"))
+    return inference.multiplicity(t, ["target"]).select("target", "delta", *rounded("p", "bh", "holm"))
 
 
 @query(f"""WITH {D_SQL}, x AS (SELECT target, delta, CAST(count(*) FILTER (d <> 0) AS int) AS n, CAST(count(*) FILTER (d > 0) AS int) AS plus FROM df GROUP BY 1, 2)
@@ -490,25 +490,6 @@ def fixed_b(spark, sf_dir):
     return inference.fixed_b(spark, [(250, 12), (500, 25)], 12_000).select("n", "band", F.round("critical", 4).alias("critical"))
 
 
-@query()
-def reality_check(spark, sf_dir):
-    """I8: the best delay's gain against none."""
-    d = loss_differences(spark, sf_dir).where("delta > 0").withColumn("model", F.col("delta").cast("string"))
-    full = d.groupBy("target", "t").agg(F.count("*").alias("k")).where("k = 3").select("target", "t")
-    return inference.reality_check(d.join(full, ["target", "t"], "left_semi").select("target", "model", "t", "d"), ["target"], 2000, SHORT.block_for(max(SHORT.delays)))
-
-
-@query()
-def joint_null(spark, sf_dir):
-    """Bootstrap null of the number of hits over all targets and delays."""
-    d = loss_differences(spark, sf_dir)
-    n = F.count("*").over(Window.partitionBy("target", "t"))
-    d = d.withColumn("k", n).where("k = 4")
-    c = d.groupBy("target", "delta").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "d"))), lambda x: x["d"]).alias("series"))
-    cells = c.select(F.concat_ws("/", "target", "delta").alias("cell_id"), F.col("target").alias("calendar_group"), "series", F.lit(12).alias("bandwidth"), F.lit(2.0).alias("critical_value"))
-    return inference.joint_null(cells, 2000)
-
-
 @query()
 def coverage_study(spark, sf_dir):
     """Coverage of a HAC interval under dependence."""

@@ -53,30 +53,3 @@ def truncated_average(spark: SparkSession, n: int, order: int, seed: int = 1) ->
                 yield pd.DataFrame({"t": np.arange(n), "x": np.convolve(e, np.ones(order) / np.sqrt(order), "valid")})
 
     return spark.range(1).mapInPandas(run, "t int, x double")
-
-
-def surrogates(panel: DataFrame, draws: int, seed: int = 1) -> DataFrame:
-    """(draw, t, series_id, a): AR(1) draws with the panel's persistence, shock covariance and holes. ``panel``: (t, series_id, a), one small panel."""
-    spark = panel.sparkSession
-    wide = panel.toPandas().pivot(index="t", columns="series_id", values="a")
-    X, names, ts = wide.to_numpy(), list(wide.columns), wide.index.to_numpy()
-    hole = ~np.isfinite(X)
-    mu = np.nanmean(X, 0)
-    Z = np.where(hole, 0, X - mu)
-    both = ~hole[1:] & ~hole[:-1]
-    phi = np.array([(Z[1:, i] * Z[:-1, i])[both[:, i]].sum() / max((Z[:-1, i] ** 2)[both[:, i]].sum(), 1e-12) for i in range(len(names))])
-    e = (Z[1:] - phi * Z[:-1])[both.all(1)]
-    L = np.linalg.cholesky(np.cov(e.T).reshape(len(names), -1) + 1e-9 * np.eye(len(names)))
-
-    def run(batches):
-        for pdf in batches:
-            for k in pdf["id"]:
-                rng = np.random.default_rng([seed, int(k)])
-                s = np.zeros_like(Z)
-                for t in range(1, len(s)):
-                    s[t] = phi * s[t - 1] + L @ rng.normal(size=len(names))
-                s = np.where(hole, np.nan, s + mu)
-                for i, name in enumerate(names):
-                    yield pd.DataFrame({"draw": int(k), "t": ts, "series_id": name, "a": s[:, i]})
-
-    return spark.range(draws).repartition(min(draws, 64)).mapInPandas(run, "draw long, t int, series_id string, a double")
