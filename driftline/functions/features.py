@@ -27,6 +27,16 @@ def extended(a: Column, r: Column, w: WindowSpec, lags: int = 4, long: tuple[int
     return out | {"lev": r, "lev_down": F.when(r.isNotNull(), down), "lev5": frames.mean(r, w, 5)}
 
 
+def measures(short: Column, long: Column, w: WindowSpec, n: int = 252, least: int = 30) -> dict[str, Column]:
+    """A slower measure against its own median, and the level of the faster one, which its median hides."""
+    return {"slow": F.log(long / frames.median(long, w, n, least)), "level": F.log(frames.median(short, w, n, least))}
+
+
+def gapped(peers: Column, w: WindowSpec, gap: int) -> Column:
+    """Peers as they were ``gap`` rows ago: a second delay, of the fresh side."""
+    return F.lag(peers, gap).over(w) if gap else peers
+
+
 def targets(a: Column, log_median: Column, w: WindowSpec, h: int, k: int) -> dict[str, Column]:
     """Value and sign h rows on, the value against the origin's median, and the mean of the next k."""
     ahead = w.rowsBetween(1, k)

@@ -77,3 +77,52 @@ def stretched(bars: DataFrame, event: Column, factor: float) -> DataFrame:
     edge = lambda c: F.col("open") * F.exp(factor * F.log(F.col(c) / F.col("open")))
     high, low = F.greatest(edge("high"), F.col("close")), F.least(edge("low"), F.col("close"))
     return b.withColumn("high", F.when(F.col("late"), high).otherwise(F.col("high"))).withColumn("low", F.when(F.col("late"), low).otherwise(F.col("low"))).drop("n", "late")
+
+
+def spliced(bars: DataFrame, other: DataFrame, event: Column) -> DataFrame:
+    """Bars that are another vendor's (date, open, high, low, close) from the event on, scaled to the close of the row before it.
+
+    The other's values are taken on the bars' dates, carried forward and, before the first, back.
+    """
+    w = Window.partitionBy("series_id")
+    o = w.orderBy("date")
+    cols = ("open", "high", "low", "close")
+    j = bars.join(other.select("date", *[F.col(c).alias(f"o_{c}") for c in cols]), "date", "left").withColumn("n", F.count("*").over(w)).withColumn("late", _from_event(event))
+    carried = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0)), F.first(c, ignorenulls=True).over(o.rowsBetween(0, Window.unboundedFollowing)))
+    j = j.select("*", *[carried(f"o_{c}").alias(f"c_{c}") for c in cols])
+    before = F.lead("late").over(o) & ~F.col("late")
+    scale = F.max(F.when(before, F.col("close") / F.col("c_close"))).over(w)
+    j = j.withColumn("scale", scale)
+    return j.select(*[c for c in bars.columns if c not in cols], *[F.when(F.col("late") & F.col("scale").isNotNull(), F.col(f"c_{c}") * F.col("scale")).otherwise(F.col(c)).alias(c) for c in cols])
+
+
+def smoothness(returns: DataFrame, months: int = 120, cap: float = 0.95, least: int = 24) -> DataFrame:
+    """(series_id, rho): correlation of a return with the one before over the first ``months`` of (series_id, month, r), from 0 to ``cap``; 0 with fewer than ``least`` returns."""
+    w = Window.partitionBy("series_id").orderBy("month")
+    f = returns.where("r IS NOT NULL").withColumn("k", F.row_number().over(w)).where(F.col("k") <= months).withColumn("before", F.lag("r").over(w))
+    g = f.groupBy("series_id").agg(F.count("*").alias("n"), F.corr("before", "r").alias("c"))
+    return g.select("series_id", F.when(F.col("n") < least, F.lit(0.0)).otherwise(F.least(F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(0.0)), F.lit(cap))).alias("rho"))
+
+
+def desmoothed(returns: DataFrame, months: int = 120, cap: float = 0.95, least: int = 24) -> DataFrame:
+    """(series_id, month, r, rho, sharp): returns with the smoothing of an appraised mark undone, (r - rho r of the month before) / (1 - rho); rho is fixed on the first months."""
+    w = Window.partitionBy("series_id").orderBy("month")
+    j = returns.join(F.broadcast(smoothness(returns, months, cap, least)), "series_id")
+    return j.select("series_id", "month", "r", "rho", ((F.col("r") - F.col("rho") * F.lag("r").over(w)) / (1 - F.col("rho"))).alias("sharp"))
+
+
+def seasonal_placebo(rows: DataFrame, every: int = 12, least: int = 3) -> DataFrame:
+    """(target, t, placebo) of (target, t, month, x, j): the mean of the row's calendar month over rows strictly before the last refit, and nothing else of x.
+
+    Refits are every ``every``-th row of the test index j; rows off the index take the first refit's means. A month needs ``least`` values.
+    The means as of a refit come from one sorted pass of running sums by month.
+    """
+    own = Window.partitionBy("target")
+    head = F.when(F.col("j") % every == 0, F.col("t"))
+    at = F.coalesce(F.when(F.col("j").isNotNull(), F.max(head).over(own.orderBy("t").rowsBetween(Window.unboundedPreceding, 0))), F.min(head).over(own))
+    q = rows.select("target", "t", "month", "x", at.alias("refit"))
+    run = Window.partitionBy("target", "month").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    known = q.where("x IS NOT NULL").select("target", "month", F.col("t").alias("at"), F.lit(None).cast(q.schema["t"].dataType).alias("t"), F.struct(F.count("x").over(run).alias("n"), F.avg("x").over(run).alias("mean")).alias("m"))
+    asked = q.where("refit IS NOT NULL").select("target", "month", (F.col("refit") - 1).alias("at"), "t", F.lit(None).cast(known.schema["m"].dataType).alias("m"))
+    last = F.last("m", ignorenulls=True).over(Window.partitionBy("target", "month").orderBy("at", F.col("t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    return known.unionByName(asked).withColumn("m", last).where("t IS NOT NULL").select("target", "t", F.when(F.col("m.n") >= least, F.col("m.mean")).alias("placebo"))

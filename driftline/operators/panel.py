@@ -111,3 +111,16 @@ def latest_vintage(rows: DataFrame, vintages: DataFrame, lag: int) -> DataFrame:
 def phase(rows: DataFrame, months: tuple[int, ...]) -> DataFrame:
     """Rows of the given months of the year."""
     return rows.where(F.month("date").isin(*months))
+
+
+def second_series(values: DataFrame, other: str, calendar: DataFrame, limit: int = 5, value: str = "a") -> DataFrame:
+    """(target, t, date, v): another series' value as of the target's previous row, carried over at most ``limit`` of its rows."""
+    f = fill_reindex(values.where(F.col("series_id") == other), calendar, limit, value)
+    return f.select("target", "t", "date", F.lag(value).over(frames.ordered("target")).alias("v"))
+
+
+def rungs(rows: DataFrame, shares: dict[str, float], n: int = 252, least: int = 60) -> DataFrame:
+    """Rows (target, t, v) with a mask for each share: v above that quantile of its last ``n`` values; ``base``: at most the first share's. Null where there are fewer than ``least``."""
+    w = frames.trailing(frames.ordered("target"), n)
+    qs = {k: frames.quantile(F.col("v"), q, w, least) for k, q in shares.items()}
+    return rows.select("*", (F.col("v") <= next(iter(qs.values()))).alias("base"), *[(F.col("v") > q).alias(k) for k, q in qs.items()])

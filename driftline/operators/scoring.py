@@ -190,15 +190,58 @@ def correlations(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def leave_one_out(points: DataFrame, x: str, y: str) -> DataFrame:
-    """(id, pearson without it, leverage) of each point (id, x, y), from sums: no pairs of points."""
-    s = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(F.col(x) * F.col(x)).alias("sxx"), F.sum(F.col(y) * F.col(y)).alias("syy"), F.sum(F.col(x) * F.col(y)).alias("sxy"))
-    j = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(s))
-    X, Y, n = F.col(x), F.col(y), F.col("n")
-    m, sx, sy = n - 1, F.col("sx") - X, F.col("sy") - Y
-    cov = F.col("sxy") - X * Y - sx * sy / m
-    vx, vy = F.col("sxx") - X * X - sx * sx / m, F.col("syy") - Y * Y - sy * sy / m
-    lev = 1 / n + (X - F.col("sx") / n) ** 2 / (F.col("sxx") - F.col("sx") ** 2 / n)
-    return j.select("id", (cov / F.sqrt(vx * vy)).alias("without"), lev.alias("leverage"))
+    """(id, without, slope, crossing, leverage) of each point (id, x, y): the others' correlation, their line's slope and where it meets zero, and the point's pull on the whole line; from sums, no pairs of points."""
+    some = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    s = some.agg(F.count("*").alias("n"), F.avg(x).alias("ax"), F.avg(y).alias("ay"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c"))
+    j = some.crossJoin(F.broadcast(s))  # one row
+    n, dx, dy = F.col("n"), F.col(x) - F.col("ax"), F.col(y) - F.col("ay")
+    # Sums about the whole's means, less the point's own part: n / (n - 1) of its squares.
+    others = F.nullif(n - 1, F.lit(0))
+    left = lambda whole, part: n * F.col(whole) - part * n / others
+    cov, vx, vy = left("c", dx * dy), left("vx", dx * dx), left("vy", dy * dy)
+    slope = cov / F.nullif(vx, F.lit(0.0))
+    mx, my = (n * F.col("ax") - F.col(x)) / others, (n * F.col("ay") - F.col(y)) / others
+    return j.select("id", (cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0))).alias("without"), slope.alias("slope"), (mx - my / F.nullif(slope, F.lit(0.0))).alias("crossing"), (1 / n + dx * dx / F.nullif(n * F.col("vx"), F.lit(0.0))).alias("leverage"))
+
+
+def structure_stability(panel: DataFrame, by: list[str], win: int = 252, gap: int = 63, least: int = 126) -> DataFrame:
+    """(by, t, pairs, stability) of a panel (by, t, series_id, a) that has every series in every row: how alike all pairs' correlations in the ``win`` rows before t are to those ``gap`` rows earlier.
+
+    Rows in which a series is missing don't count, and a window needs ``least`` that do. Pairs come from each row's own values.
+    """
+    day = Window.partitionBy(*by, "t")
+    whole = panel.withColumn("full", F.min(F.col("a").isNotNull().cast("int")).over(day)).groupBy(*by, "t").agg(F.max("full").alias("full"), F.array_sort(F.collect_list(F.struct("series_id", "a"))).alias("v"))
+    i = F.posexplode("v").alias("i", "one")
+    p = whole.select(*by, "t", "full", "v", i).select(*by, "t", "full", "one", F.explode(F.slice(F.col("v"), F.col("i") + 2, F.size("v"))).alias("two"))
+    value = lambda c: F.when(F.col("full") == 1, F.col(f"{c}.a"))
+    p = p.select(*by, "t", F.col("one.series_id").alias("one"), F.col("two.series_id").alias("two"), value("one").alias("u"), value("two").alias("v"))
+    w = Window.partitionBy(*by, "one", "two").orderBy("t")
+    past = w.rowsBetween(-win, -1)
+    # Only windows that lie whole in the series.
+    c = F.when((F.count("u").over(past) >= least) & (F.row_number().over(w) > win), F.corr("u", "v").over(past))
+    p = p.select(*by, "t", "one", "two", c.alias("c")).withColumn("before", F.lag("c", gap).over(w))
+    both = p.where("c IS NOT NULL AND before IS NOT NULL AND NOT isnan(c) AND NOT isnan(before)")
+    return both.groupBy(*by, "t").agg(F.count("*").alias("pairs"), F.corr("c", "before").alias("stability"))
+
+
+def smear(forecasts: DataFrame, span: int, horizon: int) -> DataFrame:
+    """Forecasts with ``smear``: the mean of exp(y - f) over the ``span`` rows whose labels had resolved; 1 before there are any."""
+    past = Window.partitionBy(*KEYS).orderBy("t").rowsBetween(-(horizon + span), -(horizon + 1))
+    return forecasts.withColumn("smear", F.coalesce(F.avg(F.exp(F.col("y") - F.col("f"))).over(past), F.lit(1.0)))
+
+
+def scale_losses(forecasts: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """(by, n, qlike, mse, natural, unweighted) and their skills, of log forecasts (f, smear, y, bench_var, m0, mh) carried to variances.
+
+    The smeared forecast exp(f) * smear meets exp(y): by quasi-likelihood; by squared error over the median; on the natural
+    scale, where the forecaster has the origin's median m0 and the outcome its own, mh; and with mh on both sides, which
+    nobody could know and which only takes the weight off. ``bench_var`` is the resolved labels' mean variance.
+    """
+    some = forecasts.where("y IS NOT NULL AND f IS NOT NULL AND bench_var IS NOT NULL AND m0 IS NOT NULL AND mh IS NOT NULL")
+    v, h, b = F.exp("y"), F.exp("f") * F.col("smear"), F.col("bench_var")
+    loss = {"qlike": lambda x: v / x - F.log(v / x) - 1, "mse": lambda x: (v - x) ** 2, "natural": lambda x: (v * F.col("mh") - x * F.col("m0")) ** 2, "unweighted": lambda x: ((v - x) * F.col("mh")) ** 2}
+    g = some.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(f(h)).alias(k) for k, f in loss.items()], *[F.sum(f(h)).alias(f"m_{k}") for k, f in loss.items()], *[F.sum(f(b)).alias(f"b_{k}") for k, f in loss.items()])
+    return g.select(*by, "n", *loss, *[(1 - F.col(f"m_{k}") / F.nullif(F.col(f"b_{k}"), F.lit(0.0))).alias(f"{k}_skill") for k in loss])
 
 
 def same(a: Column, b: Column, rel: float = 1e-12) -> Column:

@@ -33,8 +33,8 @@ COEFS = "target string, arm string, delta int, refit_id int, n int, lambda doubl
 
 
 def position(p: Params) -> F.Column:
-    """A row's place j in the test index, null off it: rows that every delay may forecast. It depends on the largest delay, so all arms and delays share it."""
-    some = (F.col("t") >= p.span + max(p.delays) + p.horizon) & F.col("y").isNotNull()
+    """A row's place j in the test index, null off it: rows that every delay may forecast, after the median has its rows. It depends on the largest delay, so all arms and delays share it."""
+    some = (F.col("t") >= p.median + p.span + max(p.delays) + p.horizon) & F.col("y").isNotNull()
     return F.when(some, F.count(F.when(some, 1)).over(Window.partitionBy("target").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)) - 1)
 
 

@@ -1,5 +1,5 @@
 """Every query by name, and its SQL."""
 
-from . import arms, base, draws, market, robust, study  # noqa: F401
+from . import arms, base, draws, market, robust, states, study  # noqa: F401
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

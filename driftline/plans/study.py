@@ -94,7 +94,7 @@ def study_rows(spark, sf_dir):
 
 
 TRAIN_SQL = UNION_SQL + f""", lab AS (SELECT target, t, lead(a, {SHORT.horizon}) OVER (PARTITION BY target ORDER BY t) AS y FROM adm WHERE series_id = target),
-idx AS (SELECT target, t, row_number() OVER (PARTITION BY target ORDER BY t) - 1 AS j FROM lab WHERE y IS NOT NULL AND t >= {SHORT.span + max(SHORT.delays) + SHORT.horizon}),
+idx AS (SELECT target, t, row_number() OVER (PARTITION BY target ORDER BY t) - 1 AS j FROM lab WHERE y IS NOT NULL AND t >= {SHORT.median + SHORT.span + max(SHORT.delays) + SHORT.horizon}),
 ref AS (SELECT target, delta, t AS head, j // {SHORT.refit} AS refit_id, greatest(0, t - delta - {SHORT.horizon}) AS cut FROM idx CROSS JOIN (SELECT unnest({list(SHORT.delays)}) AS delta) WHERE j % {SHORT.refit} = 0),
 win AS (SELECT r.target, r.delta, r.refit_id, r.head, max(l.t) + {SHORT.horizon} AS resolved, count(*) AS n FROM ref r JOIN lab l ON l.target = r.target AND l.t >= greatest(0, r.cut - {SHORT.span}) AND l.t < r.cut AND l.y IS NOT NULL GROUP BY ALL)"""
 

@@ -47,7 +47,7 @@ def rows(spark, data):
 
 
 def index(y):
-    return [t for t in range(P.span + max(P.delays) + P.horizon, len(y)) if np.isfinite(y[t])]
+    return [t for t in range(P.median + P.span + max(P.delays) + P.horizon, len(y)) if np.isfinite(y[t])]
 
 
 def best_ridge(X, y, lam=None):

@@ -95,7 +95,7 @@ def loop_walk(rows, delta, arm, kind="ridge"):
             b = b - np.linalg.solve(A.T @ (A * (mu * (1 - mu))[:, None]) + P, A.T @ (mu - y) + P @ b)
         return b
 
-    idx = [t for t in range(P.span + max(P.delays) + P.horizon, len(y)) if np.isfinite(y[t])]
+    idx = [t for t in range(P.median + P.span + max(P.delays) + P.horizon, len(y)) if np.isfinite(y[t])]
     out, coef = {}, None
     for j, t in enumerate(idx):
         if j % P.refit == 0:
