@@ -17,15 +17,6 @@ def outer_panel(values: DataFrame, names: list[str], value: str = "a") -> DataFr
     return values.groupBy("date").pivot("series_id", names).agg(F.first(value))
 
 
-def cross_calendar(values: DataFrame, targets: list[str] | None = None) -> DataFrame:
-    """(target, series_id, date): each target's panel on the union calendar, long form."""
-    days = values.select("date").distinct()
-    ids = values.select("series_id").distinct()
-    t = ids.withColumnRenamed("series_id", "target")
-    t = t.where(F.col("target").isin(targets)) if targets else t
-    return t.crossJoin(ids).crossJoin(days)
-
-
 def fill_reindex(values: DataFrame, calendar: DataFrame, limit: int = 5, value: str = "a") -> DataFrame:
     """(target, t, date, series_id, value): values on a target's own calendar (target, date), carried over at most ``limit`` of its rows. Values of other dates are lost."""
     cal = calendar.withColumn("t", F.row_number().over(frames.ordered("target", "date")) - 1)
@@ -36,13 +27,26 @@ def fill_reindex(values: DataFrame, calendar: DataFrame, limit: int = 5, value:
 
 
 def fill_union(values: DataFrame, limit: int = 5, value: str = "a", targets: list[str] | None = None) -> DataFrame:
-    """(target, t, date, series_id, value): peers carried over at most ``limit`` rows of the union calendar, then the target's rows only. The target itself is not filled."""
-    grid = cross_calendar(values, targets).join(values.select("series_id", "date", value), ["series_id", "date"], "left")
-    w = frames.ordered(["target", "series_id"], "date")
-    filled = grid.withColumn("seen", F.col(value)).withColumn(value, F.when(F.col("series_id") == F.col("target"), F.col(value)).otherwise(frames.carried(F.col(value), w, limit)))
-    own = F.max(F.when(F.col("series_id") == F.col("target"), F.col("seen"))).over(Window.partitionBy("target", "date"))
-    kept = filled.withColumn("own", own).where(F.col("own").isNotNull())
-    return kept.withColumn("t", F.row_number().over(w) - 1).drop("own", "seen")
+    """(target, t, date, series_id, value): peers carried over at most ``limit`` rows of the union calendar, then the target's rows only. The target itself is not filled.
+
+    Each series is filled once, whatever the number of targets: a value is written to the places of the calendar up to the
+    series' next one. A day's values then meet in one row, which hands them to the targets that have a value that day.
+    """
+    v = values.select("series_id", "date", F.col(value).alias("v"))
+    every = Window.partitionBy(F.lit(0))  # days only: one short row each
+    days = v.select("date").distinct().select("date", F.row_number().over(every.orderBy("date")).alias("k"), F.count("*").over(every).cast("int").alias("n"))
+    s = Window.partitionBy("series_id")
+    x = v.join(days, "date").withColumn("some", F.count("v").over(s)).withColumn("at", F.row_number().over(s.orderBy("k")))
+    x = x.where(F.col("v").isNotNull() | ((F.col("some") == 0) & (F.col("at") == 1)))
+    o = s.orderBy("k")
+    x = x.select("series_id", "v", "k", F.when(F.lag("k").over(o).isNull(), 1).otherwise(F.col("k")).alias("a"), F.coalesce(F.lead("k").over(o) - 1, F.col("n")).alias("b"))
+    x = x.select("series_id", "v", "k", F.explode(F.sequence("a", "b")).alias("at"))
+    held = F.when((F.col("at") >= F.col("k")) & (F.col("at") <= F.col("k") + limit), F.col("v"))
+    day = x.groupBy(F.col("at").alias("k")).agg(F.collect_list(F.struct("series_id", held.alias("v"), (F.col("v").isNotNull() & (F.col("at") == F.col("k"))).alias("own"))).alias("all"))
+    own = F.filter("all", lambda e: e["own"] & (e["series_id"].isin(targets) if targets else F.lit(True)))
+    p = day.join(days.select("k", "date"), "k").select("date", "all", F.explode(own).alias("o")).select(F.col("o.series_id").alias("target"), "date", F.explode("all").alias("e"))
+    p = p.select("target", F.col("e.series_id").alias("series_id"), "date", F.col("e.v").alias(value))
+    return p.withColumn("t", F.row_number().over(frames.ordered(["target", "series_id"], "date")) - 1)
 
 
 def admissible(panel: DataFrame, conventions: DataFrame, value: str = "a") -> DataFrame:
@@ -61,9 +65,9 @@ def wide(panel: DataFrame, value: str = "a") -> DataFrame:
     return panel.groupBy("target", "t", "date").agg(own.alias("own"), peers.alias("peers"))
 
 
-def close_instant(date: Column, local_close: str, zone: Column) -> Column:
+def close_instant(date: Column, local_close: Column, zone: Column) -> Column:
     """The UTC instant of a local closing time; the zone's summer time is kept."""
-    return F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", date.cast("string"), F.lit(local_close))), zone)
+    return F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", date.cast("string"), local_close)), zone)
 
 
 def shared_dates(panels: list[DataFrame], on: list[str]) -> list[DataFrame]:

@@ -23,14 +23,14 @@ def skill(forecasts: DataFrame, by: list[str] = KEYS) -> DataFrame:
     return g.withColumn("r2", F.when(F.col("s0") > 0, 1 - F.col("s") / F.col("s0"))).withColumn("qlike_skill", F.when(F.col("q0") > 0, 1 - F.col("q") / F.col("q0"))).drop("s", "s0", "q", "q0")
 
 
-def binary(forecasts: DataFrame, by: list[str] = KEYS, clip: float = 1e-6) -> DataFrame:
+def binary(forecasts: DataFrame, by: list[str] = KEYS, clip: float = 1e-6, more: list[Column] = ()) -> DataFrame:
     """Per group of (y in 0, 1; f a probability): accuracy at one half, balanced accuracy, Brier and log score."""
     y, f = F.col("y"), F.col("f")
     p = F.least(F.greatest(f, F.lit(clip)), F.lit(1 - clip))
     hit = ((f > 0.5) == (y == 1)).cast("double")
     g = forecasts.where(y.isNotNull() & f.isNotNull()).groupBy(*by)
     half = (F.avg(F.when(y == 1, hit)) + F.avg(F.when(y == 0, hit))) / 2
-    return g.agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), half.alias("balanced"), F.avg((y - f) ** 2).alias("brier"), F.avg(-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_score"))
+    return g.agg(F.count("*").alias("n"), F.avg(hit).alias("accuracy"), half.alias("balanced"), F.avg((y - f) ** 2).alias("brier"), F.avg(-F.when(y == 1, F.log(p)).otherwise(F.log(1 - p))).alias("log_score"), *more)
 
 
 def average_rank(x: Column | str, by: list[str]) -> Column:
@@ -38,13 +38,28 @@ def average_rank(x: Column | str, by: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def _area(rank: str = "rank") -> Column:
+    """Area under the curve from ranks, null where a kind of label is missing."""
+    n1, n0 = F.sum((F.col("y") == 1).cast("long")), F.sum((F.col("y") == 0).cast("long"))
+    return (F.sum(F.when(F.col("y") == 1, F.col(rank))) - n1 * (n1 + 1) / 2) / F.nullif(n1 * n0, F.lit(0))
+
+
 def auc(forecasts: DataFrame, by: list[str] = KEYS, ties: str = "average") -> DataFrame:
     """Per group: area under the curve; ties share ranks, or go by ``t`` with ``ties="order"``."""
     some = forecasts.where("y IS NOT NULL AND f IS NOT NULL")
     r = average_rank("f", by) if ties == "average" else F.row_number().over(Window.partitionBy(*by).orderBy("f", "t"))
-    g = some.withColumn("rank", r).groupBy(*by).agg(F.sum(F.when(F.col("y") == 1, F.col("rank"))).alias("s"), F.sum((F.col("y") == 1).cast("long")).alias("n1"), F.sum((F.col("y") == 0).cast("long")).alias("n0"))
-    area = (F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))
-    return g.select(*by, "n1", "n0", F.when((F.col("n1") > 0) & (F.col("n0") > 0), area).alias("auc"))
+    count = lambda v: F.sum((F.col("y") == v).cast("long"))
+    return some.withColumn("rank", r).groupBy(*by).agg(count(1).alias("n1"), count(0).alias("n0"), _area().alias("auc"))
+
+
+def classified(forecasts: DataFrame, by: list[str] = KEYS) -> DataFrame:
+    """``binary`` and ``auc`` in one pass over the forecasts: ranks are shared within the group, which all other scores leave as it is."""
+    some = forecasts.where("y IS NOT NULL AND f IS NOT NULL")
+    g = Window.partitionBy(*by).orderBy("f")
+    # Rows up to and with the row's value, less half of those that share it.
+    upto = F.count("*").over(g.rangeBetween(Window.unboundedPreceding, 0))
+    ranked = some.withColumn("rank", (F.rank().over(g) + upto) / 2)
+    return binary(ranked, by, more=[_area().alias("auc")])
 
 
 def gaussian_accuracy(rho: Column) -> Column:

@@ -61,6 +61,11 @@ def stale_rows(rows: DataFrame, p: Params, delays: tuple[int, ...] | None = None
     return rows.select("target", "t", "peers", "y", bench, s.alias("all"), position(p).alias("j")).withColumn("s", F.explode("all")).select("target", "t", "s.delta", "s.stale", "peers", "y", "j", "bench", *[f"s.{c}" for c in more])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to more partitions than a shuffle has: groups that cost much time and few bytes would else be merged into a few tasks."""
+    return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def complete(xs) -> F.Column:
     return xs.isNotNull() & F.forall(xs, lambda x: x.isNotNull() & ~F.isnan(x))
 
@@ -120,7 +125,7 @@ def _fits(arm: str, own: np.ndarray, peers: np.ndarray, before: np.ndarray | Non
                 turn = _marked(arm, own.shape[1], peers.shape[1], models.exposures(da[some], dP[some], a, b, one))
         fits = zip(*models.ridge_windows(X[use], y[use], first, last, lambdas, p.val, turn))
     else:
-        fits = (_one(X[use[a:b]], y[use[a:b]], p, lam) for a, b in zip(first, last))
+        fits = _logistic_fits(X[use], y[use], first, last, p, lam)
     return X, use, at, first, last, fits
 
 
@@ -147,13 +152,17 @@ def fit(rows: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] =
                 out.append((pdf["target"].iloc[0], arm, delta, int(refit), int(b - a), float(pick), mu, sd, beta, smear))
         return pd.DataFrame(out, columns=names)
 
-    return stale_rows(rows, p, past=past).drop("bench").groupBy("target", "delta").applyInPandas(run, COEFS)
+    # All columns go along, though no fit needs the benchmark: scoring then reuses the same shuffle.
+    return spread(stale_rows(rows, p, past=past), "target", "delta").groupBy("target", "delta").applyInPandas(run, COEFS)
 
 
-def _one(X: np.ndarray, y: np.ndarray, p: Params, lam: float | None) -> tuple:
-    mu, sd = X.mean(0), X.std(0) + 1e-9
-    beta, pick = models.by_validation((X - mu) / sd, y, p.lambdas if lam is None else (lam,), p.val, "logistic")
-    return mu, sd, beta, pick
+def _logistic_fits(X: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, p: Params, lam: float | None):
+    """(mu, sd, beta, lambda) of each window; each begins where the window before ended, a few rows back."""
+    beta = None
+    for a, b in zip(first, last):
+        mu, sd = X[a:b].mean(0), X[a:b].std(0) + 1e-9
+        beta, pick = models.by_validation((X[a:b] - mu) / sd, y[a:b], p.lambdas if lam is None else (lam,), p.val, "logistic", beta)
+        yield mu, sd, beta, pick
 
 
 def predicted(x, mu="mu", sd="sd", beta="beta") -> F.Column:
@@ -307,7 +316,7 @@ def estimation_cost(rows: DataFrame, p: Params, draws: int = 100, seed: int = 12
                 out.append((target, d, n, _losses(X, own.shape[1], y, t, j, d, p, lam) / base if base > 0 else np.nan))
         return pd.DataFrame(out, columns=["target", "delta", "draw", "loss"])
 
-    s = parts.groupBy("target", "part").applyInPandas(run, "target string, delta int, draw int, loss double")
+    s = spread(parts, "target", "part").groupBy("target", "part").applyInPandas(run, "target string, delta int, draw int, loss double")
     own = F.max(F.when(F.col("draw") == -1, F.col("loss"))).over(Window.partitionBy("target", "delta"))
     s = s.withColumn("gain", own - F.col("loss"))
     fakes = F.when(F.col("draw") > 0, F.col("gain"))
@@ -338,7 +347,7 @@ def cost_by_peers(rows: DataFrame, p: Params, counts: tuple[int, ...], reps: int
         loss = [_losses(np.hstack([_late(own, delta), peers[:, c]]), own.shape[1], y, t, j, delta, p, lam) / base if base > 0 else np.nan for c in sets]
         return pd.DataFrame({"target": target, "k": k, "peers": [len(c) for c in sets], "loss": loss})
 
-    s = parts.groupBy("target", "k").applyInPandas(run, "target string, k int, peers int, loss double")
+    s = spread(parts, "target", "k").groupBy("target", "k").applyInPandas(run, "target string, k int, peers int, loss double")
     own = F.max(F.when(F.col("k") == 0, F.col("loss"))).over(Window.partitionBy("target"))
     g = s.withColumn("gain", own - F.col("loss")).where("k > 0").groupBy("target", "k", "peers").agg(F.avg("gain").alias("gain"), F.min("gain").alias("least"), F.max("gain").alias("most"))
     w = Window.partitionBy("target")

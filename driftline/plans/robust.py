@@ -10,7 +10,7 @@ from driftline.operators import breaks, inference, panel, resample, scoring, wal
 from driftline.params import SHORT
 
 from .base import BARS_SQL, SIGNALS_SQL, bars, query, signals
-from .study import D_SQL, FC_SQL, forecasts, long, loss_differences, rounded, study_rows
+from .study import D_SQL, FC_SQL, TRAIN_SQL, forecasts, long, loss_differences, rounded, study_rows
 
 DRAWS, BLOCK = 1500, SHORT.block_for(max(SHORT.delays))
 
@@ -186,9 +186,16 @@ def corrupted(spark, sf_dir):
     return b.select("series_id", F.col("date").cast("string").alias("date"), "shifted", *[F.round(F.log(F.col(c) / F.col("open")), 6).alias(n) for c, n in (("high", "up"), ("low", "down"))])
 
 
-@query()
+@query(f"""WITH {TRAIN_SQL}, ow AS (SELECT target, t, a, y, coalesce(avg(y) OVER (PARTITION BY target ORDER BY t ROWS BETWEEN {SHORT.horizon + SHORT.span} PRECEDING AND {SHORT.horizon + 1} PRECEDING), 0) AS bench FROM (SELECT target, t, a, lead(a, {SHORT.horizon}) OVER (PARTITION BY target ORDER BY t) AS y FROM adm WHERE series_id = target)),
+st AS (SELECT o.target, delta, o.t, o.y, o.bench, x.a AS x FROM ow o CROSS JOIN (SELECT unnest({list(SHORT.delays)}) AS delta) JOIN ow x ON x.target = o.target AND x.t = o.t - delta),
+rf AS (SELECT target, delta, refit_id, m.kind, greatest(0, head - CASE WHEN m.kind = 'feature' THEN 0 ELSE delta END - {SHORT.horizon}) AS cut FROM ref CROSS JOIN (SELECT unnest(['feature', 'outage']) AS kind) m),
+g AS (SELECT r.target, r.delta, r.refit_id, r.kind, count(*) AS n, avg(x) AS mx, avg(y) AS my, sqrt(var_pop(x)) + 1e-9 AS sd, var_pop(x) AS v, covar_pop(x, y) AS c FROM rf r JOIN st s ON s.target = r.target AND s.delta = r.delta AND s.t >= greatest(0, r.cut - {SHORT.span}) AND s.t < r.cut AND s.x IS NOT NULL AND s.y IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) >= {SHORT.min_train}),
+f AS (SELECT s.target, s.delta, m.kind, s.y, s.bench, coalesce(my + n * c / sd / (n * v / (sd * sd) + 3) * (s.x - mx) / sd, 0) AS f FROM idx i JOIN st s ON s.target = i.target AND s.t = i.t CROSS JOIN (SELECT unnest(['feature', 'outage']) AS kind) m LEFT JOIN g ON g.target = i.target AND g.delta = s.delta AND g.refit_id = i.j // {SHORT.refit} AND g.kind = m.kind),
+sk AS (SELECT target, delta, kind, 1 - sum((y - f) ** 2) / sum((y - bench) ** 2) AS r2 FROM f GROUP BY 1, 2, 3),
+sp AS (SELECT target, delta, max(CASE WHEN kind = 'feature' THEN r2 END) AS sf, max(CASE WHEN kind = 'outage' THEN r2 END) AS so FROM sk GROUP BY 1, 2), z AS (SELECT *, max(CASE WHEN delta = 0 THEN so END) OVER (PARTITION BY target) AS s0 FROM sp)
+SELECT target, CAST(delta AS int) AS delta, round(s0 - so, 6) AS total, round(s0 - sf, 6) AS feature, round(sf - so, 6) AS vintage, round(CASE WHEN abs(s0 - so) > 1e-12 THEN (sf - so) / (s0 - so) END, 5) AS vintage_share FROM z WHERE delta > 0""")
 def outage_split(spark, sf_dir):
-    """What a delay costs by old features and by old coefficients, from two own-arm walks."""
-    rows = study_rows(spark, sf_dir)
+    """What a delay costs by an old level and by old coefficients, from two own-arm walks with a fixed penalty."""
+    rows = study_rows(spark, sf_dir).withColumn("own", F.slice("own", 1, 1))
     skills = [scoring.skill(walkforward.walk(rows, SHORT, arms=("own",), lam=3.0, feature_only=x)).select("target", "delta", F.col("r2").alias(n)) for x, n in ((True, "s_feature"), (False, "s_outage"))]
-    return scoring.outage_split(skills[0].join(skills[1], ["target", "delta"])).select("target", "delta", *rounded("total", "feature", "vintage", "vintage_share"))
+    return scoring.outage_split(skills[0].join(skills[1], ["target", "delta"])).select("target", "delta", *rounded("total", "feature", "vintage"), F.round("vintage_share", 5).alias("vintage_share"))

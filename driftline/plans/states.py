@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from driftline.functions import features, frames
 from driftline.operators import audit, breaks, filters, panel, scoring, walkforward
 from driftline.params import SHORT
+from driftline.sources import provenance
 
 from .base import BARS_SQL, SIGNALS_SQL, bars, query, signals
 from .robust import LOSS_SQL, losses
-from .study import FC_SQL, SKILL_SQL, TRAIN_SQL, UNION_SQL, forecasts, known_panel, long, rounded, study_rows
+from .study import D_SQL, FC_SQL, SKILL_SQL, TRAIN_SQL, UNION_SQL, forecasts, known_panel, long, loss_differences, rounded, study_rows
 
 FIRST, EVERY = SHORT.span, 252
 _cov = lambda k: f"(sum(v * l{k}) - m * (sum(CASE WHEN k > {k} THEN v END) + sum(l{k})) + (max(n) - {k}) * m * m) / max(n)"
@@ -199,3 +200,16 @@ def reconciled(spark, sf_dir):
     b = bars(spark, sf_dir)
     other = b.withColumn("close", F.col("close") * F.when((F.col("t") + 1) % 50 == 0, 1.01).otherwise(1.001))
     return panel.reconcile(b, other)
+
+
+@query(f"""WITH {D_SQL}, fo AS (SELECT target, delta, t, d FROM df WHERE delta > 0), fl AS (SELECT target, delta, t, d FROM fo QUALIFY count(*) OVER (PARTITION BY target, t) = 3),
+ce AS (SELECT 'whole' AS family, concat('whole:', target, '/', delta) AS cell_id, concat(target, '-', delta) AS label, count(*) AS n, min(t) AS start, max(t) AS stop FROM fl GROUP BY target, delta UNION ALL SELECT 'own', concat('own:', target, '/', delta), concat(target, '-own', delta), count(*), min(t), max(t) FROM fo GROUP BY target, delta),
+lb AS (SELECT n, start, stop, string_agg(DISTINCT label, '+' ORDER BY label) AS calendar_group FROM ce GROUP BY 1, 2, 3)
+SELECT cell_id, family, calendar_group, CAST(n AS bigint) AS n FROM ce JOIN lb USING (n, start, stop)""")
+def harvested(spark, sf_dir):
+    """Cells recorded under several labels, those of one calendar merged."""
+    d = loss_differences(spark, sf_dir).where("delta > 0")
+    full = d.withColumn("k", F.count("*").over(Window.partitionBy("target", "t"))).where("k = 3").drop("k")
+    label = lambda tag: F.concat(F.col("target"), F.lit(tag), F.col("delta").cast("string"))
+    cells = [x.groupBy("target", "delta").agg(F.collect_list("d").alias("series"), F.min("t").alias("start"), F.max("t").alias("stop")).select(F.lit(f).alias("family"), F.concat(F.lit(f"{f}:"), label("/")).alias("cell_id"), label(tag).alias("calendar_group"), "series", "start", "stop") for f, x, tag in (("whole", full, "-"), ("own", d, "-own"))]
+    return provenance.harvest(cells[0].unionByName(cells[1]), ("whole", "own")).select("cell_id", "family", "calendar_group", long("n"))

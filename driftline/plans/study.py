@@ -78,7 +78,7 @@ SELECT target, peer, count(*) AS n, CAST(sum(CAST(earlier AS int)) AS bigint) AS
 def clock_audit(spark, sf_dir):
     """Which closes come first on the true clock, summer time and all."""
     z = F.broadcast(spark.createDataFrame([(k, a, b) for k, (a, b) in ZONES.items()], "series_id string, local_close string, zone string"))
-    c = bars(spark, sf_dir).join(z, "series_id").select("series_id", "date", F.to_utc_timestamp(F.to_timestamp(F.concat_ws(" ", F.col("date").cast("string"), "local_close")), F.col("zone")).alias("at"))
+    c = bars(spark, sf_dir).join(z, "series_id").select("series_id", "date", panel.close_instant(F.col("date"), F.col("local_close"), F.col("zone")).alias("at"))
     o, p = c.select(F.col("series_id").alias("target"), "date", F.col("at").alias("own")), c.select(F.col("series_id").alias("peer"), "date", "at")
     return o.join(p, "date").where("target <> peer").groupBy("target", "peer").agg(F.count("*").alias("n"), F.sum((F.col("at") < F.col("own")).cast("long")).alias("earlier"))
 
@@ -124,7 +124,7 @@ def walk_forward_sign(spark, sf_dir):
     """M2: logistic walk-forward of the sign, its accuracy and area under the curve."""
     rows = study_rows(spark, sf_dir).withColumn("y", F.when(F.col("y").isNotNull(), (F.col("y") > 0).cast("double")))
     f = walkforward.walk(rows, SHORT, "logistic")
-    return scoring.binary(f).join(scoring.auc(f), scoring.KEYS).select(*scoring.KEYS, "n", *rounded("accuracy", "balanced", "brier", "log_score", "auc"))
+    return scoring.classified(f).select(*scoring.KEYS, "n", *rounded("accuracy", "balanced", "brier", "log_score", "auc"))
 
 
 @query(f"""WITH {TRAIN_SQL}, ow AS (SELECT target, t, a, lead(a, {SHORT.horizon}) OVER (PARTITION BY target ORDER BY t) AS y FROM adm WHERE series_id = target),

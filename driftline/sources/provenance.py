@@ -50,10 +50,38 @@ def refuse_to_shrink(old: DataFrame, new: DataFrame) -> None:
         raise ValueError(f"the manifest would lose {lost}")
 
 
-def record_cells(cells: DataFrame, path: str, least: int = 50) -> None:
-    """Cells (family, cell_id, calendar_group, ..., series) of at least ``least`` finite values, by family."""
+def record_cells(cells: DataFrame, path: str, least: int = 50, enabled: bool = True) -> None:
+    """Cells (family, cell_id, calendar_group, ..., series) of at least ``least`` finite values, by family; a family that is recorded again replaces itself alone. Nothing without ``enabled``."""
+    if not enabled:
+        return
     finite = F.filter("series", lambda x: x.isNotNull() & ~F.isnan(x))
-    cells.withColumn("series", finite).where(F.size("series") >= least).write.mode("overwrite").partitionBy("family").parquet(path)
+    kept = cells.withColumn("series", finite).where(F.size("series") >= least)
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("family").parquet(path)
+
+
+def load_cells(spark: SparkSession, path: str) -> DataFrame:
+    """All recorded cells, with their family as text."""
+    cells = spark.read.parquet(path)
+    return cells.withColumn("family", F.col("family").cast("string"))
+
+
+def harvest(cells: DataFrame, families: tuple[str, ...] = ()) -> DataFrame:
+    """Cells (cell_id, calendar_group, series, start, stop) with ``n`` and their groups merged: groups recorded on one calendar, of one length and span, are one and share their draws.
+
+    Raises if a family that must be there has no cell, or if a group holds cells of several lengths, which cannot share block starts.
+    """
+    if families:
+        there = {r["family"] for r in cells.select("family").distinct().where(F.col("family").isin(*families)).collect()}
+        if missing := sorted(set(families) - there):
+            raise ValueError(f"no cells of {missing}")
+    c = cells.withColumn("n", F.size("series"))
+    # One row for each calendar and label of it.
+    labels = c.select("n", "start", "stop", "calendar_group").distinct().groupBy("n", "start", "stop").agg(F.concat_ws("+", F.array_sort(F.collect_list("calendar_group"))).alias("merged"))
+    keys = [F.col(f"c.{k}").eqNullSafe(F.col(f"l.{k}")) for k in ("n", "start", "stop")]
+    out = c.alias("c").join(labels.alias("l"), keys[0] & keys[1] & keys[2]).select("c.*", "l.merged").drop("calendar_group").withColumnRenamed("merged", "calendar_group")
+    if bad := [r["calendar_group"] for r in ragged(out).select("calendar_group").limit(5).collect()]:
+        raise ValueError(f"cells of several lengths in {bad}")
+    return out
 
 
 def ragged(cells: DataFrame) -> DataFrame:
