@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import panel
+from . import models, panel
 
 
 def vintages(series: DataFrame, first: int, every: int, x: str = "a") -> DataFrame:
@@ -68,3 +68,34 @@ def live_states(series: DataFrame, first: int, every: int, lag: int, x: str = "a
     rows = series.select(F.col("series_id").alias("target"), F.col("t").cast("int").alias("t"))
     inforce = panel.latest_vintage(rows, params.select(F.col("series_id").alias("target"), "made"), lag).where("made IS NOT NULL")
     return states(series, params, x).join(inforce.select(F.col("target").alias("series_id"), "t", F.col("made").cast("int").alias("made")), ["series_id", "t", "made"]).select("series_id", "t", "made", "state")
+
+
+def factor_states(rows: DataFrame, delays: tuple[int, ...], first: int, every: int | None, lag: int, least: int = 100) -> DataFrame:
+    """(target, delta, t, made, state) of (target, t, own array, peers array): the common factor as known at t when the own value stops ``delta`` rows before and peers go on.
+
+    Parameters come from all rows before ``made`` = first, first + every, ...; a row uses the newest that are ``delta + lag`` rows old.
+    Without ``every`` those of the first rows serve all rows, earlier ones too, as if known in advance. A vintage
+    needs ``least`` rows without holes. A group is one target under one set of parameters.
+    """
+    w = Window.partitionBy("target")
+    made = F.sequence(F.lit(first), F.greatest("end", F.lit(first)).cast("int"), F.lit(every)) if every else F.array(F.lit(first))
+    parts = rows.withColumn("end", F.max("t").over(w)).select("target", F.col("t").cast("int").alias("t"), F.get("own", F.lit(0)).alias("own"), "peers", F.explode(made).alias("made"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", ignore_index=True)
+        t, at = pdf["t"].to_numpy(), int(pdf["made"].iloc[0])
+        width = max((len(v) for v in pdf["peers"] if v is not None), default=0)
+        peers = np.array([np.full(width, np.nan) if v is None else v for v in pdf["peers"]], float).reshape(len(pdf), width)
+        obs = np.column_stack([pdf["own"].to_numpy(float), peers])
+        past = obs[t < at]
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        par = models.factor_parameters(past) if np.isfinite(past).all(1).sum() >= least else None
+        for d in delays if par else ():
+            use = (t - d - lag >= at) & (t - d - lag < at + every) if every else t >= d
+            out.append((np.full(use.sum(), d), t[use], models.kalman(obs, par, d)[use]))
+        delta, t, state = (np.concatenate(x) for x in zip(*out))
+        name = pdf["target"].iloc[0]
+        return pd.DataFrame([(name, int(d), int(i), at, float(x)) for d, i, x in zip(delta, t, state)], columns=["target", "delta", "t", "made", "state"])
+
+    s = parts.groupBy("target", "made").applyInPandas(run, "target string, delta int, t int, made int, state double")
+    return s.where("NOT isnan(state)")

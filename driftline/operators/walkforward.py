@@ -61,6 +61,11 @@ def stale_rows(rows: DataFrame, p: Params, delays: tuple[int, ...] | None = None
     return rows.select("target", "t", "peers", "y", bench, s.alias("all"), position(p).alias("j")).withColumn("s", F.explode("all")).select("target", "t", "s.delta", "s.stale", "peers", "y", "j", "bench", *[f"s.{c}" for c in more])
 
 
+def framed(rows: DataFrame, p: Params, past: bool = False) -> DataFrame:
+    """``stale_rows`` of rows, or rows as they are if they have a delay each: then ``stale`` is what is known at that delay."""
+    return rows if "delta" in rows.columns else stale_rows(rows, p, past=past)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt by key to more partitions than a shuffle has: groups that cost much time and few bytes would else be merged into a few tasks."""
     return df.repartition(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -153,7 +158,7 @@ def fit(rows: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] =
         return pd.DataFrame(out, columns=names)
 
     # All columns go along, though no fit needs the benchmark: scoring then reuses the same shuffle.
-    return spread(stale_rows(rows, p, past=past), "target", "delta").groupBy("target", "delta").applyInPandas(run, COEFS)
+    return spread(framed(rows, p, past), "target", "delta").groupBy("target", "delta").applyInPandas(run, COEFS)
 
 
 def _logistic_fits(X: np.ndarray, y: np.ndarray, first: np.ndarray, last: np.ndarray, p: Params, lam: float | None):
@@ -174,7 +179,7 @@ def predicted(x, mu="mu", sd="sd", beta="beta") -> F.Column:
 def score(rows: DataFrame, coefs: DataFrame, p: Params, kind: str = "ridge", arms: tuple[str, ...] = ARMS) -> DataFrame:
     """(target, arm, delta, t, j, y, f, smear, bench): each test row by its refit's coefficients; 0 (or one half) where there are none or a value is missing."""
     past = bool(set(arms) & set(MARKS))
-    x = stale_rows(rows, p, past=past).where("j IS NOT NULL").withColumn("refit_id", F.floor(F.col("j") / p.refit).cast("int")).withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
+    x = framed(rows, p, past).where("j IS NOT NULL").withColumn("refit_id", F.floor(F.col("j") / p.refit).cast("int")).withColumn("arm", F.explode(F.array(*[F.lit(a) for a in arms])))
     design = F.when(F.col("arm") == "own", F.col("stale")).when(F.col("arm") == "peers", F.col("peers"))
     if past:
         design = design.when(F.col("arm").isin(*MARKS), F.concat("stale", "peers", "before"))

@@ -213,3 +213,17 @@ def harvested(spark, sf_dir):
     label = lambda tag: F.concat(F.col("target"), F.lit(tag), F.col("delta").cast("string"))
     cells = [x.groupBy("target", "delta").agg(F.collect_list("d").alias("series"), F.min("t").alias("start"), F.max("t").alias("stop")).select(F.lit(f).alias("family"), F.concat(F.lit(f"{f}:"), label("/")).alias("cell_id"), label(tag).alias("calendar_group"), "series", "start", "stop") for f, x, tag in (("whole", full, "-"), ("own", d, "-own"))]
     return provenance.harvest(cells[0].unionByName(cells[1]), ("whole", "own")).select("cell_id", "family", "calendar_group", long("n"))
+
+
+@query()
+def walk_factor_filter(spark, sf_dir):
+    """Skill of the ragged-edge factor in the own block's place, with parameters of the first rows and with ever newer ones, beside the stale block alone and with all peers."""
+    rows = study_rows(spark, sf_dir)
+    base = walkforward.stale_rows(rows, SHORT)
+    parts = [walkforward.walk(rows, SHORT)]
+    for name, every in (("frozen", None), ("live", EVERY)):
+        s = filters.factor_states(rows, SHORT.delays, FIRST, every, SHORT.horizon)
+        known = base.join(s.select("target", "delta", F.col("t").alias("t"), "state"), ["target", "delta", "t"], "left").withColumn("stale", F.array("state")).drop("state")
+        parts.append(walkforward.walk(known, SHORT, arms=("own",)).withColumn("arm", F.lit(name)))
+    s = scoring.skill(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return s.select(*scoring.KEYS, "n", *rounded("mse", "r2"))

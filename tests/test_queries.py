@@ -10,8 +10,8 @@ from driftline.plans.catalogue import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# Windows that are too long for the smallest tables leave nothing to compare; draws take long, and test_robust.py has their operators.
-SLOW = {"walk_forward", "walk_forward_rate", "walk_forward_sign", "block_bootstrap", "seed_stability", "sup_t_band", "ladder_trend"}
+# Windows that are too long for the smallest tables leave nothing to compare; draws take long, and test_robust.py and test_draws.py have their operators.
+SLOW = {"walk_forward", "walk_forward_rate", "walk_forward_sign", "block_bootstrap", "seed_stability", "sup_t_band", "ladder_trend", "stationary_bootstrap", "reality_check", "joint_null", "auc_bootstrap"}
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import features, frames
-from driftline.operators import breaks, filters, panel, scoring
+from driftline.operators import breaks, filters, models, panel, scoring, walkforward
+from driftline.params import Params
 
 DAY = dt.date(2020, 1, 1)
 
@@ -210,3 +211,67 @@ def test_slow_measure_and_late_peers(spark):
 def test_few_points(spark, n):
     r = scoring.leave_one_out(spark.createDataFrame([(i, float(i), 1.0) for i in range(n)], "id int, x double, y double"), "x", "y").collect()
     assert len(r) == n and all(x["without"] is None for x in r)
+
+
+def ragged_loop(obs, par, delta):
+    """The filter as textbook updates, one origin and one series at a time."""
+    z = (obs - par["mu"]) / par["sd"]
+
+    def step(x, p, row, cols):
+        x, p = par["phi"] * x, par["phi"] ** 2 * p + par["q"]
+        for i in cols:
+            if np.isfinite(row[i]):
+                k = p * par["lam"][i] / (par["lam"][i] ** 2 * p + par["r"][i])
+                x, p = x + k * (row[i] - par["lam"][i] * x), (1 - k * par["lam"][i]) * p
+        return x, p
+
+    states, x, p = [], 0.0, par["q"] / (1 - par["phi"] ** 2)
+    for row in z:
+        x, p = step(x, p, row, range(z.shape[1]))
+        states.append((x, p))
+    out = np.full(len(z), np.nan)
+    for t in range(delta, len(z)):
+        x, p = states[t - delta]
+        for u in range(t - delta + 1, t + 1):
+            x, p = step(x, p, z[u], range(1, z.shape[1]))
+        out[t] = x
+    return out
+
+
+def factor_data(n=220):
+    rng = np.random.default_rng(12)
+    g = np.zeros(n)
+    for t in range(1, n):
+        g[t] = 0.9 * g[t - 1] + rng.normal()
+    X = g[:, None] * [1, 0.8, 1.2, 0.6] + rng.normal(size=(n, 4))
+    X[rng.random((n, 4)) < 0.03] = np.nan
+    return X
+
+
+def test_ragged_factor_against_textbook_updates(spark):
+    X = factor_data()
+    par = models.factor_parameters(X)
+    for d in (0, 1, 7):
+        assert np.allclose(models.kalman(X, par, d), ragged_loop(X, par, d), equal_nan=True, atol=1e-9)
+    val = lambda v: None if np.isnan(v) else float(v)
+    rows = spark.createDataFrame([("g", t, [val(X[t, 0])], [val(v) for v in X[t, 1:]]) for t in range(len(X))], "target string, t int, own array<double>, peers array<double>")
+    got = {(r["delta"], r["t"]): r for r in filters.factor_states(rows, (0, 3), 80, 50, 2, least=60).collect()}
+    for d in (0, 3):
+        for t in range(len(X)):
+            made = max([m for m in (80, 130, 180) if m <= t - d - 2], default=None)
+            assert ((d, t) in got) == (made is not None)
+            if made:
+                assert got[d, t]["made"] == made and abs(got[d, t]["state"] - ragged_loop(X, models.factor_parameters(X[:made]), d)[t]) < 1e-9
+    frozen = {(r["delta"], r["t"]): r["state"] for r in filters.factor_states(rows, (3,), 80, None, 2, least=60).collect()}
+    want = ragged_loop(X, models.factor_parameters(X[:80]), 3)
+    assert len(frozen) == len(X) - 3 and all(abs(v - want[t]) < 1e-9 for (_, t), v in frozen.items())
+    assert filters.factor_states(rows, (0,), 80, 50, 2, least=500).count() == 0
+
+
+def test_rows_with_a_delay_each_are_walked_as_they_are(spark):
+    p = Params(horizon=1, median=5, train=60, val=20, refit=10, delays=(0, 2), min_train=30)
+    a = np.nan_to_num(latent(8, 200))
+    rows = spark.createDataFrame([("g", t, [float(a[t])], [0.0], float(a[t + 1]) if t < 199 else None, 0.0) for t in range(200)], "target string, t int, own array<double>, peers array<double>, y double, bench double")
+    one = {(r["delta"], r["t"]): r["f"] for r in walkforward.walk(rows, p, arms=("own",)).collect()}
+    two = {(r["delta"], r["t"]): r["f"] for r in walkforward.walk(walkforward.stale_rows(rows, p), p, arms=("own",)).collect()}
+    assert one == two and len(one) > 100
