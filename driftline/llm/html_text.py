@@ -9,8 +9,10 @@ math '/>' closes an element, and HTML's own elements end them. The renderer keep
 text, nested list marks and numbers (indented up to ``MAX_INDENT`` levels), and sets table cells in aligned columns.
 
 Nothing recurses, and no tag is looked for twice: ends of tags, open elements and free columns of a
-table are found by places kept in order, so time grows with a page's length (but each table within a
-table lays its lines out again).
+table are found by places kept in order. Two rules bound what layout adds, so that time and text grow with a
+page's length whatever its tags: a table that stands in ``MAX_NEST`` others is not aligned (its rows
+are lines, its cells a space apart), and columns are aligned within the first ``MAX_PAD`` places of
+a line (a longer cell does not widen its column; beyond, cells stand two spaces apart).
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ MATH_NEVER = frozenset("annotation annotation-xml mphantom".split())
 MATH_TOKENS = frozenset("mi mo mn ms mtext".split())
 SCOPE = frozenset("table td th caption button object template".split())
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+# Tables aligned within one another, and the places of a line within which columns are aligned.
+MAX_NEST, MAX_PAD = 8, 240
 
 SPECIAL = re.compile(r"[>\"']")
 NAME_END = re.compile(r"[\s/>]")
@@ -245,8 +249,8 @@ class Taken:
 class Table:
     """Rows of cells; a cell is [lines, columns, rows]."""
 
-    def __init__(self, outer: Flow):
-        self.outer, self.rows = outer, []
+    def __init__(self, outer: Flow, flat: bool = False):
+        self.outer, self.rows, self.flat = outer, [], flat
 
     def lines(self) -> list[str]:
         """Cells in a grid, columns two spaces apart; a cell with several lines takes several."""
@@ -267,11 +271,11 @@ class Table:
         for placed in grid:
             for col, lines, cols in placed:
                 if cols == 1:
-                    wide[col] = max(wide.get(col, 0), max(map(width, lines), default=0))
+                    wide[col] = max(wide.get(col, 0), max((w for w in map(width, lines) if w <= MAX_PAD), default=0))
         start, cols = {}, sorted({c for placed in grid for c, _, _ in placed} | set(wide))
         x = 0
         for c in cols:
-            start[c] = x
+            start[c] = min(x, MAX_PAD)
             x += wide.get(c, 0) + 2 if wide.get(c, 0) else 0
         out = []
         for placed in grid:
@@ -356,9 +360,14 @@ class Page:
                 f.text(at["alt"], False)
         elif tag == "table":
             f.block(1)
-            self.tables.append(Table(f))
+            self.tables.append(Table(f, len(self.tables) >= MAX_NEST))
         elif tag == "tr" and self.tables:
-            self.tables[-1].rows.append([])
+            if self.tables[-1].flat:
+                f.block(0)
+            else:
+                self.tables[-1].rows.append([])
+        elif tag in CELLS and self.tables and self.tables[-1].flat:
+            f.text(" ", False)
         elif tag in CELLS and self.tables:
             num = lambda k, most: min(max(int(m[0]) if (m := re.match(r"\d{1,6}", at.get(k, "").strip())) else 1, 1), most)
             self.flow = Flow()
@@ -398,6 +407,8 @@ class Page:
         if tag == "table" and self.tables:
             t = self.tables.pop()
             f = self.flow = t.outer
+            if t.flat:
+                f.line()
             lines = t.lines()
             if lines:
                 f.put(lines)
@@ -452,7 +463,7 @@ class Page:
     def text(self, t: str) -> None:
         if self.stack and self.stack[-1][1]:
             return
-        if self.tables and self.flow is self.tables[-1].outer:
+        if self.tables and self.flow is self.tables[-1].outer and not self.tables[-1].flat:
             if t.strip(" \t\n\f\r"):  # text between cells goes before the table
                 self.tables[-1].outer.text(t, False)
                 self.tables[-1].outer.line()

@@ -168,12 +168,25 @@ def test_time_grows_with_the_page():
     """Shapes that make scanners look twice, a megabyte each."""
     shapes = [
         "<table>" + "<tr><td rowspan=65534 colspan=1000>x" * 28_000, "<table>" + "<tr><td rowspan=9999>x" * 45_000, "<a " * 333_000, '<a "' * 250_000 + ">", "<a '\"" * 200_000 + ">", "<ul><li>x" * 111_000, "<a" * 500_000,
+        "<table><tr><td>x" * 62_000, "<table><tr><td>x" * 31_000 + "</td></tr></table>" * 31_000, "<ul><li>a<table><tr><td>b" * 40_000, "<table><tr><td>left</td><td>r" * 36_000,
+        "<table><tr><td>" + "w" * 500_000 + "</td></tr>" + "<tr><td></td><td>x</td></tr>" * 18_000, "<table><tr>" + ("<td>" + "w" * 100) * 5_000 + "<tr><td colspan=900></td><td>x" * 15_000, "<blockquote>q<table><tr><td>y" * 34_000,
         "<i><table><td>" + "<b>" * 140_000 + "</i>" * 140_000, "<a " + "=a" * 500_000 + " x/>", "<!x" * 333_000, "<ul><li>" * 50_000 + "<table>" + "<td>x" * 100_000, "<p>" + "<span>" * 160_000,
     ]
     for s in shapes:
         began = time.process_time()
-        html_text.render(s)
-        assert time.process_time() - began < 20, s[:40]
+        text = html_text.render(s)
+        assert time.process_time() - began < 20 and len(text) < 16 * len(s), s[:40]
+
+
+def test_tables_deep_in_tables_are_lines():
+    r = html_text.render
+    assert r("<table><tr><td>" * html_text.MAX_NEST + "<table><tr><td>a<td>b<tr><td>c<td>d</table>z") == "a b\nc d\n\nz"
+    assert r("<table><tr><td>" * (html_text.MAX_NEST - 1) + "<table><tr><td>aa<td>b<tr><td>c<td>d</table>z") == "aa  b\nc   d\n\nz"
+
+
+def test_long_cells_do_not_widen_their_column():
+    long = "w" * (html_text.MAX_PAD + 1)
+    assert html_text.render(f"<table><tr><td>{long}<td>b<tr><td>cc<td>d</table>") == f"{long}  b\ncc  d"
 
 
 def test_tags_with_quotes_and_without_ends():
