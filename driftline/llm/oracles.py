@@ -17,7 +17,10 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS
 
 _BARE = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 _STRATUM = "CASE " + " ".join(f"WHEN n_words < {b} THEN {k}" for k, b in enumerate(q.BANDS)) + f" ELSE {len(q.BANDS)} END"
-_LEVEL = q.DELTA / (len(q.BANDS) + 2)
+_LEVEL = q.DELTA / (len(q.BANDS) + 1)
+_PARTS = lambda w: [" + ".join(f"b{i}" for i in range(len(w)) if w[i] == x) for x in sorted(set(w))]
+_WAY = "CASE " + " ".join(f"WHEN {' AND '.join(f'{p} >= {q.least_holdout(q.RISK, q.DELTA)}' for p in _PARTS(w))} THEN {w}" for w in q.joinings()) + f" ELSE [{', '.join(['NULL'] * (len(q.BANDS) + 1))}] END"
+_TUNE = f"CAST('0x' || substr(h, 1, 2) AS int) % {q.TUNING} = 0"
 _STEPS = ", ".join([f"(max(bin) + ({q.GRID} - max(bin)) * {x}) / {q.GRID}" for x in q.SLACK] + [f"min(CASE WHEN below >= {1 - x!r} * total THEN bin END) / {q.GRID}" for x in q.TAILS])
 _UNDER = " UNION ALL ".join(f"SELECT h, stratum, '{r}' AS rule, {r} AS val FROM hd" for r in q.RULES)
 
@@ -30,17 +33,18 @@ m AS (SELECT doc_id, d.rid, h, CAST(len(w) AS bigint) AS n_words, CAST(length(ba
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_STRATUM} AS stratum, n_symbols / greatest(word_chars, 1) AS symbol_share, n_upper / greatest(word_chars, 1) AS upper_share, n_bang / greatest(word_chars, 1) AS bang_share, n_repeat_words / greatest(n_words, 1) AS repeat_share, n_dup_lines / greatest(n_lines, 1) AS dup_line_share FROM m),
 clean AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(coalesce(quality, 0)) = 1),
 own AS (SELECT DISTINCT h, stratum, {', '.join(q.RULES)} FROM b JOIN clean USING (doc_id) WHERE NOT base_failed),
-hd AS (SELECT * FROM own UNION ALL SELECT * REPLACE ({q.POOLED} AS stratum) FROM own),
-u AS (SELECT *, CAST('0x' || substr(h, 1, 2) AS int) % {q.TUNING} = 0 AS tune FROM ({_UNDER})),
+sz AS (SELECT {', '.join(f'count(*) FILTER (NOT ({_TUNE}) AND stratum = {i}) AS b{i}' for i in range(len(q.BANDS) + 1))} FROM own), mp AS (SELECT unnest(range({len(q.BANDS) + 1})) AS band, unnest({_WAY}) AS part FROM sz),
+hd AS (SELECT own.* REPLACE (part AS stratum) FROM own JOIN mp ON mp.band = own.stratum WHERE part IS NOT NULL),
+u AS (SELECT *, {_TUNE} AS tune FROM ({_UNDER})),
 bins AS (SELECT stratum, rule, CAST(ceil(val * {q.GRID}) AS bigint) AS bin, count(*) AS c FROM u WHERE tune GROUP BY 1, 2, 3),
 run AS (SELECT *, sum(c) OVER (PARTITION BY stratum, rule ORDER BY bin) AS below, sum(c) OVER (PARTITION BY stratum, rule) AS total FROM bins),
 st AS (SELECT stratum, rule, [{_STEPS}] AS steps FROM run GROUP BY 1, 2),
 cu AS (SELECT stratum, rule, unnest(steps) AS cutoff, unnest(range(len(steps))) AS step FROM st),
 ov AS (SELECT u.stratum, u.h, step, bool_or(val > cutoff) AS over FROM u JOIN cu USING (stratum, rule) WHERE NOT tune GROUP BY 1, 2, 3),
 k AS (SELECT stratum, step, count(*) AS n, sum(CAST(over AS bigint)) AS k FROM ov GROUP BY 1, 2),
-t AS (SELECT *, k < n * {q.RISK} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.RISK}) + (n - i) * ln(1 - {q.RISK}))) FROM range(0, CAST(k AS bigint) + 1) r(i)) <= {_LEVEL!r} AS holds FROM k WHERE pow(1 - {q.RISK}, n) <= {_LEVEL!r}),
+t AS (SELECT *, k < n * {q.RISK} AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({q.RISK}) + (n - i) * ln(1 - {q.RISK}))) FROM range(0, CAST(k AS bigint) + 1) r(i)) <= {_LEVEL!r} AS holds FROM k),
 s AS (SELECT stratum, coalesce(min(CASE WHEN NOT holds THEN step END), count(*)) - 1 AS step FROM t GROUP BY 1),
-c AS (SELECT z.stratum, cu.rule, cu.cutoff FROM (SELECT unnest(range({len(q.BANDS) + 1})) AS stratum) z LEFT JOIN s o ON o.stratum = z.stratum LEFT JOIN s a ON a.stratum = {q.POOLED} JOIN cu ON cu.stratum = coalesce(o.stratum, a.stratum) AND cu.step = coalesce(o.step, a.step)),
+c AS (SELECT mp.band AS stratum, cu.rule, cu.cutoff FROM mp JOIN s ON s.stratum = mp.part JOIN cu ON cu.stratum = s.stratum AND cu.step = s.step),
 o AS (SELECT rid, bool_or(CASE c.rule {' '.join(f"WHEN '{r}' THEN {r}" for r in q.RULES)} END > cutoff) AS over FROM b JOIN c USING (stratum) GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(over, false) AS kept FROM b LEFT JOIN o USING (rid)"""
 

@@ -8,12 +8,15 @@ stratum (a band of text length) it shall reject at most ``risk`` of the clean do
   propose cutoffs, the others are the holdout that tests them.
 * The proposals are steps from loose to tight, the same for all rules: from 1 down to the greatest
   value of the tuning documents (``SLACK``), then down its upper quantiles (``TAILS``), on a grid of 1 / GRID.
-* A step holds if the exact binomial bound says so: P(Bin(n, risk) <= k) <= delta / (strata + 1), k of
+* A step holds if the exact binomial bound says so: P(Bin(n, risk) <= k) <= delta / bands, k of
   the n holdout documents rejected by any rule. Steps are tested in their order up to the first that
   fails, which needs no correction for their number (they don't depend on the holdout); strata are
   corrected for by Bonferroni. The last step that holds is taken; without one all rules are off.
-* A stratum whose holdout is so small that even k = 0 can't hold takes the cutoffs of all strata pooled,
-  which are tested alike (the + 1 above). There the bound holds for clean documents of all lengths together.
+* Strata are bands, or neighbouring bands taken together where one alone has too small a holdout for
+  even k = 0 to hold: of all ways to take them together, the one with most strata of which each has enough.
+  It looks at numbers of documents only, never at what the rules say, and there are at most as many strata as bands. So
+  each stratum's bound holds for exactly the documents that its cutoffs are used on. If all bands together
+  have too few, all rules are off.
 
 Near-equal texts still count as trials of their own. 3-word windows are told apart by 64-bit hashes less
 as many bits as a text's window numbers need: in a text of 20,000 words the chance of a false repeat is 4 in 10 million.
@@ -21,6 +24,7 @@ as many bits as a text's window numbers need: in a text of 20,000 words the chan
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -30,9 +34,8 @@ from .store import stored
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-# Upper ends of the bands of n_words that are strata; the last is open. All together are the stratum POOLED.
+# Upper ends of the bands of n_words; the last is open.
 BANDS = (200, 600)
-POOLED = -1
 RISK, DELTA = 0.03, 0.05
 RULES = ("symbol_share", "upper_share", "repeat_share", "dup_line_share", "bang_share")
 SLACK = (0.75, 0.5, 0.25, 0.1, 0.0)
@@ -85,7 +88,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def stratum() -> F.Column:
+def band() -> F.Column:
     out = F.lit(len(BANDS))
     for k in reversed(range(len(BANDS))):
         out = F.when(F.col("n_words") < BANDS[k], k).otherwise(out)
@@ -138,31 +141,60 @@ def proposals(clean: DataFrame) -> DataFrame:
     return run.groupBy("stratum", "rule").agg(F.array(*steps).alias("steps")).select("stratum", "rule", F.posexplode("steps").alias("step", "cutoff"))
 
 
+def least_holdout(risk: float, delta: float) -> int:
+    """Documents that a stratum's holdout needs for a step without a rejection to hold."""
+    return math.ceil(math.log(delta / (len(BANDS) + 1)) / math.log1p(-risk))
+
+
+def joinings() -> list[list[int]]:
+    """All ways to take neighbouring bands together, each as the stratum of every band (named by its first), those with most strata first."""
+    k = len(BANDS) + 1
+    cuts = [c for r in reversed(range(k)) for c in itertools.combinations(range(1, k), r)]
+    return [[max([0, *(x for x in c if x <= i)]) for i in range(k)] for c in cuts]
+
+
+def strata(clean: DataFrame, risk: float, delta: float) -> DataFrame:
+    """One row: ``strata``, the stratum of every band, nulls if the labels are too few for any."""
+    k, least = len(BANDS) + 1, least_holdout(risk, delta)
+    sizes = [F.count(F.when(~tuning() & (band() == i), 1)) for i in range(k)]
+    way = F.when(F.lit(False), F.array(*[F.lit(None).cast("int")] * k))
+    for w in joinings():
+        enough = F.lit(True)
+        for part in set(w):
+            enough = enough & (sum((F.get("s", F.lit(i)) for i in range(k) if w[i] == part), F.lit(0)) >= least)
+        way = way.when(enough, F.array(*[F.lit(x) for x in w]))
+    way = way.otherwise(F.array(*[F.lit(None).cast("int")] * k))
+    return clean.groupBy().agg(F.array(*sizes).alias("s")).select(way.alias("strata"))
+
+
 def tested(clean: DataFrame, risk: float, delta: float) -> DataFrame:
-    """(stratum, n, step, k, holds, cutoffs) of every step, cutoffs a map by rule; ``clean``: (h, n_words, rules), equal texts once."""
-    both = clean.withColumn("stratum", F.explode(F.array(stratum(), F.lit(POOLED))))
-    steps = proposals(both.where(tuning())).groupBy("stratum", "step").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    """(stratum, n, step, k, holds, cutoffs) of every step, cutoffs a map by rule; ``clean``: (h, n_words, stratum, rules), equal texts once."""
+    steps = proposals(clean.where(tuning())).groupBy("stratum", "step").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
     steps = stored(steps)  # strata times steps: a few rows
     over = F.lit(False)
     for r in RULES:
         over = over | (F.col(r) > F.col("cutoffs")[r])
-    k = both.where(~tuning()).join(F.broadcast(steps), "stratum").groupBy("stratum", "step").agg(F.count("*").alias("n"), F.sum(over.cast("long")).alias("k"))
-    level = delta / (len(BANDS) + 2)
-    return k.join(steps, ["stratum", "step"]).withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk) <= level).withColumn("enough", F.pow(F.lit(1 - risk), F.col("n")) <= level)
+    k = clean.where(~tuning()).join(F.broadcast(steps), "stratum").groupBy("stratum", "step").agg(F.count("*").alias("n"), F.sum(over.cast("long")).alias("k"))
+    return k.join(steps, ["stratum", "step"]).withColumn("holds", binomial_tail(F.col("k"), F.col("n"), risk) <= delta / (len(BANDS) + 1))
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, step, cutoffs) of the strata with a step that holds, POOLED among them. Labels: (doc_id, quality); a document counts as clean if all its labels are 1.
+    """(band, stratum, step, cutoffs) of every band whose stratum was tested. Labels: (doc_id, quality); a document counts as clean if all its labels are 1.
 
-    A stratum with too small a holdout is absent, so ``judge`` takes the pooled one; one whose first step fails has step -1 and no cutoffs.
+    A stratum whose first step fails has step -1 and no cutoffs; without enough labels there are no rows. Measures that
+    are not stored yet are computed once and stored.
     """
     clean = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1").select("doc_id")
-    held = measured.where(~F.col("base_failed")).join(clean, "doc_id").select("h", "n_words", *RULES).distinct()
-    t = tested(stored(held), risk, delta)
+    # Stored ahead of any filter: the optimiser would else write the measures' expressions into the filter again and again.
+    held = stored(measured.select("doc_id", "h", "n_words", "base_failed", *RULES).join(clean, "doc_id"))
+    held = stored(held.where(~F.col("base_failed")).select("h", "n_words", *RULES).distinct())
+    way = stored(strata(held, risk, delta))  # one row
+    t = tested(held.crossJoin(F.broadcast(way)).withColumn("stratum", F.get("strata", band())).where("stratum IS NOT NULL").drop("strata"), risk, delta)
     fail = F.min(F.when(~F.col("holds"), F.col("step"))).over(Window.partitionBy("stratum"))
-    t = t.withColumn("fail", F.coalesce(fail, F.lit(len(SLACK) + len(TAILS)))).where(F.col("enough"))
+    t = t.withColumn("fail", F.coalesce(fail, F.lit(len(SLACK) + len(TAILS))))
     last = F.when(F.col("step") < F.col("fail"), F.col("step"))
-    return t.groupBy("stratum").agg(F.coalesce(F.max(last), F.lit(-1)).alias("step"), F.max_by("cutoffs", last).alias("cutoffs"))
+    on = t.groupBy("stratum").agg(F.coalesce(F.max(last), F.lit(-1)).alias("step"), F.max_by("cutoffs", last).alias("cutoffs"))
+    return way.select(F.posexplode("strata").alias("band", "stratum")).join(on, "stratum").select("band", "stratum", "step", "cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -173,9 +205,9 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float =
     """
     m = stored(measures(docs))
     on = cutoffs(m, labels, risk, delta)
-    # One row of a cutoff for each stratum and rule, whatever the input.
-    limits = on.agg(F.map_from_entries(F.collect_list(F.struct("stratum", F.coalesce("cutoffs", F.create_map().cast("map<string,double>"))))).alias("cut"))
-    j = m.crossJoin(F.broadcast(limits)).withColumn("mine", F.coalesce(F.try_element_at("cut", stratum()), F.try_element_at("cut", F.lit(POOLED))))
+    # One row of a cutoff for each band and rule, whatever the input.
+    limits = on.agg(F.map_from_entries(F.collect_list(F.struct("band", F.coalesce("cutoffs", F.create_map().cast("map<string,double>"))))).alias("cut"))
+    j = m.crossJoin(F.broadcast(limits)).withColumn("mine", F.try_element_at("cut", band()))
     over = F.lit(False)
     for r in RULES:
         over = over | F.coalesce(F.col(r) > F.try_element_at("mine", F.lit(r)), F.lit(False))

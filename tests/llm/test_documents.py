@@ -293,16 +293,16 @@ def test_cutoffs_stop_where_the_bound_does(spark):
     m = measured(spark, 6000, words=lambda r: r.choice([100, 300, 900]), symbol_share=lambda r: r.betavariate(1, 30), upper_share=lambda r: r.betavariate(2, 20), bang_share=lambda r: r.betavariate(1, 60)).persist()
     labels = m.select("doc_id", F.lit(1).alias("quality"))
     on = {r["stratum"]: r for r in q.cutoffs(m, labels).collect()}
-    steps = {(r["stratum"], r["step"]): r for r in q.tested(m, q.RISK, q.DELTA).collect()}
-    last, level = len(q.SLACK) + len(q.TAILS) - 1, q.DELTA / (len(q.BANDS) + 2)
+    steps = {(r["stratum"], r["step"]): r for r in q.tested(m.withColumn("stratum", q.band()), q.RISK, q.DELTA).collect()}
+    last, level = len(q.SLACK) + len(q.TAILS) - 1, q.DELTA / (len(q.BANDS) + 1)
     tail = lambda k, n: sum(comb(n, j) * q.RISK**j * (1 - q.RISK) ** (n - j) for j in range(k + 1))
     rows = m.collect()
     stratum_of = lambda r: sum(r["n_words"] >= b for b in q.BANDS)
-    assert set(on) == {-1, 0, 1, 2} and all(0 < r["step"] < last for r in on.values())
+    assert set(on) == {0, 1, 2} and all(0 < r["step"] < last and r["band"] == r["stratum"] for r in on.values())
     for s, r in on.items():
         for step in range(r["step"] + 2):
             t = steps[s, step]
-            held = [x for x in rows if (s == -1 or stratum_of(x) == s) and int(x["h"][:2], 16) % q.TUNING]
+            held = [x for x in rows if stratum_of(x) == s and int(x["h"][:2], 16) % q.TUNING]
             k = sum(any(x[c] > t["cutoffs"][c] for c in q.RULES) for x in held)
             assert (t["n"], t["k"]) == (len(held), k) and (tail(k, len(held)) <= level) == (step <= r["step"])
         fresh = measured(spark, 4000, seed=9, symbol_share=lambda r: r.betavariate(1, 30), upper_share=lambda r: r.betavariate(2, 20), bang_share=lambda r: r.betavariate(1, 60)).collect()
@@ -311,20 +311,39 @@ def test_cutoffs_stop_where_the_bound_does(spark):
 
 
 def test_cutoffs_of_small_strata(spark):
-    """A stratum with too few labels takes the pooled cutoffs; without enough in all, every rule is off; equal texts count once; a first step that fails leaves its stratum without rules."""
+    """Bands with too few labels are taken together with their neighbours, as finely as can be; without enough in all, every rule is off; equal texts count once; a first step that fails leaves its stratum without rules."""
     q = quality_rules
     few = measured(spark, 40, seed=2, words=900, upper_share=lambda r: 0.3)
     many = measured(spark, 900, seed=3, words=100, upper_share=lambda r: r.random() / 20).withColumn("doc_id", F.col("doc_id") + 1000)
     m = few.unionByName(many)
-    on = {r["stratum"]: r["step"] for r in q.cutoffs(m, m.select("doc_id", F.lit(1).alias("quality"))).collect()}
-    assert 2 not in on and 1 not in on and on[0] > 0 and q.POOLED in on
+    clean = lambda df: df.select("doc_id", F.lit(1).alias("quality"))
+    on = {r["band"]: (r["stratum"], r["step"]) for r in q.cutoffs(m, clean(m)).collect()}
+    assert set(on) == {0, 1, 2} and {s for s, _ in on.values()} == {0} and len({k for _, k in on.values()}) == 1
     same = few.crossJoin(spark.range(30).select(F.col("id").alias("copy"))).withColumn("doc_id", F.col("doc_id") * 100 + F.col("copy")).drop("copy")
-    assert q.cutoffs(same, same.select("doc_id", F.lit(1).alias("quality"))).count() == 0
+    assert q.cutoffs(same, clean(same)).count() == 0
     assert q.cutoffs(m, m.select("doc_id", F.lit(None).cast("int").alias("quality"))).count() == 0
     # Tuning documents that are unlike the holdout: the first step rejects too many.
     h = measured(spark, 900, seed=4, words=100)
     odd = h.withColumn("upper_share", F.when(q.tuning(), 0.0).otherwise(0.9))
-    assert {(r["stratum"], r["step"], r["cutoffs"]) for r in q.cutoffs(odd, odd.select("doc_id", F.lit(1).alias("quality"))).collect()} == {(0, -1, None), (-1, -1, None)}
+    assert {(r["band"], r["stratum"], r["step"], r["cutoffs"]) for r in q.cutoffs(odd, clean(odd)).collect()} == {(i, 0, -1, None) for i in range(3)}
+
+
+def test_bands_are_joined_as_finely_as_labels_allow(spark):
+    q = quality_rules
+    assert q.joinings() == [[0, 1, 2], [0, 1, 1], [0, 0, 2], [0, 0, 0]]
+    least = q.least_holdout(q.RISK, q.DELTA)
+    assert (1 - q.RISK) ** least <= q.DELTA / 3 < (1 - q.RISK) ** (least - 1)
+    size = {100: 0, 300: 1, 900: 2}
+    for counts, want in (((least,) * 3, [0, 1, 2]), ((least, least - 1, 1), [0, 1, 1]), ((1, least - 1, least), [0, 0, 2]), ((1, least, 1), [0, 0, 0]), ((1, least - 3, 1), [None] * 3)):
+        rows = [(w, "01" + "0" * 30) for w, i in size.items() for _ in range(counts[i])] + [(100, "00" + "0" * 30)] * 500  # those of the tuning part don't count
+        assert q.strata(spark.createDataFrame(rows, "n_words long, h string"), q.RISK, q.DELTA).head()["strata"] == want
+    assert q.strata(spark.createDataFrame([], "n_words long, h string"), q.RISK, q.DELTA).head()["strata"] == [None] * 3
+
+
+def test_unstored_measures_are_no_trouble(spark):
+    rng = random.Random(8)
+    d = spark.createDataFrame([(i, prose(rng, 90)) for i in range(300)], "doc_id long, text string")
+    assert quality_rules.cutoffs(quality_rules.measures(d), d.select("doc_id", F.lit(1).alias("quality"))).count() == 3
 
 
 def test_quality_verdict(spark):
