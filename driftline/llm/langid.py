@@ -11,15 +11,17 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .store import stored
 
 DIMS = 2048
-# Training rows per language and languages at most; a documented bound on the training sample.
-PER_LANG, MAX_LANGS = 800, 200
+# Training rows per language; a documented bound on the training sample. Every language is learnt, however many there are.
+PER_LANG = 800
 
 # ISO 639-1 codes by family.
 FAMILIES = {
@@ -91,16 +93,6 @@ def svm(X: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 12, seed
     return w.astype(np.float32)
 
 
-def machines(X: np.ndarray, label: np.ndarray) -> dict:
-    """One machine for each pair of classes: {"classes": [...], "w": pairs x (DIMS + 1)}."""
-    classes = sorted(set(label))
-    ws = []
-    for p, q in itertools.combinations(classes, 2):
-        m = (label == p) | (label == q)
-        ws.append(svm(X[m], np.where(label[m] == p, 1.0, -1.0)))
-    return {"classes": classes, "w": np.array(ws, np.float32)}
-
-
 def vote(model: dict, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class number and confidence (0 to 1) of each row."""
     k = len(model["classes"])
@@ -117,21 +109,27 @@ def vote(model: dict, X: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, 1 / (1 + np.exp(-3 * worst[np.arange(len(X)), best]))
 
 
-def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS) -> dict | None:
+def family_of(lang: str) -> str:
+    """The family of a language tag; a tag outside the table is a family of its own."""
+    return FAMILY.get(lang.lower()[:2], lang) if len(lang) <= 3 or lang[2] in "-_" else lang
+
+
+def train(docs: DataFrame, per_lang: int = PER_LANG) -> dict | None:
     """The model from (doc_id, text, lang) rows; None if there is nothing to learn from.
 
-    The sample holds about ``per_lang`` texts of each of at most ``max_langs`` languages, the most
-    frequent ones, chosen by a hash of doc_id.
+    The sample holds about ``per_lang`` texts of each language, chosen by a hash of doc_id. Each machine is fitted in
+    a task of its own, from the texts of its two classes; the driver sees weights alone.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    spark = docs.sparkSession
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    counts = stored(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    # One short row for each language, so it may be broadcast.
+    share = F.broadcast(counts.select("lang", F.least(F.lit(1.0), per_lang / F.col("n")).alias("share")))
+    langs = sorted(r["lang"] for r in counts.select("lang").collect())
     if not langs:
         return None
-    share = F.lit(0.0)
-    for r in langs:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_lang / r["n"])).otherwise(share)
     at = F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(at < share).select("lang", "text")
+    sample = rows.join(share, "lang").where(at < F.col("share")).select("lang", "text")
 
     def encode(batches):
         for b in batches:
@@ -140,14 +138,29 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, max_langs: int = MAX_LANGS)
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     # Texts become histograms where they lie; the limit only guards against a doc_id that repeats without end.
-    got = sample.mapInArrow(encode, "lang string, x binary").limit(2 * per_lang * len(langs)).toPandas()
-    X = np.stack([np.frombuffer(x, np.float16) for x in got["x"]]).astype(np.float32)
-    lang = got["lang"].to_numpy()
-    order = np.lexsort((got["x"].to_numpy(), lang))  # rows arrive in any order
-    X, lang = X[order], lang[order]
-    family = np.array([FAMILY.get(x.lower()[:2], x) if len(x) <= 3 or x[2] in "-_" else x for x in lang], object)
-    top = machines(X, family)
-    return {"top": top, "within": [machines(X[family == f], lang[family == f]) for f in top["classes"]]}
+    seen = stored(sample.mapInArrow(encode, "lang string, x binary").limit(2 * per_lang * len(langs)))
+    families: dict[str, list[str]] = {}
+    for r in sorted(seen.select("lang").distinct().collect()):
+        families.setdefault(family_of(r["lang"]), []).append(r["lang"])
+    top = sorted(families)
+    if not top:
+        return None
+    # What each language is in each machine: the first class of its pair, or the second.
+    roles = [(lang, f"{i}:{j}", y) for i, j in itertools.combinations(range(len(top)), 2) for k, y in ((i, 1.0), (j, -1.0)) for lang in families[top[k]]]
+    for k, f in enumerate(top):
+        roles += [(families[f][c], f"{k}/{i}:{j}", y) for i, j in itertools.combinations(range(len(families[f])), 2) for c, y in ((i, 1.0), (j, -1.0))]
+    weights: dict[str, np.ndarray] = {}
+    if roles:
+
+        def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["lang", "x"], ignore_index=True)  # rows arrive in any order
+            X = np.stack([np.frombuffer(x, np.float16) for x in pdf["x"]]).astype(np.float32)
+            return pd.DataFrame([(pdf["machine"].iloc[0], svm(X, pdf["y"].to_numpy()).tobytes())], columns=["machine", "w"])
+
+        j = seen.join(F.broadcast(spark.createDataFrame(roles, "lang string, machine string, y double")), "lang")
+        weights = {r["machine"]: np.frombuffer(r["w"], np.float32) for r in j.groupBy("machine").applyInPandas(fitted, "machine string, w binary").collect()}
+    pick = lambda head, n: np.array([weights[f"{head}{i}:{j}"] for i, j in itertools.combinations(range(n), 2)], np.float32)
+    return {"top": {"classes": top, "w": pick("", len(top))}, "within": [{"classes": families[f], "w": pick(f"{k}/", len(families[f]))} for k, f in enumerate(top)]}
 
 
 def label(buf: np.ndarray, offs: np.ndarray, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
