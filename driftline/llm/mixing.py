@@ -145,16 +145,17 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, weights
     """(doc_id, size, source_size, target, taken, and the columns ``carry``) for every row of ``docs`` (doc_id, text, source).
 
     Null or blank text: size and taken 0. Null source: a source that ranks last. A repeated
-    doc_id: each row is a document of its own. Empty table: no rows. Other columns are ignored.
+    doc_id: each row is a document of its own; rows alike in id and text lie in one shard, side by side. Empty table: no rows. Other columns are ignored.
     Same input and seed, same result, whatever the partitions.
     """
-    sizes = stored(docs.select("doc_id", *carry, "source", word_count(F.col("text")).alias("size")))
+    # Rows without an id, and rows that share one, are told apart by their texts.
+    sizes = stored(docs.select("doc_id", *carry, "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("__text")))
     src, total = source_targets(sizes, weights, share, max_repeat)
     load = float(src.agg(F.sum("load")).head()[0] or 0)
     per_shard = max(float(shard_words), load / MAX_SHARDS)
     src = stored(src.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("load") / per_shard)).cast("int")))
     placed = sizes.join(src.select("mix_source", "rank", "shards"), F.col("source").eqNullSafe(F.col("mix_source")))
-    placed = stored(placed.select("doc_id", *carry, "size", "rank", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards")).cast("int").alias("shard")))
+    placed = stored(placed.select("doc_id", *carry, "size", "__text", "rank", F.pmod(F.xxhash64("doc_id", "__text", F.lit(seed)), F.col("shards")).cast("int").alias("shard")))
     shards = placed.groupBy("rank", "shard").agg(F.sum("size").alias("words"))
     blocks = F.when(F.col("words") > 0, F.greatest(F.lit(1), F.floor(F.col("words") / block_words))).otherwise(0).cast("long")
     shards = stored(shards.withColumn("blocks", blocks).withColumn("cap", blocks * max_repeat))
@@ -165,7 +166,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 17, weights
     seats = apportion(in_blocks.select("rank", "target", "cap"), house)
     quotas = shards.join(seats, "rank").groupBy("rank").applyInPandas(_shard_quotas, "rank long, shard int, words long, blocks long, quota long")
     quotas = stored(quotas)
-    w = Window.partitionBy("rank", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("rank", "shard").orderBy(F.xxhash64("doc_id", "__text", F.lit(seed + 1)), "doc_id", "size", "__text", *carry).rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("stop", F.sum("size").over(w)).join(quotas, ["rank", "shard"]).join(src.select("rank", "source_size", "target"), "rank")
     return laid.select("doc_id", "size", "source_size", "target", taken(seed).alias("taken"), *carry)
 

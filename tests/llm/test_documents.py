@@ -245,6 +245,40 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_taken_words_against_a_plain_list(spark):
+    """Every word of a shard by itself: in each block it counts once for each time that the block is taken."""
+    rng, rows, want = random.Random(4), [], Counter()
+    hashes = {r["shard"]: r["h"] for r in spark.range(12).select(F.col("id").cast("int").alias("shard"), F.xxhash64(F.lit(3).cast("long"), F.col("id").cast("int"), F.lit(17 + 2)).alias("h")).collect()}
+    for shard in range(12):
+        sizes = [rng.choice([0, 1, 5, 64, 200, 1500]) for _ in range(rng.randint(1, 25))] + [7]
+        W = sum(sizes)
+        n = max(1, W // 64)
+        q = rng.randint(0, 3 * n)
+        times = [q // n + ((((1 << 61) - 1) % n * b + hashes[shard] % n) % n < q % n) for b in range(n)]
+        assert sum(times) == q
+        words = [times[b] for b in range(n) for _ in range(W * (b + 1) // n - W * b // n)]
+        stop = 0
+        for k, size in enumerate(sizes):
+            stop += size
+            rows.append((3, shard, k, size, stop, W, n, q))
+            want[shard, k] = sum(words[stop - size : stop])
+            assert want[shard, k] <= 3 * size
+    df = spark.createDataFrame(rows, "rank long, shard int, k int, size long, stop long, words long, blocks long, quota long")
+    got = {(r["shard"], r["k"]): r["taken"] for r in df.select("shard", "k", mixing.taken(17).alias("taken")).collect()}
+    assert got == dict(want)
+
+
+def test_rows_without_an_id_are_many_shards(spark, monkeypatch):
+    rng = random.Random(6)
+    d = spark.createDataFrame([(None, prose(rng, 60), "a") for _ in range(300)] + [(5, prose(rng, 60), "a") for _ in range(300)], "doc_id long, text string, source string")
+    seen = []
+    monkeypatch.setattr(mixing, "stored", lambda df, keep=mixing.stored: seen.append(keep(df)) or seen[-1])
+    got = mixing.mix(d, shard_words=1000).collect()
+    placed = next(x for x in seen if "shard" in x.columns and "size" in x.columns)
+    assert placed.where("doc_id IS NULL").select("shard").distinct().count() > 10 and placed.where("doc_id = 5").select("shard").distinct().count() > 10
+    assert len(got) == 600 and abs(sum(r["taken"] for r in got) - 36_000) <= 64
+
+
 def test_highest_quotients():
     rng = random.Random(1)
     for _ in range(30):
@@ -382,6 +416,34 @@ def test_language(spark, docs, rows, empty):
     assert langid.known(docs, None).count() == len(rows) - 4
 
 
+def test_every_language_is_learnt(spark):
+    """Many languages, most of them families of their own; each pair's machine is the one that its two classes alone give."""
+    rng = random.Random(7)
+    langs = ["en", "de", "sv", "fr", "es", *(f"q{c}x-{c}" for c in "abcdefghij")]
+    rows = []
+    for k, lang in enumerate(langs):
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(12)]
+        rows += [(100 * k + i, " ".join(rng.choice(syllables) for _ in range(40)), lang) for i in range(12)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.train(d)
+    assert sum(len(x["classes"]) for x in model["within"]) == len(langs) and len(model["top"]["classes"]) == 12
+    k = model["top"]["classes"].index("germanic")
+    inner = model["within"][k]
+    assert inner["classes"] == ["de", "en", "sv"] and inner["w"].shape == (3, langid.DIMS + 1)
+    pair = sorted((lang, langid.histograms(*flat(t))[0].astype(np.float16).tobytes()) for _, t, lang in rows if lang in ("de", "sv"))
+    X = np.stack([np.frombuffer(x, np.float16) for _, x in pair]).astype(np.float32)
+    assert np.allclose(inner["w"][1], langid.svm(X, np.array([1.0 if lang == "de" else -1.0 for lang, _ in pair])))
+    fresh = {r["doc_id"]: r["lang_pred"] for r in langid.predict(d, model).collect()}
+    assert all(fresh[i] == lang for i, _, lang in rows)
+    one = langid.train(d.where("lang = 'en'"))
+    assert {r["lang_pred"] for r in langid.predict(d, one).collect()} == {"en"}
+
+
+def flat(text):
+    raw = text.encode()
+    return np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64)
+
+
 def test_svm_separates():
     rng = np.random.default_rng(0)
     X = rng.normal(size=(200, 5)).astype(np.float32)
