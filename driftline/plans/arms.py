@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from driftline.functions import features
 from driftline.operators import scoring, walkforward
 from driftline.params import SHORT
 
@@ -64,6 +66,33 @@ def walk_forward_factors(spark, sf_dir):
     return s.select(*scoring.KEYS, "n", *rounded("mse", "r2"))
 
 
+GAP = 2
+
+
+@query("WITH " + _two(f"""{PEERS_SQL}, {ROWS_SQL},
+sx AS (SELECT x.target, x.delta, x.refit_id, x.t, x.test, l.y, o.a AS x1, c.mean AS x2 FROM rx x JOIN lab l ON l.target = x.target AND l.t = x.t LEFT JOIN pw c ON c.target = x.target AND c.t = x.t - {GAP} LEFT JOIN pw o ON o.target = x.target AND o.t = x.t - x.delta)"""))
+def walk_forward_gapped(spark, sf_dir):
+    """The own level of each delay beside peers that are late themselves; fixed penalty."""
+    rows = first_own(spark, sf_dir)
+    return forecasts_of(rows.withColumn("peers", features.gapped(F.col("peers"), Window.partitionBy("target").orderBy("t"), GAP)), "mean")
+
+
+@query(f"""WITH {TRAIN_SQL}, ow AS (SELECT target, t, a FROM adm WHERE series_id = target),
+st AS (SELECT l.target, delta, l.t, l.y, o.a AS x FROM lab l CROSS JOIN {DELAYS_SQL} JOIN ow o ON o.target = l.target AND o.t = l.t - delta),
+tr AS (SELECT r.target, r.delta, refit_id, x, y, row_number() OVER (PARTITION BY r.target, r.delta, refit_id ORDER BY s.t DESC) AS back, count(*) OVER p AS n, avg(x) OVER p AS mx, sqrt(var_pop(x) OVER p) + 1e-9 AS sd FROM ref r JOIN st s ON s.target = r.target AND s.delta = r.delta AND {WINDOW_SQL} WHERE x IS NOT NULL AND y IS NOT NULL WINDOW p AS (PARTITION BY r.target, r.delta, refit_id)),
+tz AS (SELECT *, (x - mx) / sd AS z FROM tr WHERE n >= {SHORT.min_train}),
+hd AS (SELECT target, delta, refit_id, max(n) AS n, max(mx) AS mx, max(sd) AS sd, avg(y) AS my, n * var_pop(z) AS zz, n * covar_pop(z, y) AS zy, avg(z) AS mz, count(*) FILTER (back > {SHORT.val}) AS hn, avg(z) FILTER (back > {SHORT.val}) AS hz, avg(y) FILTER (back > {SHORT.val}) AS hy, var_pop(z) FILTER (back > {SHORT.val}) AS hv, covar_pop(z, y) FILTER (back > {SHORT.val}) AS hc FROM tz GROUP BY target, delta, refit_id, n),
+lm AS (SELECT *, unnest({list(SHORT.lambdas)}) AS lam, unnest(range({len(SHORT.lambdas)})) AS li FROM hd),
+sc AS (SELECT l.target, l.delta, l.refit_id, l.lam, l.li, avg(pow(l.hy + l.hn * l.hc / (l.hn * l.hv + l.lam) * (z.z - l.hz) - z.y, 2)) AS mse FROM lm l JOIN tz z ON z.target = l.target AND z.delta = l.delta AND z.refit_id = l.refit_id AND z.back <= {SHORT.val} GROUP BY 1, 2, 3, 4, 5),
+pk AS (SELECT target, delta, refit_id, lam FROM sc QUALIFY row_number() OVER (PARTITION BY target, delta, refit_id ORDER BY mse, li) = 1),
+co AS (SELECT h.*, CASE WHEN n <= {SHORT.val + 50} THEN {SHORT.lambdas[len(SHORT.lambdas) // 2]} ELSE lam END AS pen FROM hd h JOIN pk USING (target, delta, refit_id))
+SELECT i.target, CAST(s.delta AS int) AS delta, CAST(i.t AS bigint) AS t, round(coalesce(my + zy / (zz + pen) * ((s.x - mx) / sd - mz), 0), 6) AS f FROM idx i JOIN st s ON s.target = i.target AND s.t = i.t LEFT JOIN co ON co.target = i.target AND co.delta = s.delta AND co.refit_id = i.j // {SHORT.refit}""")
+def walk_forward_validated(spark, sf_dir):
+    """M1, M3, O2: the purged walk of the own level with the penalty that each refit's last rows choose, the first of equal ones."""
+    f = walkforward.walk(first_own(spark, sf_dir), SHORT, arms=("own",))
+    return f.select("target", "delta", long("t"), F.round("f", 6).alias("f"))
+
+
 TRAIN_DELAYS, UNSEEN = SHORT.delays, (4, 6)
 _M = ("x", "s", "z")
 _COV = {(a, b): f"c_{a}{b}" for i, a in enumerate(_M) for b in _M[i:]}

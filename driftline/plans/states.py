@@ -227,3 +227,25 @@ def walk_factor_filter(spark, sf_dir):
         parts.append(walkforward.walk(known, SHORT, arms=("own",)).withColumn("arm", F.lit(name)))
     s = scoring.skill(parts[0].unionByName(parts[1]).unionByName(parts[2]))
     return s.select(*scoring.KEYS, "n", *rounded("mse", "r2"))
+
+
+@query(f"""WITH {UNION_SQL}, ok AS (SELECT target, date FROM adm GROUP BY 1, 2 HAVING min(CAST(a IS NOT NULL AS int)) = 1), al AS (SELECT date FROM ok WHERE target = 'ASIA' INTERSECT SELECT date FROM ok WHERE target = 'EUROPE' INTERSECT SELECT date FROM ok WHERE target = 'AMERICA')
+SELECT adm.target, count(*) AS n, CAST(min(date) AS varchar) AS first, CAST(max(date) AS varchar) AS last, round(avg(a), 6) AS mean FROM adm SEMI JOIN al USING (date) WHERE target IN ('ASIA', 'EUROPE', 'AMERICA') AND series_id = target GROUP BY 1""")
+def common_dates(spark, sf_dir):
+    """Three targets on the days that all three can use, so that their scores compare like with like."""
+    p = known_panel(spark, sf_dir)
+    full = p.withColumn("whole", F.min(F.col("a").isNotNull().cast("int")).over(Window.partitionBy("target", "date"))).where("whole = 1 AND series_id = target")
+    names = ("ASIA", "EUROPE", "AMERICA")
+    each = panel.shared_dates([full.where(F.col("target") == n).select("target", "date", "a") for n in names], ["date"])
+    g = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("target")
+    return g.agg(F.count("*").alias("n"), F.min("date").cast("string").alias("first"), F.max("date").cast("string").alias("last"), F.round(F.avg("a"), 6).alias("mean"))
+
+
+@query(f"""WITH {D_SQL}, c AS (SELECT concat(target, '/', delta) AS cell_id, list(d ORDER BY t) AS s FROM df GROUP BY target, delta), e AS (SELECT * FROM c UNION ALL SELECT concat('again ', cell_id), s FROM c WHERE cell_id LIKE '%/2')
+SELECT min(cell_id) AS cell_id, count(*) AS copies FROM e GROUP BY s""")
+def distinct_cells(spark, sf_dir):
+    """Cells whose series was recorded before under another name."""
+    d = loss_differences(spark, sf_dir)
+    c = d.groupBy("target", "delta").agg(F.array_sort(F.collect_list(F.struct("t", "d"))).alias("s")).select(F.concat_ws("/", "target", F.col("delta").cast("string")).alias("cell_id"), F.col("s.d").alias("series"))
+    again = c.where(F.col("cell_id").endswith("/2")).withColumn("cell_id", F.concat(F.lit("again "), "cell_id"))
+    return scoring.distinct_series(c.unionByName(again)).select("cell_id", "copies")
