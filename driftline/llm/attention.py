@@ -88,6 +88,22 @@ def forward(p: dict, X: np.ndarray, owner: np.ndarray, n: int) -> dict:
     return {"h": h, "v": v, "u": u, "alpha": alpha, "z": z, "p": _sigmoid(z @ p["c"] + p["d"])}
 
 
+def gradient(p: dict, fixed: dict, x: np.ndarray, o: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean log loss of texts with labels ``y`` and passages ``x`` of owners ``o``, in each weight of ``p``."""
+    n = len(y)
+    f = forward(p | fixed, x, o, n)
+    g = (f["p"] - y) / n
+    dz = g[:, None] * p["c"]
+    dalpha = (f["h"] * dz[o]).sum(1)
+    cut = np.searchsorted(o, np.arange(n))
+    da = f["alpha"] * (dalpha - np.add.reduceat(f["alpha"] * dalpha, cut)[o])
+    dvu = da[:, None] * p["w"]
+    dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
+    dh = f["alpha"][:, None] * dz[o] + dv @ p["V"].T + du @ p["U"].T
+    dpre = dh * (1 - f["h"] ** 2)
+    return {"W": ((x - fixed["mu"]) / fixed["sd"]).T @ dpre, "b": dpre.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ da, "c": f["z"].T @ g, "d": np.array([g.sum()])}
+
+
 def fit(X: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 40, batch: int = 256, seed: int = 3) -> dict:
     """Weights by Adam on the log loss."""
     rng = np.random.default_rng(seed)
@@ -102,17 +118,7 @@ def fit(X: np.ndarray, owner: np.ndarray, y: np.ndarray, epochs: int = 40, batch
             rows = np.concatenate([np.arange(start[i], start[i + 1]) for i in own])
             o = np.repeat(np.arange(len(own)), start[own + 1] - start[own])
             x = X[rows]
-            f = forward(p | fixed, x, o, len(own))
-            g = (f["p"] - y[own]) / len(own)
-            dz = g[:, None] * p["c"]
-            dalpha = (f["h"] * dz[o]).sum(1)
-            cut = np.searchsorted(o, np.arange(len(own)))
-            da = f["alpha"] * (dalpha - np.add.reduceat(f["alpha"] * dalpha, cut)[o])
-            dvu = da[:, None] * p["w"]
-            dv, du = dvu * f["u"] * (1 - f["v"] ** 2), dvu * f["v"] * f["u"] * (1 - f["u"])
-            dh = f["alpha"][:, None] * dz[o] + dv @ p["V"].T + du @ p["U"].T
-            dpre = dh * (1 - f["h"] ** 2)
-            grad = {"W": ((x - fixed["mu"]) / fixed["sd"]).T @ dpre, "b": dpre.sum(0), "V": f["h"].T @ dv, "U": f["h"].T @ du, "w": (f["v"] * f["u"]).T @ da, "c": f["z"].T @ g, "d": np.array([g.sum()])}
+            grad = gradient(p, fixed, x, o, y[own])
             t += 1
             for k in p:
                 gk = grad[k] + 1e-4 * p[k]
@@ -150,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> d
                     xs.append(x.astype(np.float16).tobytes())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), b.column("quality").slice(lo, hi - lo), pa.array(xs, pa.binary())], ["doc_id", "quality", "x"])
 
-    got = rows.mapInArrow(features, "doc_id long, quality int, x binary").toPandas().sort_values(["doc_id", "x"], ignore_index=True)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    got = rows.mapInArrow(features, f"doc_id {kind}, quality int, x binary").toPandas().sort_values(["doc_id", "x"], ignore_index=True)
     y = (got["quality"].to_numpy() == 1).astype(np.float64)
     if len(set(y)) < 2:
         return None

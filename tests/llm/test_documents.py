@@ -452,7 +452,43 @@ def test_svm_separates():
     assert ((X @ w[:-1] + w[-1] > 0) == (y > 0)).mean() > 0.97
 
 
-def test_attention_gradient_and_ranking(spark):
+def test_attention_gradient_is_that_of_the_loss():
+    """Each weight's derivative against the difference of the loss a little to either side."""
+    rng = np.random.default_rng(2)
+    d, h, g, owner = 5, 4, 3, np.array([0, 0, 0, 1, 2, 2])
+    X, y = rng.normal(size=(6, d)), np.array([1.0, 0.0, 1.0])
+    p = {"W": rng.normal(size=(d, h)), "b": rng.normal(size=h), "V": rng.normal(size=(h, g)), "U": rng.normal(size=(h, g)), "w": rng.normal(size=g), "c": rng.normal(size=h), "d": rng.normal(size=1)}
+    fixed = {"mu": X.mean(0), "sd": X.std(0) + 0.05}
+
+    def loss(q):
+        f = attention.forward(q | fixed, X, owner, 3)["p"]
+        return -(y * np.log(f) + (1 - y) * np.log(1 - f)).mean()
+
+    found = attention.gradient(p, fixed, X, owner, y)
+    for k, v in p.items():
+        assert found[k].shape == v.shape
+        for i in np.ndindex(v.shape):
+            side = []
+            for step in (1e-5, -1e-5):
+                q = {a: b.copy() for a, b in p.items()}
+                q[k][i] += step
+                side.append(loss(q))
+            assert abs((side[0] - side[1]) / 2e-5 - found[k][i]) < 1e-7
+    alpha = attention.forward(p | fixed, X, owner, 3)["alpha"]
+    assert np.allclose(np.bincount(owner, alpha), 1) and alpha[3] == 1
+
+
+def test_attention_takes_any_id_and_empty_tables(spark):
+    rng = random.Random(11)
+    rows = [(f"d{i}", prose(rng, 80) if i % 3 else prose(rng, 80).upper() + "!!") for i in range(150)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "x")], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, int(k % 3 > 0)) for k, (i, _) in enumerate(rows)], "doc_id string, quality int")
+    got = attention.assess(docs, labels).collect()
+    assert len(got) == 152 and len({r["score"] for r in got if r["doc_id"] == "d0"}) == 1
+    assert attention.assess(docs.limit(0), labels).count() == 0
+
+
+def test_attention_and_ranking(spark):
     rng = random.Random(7)
     good = [(i, prose(rng, 150)) for i in range(150)]
     bad = [(150 + i, prose(rng, 64) + " " + " ".join(w.upper() + "!!" for w in prose(rng, 80).split())) for i in range(100)]
