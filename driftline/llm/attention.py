@@ -180,7 +180,7 @@ def score(docs: DataFrame, model: dict | None, keep: list[str] | None = None) ->
             for lo, hi, buf, offs in tk.slices(b.column("__text")):
                 if model:
                     X, owner = encode(buf, offs)
-                    p = forward(model, X, owner, hi - lo)["p"].astype(np.float64)
+                    p = np.round(forward(model, X, owner, hi - lo)["p"].astype(np.float64), 6)  # what lies beyond depends on a text's neighbours in the batch
                 else:
                     p = np.full(hi - lo, 0.5)
                 yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in b.columns[:-1]), pa.array(p)], [*keep, "score"])
