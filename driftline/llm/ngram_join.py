@@ -373,13 +373,18 @@ class Tree:
         has[of[here], where[here]] = True
         # Places of a probe's keys among those of the tree: odd for a key of the tree, even for one between two.
         place, begin = of * (2 * width + 2) + 2 * where + here, np.cumsum(nx) - nx
-        todo = [(np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64))]
+        # Pairs of probe and node to look at, or (``inner``) whose node's children are next; either is cut up until it fits a step.
+        todo = [(np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64), False)]
         while todo:
-            pr, nd, ov = todo.pop()
-            n = self.run[nd]
+            pr, nd, ov, inner = todo.pop()
+            n = (self.kids if inner else self.run)[nd]
             if n.sum() > STEP and len(nd) > 1:
                 half = len(nd) // 2
-                todo += [(pr[half:], nd[half:], ov[half:]), (pr[:half], nd[:half], ov[:half])]
+                todo += [(pr[half:], nd[half:], ov[half:], inner), (pr[:half], nd[:half], ov[:half], inner)]
+                continue
+            if inner:
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                todo.append((np.repeat(pr, n), np.repeat(self.kid[nd], n) + step, np.repeat(ov, n), False))
                 continue
             stop = np.cumsum(n)
             key = self.ids[np.repeat(self.start[nd] - stop + n, n) + np.arange(stop[-1])]
@@ -399,9 +404,7 @@ class Tree:
                 yield np.stack([pr[end] + base, self.leaf[nd[end]]])
             pr, nd, ov = pr[~end], nd[~end], ov[~end]
             if len(nd):
-                k = self.kids[nd]
-                step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-                todo.append((np.repeat(pr, k), np.repeat(self.kid[nd], k) + step, np.repeat(ov, k)))
+                todo.append((pr, nd, ov, True))
 
 
 def joining(u: np.ndarray, v: np.ndarray, cu: np.ndarray, cv: np.ndarray) -> list[int]:
