@@ -100,7 +100,9 @@ def smoothness(returns: DataFrame, months: int = 120, cap: float = 0.95, least:
     """(series_id, rho): correlation of a return with the one before over the first ``months`` of (series_id, month, r), from 0 to ``cap``; 0 with fewer than ``least`` returns."""
     w = Window.partitionBy("series_id").orderBy("month")
     f = returns.where("r IS NOT NULL").withColumn("k", F.row_number().over(w)).where(F.col("k") <= months).withColumn("before", F.lag("r").over(w))
-    g = f.groupBy("series_id").agg(F.count("*").alias("n"), F.corr("before", "r").alias("c"))
+    both = F.when(F.col("before").isNotNull(), F.col("r"))
+    c = F.covar_pop("before", "r") / F.nullif(F.stddev_pop("before") * F.stddev_pop(both), F.lit(0.0))
+    g = f.groupBy("series_id").agg(F.count("*").alias("n"), c.alias("c"))
     return g.select("series_id", F.when(F.col("n") < least, F.lit(0.0)).otherwise(F.least(F.greatest(F.coalesce("c", F.lit(0.0)), F.lit(0.0)), F.lit(cap))).alias("rho"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ["target", "arm", "delta"]
@@ -219,6 +219,12 @@ def leave_one_out(points: DataFrame, x: str, y: str) -> DataFrame:
     return j.select("id", (cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0))).alias("without"), slope.alias("slope"), (mx - my / F.nullif(slope, F.lit(0.0))).alias("crossing"), (1 / n + dx * dx / F.nullif(n * F.col("vx"), F.lit(0.0))).alias("leverage"))
 
 
+def correlation(x: str, y: str, over: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of two columns that are missing together; null where one does not vary, where Spark's own divides by zero."""
+    at = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    return at(F.covar_pop(x, y)) / F.nullif(at(F.stddev_pop(x)) * at(F.stddev_pop(y)), F.lit(0.0))
+
+
 def structure_stability(panel: DataFrame, by: list[str], win: int = 252, gap: int = 63, least: int = 126) -> DataFrame:
     """(by, t, pairs, stability) of a panel (by, t, series_id, a) that has every series in every row: how alike all pairs' correlations in the ``win`` rows before t are to those ``gap`` rows earlier.
 
@@ -233,10 +239,10 @@ def structure_stability(panel: DataFrame, by: list[str], win: int = 252, gap: in
     w = Window.partitionBy(*by, "one", "two").orderBy("t")
     past = w.rowsBetween(-win, -1)
     # Only windows that lie whole in the series.
-    c = F.when((F.count("u").over(past) >= least) & (F.row_number().over(w) > win), F.corr("u", "v").over(past))
+    c = F.when((F.count("u").over(past) >= least) & (F.row_number().over(w) > win), correlation("u", "v", past))
     p = p.select(*by, "t", "one", "two", c.alias("c")).withColumn("before", F.lag("c", gap).over(w))
     both = p.where("c IS NOT NULL AND before IS NOT NULL AND NOT isnan(c) AND NOT isnan(before)")
-    return both.groupBy(*by, "t").agg(F.count("*").alias("pairs"), F.corr("c", "before").alias("stability"))
+    return both.groupBy(*by, "t").agg(F.count("*").alias("pairs"), correlation("c", "before").alias("stability"))
 
 
 def smear(forecasts: DataFrame, span: int, horizon: int) -> DataFrame:

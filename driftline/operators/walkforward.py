@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from driftline.params import Params
 
-from . import models, resample, scoring
+from . import models, resample
 from .panel import training_rows
 
 #: own: the target's stale block; peers: the others' current values; cross: both.

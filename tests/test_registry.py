@@ -60,11 +60,11 @@ def test_a_change_reaches_what_is_made_from_it(spark, tmp_path):
 def test_stored_reports_are_compared_without_what_may_vary(spark, tmp_path):
     for name, lines in (("old", ["data folder: /a", "skill  0.51  [0.4,0.6]", "runtime 3 s", "note"]), ("new", ["  data folder: /b", "skill  0.51  [0.4,0.6]  ", "runtime 9 s", "note changed"])):
         (tmp_path / name).mkdir()
-        (tmp_path / name / "lab.txt").write_text("\n".join(lines))
+        (tmp_path / name / "report.txt").write_text("\n".join(lines))
     old, new = (provenance.golden_lines(spark, str(tmp_path / n)) for n in ("old", "new"))
     assert {(r["side"], r["line"]) for r in provenance.differences(old, new).collect()} == {("first", "note"), ("second", "note changed")}
     n = provenance.numbers(old).collect()
-    assert [(r["file"], r["key"], r["tokens"]) for r in n] == [("lab.txt", "skill", ["0.51", "0.4", "0.6"])]
+    assert [(r["file"], r["key"], r["tokens"]) for r in n] == [("report.txt", "skill", ["0.51", "0.4", "0.6"])]
 
 
 def test_a_panel_is_read_only_with_its_digest(spark, tmp_path):
