@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import attention, centroids, decontam, html_text, importance, langid, mixing, ngram_join, pii, quality_rules, secrets, token_counts, warc
 
