@@ -49,7 +49,7 @@ def test_a_change_reaches_what_is_made_from_it(spark, tmp_path):
         assert all(a in g[b] for a, b in zip(path, path[1:]))
     assert {"structure_stability"} == set(reach.affected(g, ["operators.scoring.structure_stability"])) & set(QUERIES)
     module = set(reach.affected(g, ["operators.filters"])) & set(QUERIES)
-    assert module == {"filter_vintages", "live_filter", "walk_filtered"}
+    assert module == {"filter_vintages", "live_filter", "walk_filtered", "walk_factor_filter"}
     assert "bars_daily" in reach.affected(g, ["lineitem"])
     with pytest.raises(KeyError):
         reach.affected(g, ["no.such.thing"])
