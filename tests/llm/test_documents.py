@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import attention, crf, decontam, langid, mixing, ngram_join, pii, quality_rules, queries, secrets
+from driftline.llm import attention, crf, decontam, langid, mixing, ngram_join, pii, quality_rules, queries, secrets, store
 from driftline.llm import textkit as tk
 from driftline.llm.components import components
 
@@ -141,6 +141,30 @@ def test_join_of_near_copies_without_id(spark):
     assert kept[None] == sum(i is None for i, _ in rows) and {i for i in kept if i is not None} == {c for c in least.values() if c is not None}
 
 
+def test_join_with_texts_shuffled(spark, docs, monkeypatch):
+    """More rows to fetch than are broadcast: the same components, rows without id and repeated ids included."""
+    w = prose(random.Random(4), 60).split(" ")
+    more = [(i, " ".join([*w[:k], f"x{k}", *w[k:]])) for k, i in enumerate([None, 300, None, 301, 301, 302, *range(310, 340)])]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*more, more[0], more[3]], "doc_id long, text string"))
+    want = Counter(map(tuple, ngram_join.join(both).collect()))
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    assert Counter(map(tuple, ngram_join.join(both).collect())) == want
+
+
+def test_fetched_sets_are_not_shuffled(spark, monkeypatch):
+    """With more rows than are broadcast, texts meet their rows and then nothing but the rows' groups: no exchange above the sets, a row each."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    docs = spark.createDataFrame([(i, f"a b c d e {i // 2}") for i in range(40)], "doc_id long, text string")
+    found = store.stored(ngram_join.sketch(docs))
+    reps = found.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    to = found.select("cls", F.col("doc_id").alias("a"), F.lit(1).alias("role"))
+    order = spark.sparkContext.broadcast(ngram_join.Order(ngram_join.frequent(docs, 2)))
+    got = ngram_join.fetched(docs, to, reps, order)
+    assert Counter((r["cls"], r["a"]) for r in got.collect()) == Counter(map(tuple, to.select("cls", "a").collect()))
+    above, sets, _ = got._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
+    assert sets and "Exchange" not in above
+
+
 def test_tree_walk_against_all_pairs():
     """Many probes and sets at once: nested sets, equal beginnings, one long run, marks, and steps that split."""
     rng = np.random.default_rng(1)
