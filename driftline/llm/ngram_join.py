@@ -471,16 +471,17 @@ def fetched(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: Dat
     """Rows of ``to`` (cls and other columns), each with its class's ordered set as ``keys``.
 
     ``reps``: (cls, doc_id) of each class; ``unnamed``: what ``nameless`` finds. Texts are read
-    again, each meets its rows as one list and gives one set. Few rows are broadcast to the texts, so
-    no text is shuffled; with more, the texts are, once. Sets are not: they go to their rows' groups.
+    again. Few rows are broadcast to the texts, so no text is shuffled. With more, the texts are, once:
+    each meets its rows as one list and gives one set, which goes straight to their groups.
     """
     to = stored(to.join(reps, "cls"))
     few = to.count() <= BROADCAST_ROWS
-    cols = [c for c in to.columns if c not in ("cls", "doc_id")]
-    lists = to.groupBy("cls", "doc_id").agg(F.collect_list(F.struct(*cols)).alias("at"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(lists) if few else lists, "doc_id").select("cls", "at", "text")
+    own = [c for c in to.columns if c not in ("cls", "doc_id")]
+    side = to if few else to.groupBy("cls", "doc_id").agg(F.collect_list(F.struct(*own)).alias("at"))
+    rest = ["cls", *own] if few else ["cls", "at"]
+    rows = docs.select("doc_id", "text").join(F.broadcast(side) if few else side, "doc_id").select(*rest, "text")
     if unnamed is not None:  # no doc_id leads to these
-        rows = rows.unionByName(lists.where("doc_id IS NULL").select("cls", "at").join(unnamed, "cls").select(*rows.columns))
+        rows = rows.unionByName(side.where("doc_id IS NULL").select(*rest).join(unnamed, "cls").select(*rows.columns))
 
     def ordered(batches):
         for batch in batches:
@@ -491,10 +492,10 @@ def fetched(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: Dat
                 # A repeated doc_id has other texts, too: the class tells.
                 ok = pa.array(classes(vals, cut) == part.column("cls").to_numpy())
                 blobs = pa.array([key[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("cls").filter(ok), part.column("at").filter(ok), blobs.filter(ok)], ["cls", "at", "keys"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).filter(ok) for c in rest), blobs.filter(ok)], [*rest, "keys"])
 
-    made = rows.mapInArrow(ordered, f"cls long, at {rows.schema['at'].dataType.simpleString()}, keys binary")
-    return made.select("cls", F.explode("at").alias("x"), "keys").select("cls", "x.*", "keys")
+    made = rows.mapInArrow(ordered, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rest) + ", keys binary")
+    return made if few else made.select("cls", F.explode("at").alias("x"), "keys").select("cls", "x.*", "keys")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:

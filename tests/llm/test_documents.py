@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -165,6 +167,26 @@ def test_fetched_sets_are_not_shuffled(spark, monkeypatch):
     assert sets and "Exchange" not in above
 
 
+def test_stored_leaves_no_shuffle(spark):
+    """What a query shuffled is gone from the disk soon after its result is stored, and the session's setting is as before."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {n for f in blocks.getAllFiles().mkString("\n").split("\n") if (n := Path(f).name).startswith("shuffle_")}
+    before = shuffled()
+    for setting in (None, "false"):
+        if setting:
+            spark.conf.set(store.CLEANUP, setting)
+        try:
+            left = spark.range(20_000).groupBy(F.col("id") % 5000).count()
+            assert store.stored(left).count() == 5000 and store.stored(left).count() == 5000
+            assert spark.conf.get(store.CLEANUP, None) == setting
+        finally:
+            spark.conf.unset(store.CLEANUP)
+    end = time.time() + 10
+    while len(counts := shuffled() - before) > 8 and time.time() < end:
+        time.sleep(0.2)
+    assert len(counts) <= 8  # of the four counts themselves, a file pair each
+
+
 def test_tree_walk_against_all_pairs():
     """Many probes and sets at once: nested sets, equal beginnings, one long run, marks, and steps that split."""
     rng = np.random.default_rng(1)
