@@ -425,28 +425,29 @@ def joining(u: np.ndarray, v: np.ndarray, cu: np.ndarray, cv: np.ndarray) -> lis
     return keep
 
 
-def crossing(left: DataFrame) -> DataFrame | None:
+def crossing(left: DataFrame, size: int | None = None) -> DataFrame | None:
     """(t, part, q, role, comp, cls): who is to meet in which tree, so that all members of a key's group of (t, a, n, comp) that lie in several components meet; None if there is none.
 
     Role 0 is stored in the tree, role 1 walks it. A member is stored under the largest of its
     groups, in shards of about ``SHARD_KEYS`` keys. It walks all shards that hold a member of a group in
     which it is outside the component with most members. Of two members in different components
     one is outside, so they meet. Walkers of a shard are dealt to tasks by their keys, too.
+    ``size``: the number of rows, if it is known.
     """
     per = left.groupBy("t", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("keys"))
-    groups = stored(per.groupBy("t").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.sum("m").alias("size"), F.sum("keys").alias("keys"), F.count("*").alias("r")).where("r > 1").drop("r"))
+    groups = stored(per.groupBy("t").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"), F.sum("m").alias("size"), F.sum("keys").alias("keys"), F.count("*").alias("r")).where("r > 1").drop("r"), rows=size)
     if not groups.limit(1).count():
         return None
-    rows = stored(left.join(groups, "t").select("t", "a", "n", "comp", "main", "size", "keys"))
+    rows = stored(left.join(groups, "t").select("t", "a", "n", "comp", "main", "size", "keys"), rows=size)
     home = F.max(F.struct("size", "t", "keys")).alias("h")
     stays = rows.groupBy("a").agg(home, F.min("comp").alias("comp"), F.min("n").alias("n"))
-    stays = stored(stays.select("a", "comp", "n", F.col("h.t").alias("home"), F.pmod(F.xxhash64("a"), F.ceil(F.col("h.keys") / SHARD_KEYS)).cast("int").alias("part")))
+    stays = stored(stays.select("a", "comp", "n", F.col("h.t").alias("home"), F.pmod(F.xxhash64("a"), F.ceil(F.col("h.keys") / SHARD_KEYS)).cast("int").alias("part")), rows=size)
     # The shards of each group, an array of a few; then those of each walker, and each once.
-    shards = stored(rows.select("t", "a").join(stays.select("a", "home", "part"), "a").groupBy("t").agg(F.array_sort(F.collect_set(F.struct("home", "part"))).alias("shards")))
+    shards = stored(rows.select("t", "a").join(stays.select("a", "home", "part"), "a").groupBy("t").agg(F.array_sort(F.collect_set(F.struct("home", "part"))).alias("shards")), rows=size)
     goes = rows.where("comp <> main").select("t", "a", "n", "comp").join(shards, "t").groupBy("a", "n", "comp").agg(F.array_distinct(F.flatten(F.collect_set("shards"))).alias("shards"))
     goes = stored(goes.select("a", "n", "comp", F.explode("shards").alias("s")).select("a", "n", "comp", "s.home", "s.part"))
     lots = goes.groupBy("home", "part").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARD_KEYS)).cast("int").alias("lots"))
-    lots = stored(lots)
+    lots = stored(lots, rows=size)
     tree = stays.join(lots, ["home", "part"]).select("home", "part", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("q"), F.lit(0).alias("role"), "comp", "a")
     walk = goes.join(lots, ["home", "part"]).select("home", "part", F.pmod(F.xxhash64("a"), F.col("lots")).cast("int").alias("q"), F.lit(1).alias("role"), "comp", "a")
     return tree.unionByName(walk).select(F.col("home").alias("t"), "part", "q", "role", "comp", F.col("a").alias("cls"))
@@ -474,8 +475,9 @@ def fetched(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: Dat
     again. Few rows are broadcast to the texts, so no text is shuffled. With more, the texts are, once:
     each meets its rows as one list and gives one set, which goes straight to their groups.
     """
-    to = stored(to.join(reps, "cls"))
-    few = to.count() <= BROADCAST_ROWS
+    many = to.count()
+    few = many <= BROADCAST_ROWS
+    to = stored(to.join(reps, "cls"), rows=many)
     own = [c for c in to.columns if c not in ("cls", "doc_id")]
     side = to if few else to.groupBy("cls", "doc_id").agg(F.collect_list(F.struct(*own)).alias("at"))
     rest = ["cls", *own] if few else ["cls", "at"]
@@ -500,7 +502,7 @@ def fetched(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: Dat
 
 def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
     """(u, v) of the pairs (a, b) that link: a pivot a walks the tree of its partners, dealt to groups of about ``GROUP``."""
-    per = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")))
+    per = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), rows=pairs.count())
     partner = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(0).alias("role"), F.col("b").alias("cls"))
     pivot = per.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(1).alias("role"), F.col("a").alias("cls"))
     sent = fetched(docs, partner.unionByName(pivot), reps, order, unnamed)
@@ -551,31 +553,32 @@ def join(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(sketch(docs))
-    total = rows.agg(F.sum("n")).head()[0] or 0
+    total, many = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     buckets = max(parts, -(-total // 4 // BUCKET_ROWS), 1)
     order = spark.sparkContext.broadcast(Order(stored(frequent(docs, max(parts, -(-total // (4 * BUCKET_ROWS)), 1)))))
     found = stored(candidates(postings(docs, order, buckets)))
-    reps = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")))
+    size = {r["hot"]: r["count"] for r in found.groupBy((F.col("kind") == 1).alias("hot")).count().collect()}
+    reps = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), rows=many)
     unnamed = nameless(docs, reps)
-    pairs = stored(found.where("kind <> 1").groupBy("a", "b").agg(F.max("kind").alias("kind")))
+    pairs = stored(found.where("kind <> 1").groupBy("a", "b").agg(F.max("kind").alias("kind")), rows=size.get(False, 0))
     # First a partner for each class and all pivots; then what is not yet in one component; then the large groups.
     first = pairs.where("kind = 0").groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(pairs.where("kind = 2").select("a", "b"))
-    done = stored(first.distinct())
+    done = stored(first.distinct(), rows=size.get(False, 0))
     links = verify(docs, done, reps, order, unnamed)
-    comps = stored(components(links))
-    more = stored(_apart(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), comps))
+    comps = stored(components(links), rows=many)
+    more = stored(_apart(pairs.select("a", "b").join(done, ["a", "b"], "left_anti"), comps), rows=size.get(False, 0))
     if more.limit(1).count():
         links = links.unionByName(verify(docs, more, reps, order, unnamed))
-        comps = stored(components(links))
+        comps = stored(components(links), rows=many)
     hot = found.where("kind = 1").select("t", "a", "n")
     left = hot.join(comps, F.col("a") == F.col("node"), "left").select("t", "a", "n", F.coalesce("component", "a").alias("comp"))
-    to = crossing(stored(left))
+    to = crossing(stored(left, rows=size.get(True, 0)), size.get(True, 0))
     if to is not None:
         links = links.unionByName(meet(docs, to, reps, order, unnamed))
-        comps = stored(components(links))
-    part = stored(reps.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")))
-    least = stored(part.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
-    named = stored(part.join(least, "comp").select("cls", "component_id"))
+        comps = stored(components(links), rows=many)
+    part = stored(reps.join(comps, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("comp")), rows=many)
+    least = stored(part.groupBy("comp").agg(F.min("doc_id").alias("component_id")), rows=many)
+    named = stored(part.join(least, "comp").select("cls", "component_id"), rows=many)
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from driftline.llm import attention, crf, decontam, langid, mixing, ngram_join, pii, quality_rules, queries, secrets, store
+from driftline.llm import components as stars
 from driftline.llm import textkit as tk
 from driftline.llm.components import components
 
@@ -257,6 +258,45 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_many_tasks(spark, monkeypatch):
+    """Edges dealt to many small forests, which star steps then join: a shuffled path, a random graph, a hub and edges that come twice."""
+    monkeypatch.setattr(stars, "EDGES", 40)
+    monkeypatch.setattr(stars, "NODES", 15)
+    rng = random.Random(7)
+    path = rng.sample(range(-1000, 1000), 150)
+    e = list(zip(path, path[1:])) + [(rng.randrange(5000, 5300), rng.randrange(5000, 5300)) for _ in range(140)] + [(9000 + k, 9100) for k in range(120)]
+    e += e[::7]
+    rng.shuffle(e)
+    comp = {x: x for uv in e for x in uv if uv[0] != uv[1]}
+    while low := [(u, v) for u, v in e if u != v and comp[u] != comp[v]]:
+        for u, v in low:
+            comp[u] = comp[v] = min(comp[u], comp[v])
+    edges = spark.createDataFrame(e, "u long, v long").repartition(16)
+    assert not stars.starred(stars.forest(edges, len(e)))
+    assert sorted(map(tuple, components(edges).collect())) == sorted(comp.items())
+
+
+def test_few_rows_in_few_tasks(spark, monkeypatch):
+    """Many shuffle partitions that are not merged: small tables are written by a task or two and few edges take no steps, not dozens of tasks each."""
+    made = []
+    monkeypatch.setattr(stars, "stored", lambda df, **more: made.append(out := store.stored(df, **more)) or out)
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = components(spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(32, "u"))
+        assert [tuple(r) for r in got.groupBy("component").count().collect()] == [(0, 201)]
+        assert len(made) == 1 and len(made[0].inputFiles()) == 1
+        few = spark.range(40_000).groupBy((F.col("id") * 3).alias("k")).count()
+        for rows, files in ((0, 1), (1000, 1), (40_000, 3), (None, 32)):
+            out = store.stored(few, rows=rows)
+            assert out.count() == 40_000 and len(out.inputFiles()) == files
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_one_of_each(docs):
     kept = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
     assert kept.count(7) == 1 and 120 not in kept and 0 in kept and 160 in kept
