@@ -506,13 +506,13 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: D
     partner = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(0).alias("role"), F.col("b").alias("cls"))
     pivot = per.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(1).alias("role"), F.col("a").alias("cls"))
     sent = fetched(docs, partner.unionByName(pivot), reps, order, unnamed)
-    return stored(sent.groupBy("a", "g").applyInArrow(_links, "u long, v long"))
+    return stored(sent.groupBy("a", "g").applyInArrow(_links, "u long, v long"), gathered=True)
 
 
 def meet(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
     """(u, v): links found in the trees of ``crossing``, as many as join components."""
     sent = fetched(docs, to, reps, order, unnamed)
-    return stored(sent.groupBy("t", "part", "q").applyInArrow(_links, "u long, v long"))
+    return stored(sent.groupBy("t", "part", "q").applyInArrow(_links, "u long, v long"), gathered=True)
 
 
 def _links(table: pa.Table) -> pa.Table:
@@ -552,11 +552,11 @@ def join(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(sketch(docs))
+    rows = stored(sketch(docs), gathered=True)
     total, many = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     buckets = max(parts, -(-total // 4 // BUCKET_ROWS), 1)
-    order = spark.sparkContext.broadcast(Order(stored(frequent(docs, max(parts, -(-total // (4 * BUCKET_ROWS)), 1)))))
-    found = stored(candidates(postings(docs, order, buckets)))
+    order = spark.sparkContext.broadcast(Order(stored(frequent(docs, max(parts, -(-total // (4 * BUCKET_ROWS)), 1)), gathered=True)))
+    found = stored(candidates(postings(docs, order, buckets)), gathered=True)
     size = {r["hot"]: r["count"] for r in found.groupBy((F.col("kind") == 1).alias("hot")).count().collect()}
     reps = stored(rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), rows=many)
     unnamed = nameless(docs, reps)
@@ -596,9 +596,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows with a null doc_id stay. Of rows alike in doc_id and text one stays; an id whose texts
     lie in several components stays as far as it is the least of one.
     """
-    found = stored(join(docs))
+    found = stored(join(docs), gathered=True)
     kept = found.where("doc_id = component_id").select("doc_id")
-    gone = stored(found.where("doc_id IS NOT NULL").select("doc_id").distinct().join(kept.distinct(), "doc_id", "left_anti"))
+    gone = stored(found.where("doc_id IS NOT NULL").select("doc_id").distinct().join(kept.distinct(), "doc_id", "left_anti"), gathered=True)
     few = gone.count() <= BROADCAST_ROWS
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
     again = stored(kept.groupBy("doc_id").count().where("count > 1").select("doc_id"))

@@ -297,6 +297,24 @@ def test_few_rows_in_few_tasks(spark, monkeypatch):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def test_join_writes_few_files(spark, monkeypatch):
+    """A file written starts processes that show an executor's memory twice: many tasks read and walk, a few write."""
+    made = []
+    monkeypatch.setattr(ngram_join, "stored", lambda df, **more: made.append(out := store.stored(df, **more)) or out)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{k}" for k in range(20))) for i in range(200)], "doc_id long, text string").repartition(24, "doc_id")
+        left = ngram_join.one_of_each(docs)
+        assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 200, 2)) and left.rdd.getNumPartitions() >= 16
+        assert max(len(t.inputFiles()) for t in made) <= 2 < len(made)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 def test_one_of_each(docs):
     kept = [r["doc_id"] for r in ngram_join.one_of_each(docs).collect()]
     assert kept.count(7) == 1 and 120 not in kept and 0 in kept and 160 in kept
