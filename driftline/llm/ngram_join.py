@@ -24,6 +24,8 @@ tree by 44 bits of them; all is exact but for collisions of these.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +42,8 @@ BUCKET_ROWS = 1 << 20
 HOT = 2_000_000
 # A key's group beyond this many rows is dealt to several buckets; their components meet in ``crossing``.
 SPLIT = 250_000
-# Rows of (a, group, b, doc_id) that may be broadcast to the texts; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+# Rows of (a, group, b, doc_id) that may be broadcast to the texts; more come in so many scans of the texts at most, beyond that by a shuffle of the texts.
+BROADCAST_ROWS, SCANS = 1_000_000, 16
 # Partners of a pivot in one task, about.
 GROUP = 64
 # Keys of the sets in one tree, and of the sets that walk it in one task, about.
@@ -171,6 +173,12 @@ def frequent(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(deal, "bucket long, ones binary, many binary").groupBy("bucket").applyInArrow(count, "v long, df long")
 
 
+def _packed(batches):
+    """The columns of a batch, eight bytes a value, as one row: a row for each value takes the driver about a kilobyte."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in b.columns], b.schema.names)
+
+
 class Order:
     """Bands of the frequent shingles: 0 for all others, then one more for each fourfold count."""
 
@@ -183,10 +191,10 @@ class Order:
                 if kept > HOT:
                     break
                 least = 1 << int(r["e"])
-        rows = found.where(F.col("df") >= least).toPandas()
-        order = np.argsort(rows["v"].to_numpy())
-        self.v = rows["v"].to_numpy()[order].astype(U)
-        df = rows["df"].to_numpy()[order].astype(float)
+        rows = found.where(F.col("df") >= least).select("v", "df").mapInArrow(_packed, "v binary, df binary").collect()
+        v, df = (np.frombuffer(b"".join(r[c] for r in rows), np.int64) for c in ("v", "df"))
+        order = np.argsort(v)
+        self.v, df = v[order].astype(U), df[order].astype(float)
         self.band = np.clip(1 + np.floor(np.log(np.maximum(df, ALL_PAIRS) / ALL_PAIRS) / np.log(4)), 1, 15).astype(np.uint8)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.v & U((1 << 22) - 1)).astype(np.int64)] = True
@@ -468,14 +476,15 @@ def nameless(docs: DataFrame, reps: DataFrame) -> DataFrame | None:
     return stored(found.join(alone, "cls", "left_semi").groupBy("cls").agg(F.min("text").alias("text")))
 
 
-def fetched(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
+def fetched(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None, many: int | None = None) -> DataFrame:
     """Rows of ``to`` (cls and other columns), each with its class's ordered set as ``keys``.
 
     ``reps``: (cls, doc_id) of each class; ``unnamed``: what ``nameless`` finds. Texts are read
     again. Few rows are broadcast to the texts, so no text is shuffled. With more, the texts are, once:
     each meets its rows as one list and gives one set, which goes straight to their groups.
+    ``many``: about how many rows there are, if that is known.
     """
-    many = to.count()
+    many = to.count() if many is None else many
     few = many <= BROADCAST_ROWS
     to = stored(to.join(reps, "cls"), rows=many)
     own = [c for c in to.columns if c not in ("cls", "doc_id")]
@@ -505,14 +514,29 @@ def verify(docs: DataFrame, pairs: DataFrame, reps: DataFrame, order, unnamed: D
     per = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups")), rows=pairs.count())
     partner = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.lit(0).alias("role"), F.col("b").alias("cls"))
     pivot = per.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.lit(1).alias("role"), F.col("a").alias("cls"))
-    sent = fetched(docs, partner.unionByName(pivot), reps, order, unnamed)
-    return stored(sent.groupBy("a", "g").applyInArrow(_links, "u long, v long"), gathered=True)
+    return linked(docs, partner.unionByName(pivot), ["a", "g"], reps, order, unnamed)
 
 
 def meet(docs: DataFrame, to: DataFrame, reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
     """(u, v): links found in the trees of ``crossing``, as many as join components."""
-    sent = fetched(docs, to, reps, order, unnamed)
-    return stored(sent.groupBy("t", "part", "q").applyInArrow(_links, "u long, v long"), gathered=True)
+    return linked(docs, to, ["t", "part", "q"], reps, order, unnamed)
+
+
+def linked(docs: DataFrame, to: DataFrame, by: list[str], reps: DataFrame, order, unnamed: DataFrame | None = None) -> DataFrame:
+    """(u, v): what ``_links`` finds in each group (``by``) of ``to``.
+
+    Where there are more rows than are broadcast, whole groups are dealt to blocks of about so many, a scan of the texts each.
+    A block's sets leave the disk before those of the next are made, and no text is shuffled.
+    """
+    many = to.count()
+    scans = -(-many // BROADCAST_ROWS) if BROADCAST_ROWS < many <= SCANS * BROADCAST_ROWS else 1
+    to = stored(to, rows=many) if scans > 1 else to
+    found = []
+    for k in range(scans):
+        block = to.where(F.pmod(F.xxhash64(*by), F.lit(scans)) == k) if scans > 1 else to
+        sent = fetched(docs, block, reps, order, unnamed, -(-many // scans))
+        found.append(stored(sent.groupBy(*by).applyInArrow(_links, "u long, v long"), gathered=True))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _links(table: pa.Table) -> pa.Table:

@@ -168,6 +168,34 @@ def test_fetched_sets_are_not_shuffled(spark, monkeypatch):
     assert sets and "Exchange" not in above
 
 
+def test_join_in_several_scans(spark, docs, monkeypatch):
+    """More rows to fetch than are broadcast: blocks of whole groups, a scan of the texts each, no text shuffled; the same components."""
+    w = prose(random.Random(4), 60).split(" ")
+    more = [(i, " ".join([*w[:k], f"x{k}", *w[k:]])) for k, i in enumerate([None, 300, None, 301, 301, 302, *range(310, 340)])]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([*more, more[0], more[3]], "doc_id long, text string"))
+    want = Counter(map(tuple, ngram_join.join(both).collect()))
+    sent, real = [], ngram_join.fetched
+    monkeypatch.setattr(ngram_join, "fetched", lambda *a: sent.append(real(*a)) or sent[-1])
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 40)
+    assert Counter(map(tuple, ngram_join.join(both).collect())) == want
+    assert len(sent) >= 4
+    for x in sent:
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_order_comes_packed(spark):
+    """Frequent shingles reach the driver as a few rows of bytes, not as a row each."""
+    found = spark.range(30_000, numPartitions=2).select((F.col("id") * 7919 % (1 << 40)).alias("v"), (F.col("id") % 5000 + 9).alias("df"))
+    rows = found.mapInArrow(ngram_join._packed, "v binary, df binary").collect()
+    assert len(rows) <= 8 and sum(len(r["v"]) for r in rows) == 240_000
+    order = ngram_join.Order(found)
+    assert order.v.tolist() == sorted(k * 7919 % (1 << 40) for k in range(30_000))
+    df = {k * 7919 % (1 << 40): k % 5000 + 9 for k in range(30_000)}
+    assert order.band.tolist() == (1 + np.floor(np.log(np.array([df[v] for v in order.v.tolist()]) / 8.0) / np.log(4))).astype(int).tolist()
+    assert len(ngram_join.Order(found.where("df < 0")).v) == 0
+
+
 def test_stored_leaves_no_shuffle(spark):
     """What a query shuffled is gone from the disk soon after its result is stored, and the session's setting is as before."""
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
