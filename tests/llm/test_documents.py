@@ -846,6 +846,20 @@ def test_pipeline_on_a_small_table(spark, rows, tmp_path):
     assert len(ids) == len(set(ids)) and not {160, 161, 162, 163, 3, 120} & set(ids) and all(r["taken"] > 0 for r in got)
 
 
+def test_pipeline_keeps_one_stage_on_disk(spark, rows, tmp_path, monkeypatch):
+    """A stage's documents leave the disk when the next stage's are written; the input and what the result reads stay."""
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, rows[3][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    seen = []  # files that each stage reads
+    files = lambda df: [Path(f.removeprefix("file:")) for f in df.inputFiles()]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, lambda s, d, p, f=f: seen.append(files(d)) or f(s, d, p)) for n, f in corpus_pipeline.STAGES])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert [all(f.exists() for f in t) for t in seen] == [True, False, False, False, True]
+    assert out.count() > 0
+    store.discard(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert spark.read.parquet(str(tmp_path / "documents.parquet")).count() == len(rows)
+
+
 def test_pipeline_with_clashes_nulls_and_repeats(spark, rows, tmp_path):
     """Columns named like those that stages add, null ids, rows alike in id and size but not in text, and an empty table."""
     more = [(None, prose(random.Random(1), 60), None, None, 0), (500, "one two three four five six", "en", "s0", 0), (500, "six five four three two one", "en", "s0", 0), (501, "again " * 40, None, "s9", 0), (501, "again " * 40, None, "s9", 0)]
